@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, simhash, suffixes, toxicity, vafile
+from . import ann, bpe, counts, langid, lm, mixing, simhash, suffixes, toxicity, vafile
 from .common import remainder
 
+PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -55,6 +56,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_32K).select("doc_id", "n_tokens")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder("doc_id", 7) == 2
+    model, words = lm.train(docs.where(~held))
+    found = lm.score(docs, model, words, keep=(held.alias("held_out"),))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
@@ -63,7 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op10_mixing)
+    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
