@@ -40,7 +40,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary, its merges and a bounded cache of encoded words."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 250_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -163,7 +163,7 @@ class Bpe:
         out, at = [], 0
         while at < len(texts):
             group, chars = [], 0
-            while at < len(texts) and (not group or chars < 1_000_000):
+            while at < len(texts) and (not group or chars < 500_000):
                 text = texts[at] or ""
                 group.append(self.runs(text))
                 chars += len(text)
@@ -189,22 +189,32 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with the array column ``ids`` of each whole text's token ids, without special tokens added.
 
-    A null or empty text has no ids. The strings of special tokens inside a text count as those
-    tokens, as in the library. A column of that name is replaced; all others stay as they are.
+    With ``decoded``, also the column of that name that ``decode`` would make of the ids, from the same
+    pass. A null or empty text has no ids and decodes to the empty text. The strings of special tokens inside a
+    text count as those tokens, as in the library. A column of either name is replaced; all others stay as they are.
     """
+    both = decoded is not None
+    kinds = [("i", pa.list_(pa.int32()))] + [("d", pa.string())] * both
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<i: array<int>, d: string>" if both else "struct<i: array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokenizer(path)
         for batch in batches:
-            parts = own.encode(batch.to_pylist())
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-    return df.withColumn(ids, run(F.col(text).cast("string")))
+            slices = []
+            for at in range(0, len(batch), 1000):  # Python objects of few rows at a time
+                parts = own.encode(batch.slice(at, 1000).to_pylist())
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))]
+                if both:
+                    columns.append(pa.array([own.decode(np.frombuffer(p, np.int32).tolist()) for p in parts], pa.string()))
+                slices.append(pa.StructArray.from_arrays(columns, [k for k, _ in kinds]))
+            yield pa.concat_arrays(slices) if slices else pa.array([], pa.struct(kinds))
+
+    out = df.withColumn("_bpe", run(F.col(text).cast("string"))).withColumn(ids, F.col("_bpe.i"))
+    return (out.withColumn(decoded, F.col("_bpe.d")) if both else out).drop("_bpe")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
