@@ -19,6 +19,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,13 +121,19 @@ class Code:
         seen = np.maximum.accumulate(np.where((frequent > 0) | start, np.arange(len(ids)), 0))
         return frequent[seen], previous
 
-    def slots(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, d: int) -> tuple[np.ndarray, ...]:
-        """(tokens with a bit d, node, its slot by class, its slot by previous word, bit)."""
-        own = np.flatnonzero(self.size[ids] > d)
-        code, size = self.code[ids[own]], self.size[ids[own]]
-        node = (1 << d) | (code >> (size - d))
-        mixed = (previous[own] * NODES + node).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return own, node, classes[own] * NODES + node, (mixed >> np.uint64(64 - 19)).astype(np.int64), code >> (size - d - 1) & 1
+    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each symbol and depth: whether its code goes that deep, the node there, and the bit that follows."""
+        d = np.arange(DEPTH)
+        left = self.size[:, None] - d
+        return left > 0, ((1 << d) | self.code[:, None] >> np.maximum(left, 0)).astype(np.uint32), (self.code[:, None] >> np.maximum(left - 1, 0) & 1).astype(np.uint32)
+
+    def slots(self, paths: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, classes: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For all mixed bits in the order of (token, depth): that place, node, slot by class, slot by previous word, bit."""
+        place = np.flatnonzero(paths[0][ids])
+        node = paths[1][ids]
+        by_class = (classes.astype(np.uint32) * np.uint32(NODES))[:, None] + node
+        by_word = ((previous.astype(np.uint32) * np.uint32(NODES))[:, None] + node) * np.uint32(2654435761) >> np.uint32(32 - 19)
+        return place, *(x.ravel()[place] for x in (node, by_class, by_word, paths[2][ids]))
 
 
 def _letters(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +194,7 @@ class Model:
     sure: np.ndarray
     letter_odds: list[np.ndarray]
     letter_trust: list[np.ndarray]
+    paths: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @classmethod
     def build(cls, code: Code, tables: list[np.ndarray], letters: list[np.ndarray]) -> Model:
@@ -194,7 +202,7 @@ class Model:
         seen = tables[1][::2] + tables[1][1::2]
         shares = [np.log((t[1::2] + 0.1) / (t[::2] + 0.1)).astype(np.float32) for t in letters]
         trust = [((n := t[::2] + t[1::2]) / (n + 3.0)).astype(np.float32) for t in letters]
-        return cls(code, odds, np.digitize(seen, [1, 30]).astype(np.int8), shares, trust)
+        return cls(code, odds, np.digitize(seen, [1, 30]).astype(np.int8), shares, trust, code.paths())
 
     def spelled(self, group: list[bytes]) -> np.ndarray:
         """log2 probability of each word's letters and its close: longer contexts count as far as they were seen."""
@@ -222,8 +230,9 @@ class Model:
         # What followed the last earlier token equal to the previous one, in this text.
         before = np.append(-1, same[:-1])
         before[starts] = -1
-        order = np.lexsort((np.arange(n), before, owner))
-        twin = (owner[order][1:] == owner[order][:-1]) & (before[order][1:] == before[order][:-1]) & (before[order][1:] >= 0)
+        pair = owner * (before.max() + 2) + before + 1
+        order = np.argsort(pair, kind="stable")
+        twin = (pair[order][1:] == pair[order][:-1]) & (before[order][1:] >= 0)
         guess = np.full(n, -1)
         guess[order[1:][twin]] = same[order[:-1][twin]]
         tried = np.flatnonzero(guess >= 0)
@@ -244,26 +253,21 @@ class Model:
         spelt, coded = coded, np.flatnonzero(coded)
         ids, classes, previous, owner = ids[coded], classes[coded], previous[coded], owner[coded]
         out += np.bincount(owner, self.code.tail[ids], texts)
-        # All mixed bits, in the order of (token, depth).
-        parts = [self.code.slots(ids, classes, previous, d) for d in range(DEPTH)]
-        place = np.concatenate([p[0] * DEPTH + d for d, p in enumerate(parts)])
-        order = np.argsort(place, kind="stable")
-        node, by_class, by_word, bit = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3, 4))
-        place = place[order]
+        place, node, by_class, by_word, bit = self.code.slots(self.paths, ids, classes, previous)
         inputs = np.stack([self.code.base[node], self.odds[0][by_class], self.odds[1][by_word], np.full(len(node), 0.3, np.float32)], axis=1)
         gate = place % DEPTH * 3 + self.sure[by_word]
-        ends = np.searchsorted(owner[place // DEPTH], np.arange(texts), side="right")
+        ends = np.searchsorted(place, np.searchsorted(owner, np.arange(texts), side="right") * DEPTH)
         out += self._mixed(inputs, gate, bit.astype(np.float32), np.append(0, ends[:-1]), ends)
         return out, spelt
 
     @staticmethod
-    def _mixed(inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 256, rate: float = 0.004, prior: float = 40.0) -> np.ndarray:
+    def _mixed(inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 512, rate: float = 0.004, prior: float = 40.0) -> np.ndarray:
         """log2 probabilities of each text's bits, all texts side by side, a block of bits at a time with weights updated after it."""
         texts = len(begin)
         weights = np.tile(np.tile(START, (DEPTH, 1)), (texts, 1))
         steps = 24
         centre = 1 / (1 + np.exp(-(np.arange(steps) - steps / 2 + 0.5) / 2))
-        tried, true = np.full(texts * steps, prior), np.tile(prior * centre, texts)
+        tried, true = np.full(texts * steps, prior, np.float32), np.tile((prior * centre).astype(np.float32), texts)
         out = np.zeros(texts)
         at = begin.copy()
         live = np.flatnonzero(at < end)
@@ -275,8 +279,8 @@ class Model:
             own = owner * GATES + gate[spot]
             mixed = np.einsum("ij,ij->i", x, weights[own])
             p = 1 / (1 + np.exp(-np.clip(mixed, -12, 12)))
-            cell = owner * steps + np.clip(mixed * 2 + steps / 2, 0, steps - 1).astype(np.int64)
-            final = 0.5 * p + 0.5 * true[cell] / tried[cell]
+            cell = owner * steps + np.clip(mixed * 2 + steps / 2, 0, steps - 1).astype(np.int32)
+            final = np.float32(0.5) * (p + true[cell] / tried[cell])
             out += np.bincount(owner, np.log2(np.where(y == 1, final, 1 - final)), texts)
             miss = (y - p) * rate
             for k in range(inputs.shape[1]):
@@ -284,8 +288,8 @@ class Model:
             if len(own) * 4 <= len(weights):  # few texts left: touch only their weights
                 np.add.at(weights, own, miss[:, None] * x)
             if len(own) * 4 > len(tried):
-                tried += np.bincount(cell, minlength=len(tried))
-                true += np.bincount(cell, y, len(true))
+                tried += np.bincount(cell, minlength=len(tried)).astype(np.float32)
+                true += np.bincount(cell, y, len(true)).astype(np.float32)
             else:
                 np.add.at(tried, cell, 1)
                 np.add.at(true, cell, y)
@@ -294,7 +298,7 @@ class Model:
         return out
 
 
-def _groups(values: list[str | None], most: int = 1_500_000) -> Iterator[list[str | None]]:
+def _groups(values: list[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
     group, size = [], 0
     for value in values:
         group.append(value)
@@ -331,7 +335,7 @@ def _ids(code: Code, group: list[str | None]) -> tuple[np.ndarray, np.ndarray, l
     get = code.symbols.get
     parts = []
     for found in lists:
-        parts.append(np.fromiter((get(w, -1) for w in found), np.int64, len(found)))
+        parts.append(np.fromiter(map(get, found, repeat(-1)), np.int64, len(found)))
         parts.append(np.array([code.end]))
     ids = np.concatenate(parts)
     sizes = np.array([len(x) + 1 for x in lists])
@@ -350,14 +354,14 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model,
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables = shared.value, [np.zeros(2 * SLOTS, np.int64) for _ in range(2)]
+        paths = own.paths()
         for batch in batches:
             for group in _groups(batch.column(0).to_pylist()):
                 ids, starts, _ = _ids(own, group)
                 classes, previous = own.contexts(ids, starts)
-                for d in range(DEPTH):
-                    _, _, by_class, by_word, bit = own.slots(ids, classes, previous, d)
-                    tables[0] += np.bincount(2 * by_class + bit, minlength=2 * SLOTS)
-                    tables[1] += np.bincount(2 * by_word + bit, minlength=2 * SLOTS)
+                _, _, by_class, by_word, bit = own.slots(paths, ids, classes, previous)
+                tables[0] += np.bincount(2 * by_class + bit, minlength=2 * SLOTS)
+                tables[1] += np.bincount(2 * by_word + bit, minlength=2 * SLOTS)
         yield from _blocks(tables)
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,12 +403,12 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                 number: dict[bytes, int] = {}
                 same = ids.copy()
                 rare_at = np.flatnonzero(ids == code.escape)
-                flat = [w for found in lists for w in (*found, END)]
-                for i in rare_at.tolist():
-                    same[i] = number.setdefault(flat[i], len(number) + len(code.counts))
+                owner = np.repeat(np.arange(len(lists)), np.diff(np.append(starts, len(ids))))
+                rare_of = owner[rare_at]
+                own_rare = [lists[o][i] for o, i in zip(rare_of.tolist(), (rare_at - starts[rare_of]).tolist())]
+                same[rare_at] = [number.setdefault(w, len(number) + len(code.counts)) for w in own_rare]
                 found, spelt = own.score(ids, same, starts)
                 letters = own.spelled(list(number)) if number else np.zeros(0)
-                owner = np.repeat(np.arange(len(lists)), np.diff(np.append(starts, len(ids))))
                 rare_at = rare_at[spelt[rare_at]]  # a word that a guess got right needs no letters
                 found += np.bincount(owner[rare_at], letters[same[rare_at] - len(code.counts)], len(lists))
                 known = ids != code.escape
@@ -412,8 +416,9 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                 out[1] += np.bincount(owner, known & (code.counts[ids] > 0), len(lists)).astype(int).tolist()
                 out[2] += np.bincount(owner, np.where(known, logs[ids], 0.0), len(lists)).tolist()
                 out[3] += (found * np.log10(2)).tolist()
-                for x in lists:
-                    rare = Counter(w for w in x if w not in code.symbols)
+                ends = np.searchsorted(rare_of, np.arange(len(lists) + 1)).tolist()
+                for a, b in zip(ends[:-1], ends[1:]):
+                    rare = Counter(own_rare[a:b])
                     out[4].append(list(rare))
                     out[5].append(list(rare.values()))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
