@@ -37,8 +37,10 @@ BLOCK = 1 << 15
 #: The end of a text and the escape, as words that no text can hold.
 END, ESCAPE = b" ", b"  "
 GATES = DEPTH * 3
-#: Weights to start with for (node, frequent word, previous word, bias), by how often the last was seen.
-START = np.array([[0.3, 0.7, 0.0, 0.0], [0.1, 0.65, 0.25, 0.0], [0.0, 0.5, 0.5, 0.0]], np.float32)
+#: Weights to start with for (node, frequent word, previous word), by how often the last was seen.
+START = np.array([[0.3, 0.7, 0.0], [0.1, 0.65, 0.25], [0.0, 0.5, 0.5]], np.float32)
+#: How many rare words' spelling a task remembers.
+SPELLINGS = 300_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -254,7 +256,7 @@ class Model:
         ids, classes, previous, owner = ids[coded], classes[coded], previous[coded], owner[coded]
         out += np.bincount(owner, self.code.tail[ids], texts)
         place, node, by_class, by_word, bit = self.code.slots(self.paths, ids, classes, previous)
-        inputs = np.stack([self.code.base[node], self.odds[0][by_class], self.odds[1][by_word], np.full(len(node), 0.3, np.float32)], axis=1)
+        inputs = np.stack([self.code.base[node], self.odds[0][by_class], self.odds[1][by_word]], axis=1)
         gate = place % DEPTH * 3 + self.sure[by_word]
         ends = np.searchsorted(place, np.searchsorted(owner, np.arange(texts), side="right") * DEPTH)
         out += self._mixed(inputs, gate, bit.astype(np.float32), np.append(0, ends[:-1]), ends)
@@ -396,6 +398,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         own = shared.value
         code = own.code
         logs = np.log10(code.counts + 1.0)
+        spelling: dict[bytes, float] = {}
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for group in _groups(batch.to_pylist()):
@@ -408,7 +411,12 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                 own_rare = [lists[o][i] for o, i in zip(rare_of.tolist(), (rare_at - starts[rare_of]).tolist())]
                 same[rare_at] = [number.setdefault(w, len(number) + len(code.counts)) for w in own_rare]
                 found, spelt = own.score(ids, same, starts)
-                letters = own.spelled(list(number)) if number else np.zeros(0)
+                if len(spelling) > SPELLINGS:
+                    spelling = {}
+                new = [w for w in number if w not in spelling]
+                if new:
+                    spelling.update(zip(new, own.spelled(new).tolist()))
+                letters = np.fromiter(map(spelling.__getitem__, number), np.float64, len(number))
                 rare_at = rare_at[spelt[rare_at]]  # a word that a guess got right needs no letters
                 found += np.bincount(owner[rare_at], letters[same[rare_at] - len(code.counts)], len(lists))
                 known = ids != code.escape
