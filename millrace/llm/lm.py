@@ -3,10 +3,10 @@
 A text is its lower-cased words and one end. The ``top`` most frequent training words, the end and
 an escape have Huffman codes; a word outside them is the escape and then its letters, eight bits each.
 If an earlier word of the same text was followed by something, a first bit says whether that comes again.
-The first ten bits of a code are mixed: predictors hashed by the node alone, by the node and the
+The first eight bits of a code are mixed: predictors hashed by the node alone, by the node and the
 last frequent word, and by the node and the previous word give their log odds, which weights
 chosen by depth and confidence combine; weights are updated online within the text, and an adaptive map
-refines the result. What lies below ten bits uses the
+refines the result. What lies below eight bits uses the
 corpus' counts as they are, and the letters those of its distinct words.
 
 Counts come from all training texts: word counts by a distributed sum, the hashed tables
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DEPTH = 10
+DEPTH = 8
 NODES = 1 << DEPTH
-CLASSES = 512
+CLASSES = 2_048
 SLOTS = 1 << 19
 LETTER_SLOTS = 1 << 18
 BLOCK = 1 << 15
