@@ -31,7 +31,7 @@ def length_score(words: Column) -> Column:
 def parse_score(response: Column, default: float) -> Column:
     """The first number of an answer, at most 1; ``default`` without one."""
     number = F.regexp_extract(response, r"(\d+\.?\d*)", 1).try_cast("double")
-    return F.coalesce(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), F.lit(default))
+    return F.when(number.isNull(), default).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
 
 
 def relevance_score(text: Column, product: Column, kind: Column) -> Column:

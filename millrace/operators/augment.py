@@ -42,7 +42,7 @@ def validate_variants(variants: DataFrame, similarity: DataFrame, keys: list[str
     """variants (aspects, variant) with score = mean of preservation and similarity (0.5 without an answer) and is_valid."""
     rows = variants.join(similarity.select(*keys, "response"), keys, "left")
     score = (aspect_preservation(F.col("aspects"), F.col("variant")) + parse_score(F.col("response"), 0.5)) / 2
-    return rows.drop("response").withColumn("score", score).withColumn("is_valid", F.col("score") >= VALID)
+    return rows.withColumn("score", score).withColumn("is_valid", F.col("score") >= VALID).drop("response")
 
 
 def accept_variants(validated: DataFrame, min_similarity: float = 0.8) -> DataFrame:
