@@ -457,10 +457,11 @@ def u3_parse_reset_duration(spark, d):
 HEAD_SQL = f"""h AS (SELECT event_id, ts, (props->>'$.k')::BIGINT AS k, floor(value)::BIGINT AS v, event_id % 11 <> 0 AS whole, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 40000 END AS tl, {WAIT_SQL.format(n='event_id')} AS wait FROM events)"""
 
 
-@query(f"WITH {HEAD_SQL} SELECT event_id, CASE WHEN whole THEN 100 END::BIGINT AS request_limit, CASE WHEN whole THEN k END AS requests_left, CASE WHEN whole THEN epoch_us(ts + to_seconds(wait)) END AS reset_us, CASE WHEN whole THEN round((100 - k)::DOUBLE / 100 * 100, 6) END AS usage_pct, CASE WHEN whole AND tl > 0 THEN v END AS tokens_left FROM h")
+@query(f"WITH {HEAD_SQL} SELECT event_id, CASE WHEN whole THEN 100 ELSE -1 END::BIGINT AS request_limit, CASE WHEN whole THEN k ELSE -1 END AS requests_left, CASE WHEN whole THEN epoch_us(ts + to_seconds(wait)) ELSE -1 END AS reset_us, CASE WHEN whole THEN round((100 - k)::DOUBLE / 100 * 100, 6) END AS usage_pct, CASE WHEN whole AND tl > 0 THEN v ELSE -1 END AS tokens_left FROM h")
 def u4_parse_limit_headers(spark, d):
     rows = U.parse_limit_headers(t.limit_headers(spark, d))
-    return rows.select("event_id", F.col("request_info.limit").alias("request_limit"), F.col("request_info.remaining").alias("requests_left"), F.unix_micros("request_info.reset_time").alias("reset_us"), F.round("request_info.usage_pct", 6).alias("usage_pct"), F.col("token_info.remaining").alias("tokens_left"))
+    none = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    return rows.select("event_id", none(F.col("request_info.limit")).alias("request_limit"), none(F.col("request_info.remaining")).alias("requests_left"), none(F.unix_micros("request_info.reset_time")).alias("reset_us"), F.round("request_info.usage_pct", 6).alias("usage_pct"), none(F.col("token_info.remaining")).alias("tokens_left"))
 
 
 @query(f"WITH {HEAD_SQL} SELECT event_id, CASE WHEN k <= 0 THEN 'request limit exhausted' WHEN v < 20 THEN 'not enough tokens remaining' END AS blocked, 100 - k >= 90 AS near FROM h WHERE whole AND tl > 0")
@@ -532,7 +533,8 @@ def j4_expire_results(spark, d):
 def events_stream(spark, d):
     """The events table as a stream of its files."""
     e = t.table(spark, d, "events")
-    rows = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet")
+    # As a pattern, the path may be a folder or, as a plain path may not, one file.
+    rows = spark.readStream.schema(e.schema).parquet(f"{d}/events.parque[t]")
     return rows.select("event_id", F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("tokens"))
 
 
@@ -564,7 +566,7 @@ def t2_stream_token_bucket(spark, d):
 def t3_stream_quality_filter(spark, d):
     schema = t.table(spark, d, "documents").schema
     first = F.coalesce(F.try_element_at(T.words(F.col("text")), F.lit(1)), F.lit(""))
-    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("seq"), "text", F.when(F.col("doc_id") % 3 == 0, first).otherwise(F.col("source")).alias("product"), t._kind(F.col("doc_id")).alias("template_type"))
+    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("seq"), "text", F.when(F.col("doc_id") % 3 == 0, first).otherwise(F.col("source")).alias("product"), t._kind(F.col("doc_id")).alias("template_type"))
     out = scratch_path(spark, "accepted")
     X.stream_quality_filter(source, out, f"{out}-state").awaitTermination()
     return spark.read.parquet(out).select("seq")
