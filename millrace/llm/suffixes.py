@@ -217,7 +217,7 @@ def repeated_spans(
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, seg[:, 0], seg[:, 1], np.concatenate(owners), first, (last - first).astype(np.int32), (place - first).astype(np.int32))], ["fp", "s0", "s1", "key", "first", "more", "anchor"])
 
     occ = written(long.select("key", "_text").mapInArrow(occurrences, "fp long, s0 long, s1 long, key long, first long, more int, anchor int"), "occurrences")
-    twice = occ.groupBy("fp").count().where("count > 1").select("fp")
+    twice = written(occ.groupBy("fp").count().where("count > 1").select("fp"), "twice")  # a plain table, so that the join can split a hot anchor
     occ = written(occ.join(twice, "fp", "left_semi"), "repeated")
     segments = written(occ.groupBy("fp", "s0", "s1").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "more", "anchor")).alias("at")), "segments")
     kinds = segments.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1")
