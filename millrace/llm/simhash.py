@@ -78,10 +78,11 @@ def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def trie_join(keys: np.ndarray, values: np.ndarray, budget: int, chunk: int = 1 << 18) -> np.ndarray:
+def trie_join(keys: np.ndarray, values: np.ndarray, budget: int, chunk: int = 1 << 18, accept=None) -> np.ndarray:
     """For values (unsigned, sorted under each key; keys contiguous): the smallest place linked to each, itself included.
 
-    Two values of a key are linked if they differ in at most ``budget`` bits, directly or through others.
+    Two values of a key are linked if they differ in at most ``budget`` bits and ``accept(places, places)``, if given,
+    says so, directly or through others. Equal values under a key, too, are compared by ``accept``.
     """
     n = len(values)
     root = np.arange(n)
@@ -104,7 +105,10 @@ def trie_join(keys: np.ndarray, values: np.ndarray, budget: int, chunk: int = 1
         if not pairs.shape[1]:
             continue
         if depth == 64:
-            hooked(root, pairs[0], pairs[2])
+            if accept is None:
+                hooked(root, pairs[0], pairs[2])
+            else:
+                _accepted(root, pairs, accept)
             continue
         if depth in ones:
             count = ones[depth]
@@ -123,6 +127,21 @@ def trie_join(keys: np.ndarray, values: np.ndarray, budget: int, chunk: int = 1
     return root
 
 
+def _accepted(root: np.ndarray, pairs: np.ndarray, accept) -> None:
+    """Join what ``accept`` allows of leaf pairs; a leaf may hold several places of one value."""
+    a, b, c, d, _ = pairs
+    single = (b - a == 1) & (d - c == 1)
+    fine = np.flatnonzero(single)[accept(a[single], c[single])]
+    hooked(root, a[fine], c[fine])
+    for i in np.flatnonzero(~single):
+        left, right = np.arange(a[i], b[i]), np.arange(c[i], d[i])
+        for x in left:  # one row of places at a time
+            other = right[right > x] if a[i] == c[i] else right
+            other = other[root[other] != root[x]]
+            other = other[accept(np.full(len(other), x), other)] if len(other) else other
+            hooked(root, np.full(len(other), x), other)
+
+
 def _forest(distance: int, rows: int):
     """A function from batches of (key columns..., fp, node), whole keys in a row, to the links of a spanning forest."""
 
@@ -225,3 +244,108 @@ def near_duplicates(
     found = components(fingerprint_links(nodes, distance, parts, batch_rows, hot_rows))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+BINS, EMPTY = 256, 65_535
+
+
+def sketch(hashes: np.ndarray, seeds: int, bins: int = BINS) -> tuple[list[int], bytes]:
+    """(``seeds`` smallest values under as many functions, smallest 16-bit value in each bin) of a text's shingle hashes."""
+    h = hashes.copy().view(">u8").ravel().astype(np.uint64)
+    least = np.full(bins, EMPTY, np.uint16)
+    if not len(h):
+        return [0] * seeds, least.tobytes()
+    np.minimum.at(least, (h & np.uint64(bins - 1)).astype(np.int64), np.minimum(h >> np.uint64(48), np.uint64(EMPTY - 1)).astype(np.uint16))
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)[:seeds]
+    return [int(((h ^ (h >> np.uint64(29))) * k).min().view(np.int64)) for k in odd], least.tobytes()
+
+
+def similar_documents(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    words: int = 5,
+    similarity: float = 0.8,
+    distance: int = 16,
+    slack: float = 0.02,
+    seeds: int = 4,
+    seed: int = 42,
+    batch_rows: int = 20_000,
+    hot_rows: int = 1_000,
+) -> DataFrame:
+    """doc_id and component_id (the smallest id reachable) of every row, for texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
+
+    Fingerprints at that overlap differ in about 10 of 64 bits, too many for keys of whole parts. So texts
+    meet under the smallest of their shingle hashes, ``seeds`` functions of them, which a pair shares with a chance of its
+    overlap each (99.8 % for one of four at 0.8), and the trie self-join of the fingerprints runs under each with a budget of
+    ``distance`` bits. Pairs within it are held against the bins of their sketches, an estimate of the overlap
+    with a standard error of about 0.025, and linked from ``similarity`` - ``slack`` on. Under a key with more than
+    ``hot_rows`` rows, such as a passage that very many texts share, rows must share a second smallest hash.
+    Texts with equal fingerprints and sketches are one node. Null, empty and blank texts are equal. Null ids are left out.
+    """
+    from .common import written
+
+    spark = df.sparkSession
+
+    @F.arrow_udf("struct<fp: bigint, least: array<bigint>, bins: binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for x in batch:
+                hashes = shingle_hashes(x.as_py(), words, seed)
+                counts = np.zeros(64, np.int64)
+                for at in range(0, len(hashes), 255):
+                    counts += np.add.reduce(np.unpackbits(hashes[at : at + 255], axis=1), axis=0, dtype=np.uint8)
+                out[0].append(int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True))
+                least, bins = sketch(hashes, seeds)
+                out[1].append(least)
+                out[2].append(bins)
+            yield pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["fp", "least", "bins"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text).cast("string")).alias("m")).where("doc_id is not null").select("doc_id", "m.*")
+    marked = written(rows.withColumn("name", F.xxhash64("fp", "bins")), "sketches")
+    nodes = written(marked.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("bins").alias("bins")), "nodes")
+    keyed = nodes.select("node", "least", F.posexplode("least").alias("k", "v")).select("node", "least", "k", F.xxhash64("k", "v").alias("key"))
+    counts = written(keyed.groupBy("key").count().where("count > 1"), "keys")
+    cold = keyed.join(counts.where(F.col("count") <= hot_rows).select("key"), "key", "left_semi").select("node", "key")
+    hot = keyed.join(counts.where(F.col("count") > hot_rows).select("key"), "key", "left_semi")
+    hot = hot.select("node", "key", "k", F.posexplode("least").alias("k2", "v2")).where("k2 > k").select("node", F.xxhash64("key", "k2", "v2").alias("key"))
+    placed = written(cold.unionByName(hot), "placed").join(nodes.select("node", "fp", "bins"), "node").select("key", "fp", "node", "bins")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(table: pa.Table) -> pa.RecordBatch:
+            key, value, node = (table[c].to_numpy() for c in ("key", "fp", "node"))
+            bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint16).reshape(-1, BINS)
+            value = value.view(np.uint64)
+            order = np.lexsort((value, key))
+            key, value, node, bins = key[order], value[order], node[order], bins[order]
+
+            def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                fine = np.zeros(len(a), bool)
+                for at in range(0, len(a), 20_000):
+                    x, y = bins[a[at : at + 20_000]], bins[b[at : at + 20_000]]
+                    full = (x != EMPTY) | (y != EMPTY)
+                    fine[at : at + 20_000] = ((x == y) & full).sum(axis=1) >= (similarity - slack) * full.sum(axis=1)
+                return fine
+
+            root = trie_join(key, value, distance, accept=accept)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["a", "b"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= batch_rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = table["key"].to_numpy()
+                cut = np.flatnonzero(key != key[-1])
+                at = int(cut[-1]) + 1 if len(cut) else 0
+                if at:
+                    yield solve(table.slice(0, at))
+                held, size = table.slice(at).combine_chunks().to_batches(), table.num_rows - at
+        if size:
+            yield solve(pa.Table.from_batches(held).combine_chunks())
+
+    found = components(placed.repartition(wide(spark), "key").sortWithinPartitions("key").mapInArrow(links, "a long, b long"))
+    return marked.select("doc_id", "name").join(nodes.select("name", "node"), "name").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
