@@ -291,18 +291,28 @@ def repeated_spans(
     return plain.unionByName(hit)
 
 
-def kept_bytes(data: str = "data", spans: str = "spans"):
-    """The bytes of column ``data`` outside column ``spans``, joined: binary."""
-    gaps = F.zip_with(
+def _pieces(data: str, spans: str):
+    """The stretches of ``data`` between spans, as an array of binary."""
+    return F.zip_with(
         F.concat(F.array(F.lit(0).cast("long")), F.col(f"{spans}.end")),
         F.concat(F.col(f"{spans}.start"), F.array(F.octet_length(data).cast("long"))),
         lambda a, b: F.substring(F.col(data), (a + 1).cast("int"), (b - a).cast("int")),
     )
-    return F.when(F.size(spans) == 0, F.col(data)).otherwise(F.aggregate(gaps, F.lit(b""), lambda acc, x: F.concat(acc, x)))
+
+
+def kept_bytes(data: str = "data", spans: str = "spans"):
+    """The bytes of column ``data`` outside column ``spans``, joined: binary."""
+    return F.when(F.size(spans) == 0, F.col(data)).otherwise(F.aggregate(_pieces(data, spans), F.lit(b""), lambda acc, x: F.concat(acc, x)))
+
+
+def kept_text(data: str = "data", spans: str = "spans"):
+    """``kept_bytes`` as text, without the bytes of letters that a span cuts in two."""
+    whole = F.transform(_pieces(data, spans), lambda x: F.btrim(F.make_valid_utf8(x.cast("string")), F.lit("\ufffd")))
+    return F.when(F.size(spans) == 0, F.col(data).cast("string")).otherwise(F.array_join(whole, ""))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``repeated_spans`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes joined (a cut may leave part of a letter)."""
+    """``repeated_spans`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes joined, with parts of cut letters) and ``kept_text`` (without those)."""
     found = repeated_spans(df, id_col, text, **settings)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return found.select(id_col, "spans", F.octet_length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept_bytes().alias("kept"))
+    return found.select(id_col, "spans", F.octet_length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept_bytes().alias("kept"), kept_text().alias("kept_text"))
