@@ -22,8 +22,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD  # noqa: F401
-
 NEVER = np.int64(1) << 60
 #: Separators for str.split() that are not white space in Unicode; texts that hold one are split by the pattern.
 ODD = regex.compile(r"[\x1c-\x1f]")
@@ -40,7 +38,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """A vocabulary, its merges and a bounded cache of encoded words."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 150_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]

@@ -24,11 +24,13 @@ NONE = "und"
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: rows of ``words`` and of each n-gram table; unknown in one language means that table's floor."""
+    """Log frequencies by language: for each length of n-grams, and for whole words under 0, the strings, one a line, and their rows.
+
+    A string unknown to one language has that table's floor there.
+    """
 
     langs: list[str]
-    words: dict[str, list[float]]
-    grams: dict[int, dict[str, list[float]]]
+    tables: dict[int, tuple[str, np.ndarray]]
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -36,15 +38,14 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
-def _tables(counts: dict[str, Counter], langs: list[str]) -> dict[str, list[float]]:
+def _table(counts: dict[str, Counter], langs: list[str]) -> tuple[str, np.ndarray]:
     """Add-half log frequencies over the union of what the languages kept."""
-    union = set().union(*counts.values()) if counts else set()
-    logs = []
-    for lang in langs:
-        own = counts.get(lang, Counter())
-        total = math.log(sum(own.values()) + 0.5 * (len(union) + 1))
-        logs.append({k: math.log(v + 0.5) - total for k, v in own.items()} | {None: math.log(0.5) - total})
-    return {k: [x.get(k, x[None]) for x in logs] for k in union}
+    union = sorted(set().union(*counts.values()))
+    logs = np.empty((len(union), len(langs)), np.float32)
+    for i, lang in enumerate(langs):
+        own = counts[lang]
+        logs[:, i] = np.log(np.array([own[k] for k in union]) + 0.5) - math.log(sum(own.values()) + 0.5 * (len(union) + 1))
+    return "\n".join(union), logs
 
 
 def train(
@@ -66,7 +67,7 @@ def train(
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel([], {}, {})
+        return LanguageModel([], {})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
@@ -101,30 +102,33 @@ def train(
             best[own] = Counter({r["gram"]: r["n"] for r in kept.orderBy(F.desc("n"), "gram").limit(most).select("gram", "n").toLocalIterator()})
         return best
 
-    return LanguageModel(langs, _tables(top(by_word, max_words), langs), {n: _tables(top(by_gram, max_grams, F.col("size") == n), langs) for n in range(1, longest + 1)})
+    tables = {0: _table(top(by_word, max_words), langs)} | {n: _table(top(by_gram, max_grams, F.col("size") == n), langs) for n in range(1, longest + 1)}
+    return LanguageModel(langs, tables)
 
 
 class Scorer:
     """Sums of log frequencies for runs of non-blank characters, with a bounded cache."""
 
-    def __init__(self, model: LanguageModel, cache: int = 400_000):
+    def __init__(self, model: LanguageModel, cache: int = 200_000):
         self.model, self.limit = model, cache
+        self.tables = {n: ({g: i for i, g in enumerate(names.split("\n"))} if names else {}, logs) for n, (names, logs) in model.tables.items()}
         self.reset()
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.langs) + 1))
 
-    def word(self, word: str) -> list[float]:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        for n in sorted(self.model.grams, reverse=True):
-            table = self.model.grams[n]
-            hits = [table[g] for g in _grams(word, n) if g in table]
+    def word(self, word: str) -> np.ndarray:
+        known, logs = self.tables[0]
+        at = known.get(word)
+        if at is not None:
+            return logs[at]
+        for n in range(max(self.tables), 0, -1):
+            known, logs = self.tables[n]
+            hits = [known[g] for g in _grams(word, n) if g in known]
             if hits:  # as much weight as a word, however long it is
-                return [sum(x) / len(hits) for x in zip(*hits)]
-        return [0.0] * len(self.model.langs)
+                return logs[hits].mean(axis=0)
+        return np.zeros(len(self.model.langs), np.float32)
 
     def learn(self, runs: set[str]) -> None:
         new = runs.difference(self.place)
@@ -134,16 +138,13 @@ class Scorer:
         at = len(self.place)
         while len(self.rows) < at + len(new):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        zero = [0.0] * (len(self.model.langs) + 1)
-        made = []
-        for i, run in enumerate(new):
-            self.place[run] = at + i
-            total = zero
-            for w in LETTERS.findall(run.lower()):
-                total = [a + b for a, b in zip(total, [*self.word(w), 1.0])]
-            made.append(total)
-        if made:
-            self.rows[at : at + len(made)] = made
+        for i, run in enumerate(new, at):
+            self.place[run] = i
+            found = LETTERS.findall(run.lower()) if self.tables else []
+            self.rows[i] = 0.0
+            for w in found:
+                self.rows[i, :-1] += self.word(w)
+            self.rows[i, -1] = len(found)
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         langs, out, at = self.model.langs, [], 0
