@@ -252,10 +252,15 @@ def repeated_spans(
         size = 0
 
         def found(part: list[tuple]) -> pa.RecordBatch:
-            texts = list({x[5] for x in part})  # a repeated row's segment comes once for each copy
+            # A repeated row's segment comes once for each copy; parts of different segments may be equal, and are then repeats.
+            owners: dict[tuple, set] = {}
+            for x in part:
+                owners.setdefault((x[0], x[5]), set()).add((x[2], x[3]))
+            texts = list({text for _, text in owners})
             where = {s: i for i, s in enumerate(texts)}
             starts = repeated_starts(texts, length)
-            lists = [[(a + x[4], b + x[4]) for a, b in _runs(starts[where[x[5]]])] for x in part]
+            runs = lambda x: [(0, len(x[5]) - length)] if len(owners[x[0], x[5]]) > 1 else _runs(starts[where[x[5]]])
+            lists = [[(a + x[4], b + x[4]) for a, b in runs(x)] for x in part]
             some = [(x[1], x[2], x[3], [{"a": a, "b": b} for a, b in y]) for x, y in zip(part, lists) if y]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], k) for i, k in enumerate(kinds)], ["fp", "s0", "s1", "runs"])
