@@ -144,8 +144,24 @@ def augment_dataset(samples: DataFrame, variants: DataFrame, alternatives: DataF
     return out
 
 
-def augmentation_summary(samples: DataFrame, accepted: DataFrame, strategies: list[str], requested: int) -> DataFrame:
-    """For each sample and strategy: what was made and its mean score, 0 for none."""
-    every = samples.select("sample_id", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
-    made = accepted.groupBy("sample_id", "strategy").agg(F.array_sort(F.collect_list(F.struct("variant_index", "variant", "score"))).alias("made"), F.count("*").alias("successful"), F.avg("score").alias("avg_score"))
-    return every.join(made, ["sample_id", "strategy"], "left").select("sample_id", "strategy", F.transform("made", lambda x: x["variant"]).alias("texts"), F.lit(requested).alias("requested"), F.coalesce("successful", F.lit(0)).alias("successful"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"))
+def augmentation_summary(samples: DataFrame, accepted: DataFrame, strategies: list[str], requested: int, lexicon: list[str] = ASPECTS, proper: bool = True) -> DataFrame:
+    """For each sample and strategy: texts and scores by variant, the aspects that every variant preserved, what changed, and the mean score.
+
+    A sample without variants has an empty row of score 0 that preserves all its aspects.
+    """
+    every = samples.select("sample_id", extract_aspects(F.col("text"), lexicon, proper).alias("aspects"), F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
+    rows = F.array_sort(F.collect_list(F.struct("variant_index", "variant", "score", "preserved", "changes")))
+    made = accepted.groupBy("sample_id", "strategy").agg(rows.alias("made"), F.count("*").alias("successful"), F.avg("score").alias("avg_score"))
+    each = lambda name: F.transform("made", lambda x: x[name])
+    preserved = F.aggregate("made", F.col("aspects"), lambda kept, x: F.array_intersect(kept, x["preserved"]))
+    return every.join(made, ["sample_id", "strategy"], "left").select(
+        "sample_id",
+        "strategy",
+        F.coalesce(each("variant"), F.expr("cast(array() as array<string>)")).alias("texts"),
+        F.coalesce(each("score"), F.expr("cast(array() as array<double>)")).alias("scores"),
+        F.coalesce(preserved, "aspects").alias("preserved"),
+        F.coalesce(F.array_sort(F.array_distinct(F.flatten(each("changes")))), F.expr("cast(array() as array<string>)")).alias("changed"),
+        F.lit(requested).alias("requested"),
+        F.coalesce("successful", F.lit(0)).alias("successful"),
+        F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"),
+    )

@@ -32,8 +32,8 @@ FEW_SHOT_TAIL = "Now generate your own response following the same pattern:"
 WARN_COUNT, WARN_COST = 20, 1.0
 
 
-def validate_requests(df: DataFrame, pricing: DataFrame, max_samples: int = 50) -> DataFrame:
-    """df with errors, warnings, estimated_cost and is_valid."""
+def validate_requests(df: DataFrame, pricing: DataFrame, max_samples: int = 50, warn_cost: float = WARN_COST) -> DataFrame:
+    """df with errors, warnings (many samples, a cost above ``warn_cost``), estimated_cost and is_valid."""
     priced = estimate_request_costs(df, pricing)
     errors = F.array_compact(
         F.array(
@@ -46,7 +46,7 @@ def validate_requests(df: DataFrame, pricing: DataFrame, max_samples: int = 50)
     warnings = F.array_compact(
         F.array(
             F.when(F.col("count") > WARN_COUNT, "many samples: may take several minutes"),
-            F.when(F.col("estimated_cost") > WARN_COST, F.concat(F.lit("high estimated cost: $"), F.format_string("%.2f", "estimated_cost"))),
+            F.when(F.col("estimated_cost") > warn_cost, F.concat(F.lit("high estimated cost: $"), F.format_string("%.2f", "estimated_cost"))),
         )
     )
     return priced.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("is_valid", F.size("errors") == 0)

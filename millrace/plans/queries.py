@@ -100,12 +100,7 @@ costs AS MATERIALIZED (SELECT r.*, greatest(1, len(prompt) // 4)::INT AS prompt_
 
 @query(f"""WITH {PROMPT_SQL} SELECT request_id, round((cost * count)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS estimated_cost, CASE WHEN count > 30 THEN 1 ELSE 0 END::INT AS n_errors, (count > 20)::INT + (round((cost * count)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE > 0.5)::INT AS n_warnings, count <= 30 AS is_valid FROM costs""")
 def r2_validate_requests(spark, d):
-    old = P.WARN_COST
-    P.WARN_COST = 0.5
-    try:
-        rows = P.validate_requests(t.requests(spark, d), t.pricing(spark), max_samples=30)
-    finally:
-        P.WARN_COST = old
+    rows = P.validate_requests(t.requests(spark, d), t.pricing(spark), max_samples=30, warn_cost=0.5)
     return rows.select("request_id", "estimated_cost", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), "is_valid")
 
 
@@ -423,10 +418,14 @@ def a13_augment_dataset(spark, d):
     return A.augment_dataset(t.originals(spark, d), t.variants(spark, d), t.alternatives(spark), t.similarity(spark, d), ["CDA", "ADA", "NONE"], 0.3, ["job_id"], 2, t.LEXICON, proper=False).select("id", "prompt_version", "tokens_estimated")
 
 
-@query(f"""WITH {ADA_SQL}, made AS (SELECT sample_id, 'CDA' AS strategy, variant, score FROM cda UNION ALL SELECT sample_id, 'ADA', variant, score FROM ada WHERE score >= 0.8::DOUBLE), sk AS (SELECT sample_id, unnest(['CDA', 'ADA']) AS strategy FROM o)
-  SELECT sk.sample_id, sk.strategy, 3 AS requested, count(variant) AS successful, round(coalesce(avg(score), 0), 6) AS avg_score FROM sk LEFT JOIN made USING (sample_id, strategy) GROUP BY ALL""")
+@query(f"""WITH {ADA_SQL}, made AS (SELECT sample_id, 'CDA' AS strategy, variant_index, variant, score, NULL AS gone, {CHANGES_SQL} AS ch FROM cda UNION ALL SELECT sample_id, 'ADA', variant_index, variant, score, aspect, ['replaced ''' || aspect || ''' with ''' || alternative || ''''] FROM ada WHERE score >= 0.8::DOUBLE),
+  sums AS (SELECT sample_id, strategy, string_agg(variant, '|' ORDER BY variant_index) AS texts, list(gone) AS gone, list_sort(list_distinct(flatten(list(ch)))) AS changed, count(*) AS n, avg(score) AS mean, max(score) AS top FROM made GROUP BY ALL), sk AS (SELECT sample_id, aspects, unnest(['CDA', 'ADA']) AS strategy FROM o)
+  SELECT sk.sample_id, sk.strategy, coalesce(texts, '') AS texts, round(coalesce(top, 0), 6) AS best_score, array_to_string(list_filter(aspects, lambda x: NOT coalesce(list_contains(gone, x), false)), '|') AS preserved, coalesce(array_to_string(changed, '|'), '') AS changed, 3 AS requested, coalesce(n, 0) AS successful, round(coalesce(mean, 0), 6) AS avg_score FROM sk LEFT JOIN sums USING (sample_id, strategy)""")
 def a14_augmentation_summary(spark, d):
-    return A.augmentation_summary(t.originals(spark, d), cda(spark, d).unionByName(ada(spark, d)), ["CDA", "ADA"], 3).select("sample_id", "strategy", "requested", "successful", r6("avg_score"))
+    rows = A.augmentation_summary(t.originals(spark, d), cda(spark, d).unionByName(ada(spark, d)), ["CDA", "ADA"], 3, t.LEXICON, proper=False)
+    listed = lambda c: F.array_join(c, "|").alias(c)
+    best = F.round(F.coalesce(F.array_max("scores"), F.lit(0.0)), 6).alias("best_score")
+    return rows.select("sample_id", "strategy", listed("texts"), best, listed("preserved"), listed("changed"), "requested", "successful", r6("avg_score"))
 
 
 # Request log
