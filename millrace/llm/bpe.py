@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 NEVER = np.int64(1) << 60
 #: Separators for str.split() that are not white space in Unicode; texts that hold one are split by the pattern.
 ODD = regex.compile(r"[\x1c-\x1f]")
@@ -211,8 +213,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
                 slices.append(pa.StructArray.from_arrays(columns, [k for k, _ in kinds]))
             yield pa.concat_arrays(slices) if slices else pa.array([], pa.struct(kinds))
 
-    out = df.withColumn("_bpe", run(F.col(text).cast("string"))).withColumn(ids, F.col("_bpe.i"))
-    return (out.withColumn(decoded, F.col("_bpe.d")) if both else out).drop("_bpe")
+    name = unused(df, "bpe")
+    made = {ids: F.col(name)["i"]} | ({decoded: F.col(name)["d"]} if both else {})
+    return df.withColumn(name, run(F.col(text).cast("string"))).withColumns(made).drop(name)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -34,6 +34,14 @@ def remainder(column: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def blocks(rows: int, size: int) -> int:
     """How many blocks of about size rows hold that many rows; at least one."""
     return max(1, -(-int(rows) // size))

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused, written
+
 LETTERS = regex.compile(r"\p{L}+")
 NONE = "und"
 
@@ -87,8 +89,6 @@ def train(
                         found[own, size, g] += n
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(list(found.values()), pa.int64())], ["lang", "size", "gram", "n"])
 
-    from .common import written
-
     by_word = written(rows.select("lang", "text").mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langwords")
     by_gram = written(by_word.mapInArrow(grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langgrams")
     langs = sorted(sizes)
@@ -172,7 +172,7 @@ _scorers: dict[int, Scorer] = {}
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the columns ``pred`` and ``score`` for each whole text.
+    """df with the columns ``pred`` and ``score`` for each whole text; columns of these names are replaced, all others stay.
 
     ``pred`` is a language of the model, or ``und`` (with score 0) if the text is null or has no
     letter, or the model has no language. ``score`` is the likeliest language's share, 0 to 1.
@@ -189,4 +189,6 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str
             found = _scorers[number].score(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["p", "s"])
 
-    return df.withColumn("_lang", run(F.col(text).cast("string"))).withColumn(pred, F.col("_lang.p")).withColumn(score, F.col("_lang.s")).drop("_lang")
+    name = unused(df, "told")
+    found = df.withColumn(name, run(F.col(text).cast("string"))).withColumns({pred: F.col(name)["p"], score: F.col(name)["s"]})
+    return found.drop(name)

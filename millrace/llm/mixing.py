@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, unused, written
 
 EPS = 1e-9
 
@@ -142,6 +142,11 @@ def _solve(units: DataFrame, seed: int, block_rows: int) -> DataFrame:
             return done
 
 
+def words_in(text: str) -> Column:
+    """The number of words of a text, 0 for a null."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -160,7 +165,7 @@ def mix(
     ceil(``most``) times. Rows are units by their own hash, so repeated ids and rows are chosen apart; null ids count
     as rows like any other. The same rows give the same mix.
     """
-    sized = df.select(F.col(id_col), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = df.select(F.col(id_col), F.col(source).alias("source"), words_in(text).alias("size"))
     sized = written(sized, "sizes")
     # Equal rows get different numbers; which of them is which makes no difference.
     twins = Window.partitionBy(id_col, "source", "size").orderBy(F.lit(0))
@@ -180,7 +185,27 @@ def mix(
     )
 
 
-def repeated(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """df's rows as often as ``mixed`` (one row for each id) says; rows that it takes no time are left out."""
-    times = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.max("times").alias("_times")).where("_times > 0")
-    return df.join(times, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+def repeated(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """df's rows as often as ``mixed``, a mix of the same rows, says; rows that it takes no time are left out.
+
+    Rows of one id (or none) that the mix takes equally often are matched by that id. Where it does not, they
+    are matched by source and size too, and rows equal in all three get its different counts in the order of their texts' hash.
+    """
+    own, size, n = (unused(df, x) for x in ("mixed_id", "mixed_size", "mixed_twin"))
+    times = unused(df, "mixed_times")
+    by_id = mixed.groupBy(F.col(id_col).alias(own)).agg(F.min("times").alias("least"), F.max("times").alias(times))
+    even = by_id.where(F.col("least") == F.col(times)).where(F.col(times) > 0).select(own, times)
+    copies = lambda found: found.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[f"`{c}`" for c in df.columns])
+    out = copies(df.join(even, F.col(id_col).eqNullSafe(F.col(own))))
+    uneven = written(by_id.where(F.col("least") < F.col(times)).select(own), "uneven")
+    if uneven.isEmpty():
+        return out
+    twins = lambda order, *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    counted = mixed.join(uneven, F.col(id_col).eqNullSafe(F.col(own)), "left_semi").withColumn("n", twins(F.desc("times"), id_col, "source", "size"))
+    counted = counted.select(F.col(id_col).alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "n", F.col("times").alias(times)).where(F.col(times) > 0)
+    rows = df.join(uneven, F.col(id_col).eqNullSafe(F.col(own)), "left_semi").withColumn(size, words_in(text))
+    rows = rows.withColumn(n, twins(F.xxhash64(text), id_col, source, size)).alias("rows")
+    counted = counted.alias("counted")
+    same = F.col(f"rows.{id_col}").eqNullSafe(F.col("counted.i")) & F.col(f"rows.{source}").eqNullSafe(F.col("counted.s")) & (F.col(f"rows.{size}") == F.col("counted.z")) & (F.col(f"rows.{n}") == F.col("counted.n"))
+    more = rows.join(counted, same).select(*[F.col(f"rows.`{c}`") for c in df.columns], F.col(f"counted.{times}"))
+    return out.unionByName(copies(more))

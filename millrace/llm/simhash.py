@@ -273,7 +273,10 @@ def similar_documents(
     batch_rows: int = 20_000,
     hot_rows: int = 1_000,
 ) -> DataFrame:
-    """doc_id and component_id (the smallest id reachable) of every row, for texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
+    """doc_id, text_hash (xxhash64 of the text), component_id (the smallest id reachable) and ``first`` of every row, for texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
+
+    ``first`` marks the row of smallest doc_id (null last), then text_hash, of each group; an exact repetition
+    of that row is marked too.
 
     Fingerprints at that overlap differ in about 10 of 64 bits, too many for keys of whole parts. So texts
     meet under the smallest of their shingle hashes, ``seeds`` functions of them, which a pair shares with a chance of its
@@ -281,7 +284,8 @@ def similar_documents(
     ``distance`` bits. Pairs within it are held against the bins of their sketches, an estimate of the overlap
     with a standard error of about 0.025, and linked from ``similarity`` - ``slack`` on. Under a key with more than
     ``hot_rows`` rows, such as a passage that very many texts share, rows must share a second smallest hash.
-    Texts with equal fingerprints and sketches are one node. Null, empty and blank texts are equal. Null ids are left out.
+    Texts with equal fingerprints and sketches are one node. Null, empty and blank texts are equal. A repeated id links no
+    texts by itself. Rows without an id are linked like others; a group of only such rows has a null component_id. An empty table gives no rows.
     """
     from .common import written
 
@@ -302,9 +306,11 @@ def similar_documents(
                 out[2].append(bins)
             yield pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["fp", "least", "bins"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text).cast("string")).alias("m")).where("doc_id is not null").select("doc_id", "m.*")
-    marked = written(rows.withColumn("name", F.xxhash64("fp", "bins")), "sketches")
-    nodes = written(marked.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("bins").alias("bins")), "nodes")
+    whole = F.col(text).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_hash"), run(whole).alias("m")).select("doc_id", "text_hash", "m.*")
+    marked = written(rows.withColumn("node", F.xxhash64("fp", "bins")), "sketches")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
+    nodes = written(marked.groupBy("node").agg(least_row, F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("bins").alias("bins")), "nodes")
     keyed = nodes.select("node", "least", F.posexplode("least").alias("k", "v")).select("node", "least", "k", F.xxhash64("k", "v").alias("key"))
     counts = written(keyed.groupBy("key").count().where("count > 1"), "keys")
     cold = keyed.join(counts.where(F.col("count") <= hot_rows).select("key"), "key", "left_semi").select("node", "key")
@@ -348,4 +354,8 @@ def similar_documents(
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     found = components(placed.repartition(wide(spark), "key").sortWithinPartitions("key").mapInArrow(links, "a long, b long"))
-    return marked.select("doc_id", "name").join(nodes.select("name", "node"), "name").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    named = written(nodes.select("node", "row").join(found, "node", "left").select("node", "row", F.coalesce("component", "node").alias("component")), "groups")
+    least = named.groupBy("component").agg(F.min("row").alias("least"))
+    placed = named.select("node", "component").join(least, "component").select("node", "least")
+    own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return marked.select("doc_id", "text_hash", "node").join(placed, "node").select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), own.alias("first"))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import wide, written
@@ -186,8 +186,9 @@ def repeated_spans(
     batch_bytes: int = 400_000,
     hot_segments: int = 2_000,
     filter_bits: int = 24,
+    keep: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """id_col, ``data`` (the text's UTF-8 bytes) and ``spans`` (sorted, disjoint struct<start, end>) of every row.
+    """id_col, ``keep``, ``data`` (the text's UTF-8 bytes) and ``spans`` (sorted, disjoint struct<start, end>) of every row.
 
     ``spans`` covers each byte of a run of ``length`` bytes that also starts anywhere else, in this row
     or another; overlaps count. A null text is empty and has no spans, as have texts shorter than
@@ -196,8 +197,11 @@ def repeated_spans(
     offset of its runs and the bytes that all runs of such an offset share. Bits of a filter of fixed size
     decide which texts are shuffled; where it fills up, more are.
     """
+    if not 1 < gram <= length:
+        raise ValueError("gram must be 2 to length bytes")
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = df.select(F.col(id_col).alias("_id"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    own = [F.col("_id").alias(id_col), *(F.col("_keep")[name].alias(name) for name in df.select(*keep).columns)]
     rows = rows.withColumn("th", F.xxhash64("_text")).withColumn("key", F.xxhash64(F.lit(3), "_id", "th"))
     long = rows.where(F.octet_length("_text") >= length)
 
@@ -291,8 +295,8 @@ def repeated_spans(
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     marked = rows.withColumn("_may", _maybe(rows, F.col("key"), spans.select("key"), filter_bits))
     data = F.col("_text").cast("binary").alias("data")
-    plain = marked.where("not _may").select(F.col("_id").alias(id_col), data, none.alias("spans"))
-    hit = marked.where("_may").select("_id", "_text", "key").join(spans, "key", "left").select(F.col("_id").alias(id_col), data, F.coalesce("spans", none).alias("spans"))
+    plain = marked.where("not _may").select(*own, data, none.alias("spans"))
+    hit = marked.where("_may").select("_id", "_keep", "_text", "key").join(spans, "key", "left").select(*own, data, F.coalesce("spans", none).alias("spans"))
     return plain.unionByName(hit)
 
 
@@ -317,7 +321,8 @@ def kept_text(data: str = "data", spans: str = "spans"):
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``repeated_spans`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes joined, with parts of cut letters) and ``kept_text`` (without those)."""
+    """``repeated_spans`` (whose settings it takes) with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes joined, with parts of cut letters) and ``kept_text`` (without those)."""
     found = repeated_spans(df, id_col, text, **settings)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return found.select(id_col, "spans", F.octet_length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept_bytes().alias("kept"), kept_text().alias("kept_text"))
+    kept = [c for c in found.columns if c not in ("data", "spans")]
+    return found.select(*kept, "spans", F.octet_length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept_bytes().alias("kept"), kept_text().alias("kept_text"))
