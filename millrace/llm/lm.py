@@ -3,14 +3,15 @@
 A text is its lower-cased words and one end. The ``top`` most frequent training words, the end and
 an escape have Huffman codes; a word outside them is the escape and then its letters, eight bits each.
 If an earlier word of the same text was followed by something, a first bit says whether that comes again.
-The first eight bits of a code are mixed: predictors hashed by the node alone, by the node and the
-last frequent word, and by the node and the previous word give their log odds, which weights
+Every bit of a code is mixed: predictors by the node of the code's tree alone, hashed by the node and the
+last frequent word, and hashed by the node and the previous word give their log odds, which weights
 chosen by depth and confidence combine; weights are updated online within the text, and an adaptive map
-refines the result. What lies below eight bits uses the
-corpus' counts as they are, and the letters those of its distinct words.
+refines the result. A word outside the ``top`` is likely by its exact count, and, for what the training texts leave
+to new words, by its letters, which use the counts of the corpus' distinct words.
 
 Counts come from all training texts: word counts by a distributed sum, the hashed tables
 as sums of fixed-size blocks. Exact counts of words outside the ``top`` reach the texts by a join, never a broadcast.
+The tables of contexts have ``SLOTS`` slots whatever the corpus, and contexts that share a slot are not told apart.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DEPTH = 8
-NODES = 1 << DEPTH
+#: Depths that have weights of their own; all below share the last one's.
+DEPTHS = 24
 CLASSES = 2_048
-SLOTS = 1 << 19
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
 LETTER_SLOTS = 1 << 18
 BLOCK = 1 << 15
 #: The end of a text and the escape, as words that no text can hold.
 END, ESCAPE = b" ", b"  "
-GATES = DEPTH * 3
+GATES = DEPTHS * 3
 #: Weights to start with for (node, frequent word, previous word), by how often the last was seen.
 START = np.array([[0.3, 0.7, 0.0], [0.1, 0.65, 0.25], [0.0, 0.5, 0.5]], np.float32)
 #: How many rare words' spelling a task remembers.
@@ -48,39 +50,50 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first DEPTH bits of the code, its length up to DEPTH) of each symbol; a single symbol has no bits."""
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each symbol's code, nodes, bits): the inner nodes from the root to each symbol and the bits that follow them, symbol by symbol; a single symbol has no bits."""
     heap = [(int(c), i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
     n = len(heap)
-    left, right = [], []
+    parent, bit = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+    made = n
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        left.append(a[1])
-        right.append(b[1])
-        heapq.heappush(heap, (a[0] + b[0], n + len(left) - 1))
-    code, size = np.zeros(n + len(left), np.int64), np.zeros(n + len(left), np.int64)
-    for i in range(len(left) - 1, -1, -1):
-        own = n + i
-        for child, bit in ((left[i], 0), (right[i], 1)):
-            deeper = size[own] < DEPTH
-            code[child] = code[own] << 1 | bit if deeper else code[own]
-            size[child] = size[own] + deeper
-    return code[:n], size[:n]
+        parent[a[1]] = parent[b[1]] = made
+        bit[b[1]] = 1
+        heapq.heappush(heap, (a[0] + b[0], made))
+        made += 1
+    root, symbol, at, levels = made - 1, np.arange(n), np.arange(n), []
+    while True:
+        live = at != root
+        symbol, at = symbol[live], at[live]
+        if not len(at):
+            break
+        levels.append((symbol, parent[at] - n, bit[at]))
+        at = parent[at]
+    size = np.bincount(np.concatenate([x[0] for x in levels]), minlength=n) if levels else np.zeros(n, np.int64)
+    ends = np.cumsum(size)
+    nodes, bits = np.zeros(size.sum(), np.uint32), np.zeros(size.sum(), np.uint8)
+    for up, (symbol, node, b) in enumerate(levels):
+        nodes[ends[symbol] - 1 - up] = node
+        bits[ends[symbol] - 1 - up] = b
+    return size, nodes, bits
 
 
 @dataclass
 class Code:
-    """The coded words with their training counts, codes and what static counts say below DEPTH bits."""
+    """The coded words with their training counts and codes; ``outside`` counts the training tokens outside them, ``once`` the words seen once."""
 
     symbols: dict[bytes, int]
     counts: np.ndarray
-    code: np.ndarray
     size: np.ndarray
-    tail: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
     base: np.ndarray
     total: int
     distinct: int
+    outside: int
+    once: int
 
     @classmethod
     def build(cls, rows: list[tuple[bytes, int]], texts: int, total: int, distinct: int, once: int) -> Code:
@@ -91,19 +104,13 @@ class Code:
         names = [w for w, _ in rows] + [END, ESCAPE]
         counts = np.array([c for _, c in rows] + [texts, 0], np.int64)
         use = np.maximum(counts, 1)
-        use[-1] = max(1, total - counts[:-1].sum() + once)
-        code, size = huffman(use)
-        node = (1 << size) | code
-        group = np.bincount(node, use, 2 * NODES)
-        ones = np.zeros((2, NODES))
-        for d in range(DEPTH):
-            own = size > d
-            at = (1 << d) | (code[own] >> (size[own] - d))
-            bit = code[own] >> (size[own] - d - 1) & 1
-            ones[0] += np.bincount(at, use[own], NODES)[:NODES]
-            ones[1] += np.bincount(at, use[own] * bit, NODES)[:NODES]
-        odds = np.log((ones[1] + 0.4) / (ones[0] - ones[1] + 0.4)).astype(np.float32)
-        return cls({w: i for i, w in enumerate(names)}, counts, code, size, np.log2(use / group[node]), odds, total, distinct)
+        outside = int(total - counts[:-1].sum())
+        use[-1] = max(1, outside + once)
+        size, nodes, bits = huffman(use)
+        weight = np.repeat(use, size)
+        seen, ones = np.bincount(nodes, weight, len(use)), np.bincount(nodes, weight * bits, len(use))
+        odds = np.log((ones + 0.4) / (seen - ones + 0.4)).astype(np.float32)
+        return cls({w: i for i, w in enumerate(names)}, counts, size, nodes, bits, odds, total, distinct, outside, once)
 
     @property
     def end(self) -> int:
@@ -123,19 +130,22 @@ class Code:
         seen = np.maximum.accumulate(np.where((frequent > 0) | start, np.arange(len(ids)), 0))
         return frequent[seen], previous
 
-    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each symbol and depth: whether its code goes that deep, the node there, and the bit that follows."""
-        d = np.arange(DEPTH)
-        left = self.size[:, None] - d
-        return left > 0, ((1 << d) | self.code[:, None] >> np.maximum(left, 0)).astype(np.uint32), (self.code[:, None] >> np.maximum(left - 1, 0) & 1).astype(np.uint32)
+    def slots(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For all bits of all tokens in order: the bit's depth, node, slot by class, slot by previous word, bit."""
+        size = self.size[ids].astype(np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        depth = np.arange(size.sum(), dtype=np.int32) - np.repeat(begin, size)
+        at = np.repeat((np.cumsum(self.size) - self.size)[ids].astype(np.int32), size) + depth
+        node = self.nodes[at]
+        spread = node * np.uint32(0x85EBCA6B)
 
-    def slots(self, paths: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, classes: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For all mixed bits in the order of (token, depth): that place, node, slot by class, slot by previous word, bit."""
-        place = np.flatnonzero(paths[0][ids])
-        node = paths[1][ids]
-        by_class = (classes.astype(np.uint32) * np.uint32(NODES))[:, None] + node
-        by_word = ((previous.astype(np.uint32) * np.uint32(NODES))[:, None] + node) * np.uint32(2654435761) >> np.uint32(32 - 19)
-        return place, *(x.ravel()[place] for x in (node, by_class, by_word, paths[2][ids]))
+        def hashed(context: np.ndarray) -> np.ndarray:
+            key = np.repeat(context.astype(np.uint32) * np.uint32(0x9E3779B1), size) + spread
+            key ^= key >> np.uint32(15)
+            key *= np.uint32(0x2C1B3C6D)
+            return key >> np.uint32(32 - SLOT_BITS)
+
+        return depth, node, hashed(classes), hashed(previous), self.bits[at]
 
 
 def _letters(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,12 +174,12 @@ def _letter_slots(data: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.nda
 
 
 def _blocks(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Tables of counts as rows (table, block, counts), without blocks of zeros."""
+    """Tables of counts below 2**31 as rows (table, block, counts), without blocks of zeros."""
     for t, table in enumerate(tables):
         for b in range(0, len(table), BLOCK):
             part = table[b : b + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b // BLOCK], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary())], ["t", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b // BLOCK], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary())], ["t", "b", "n"])
 
 
 def _summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
@@ -178,7 +188,7 @@ def _summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for x in table["n"]:
-            total += np.frombuffer(x.as_buffer(), np.int64)
+            total += np.frombuffer(x.as_buffer(), np.int32)
         return pa.table({"t": table["t"][:1], "b": table["b"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
     out = [np.zeros(n, np.int64) for n in sizes]
@@ -196,7 +206,6 @@ class Model:
     sure: np.ndarray
     letter_odds: list[np.ndarray]
     letter_trust: list[np.ndarray]
-    paths: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @classmethod
     def build(cls, code: Code, tables: list[np.ndarray], letters: list[np.ndarray]) -> Model:
@@ -204,7 +213,7 @@ class Model:
         seen = tables[1][::2] + tables[1][1::2]
         shares = [np.log((t[1::2] + 0.1) / (t[::2] + 0.1)).astype(np.float32) for t in letters]
         trust = [((n := t[::2] + t[1::2]) / (n + 3.0)).astype(np.float32) for t in letters]
-        return cls(code, odds, np.digitize(seen, [1, 30]).astype(np.int8), shares, trust, code.paths())
+        return cls(code, odds, np.digitize(seen, [1, 30]).astype(np.int8), shares, trust)
 
     def spelled(self, group: list[bytes]) -> np.ndarray:
         """log2 probability of each word's letters and its close: longer contexts count as far as they were seen."""
@@ -223,7 +232,7 @@ class Model:
         return out
 
     def score(self, ids: np.ndarray, same: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log2 probability of each text's tokens without letters, which tokens are coded and not guessed); ``same``: numbers that tell rare words apart; ``starts``: texts' first tokens."""
+        """(log2 probability of each text's tokens without what follows an escape, which tokens are coded and not guessed); ``same``: numbers that tell rare words apart; ``starts``: texts' first tokens."""
         n, texts = len(ids), len(starts)
         size = np.diff(np.append(starts, n))
         owner = np.repeat(np.arange(texts), size)
@@ -254,11 +263,10 @@ class Model:
         coded[tried[hit]] = False
         spelt, coded = coded, np.flatnonzero(coded)
         ids, classes, previous, owner = ids[coded], classes[coded], previous[coded], owner[coded]
-        out += np.bincount(owner, self.code.tail[ids], texts)
-        place, node, by_class, by_word, bit = self.code.slots(self.paths, ids, classes, previous)
+        depth, node, by_class, by_word, bit = self.code.slots(ids, classes, previous)
         inputs = np.stack([self.code.base[node], self.odds[0][by_class], self.odds[1][by_word]], axis=1)
-        gate = place % DEPTH * 3 + self.sure[by_word]
-        ends = np.searchsorted(place, np.searchsorted(owner, np.arange(texts), side="right") * DEPTH)
+        gate = np.minimum(depth, DEPTHS - 1) * 3 + self.sure[by_word]
+        ends = np.cumsum(np.bincount(owner, self.code.size[ids], texts)).astype(np.int64)
         out += self._mixed(inputs, gate, bit.astype(np.float32), np.append(0, ends[:-1]), ends)
         return out, spelt
 
@@ -266,7 +274,7 @@ class Model:
     def _mixed(inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 512, rate: float = 0.004, prior: float = 40.0) -> np.ndarray:
         """log2 probabilities of each text's bits, all texts side by side, a block of bits at a time with weights updated after it."""
         texts = len(begin)
-        weights = np.tile(np.tile(START, (DEPTH, 1)), (texts, 1))
+        weights = np.tile(np.tile(START, (DEPTHS, 1)), (texts, 1))
         steps = 24
         centre = 1 / (1 + np.exp(-(np.arange(steps) - steps / 2 + 0.5) / 2))
         tried, true = np.full(texts * steps, prior, np.float32), np.tile((prior * centre).astype(np.float32), texts)
@@ -355,15 +363,18 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model,
     shared = spark.sparkContext.broadcast(code)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tables = shared.value, [np.zeros(2 * SLOTS, np.int64) for _ in range(2)]
-        paths = own.paths()
+        own, tables, size = shared.value, [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
         for batch in batches:
             for group in _groups(batch.column(0).to_pylist()):
                 ids, starts, _ = _ids(own, group)
+                if size + len(ids) >= 1 << 31:  # a task of that many tokens counts in several tables
+                    yield from _blocks(tables)
+                    tables, size = [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
+                size += len(ids)
                 classes, previous = own.contexts(ids, starts)
-                _, _, by_class, by_word, bit = own.slots(paths, ids, classes, previous)
-                tables[0] += np.bincount(2 * by_class + bit, minlength=2 * SLOTS)
-                tables[1] += np.bincount(2 * by_word + bit, minlength=2 * SLOTS)
+                _, _, by_class, by_word, bit = own.slots(ids, classes, previous)
+                for table, slot in zip(tables, (by_class, by_word)):
+                    np.add(table, np.bincount(2 * slot + bit, minlength=2 * SLOTS), out=table, casting="unsafe")
         yield from _blocks(tables)
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +402,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
     scored each time; an empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
+    schema = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, coded array<int>, letters array<double>"
 
     @F.arrow_udf(f"struct<{schema}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -400,7 +411,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         logs = np.log10(code.counts + 1.0)
         spelling: dict[bytes, float] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             for group in _groups(batch.to_pylist()):
                 ids, starts, lists = _ids(code, group)
                 number: dict[bytes, int] = {}
@@ -416,32 +427,45 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                 new = [w for w in number if w not in spelling]
                 if new:
                     spelling.update(zip(new, own.spelled(new).tolist()))
-                letters = np.fromiter(map(spelling.__getitem__, number), np.float64, len(number))
-                rare_at = rare_at[spelt[rare_at]]  # a word that a guess got right needs no letters
-                found += np.bincount(owner[rare_at], letters[same[rare_at] - len(code.counts)], len(lists))
                 known = ids != code.escape
                 out[0] += [len(x) + 1 for x in lists]
                 out[1] += np.bincount(owner, known & (code.counts[ids] > 0), len(lists)).astype(int).tolist()
                 out[2] += np.bincount(owner, np.where(known, logs[ids], 0.0), len(lists)).tolist()
                 out[3] += (found * np.log10(2)).tolist()
                 ends = np.searchsorted(rare_of, np.arange(len(lists) + 1)).tolist()
+                own_coded = spelt[rare_at].tolist()  # a word that a guess got right needs neither count nor letters
                 for a, b in zip(ends[:-1], ends[1:]):
                     rare = Counter(own_rare[a:b])
+                    coded = Counter(w for w, c in zip(own_rare[a:b], own_coded[a:b]) if c)
                     out[4].append(list(rare))
                     out[5].append(list(rare.values()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["n_tokens", "n_known", "base", "score", "rare", "times"])
+                    out[6].append([coded[w] for w in rare])
+                    out[7].append([spelling[w] for w in rare])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["n_tokens", "n_known", "base", "score", "rare", "times", "coded", "letters"])
 
     rows = df.select(F.col(id_col), *keep, F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), run(F.col(text).cast("string")).alias("m"))
     names = [c for c in rows.columns if c not in ("n_bytes", "m")]
     rows = written(rows.select(*names, "n_bytes", F.monotonically_increasing_id().alias("_row"), "m.*"), "scored")
-    pairs = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    counted = pairs.join(counts, "word").groupBy("_row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_base"))
+    pairs = rows.select("_row", F.explode(F.arrays_zip("rare", "times", "coded", "letters")).alias("x")).select("_row", F.col("x.rare").alias("word"), "x.times", "x.coded", "x.letters")
+    # What follows the escape: a known word by its count, any word by its letters in the share of new ones.
+    fresh = float(model.code.once + 1)
+    after = F.when(F.col("n").isNull(), F.col("letters") * F.lit(float(np.log10(2))) + F.lit(float(np.log10(fresh)))).otherwise(F.log10(F.col("n") + F.lit(fresh) * F.pow(F.lit(2.0), "letters")))
+    counted = (
+        pairs.join(counts, "word", "left")
+        .groupBy("_row")
+        .agg(
+            F.sum(F.when(F.col("n").isNull(), 0).otherwise(F.col("times"))).alias("more_known"),
+            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_base"),
+            F.sum(F.col("coded") * (after - F.lit(float(np.log10(model.code.outside + fresh))))).alias("more_score"),
+        )
+    )
     total, distinct = model.code.total, model.code.distinct
     norm = float(np.log10(max(total + 1, 1)) + np.log10(distinct + 1))
     return (
-        rows.drop("rare", "times")
+        rows.drop("rare", "times", "coded", "letters")
         .join(counted, "_row", "left")
+        .withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
         .select(
             *names,
             "n_tokens",

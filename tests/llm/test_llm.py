@@ -192,6 +192,32 @@ def test_lm_base_and_held_out(spark, docs):
     assert lm.score(df.limit(0), empty, none).count() == 0
 
 
+def test_lm_mixes_every_bit(spark):
+    pairs = [(f"p{i} r{i}",) for i in range(2000)] * 3
+    model, words = lm.train(spark.createDataFrame(pairs, "text string"))
+    asked = spark.createDataFrame([(i, f"p7 r{i}") for i in range(2000)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm.score(asked, model, words).collect()}
+    assert score[7] > max(x for i, x in score.items() if i != 7)
+
+
+def test_lm_code_is_whole():
+    rng = np.random.default_rng(1)
+    use = rng.integers(1, 10**6, 3000)
+    size, nodes, bits = lm.huffman(use)
+    ends = np.cumsum(size)
+    codes = sorted("".join(map(str, bits[a:b])) for a, b in zip(ends - size, ends))
+    assert not any(y.startswith(x) for x, y in zip(codes, codes[1:])) and math.isclose(sum(2.0 ** -len(x) for x in codes), 1)
+    assert len({(n, b) for n, b in zip(nodes.tolist(), bits.tolist())}) == 2 * (len(use) - 1)
+    assert [list(map(len, lm.huffman(np.array([5])))), lm.huffman(np.array([5, 1]))[0].tolist()] == [[1, 0, 0], [1, 1]]
+
+
+def test_lm_counts_of_rare_words(spark):
+    rows = [("a " * 400,)] + [("qqc",)] * 50 + [("qqd",)] * 2
+    model, words = lm.train(spark.createDataFrame(rows, "text string"), top=1)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame([(1, "qqc"), (2, "qqd"), (3, "qqe")], "doc_id long, text string"), model, words).collect()}
+    assert got[1] - got[2] > 1 and got[2] > got[3]
+
+
 def test_mixture(spark, docs):
     mixed = mixing.mix(docs, block_rows=16).toPandas()
     again = mixing.mix(docs.repartition(3), block_rows=16).toPandas()
