@@ -99,9 +99,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate paraphrases: of each text its words but the last, and for even ids a second one in quotes."""
     rows = samples(spark, sf_dir)
     w = T.words(F.col("text"))
-    short = rows.where(F.size(w).between(3, 60))
-    first = short.select(F.col("id").alias("sample_id"), F.lit("CDA").alias("strategy"), F.lit(0).alias("variant_index"), F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " ").alias("text"))
-    second = short.where("seq % 2 = 0").select(F.col("id").alias("sample_id"), F.lit("CDA").alias("strategy"), F.lit(1).alias("variant_index"), F.concat(F.lit('"new '), F.array_join(w, " "), F.lit('" ')).alias("text"))
+    first = rows.select(F.col("id").alias("sample_id"), F.lit("CDA").alias("strategy"), F.lit(0).alias("variant_index"), F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), " ").alias("text"))
+    second = rows.where("seq % 2 = 0").select(F.col("id").alias("sample_id"), F.lit("CDA").alias("strategy"), F.lit(1).alias("variant_index"), F.concat(F.lit('"new '), F.array_join(w, " "), F.lit('" ')).alias("text"))
     return first.unionByName(second)
 
 
@@ -116,8 +115,8 @@ def alternatives(spark: SparkSession) -> DataFrame:
 
 
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of up to 60 words, as the strategies take them."""
-    return samples(spark, sf_dir).where(T.word_count(F.col("text")).between(3, 60)).withColumnRenamed("id", "sample_id")
+    """All samples, of any number of words, as the strategies take them."""
+    return samples(spark, sf_dir).withColumnRenamed("id", "sample_id")
 
 
 # The same rules in SQL.
