@@ -16,7 +16,7 @@ from ..operators import jobs as J
 from ..operators import prompts as P
 from ..operators import quality as Q
 from ..operators import usage as U
-from ..sources.samples import assemble_results, flatten_results, read_samples, write_samples
+from ..sources.samples import assemble_parts, assemble_results, flatten_results, read_samples, write_samples
 from ..sources.scratch import scratch_path
 from ..streaming import streams as X
 from . import tables as t
@@ -69,13 +69,13 @@ def s1_read_write(spark, d):
 
 @query(samples_sql("job_id, id AS sample_id, text, tokens_estimated"))
 def s2_flatten_results(spark, d):
-    jobs = assemble_results(t.samples(spark, d), ["job_id"]).select("job_id", F.to_json(F.struct("samples", "total_samples")).alias("result"))
+    jobs = assemble_parts(t.samples(spark, d), ["job_id"]).select("job_id", F.to_json(F.struct("samples", "total_samples")).alias("result"))
     return flatten_results(jobs)
 
 
 @query(samples_sql("job_id, md5(string_agg(id, ',' ORDER BY seq)) AS ids, count(*) AS total_samples, sum(tokens_estimated)::BIGINT AS total_tokens_estimated", "GROUP BY job_id"))
 def s3_assemble_results(spark, d):
-    return assemble_results(t.samples(spark, d), ["job_id"]).select("job_id", F.md5(F.array_join("samples.id", ",")).alias("ids"), "total_samples", "total_tokens_estimated")
+    return assemble_results(t.samples(spark, d).drop("text"), ["job_id"]).select("job_id", F.md5(F.array_join("samples.id", ",")).alias("ids"), "total_samples", "total_tokens_estimated")
 
 
 # Requests, cost and prompts

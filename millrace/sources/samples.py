@@ -29,3 +29,17 @@ def assemble_results(samples: DataFrame, keys: list[str], order: str = "seq") ->
     """For each job its samples in order, their number and their tokens. An array is as long as its job."""
     item = F.struct(F.col(order), *[c for c in ("id", "text", "tokens_estimated") if c in samples.columns])
     return samples.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("samples"), F.count("*").alias("total_samples"), F.sum("tokens_estimated").alias("total_tokens_estimated"))
+
+
+def assemble_parts(samples: DataFrame, keys: list[str], order: str = "seq", rows: int = 1_000, size: int = 8 << 20) -> DataFrame:
+    """``assemble_results`` in several rows for a job of more than ``rows`` samples or ``size`` bytes of text: dealt by a hash, about that much in each, with the totals of the whole job."""
+    bytes_ = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    totals = samples.groupBy(*keys).agg(F.count("*").alias("total_samples"), F.sum("tokens_estimated").alias("total_tokens_estimated"), F.ceil(F.greatest(F.count("*") / rows, bytes_ / size, F.lit(1))).alias("_parts"))
+    named = totals.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], "total_samples", "total_tokens_estimated", "_parts")
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    item = F.struct(F.col(order), *[c for c in ("id", "text", "tokens_estimated") if c in samples.columns])
+    dealt = samples.join(named, same).withColumn("_part", F.pmod(F.xxhash64(order, "id", "text"), F.col("_parts")))
+    made = dealt.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(item)).alias("samples"), F.first("total_samples").alias("total_samples"), F.first("total_tokens_estimated").alias("total_tokens_estimated"))
+    return made.drop("_part")
