@@ -17,6 +17,8 @@ from millrace.llm.entries import WORD_BPE
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text goes if no language holds at least this share of its likelihood.
 LEAST_SHARE = 0.3
+#: Bytes of a repeated passage: those of some 50 short words.
+PASSAGE = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; a null text stays null, and n_chars is that of the text that is left."""
-    cut = suffixes.without_repeats(docs, keep=(F.col("lang"), F.col("source"), F.col("text").isNull().alias("none")))
+    """Texts without repeated passages of PASSAGE bytes or more; a null text stays null, and n_chars is that of the text that is left."""
+    cut = suffixes.without_repeats(docs, length=PASSAGE, keep=(F.col("lang"), F.col("source"), F.col("text").isNull().alias("none")))
     cut = cut.withColumn("text", F.when(~F.col("none"), F.col("kept_text")))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

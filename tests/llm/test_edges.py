@@ -141,3 +141,14 @@ def test_splits_hash_the_id_as_text(spark):
 
     got = spark.range(50).select("id", remainder("id", 7).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 7 for r in got)
+
+
+@pytest.mark.parametrize("words", [51, 58, 65])
+def test_stage_cuts_passages_of_over_50_words(spark, words):
+    passage = " ".join(("on", "the", "day", "sea", "we", "saw", "old", "men")[i * i % 8] + "abcdefgh"[i % 8] for i in range(words))
+    assert 200 <= len(passage) < 400
+    own = lambda n: " ".join(f"w{n}x{i * 37 % 101}" for i in range(60))
+    rows = [(n, f"{own(2 * n)} {passage} {own(2 * n + 1)}" if n < 2 else own(9), "en", "s0", 1) for n in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert all(passage[:40] not in out[n] and 0 <= len(rows[n][1]) - len(passage) - len(out[n]) < 20 for n in (0, 1)) and out[2] == rows[2][1]
