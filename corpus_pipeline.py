@@ -59,8 +59,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, none for a null or empty one."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), WORD_BPE).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every text and the text they decode to, none and an empty one for a null or empty text."""
+    both = bpe.encode(docs.select("doc_id", "source", "text"), WORD_BPE, decoded="decoded")
+    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("tokens", tokens)]

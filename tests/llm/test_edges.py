@@ -152,3 +152,9 @@ def test_stage_cuts_passages_of_over_50_words(spark, words):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
     assert all(passage[:40] not in out[n] and 0 <= len(rows[n][1]) - len(passage) - len(out[n]) < 20 for n in (0, 1)) and out[2] == rows[2][1]
+
+
+def test_tokens_are_decoded(spark, awkward):
+    out = corpus_pipeline.tokens(spark, awkward, "")
+    assert out.count() == bpe.decode(out, WORD_BPE, text="again").where("decoded = again").count() == awkward.count()
+    assert {r.decoded == "" for r in out.where("doc_id in (1, 2)").collect()} == {True} and "harbour" in out.where("doc_id = 5").first().decoded
