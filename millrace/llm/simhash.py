@@ -131,8 +131,13 @@ def _accepted(root: np.ndarray, pairs: np.ndarray, accept) -> None:
     """Join what ``accept`` allows of leaf pairs; a leaf may hold several places of one value."""
     a, b, c, d, _ = pairs
     single = (b - a == 1) & (d - c == 1)
-    fine = np.flatnonzero(single)[accept(a[single], c[single])]
-    hooked(root, a[fine], c[fine])
+    left, right = a[single], c[single]
+    for at in range(0, len(left), 4_096):  # what a slice links, later ones need not compare
+        x, y = left[at : at + 4_096], right[at : at + 4_096]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        fine = accept(x, y)
+        hooked(root, x[fine], y[fine])
     for i in np.flatnonzero(~single):
         left, right = np.arange(a[i], b[i]), np.arange(c[i], d[i])
         for x in left:  # one row of places at a time
@@ -260,17 +265,32 @@ def sketch(hashes: np.ndarray, seeds: int, bins: int = BINS) -> tuple[list[int],
     return [int(((h ^ (h >> np.uint64(29))) * k).min().view(np.int64)) for k in odd], least.tobytes()
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many numbers two sorted arrays of distinct ones share, and how many there are in all."""
+    if not len(a) or not len(b):
+        return 0, len(a) + len(b)
+    at = np.searchsorted(a, b)
+    shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return shared, len(a) + len(b) - shared
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different numbers among a text's shingle hashes, sorted."""
+    return np.unique(hashes.copy().view(">u8").ravel().astype(np.uint64))
+
+
 def similar_documents(
     df: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
     words: int = 5,
     similarity: float = 0.8,
-    distance: int = 16,
-    slack: float = 0.02,
+    distance: int = 22,
+    slack: float = 0.12,
     seeds: int = 4,
     seed: int = 42,
     batch_rows: int = 20_000,
+    batch_bytes: int = 64 << 20,
     hot_rows: int = 1_000,
 ) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), component_id (the smallest id reachable) and ``first`` of every row, for texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
@@ -281,20 +301,21 @@ def similar_documents(
     Fingerprints at that overlap differ in about 10 of 64 bits, too many for keys of whole parts. So texts
     meet under the smallest of their shingle hashes, ``seeds`` functions of them, which a pair shares with a chance of its
     overlap each (99.8 % for one of four at 0.8), and the trie self-join of the fingerprints runs under each with a budget of
-    ``distance`` bits. Pairs within it are held against the bins of their sketches, an estimate of the overlap
-    with a standard error of about 0.025, and linked from ``similarity`` - ``slack`` on. Under a key with more than
+    ``distance`` bits. Pairs within it whose sketches' bins, an estimate of the overlap with a standard error of about
+    0.025, come to ``similarity`` - ``slack`` or more are compared shingle by shingle, and linked if the overlap of
+    their whole sets is ``similarity`` or more. Under a key with more than
     ``hot_rows`` rows, such as a passage that very many texts share, rows must share a second smallest hash.
-    Texts with equal fingerprints and sketches are one node. Null, empty and blank texts are equal. A repeated id links no
+    Texts with equal sets of shingles are one node. Null, empty and blank texts are equal. A repeated id links no
     texts by itself. Rows without an id are linked like others; a group of only such rows has a null component_id. An empty table gives no rows.
     """
     from .common import written
 
     spark = df.sparkSession
 
-    @F.arrow_udf("struct<fp: bigint, least: array<bigint>, bins: binary>")
+    @F.arrow_udf("struct<fp: bigint, least: array<bigint>, bins: binary, node: bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for x in batch:
                 hashes = shingle_hashes(x.as_py(), words, seed)
                 counts = np.zeros(64, np.int64)
@@ -304,19 +325,32 @@ def similar_documents(
                 least, bins = sketch(hashes, seeds)
                 out[1].append(least)
                 out[2].append(bins)
-            yield pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["fp", "least", "bins"])
+                out[3].append(int(np.uint64(xxhash.xxh64_intdigest(_distinct(hashes).tobytes(), seed)).view(np.int64)))
+            yield pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())], ["fp", "least", "bins", "node"])
 
     whole = F.col(text).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_hash"), run(whole).alias("m")).select("doc_id", "text_hash", "m.*")
-    marked = written(rows.withColumn("node", F.xxhash64("fp", "bins")), "sketches")
+    marked = written(rows, "sketches")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
-    nodes = written(marked.groupBy("node").agg(least_row, F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("bins").alias("bins")), "nodes")
+    nodes = written(marked.groupBy("node").agg(least_row, F.min("fp").alias("fp"), F.first("least").alias("least"), F.first("bins").alias("bins")), "nodes")
     keyed = nodes.select("node", "least", F.posexplode("least").alias("k", "v")).select("node", "least", "k", F.xxhash64("k", "v").alias("key"))
     counts = written(keyed.groupBy("key").count().where("count > 1"), "keys")
     cold = keyed.join(counts.where(F.col("count") <= hot_rows).select("key"), "key", "left_semi").select("node", "key")
     hot = keyed.join(counts.where(F.col("count") > hot_rows).select("key"), "key", "left_semi")
     hot = hot.select("node", "key", "k", F.posexplode("least").alias("k2", "v2")).where("k2 > k").select("node", F.xxhash64("key", "k2", "v2").alias("key"))
-    placed = written(cold.unionByName(hot), "placed").join(nodes.select("node", "fp", "bins"), "node").select("key", "fp", "node", "bins")
+    placed = written(cold.unionByName(hot), "placed")
+
+    @F.arrow_udf("binary")
+    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_distinct(shingle_hashes(x.as_py(), words, seed)).tobytes() for x in batch], pa.binary())
+
+    # Whole sets only of the nodes that meet others, from the text of one row each.
+    wanted = nodes.join(placed.select("node").distinct(), "node").select("node", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
+    given = df.select(F.col(id_col).cast("long").alias("_own"), F.xxhash64(whole).alias("_own_hash"), whole.alias("_whole"))
+    found = given.join(wanted, F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_own_hash") == F.col("_hash"))).groupBy("node").agg(F.min("_whole").alias("_whole"))
+    sets = written(found.select("node", distinct("_whole").alias("shingles")), "sets")
+    placed = placed.join(nodes.select("node", "fp", "bins").join(sets, "node"), "node").select("key", "fp", "node", "bins", "shingles")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(table: pa.Table) -> pa.RecordBatch:
@@ -325,6 +359,7 @@ def similar_documents(
             value = value.view(np.uint64)
             order = np.lexsort((value, key))
             key, value, node, bins = key[order], value[order], node[order], bins[order]
+            shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].take(pa.array(order))]
 
             def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 fine = np.zeros(len(a), bool)
@@ -332,6 +367,9 @@ def similar_documents(
                     x, y = bins[a[at : at + 20_000]], bins[b[at : at + 20_000]]
                     full = (x != EMPTY) | (y != EMPTY)
                     fine[at : at + 20_000] = ((x == y) & full).sum(axis=1) >= (similarity - slack) * full.sum(axis=1)
+                for i in np.flatnonzero(fine).tolist():
+                    shared, all_ = overlap(shingles[a[i]], shingles[b[i]])
+                    fine[i] = shared / all_ >= similarity
                 return fine
 
             root = trie_join(key, value, distance, accept=accept)
@@ -342,7 +380,7 @@ def similar_documents(
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= batch_rows:
+            if size >= batch_rows or sum(x.nbytes for x in held) >= batch_bytes:
                 table = pa.Table.from_batches(held).combine_chunks()
                 key = table["key"].to_numpy()
                 cut = np.flatnonzero(key != key[-1])

@@ -162,6 +162,20 @@ def test_near_duplicates_edge_cases(spark, docs):
     assert close[20_001] == close[1] and close[10_001] == close[10_002] and len(close) == docs.count()
 
 
+def test_similar_documents_by_their_whole_overlap(spark):
+    rng, rows, sets = np.random.default_rng(7), [], {}
+    for group in range(120):  # a text and one with some last words changed: overlaps of about 0.74 to 0.86
+        own = [f"g{group}w{x}" for x in rng.integers(0, 10**6, 154)]
+        for i, text in enumerate((own, own[: 154 - 11 - group % 13] + [f"n{group}x{k}" for k in range(11 + group % 13)])):
+            rows.append((2 * group + i, " ".join(text)))
+            sets[2 * group + i] = {tuple(text[k : k + 5]) for k in range(150)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = {g: len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(120)}
+    linked = {g for g in exact if got[2 * g + 1] == 2 * g}
+    near = {g for g, x in exact.items() if x >= 0.8}
+    assert 30 < len(near) < 90 and not linked - near and len(near - linked) <= 1
+
+
 def test_unigram_counts_and_ties(spark):
     from tokenizers import Tokenizer, models
 
