@@ -317,10 +317,10 @@ def a1_extract_aspects(spark, d):
     return t.samples(spark, d).select("seq", F.array_join(A.extract_aspects(F.col("text"), t.LEXICON, proper=False), ",").alias("aspects"))
 
 
-ORIGINALS_SQL = f"{t.SAMPLES_SQL}, o AS MATERIALIZED (SELECT *, id AS sample_id, {ASPECTS_SQL} AS aspects, {t.w('text')} AS ws FROM samples WHERE word_count BETWEEN 3 AND 60)"
+ORIGINALS_SQL = f"{t.SAMPLES_SQL}, o AS MATERIALIZED (SELECT *, id AS sample_id, {ASPECTS_SQL} AS aspects, {t.w('text')} AS ws FROM samples)"
 CDA_SQL = f"""{ORIGINALS_SQL}, cand AS (SELECT o.*, 0 AS variant_index, array_to_string(ws[1:len(ws) - 1], ' ') AS variant FROM o UNION ALL SELECT o.*, 1, 'new ' || array_to_string(ws, ' ') FROM o WHERE seq % 2 = 0),
 pres AS MATERIALIZED (SELECT *, CASE WHEN len(aspects) = 0 THEN 1 ELSE len(list_filter(aspects, lambda a: contains(lower(variant), a)))::DOUBLE / len(aspects) END AS preserved, CASE WHEN seq % 5 = 0 THEN 0.5 WHEN seq % 2 = 0 THEN 0.95 ELSE 0.7 END::DOUBLE AS sim FROM cand),
-val AS MATERIALIZED (SELECT *, (preserved + sim) / 2 AS score FROM pres), cda AS MATERIALIZED (SELECT * FROM val WHERE variant <> '' AND variant <> text AND score >= 0.8::DOUBLE)"""
+val AS MATERIALIZED (SELECT *, (preserved + sim) / 2 AS score, list_sort(list_distinct({t.w('lower(variant)')})) AS vw, list_sort(list_distinct({t.w('lower(text)')})) AS tw FROM pres), cda AS MATERIALIZED (SELECT * FROM val WHERE variant <> '' AND variant <> text AND score >= 0.8::DOUBLE)"""
 
 
 def paraphrases(spark, d):
@@ -342,7 +342,7 @@ def a4_accept_variants(spark, d):
     return A.accept_variants(A.validate_variants(paraphrases(spark, d), t.similarity(spark, d)), 0.85).select("sample_id", "variant_index")
 
 
-CHANGES_SQL = f"list_concat(list_transform(list_sort(list_distinct(list_filter({t.w('lower(variant)')}, lambda y: NOT list_contains({t.w('lower(text)')}, y) AND NOT list_contains(aspects, y)))), lambda y: 'added: ' || y), list_transform(list_sort(list_distinct(list_filter({t.w('lower(text)')}, lambda y: NOT list_contains({t.w('lower(variant)')}, y) AND NOT list_contains(aspects, y)))), lambda y: 'removed: ' || y))"
+CHANGES_SQL = "list_concat(list_transform(list_filter(vw, lambda y: NOT list_contains(tw, y) AND NOT list_contains(aspects, y)), lambda y: 'added: ' || y), list_transform(list_filter(tw, lambda y: NOT list_contains(vw, y) AND NOT list_contains(aspects, y)), lambda y: 'removed: ' || y))"
 
 
 @query(f"WITH {CDA_SQL} SELECT sample_id, variant_index, array_to_string({CHANGES_SQL}, '|') AS changes FROM val")

@@ -1,4 +1,4 @@
-"""The augmentation queries over documents of any length, against their SQL without its limit of 3 to 60 words."""
+"""The augmentation queries over documents of any length, empty and very short ones too, against their SQL."""
 
 import os
 import shutil
@@ -10,8 +10,7 @@ from test_queries import HOME, TABLES, plain
 from millrace.plans import tables
 from millrace.plans.queries import QUERIES, SQL
 
-LIMIT = " WHERE word_count BETWEEN 3 AND 60"
-NAMES = sorted(name for name, sql in SQL.items() if LIMIT in sql)
+NAMES = sorted(name for name in SQL if name.split("_")[0] in "a2 a3 a4 a5 a7 a8 a10 a12 a13 a14".split())
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +34,7 @@ def test_no_limit_of_words(spark, home, name):
     for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS FROM '{home}/{table}.parquet'")
     made = QUERIES[name](spark, home)
-    found = con.sql(SQL[name].replace(LIMIT, ""))
+    found = con.sql(SQL[name])
     columns = sorted(made.columns)
     expected = found.select(", ".join(f'"{c}"' for c in columns)).fetchall()
     assert sorted(map(str, map(plain, made.select(*columns).collect()))) == sorted(map(str, map(plain, expected)))
