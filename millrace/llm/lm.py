@@ -17,13 +17,12 @@ The tables of contexts have ``SLOTS`` slots whatever the corpus, and contexts th
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +35,29 @@ SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 LETTER_SLOTS = 1 << 18
 BLOCK = 1 << 15
-#: The end of a text and the escape, as words that no text can hold.
-END, ESCAPE = b" ", b"  "
+#: Blocks that are added in one group.
+FAN = 64
 GATES = DEPTHS * 3
+#: Log odds are kept in steps; what a byte of a slot stands for, and how often its slot was seen (0, some, often).
+STEP = 0.14
+ODDS = np.where(np.arange(256) == 0, 0, (np.arange(256) % 128 - 64) * STEP).astype(np.float32)
+SEEN = np.where(np.arange(256) == 0, 0, np.where(np.arange(256) < 128, 1, 2)).astype(np.int32)
 #: Weights to start with for (node, frequent word, previous word), by how often the last was seen.
 START = np.array([[0.3, 0.7, 0.0], [0.1, 0.65, 0.25], [0.0, 0.5, 0.5]], np.float32)
 #: How many rare words' spelling a task remembers.
 SPELLINGS = 300_000
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words: A-Z only, split at blank and tab to carriage return."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in a row, how many each text has): A-Z lower-cased, split at blank and tab to carriage return; null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = np.flatnonzero(sizes == 1)
+    blank = blank[pc.binary_length(flat).to_numpy(zero_copy_only=False)[np.cumsum(sizes)[blank] - 1] == 0]
+    if len(blank):
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+        sizes[blank] = 0
+    return flat, sizes
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,13 +92,14 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Code:
-    """The coded words with their training counts and codes; ``outside`` counts the training tokens outside them, ``once`` the words seen once."""
+    """The coded words, then the end and the escape, with their training counts and codes; ``outside`` counts the training tokens outside them, ``once`` the words seen once."""
 
-    symbols: dict[bytes, int]
+    names: pa.Array
     counts: np.ndarray
     size: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    begin: np.ndarray
     base: np.ndarray
     total: int
     distinct: int
@@ -101,7 +112,6 @@ class Code:
 
         The escape counts for what is outside the top and, for new words, for those seen ``once``.
         """
-        names = [w for w, _ in rows] + [END, ESCAPE]
         counts = np.array([c for _, c in rows] + [texts, 0], np.int64)
         use = np.maximum(counts, 1)
         outside = int(total - counts[:-1].sum())
@@ -110,7 +120,7 @@ class Code:
         weight = np.repeat(use, size)
         seen, ones = np.bincount(nodes, weight, len(use)), np.bincount(nodes, weight * bits, len(use))
         odds = np.log((ones + 0.4) / (seen - ones + 0.4)).astype(np.float32)
-        return cls({w: i for i, w in enumerate(names)}, counts, size, nodes, bits, odds, total, distinct, outside, once)
+        return cls(pa.array([w for w, _ in rows], pa.binary()), counts, size, nodes, bits, (np.cumsum(size) - size).astype(np.int32), odds, total, distinct, outside, once)
 
     @property
     def end(self) -> int:
@@ -130,22 +140,30 @@ class Code:
         seen = np.maximum.accumulate(np.where((frequent > 0) | start, np.arange(len(ids)), 0))
         return frequent[seen], previous
 
-    def slots(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For all bits of all tokens in order: the bit's depth, node, slot by class, slot by previous word, bit."""
+    def bits_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, depth) of all bits of all tokens in order."""
         size = self.size[ids].astype(np.int32)
+        token = np.repeat(np.arange(len(ids), dtype=np.int32), size)
         begin = np.cumsum(size, dtype=np.int32) - size
-        depth = np.arange(size.sum(), dtype=np.int32) - np.repeat(begin, size)
-        at = np.repeat((np.cumsum(self.size) - self.size)[ids].astype(np.int32), size) + depth
-        node = self.nodes[at]
-        spread = node * np.uint32(0x85EBCA6B)
+        return token, np.arange(len(token), dtype=np.int32) - np.repeat(begin, size)
 
-        def hashed(context: np.ndarray) -> np.ndarray:
-            key = np.repeat(context.astype(np.uint32) * np.uint32(0x9E3779B1), size) + spread
-            key ^= key >> np.uint32(15)
-            key *= np.uint32(0x2C1B3C6D)
-            return key >> np.uint32(32 - SLOT_BITS)
+    def first(self, ids: np.ndarray) -> np.ndarray:
+        """Where each token's bits begin among all codes' bits."""
+        return self.begin[ids]
 
-        return depth, node, hashed(classes), hashed(previous), self.bits[at]
+
+def spread(context: np.ndarray) -> np.ndarray:
+    """A 32-bit number for each context, to be joined with a node's."""
+    return context.astype(np.uint32) * np.uint32(0x9E3779B1)
+
+
+def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The slot of each bit by its context (see ``spread``) and its node (times an odd number); ``context`` is overwritten."""
+    context += node
+    context ^= context >> np.uint32(15)
+    context *= np.uint32(0x2C1B3C6D)
+    context >>= np.uint32(32 - SLOT_BITS)
+    return context
 
 
 def _letters(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,46 +192,65 @@ def _letter_slots(data: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.nda
 
 
 def _blocks(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Tables of counts below 2**31 as rows (table, block, counts), without blocks of zeros."""
+    """Tables of counts below 2**31 as rows (table, block, counts up to 255, places of larger ones, their rest), without blocks of zeros."""
     for t, table in enumerate(tables):
         for b in range(0, len(table), BLOCK):
             part = table[b : b + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b // BLOCK], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary())], ["t", "b", "n"])
+                large = np.flatnonzero(part > 255)
+                cells = (np.minimum(part, 255).astype(np.uint8), large.astype(np.int32), (part[large] - 255).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([b // BLOCK], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], ["t", "b", "n", "at", "rest"])
+
 
+def _summed(parts: DataFrame, sizes: list[int], tasks: int) -> list[np.ndarray]:
+    """The sums of tables that ``tasks`` tasks give as blocks; what reaches the driver has the fixed size of the tables.
 
-def _summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
-    """The sums of tables given as blocks; what reaches the driver has the fixed size of the tables."""
+    No group holds more than FAN blocks: neighbouring tasks' blocks are added first, then the sums, and so on.
+    """
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
-        for x in table["n"]:
-            total += np.frombuffer(x.as_buffer(), np.int32)
-        return pa.table({"t": table["t"][:1], "b": table["b"][:1], "n": pa.array([total.tobytes()], pa.binary())})
-
+        for n, at, rest in zip(table["n"], table["at"], table["rest"]):
+            total += np.frombuffer(n.as_buffer(), np.uint8)
+            total[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(rest.as_buffer(), np.int64)
+        large = np.flatnonzero(total > 255)
+        cells = (np.minimum(total, 255).astype(np.uint8), large.astype(np.int32), total[large] - 255)
+        return pa.table({"t": table["t"][:1], "b": table["b"][:1], "s": table["s"][:1], **{k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("n", "at", "rest"), cells)}})
+
+    parts = parts.withColumn("s", F.spark_partition_id())
+    while True:
+        parts = parts.withColumn("s", F.floor(F.col("s") / FAN).cast("int")).groupBy("t", "b", "s").applyInArrow(add, "t int, b int, s int, n binary, at binary, rest binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
     out = [np.zeros(n, np.int64) for n in sizes]
-    for row in parts.groupBy("t", "b").applyInArrow(add, "t int, b int, n binary").toLocalIterator():
-        out[row["t"]][row["b"] * BLOCK : (row["b"] + 1) * BLOCK] = np.frombuffer(row["n"], np.int64)
+    for row in parts.toLocalIterator():
+        part = out[row["t"]][row["b"] * BLOCK : (row["b"] + 1) * BLOCK]
+        part += np.frombuffer(row["n"], np.uint8)
+        part[np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["rest"], np.int64)
     return out
 
 
 @dataclass
 class Model:
-    """A code with the log odds of its hashed contexts and, for each slot, how often it was seen (0, some, often)."""
+    """A code with the log odds of its hashed contexts: a byte a slot, by STEP around 64; by word, 0 is a slot never seen and those seen often go around 192."""
 
     code: Code
-    odds: list[np.ndarray]
-    sure: np.ndarray
+    by_class: np.ndarray
+    by_word: np.ndarray
     letter_odds: list[np.ndarray]
     letter_trust: list[np.ndarray]
 
     @classmethod
     def build(cls, code: Code, tables: list[np.ndarray], letters: list[np.ndarray]) -> Model:
-        odds = [np.log((t[1::2] + 0.4) / (t[::2] + 0.4)).astype(np.float32) for t in tables]
+        odds = [np.log((t[1::2] + 0.4) / (t[::2] + 0.4)) for t in tables]
         seen = tables[1][::2] + tables[1][1::2]
+        step = lambda x: np.clip(np.rint(x / STEP), -63, 63).astype(np.int16)
+        by_class = (step(odds[0]) + 64).astype(np.uint8)
+        by_word = np.where(seen == 0, 0, step(odds[1]) + np.where(seen < 30, 64, 192)).astype(np.uint8)
         shares = [np.log((t[1::2] + 0.1) / (t[::2] + 0.1)).astype(np.float32) for t in letters]
         trust = [((n := t[::2] + t[1::2]) / (n + 3.0)).astype(np.float32) for t in letters]
-        return cls(code, odds, np.digitize(seen, [1, 30]).astype(np.int8), shares, trust)
+        return cls(code, by_class, by_word, shares, trust)
 
     def spelled(self, group: list[bytes]) -> np.ndarray:
         """log2 probability of each word's letters and its close: longer contexts count as far as they were seen."""
@@ -263,93 +300,105 @@ class Model:
         coded[tried[hit]] = False
         spelt, coded = coded, np.flatnonzero(coded)
         ids, classes, previous, owner = ids[coded], classes[coded], previous[coded], owner[coded]
-        depth, node, by_class, by_word, bit = self.code.slots(ids, classes, previous)
-        inputs = np.stack([self.code.base[node], self.odds[0][by_class], self.odds[1][by_word]], axis=1)
-        gate = np.minimum(depth, DEPTHS - 1) * 3 + self.sure[by_word]
-        ends = np.cumsum(np.bincount(owner, self.code.size[ids], texts)).astype(np.int64)
-        out += self._mixed(inputs, gate, bit.astype(np.float32), np.append(0, ends[:-1]), ends)
+        out += self._mixed(ids, classes, previous, owner, texts)
         return out, spelt
 
-    @staticmethod
-    def _mixed(inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 512, rate: float = 0.004, prior: float = 40.0) -> np.ndarray:
-        """log2 probabilities of each text's bits, all texts side by side, a block of bits at a time with weights updated after it."""
-        texts = len(begin)
-        weights = np.tile(np.tile(START, (DEPTHS, 1)), (texts, 1))
-        steps = 24
+    def _mixed(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, owner: np.ndarray, texts: int, block: int = 8, rate: float = 0.004, prior: float = 40.0) -> np.ndarray:
+        """log2 probabilities of each text's bits, all texts side by side, 2**block bits of each at a time with weights updated after them."""
+        code, steps, out = self.code, 24, np.zeros(texts)
+        token, depth = code.bits_of(ids)
+        sizes = np.bincount(owner, code.size[ids], texts).astype(np.int64)
+        most = int(sizes.max(initial=0))
+        if most >> block:
+            turn = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes) >> block
+            order = np.argsort(turn.astype(np.int16) if most >> block < 1 << 15 else turn, kind="stable")
+            token, depth = token[order], depth[order]
+        first, of_class, of_word = code.first(ids), spread(classes), spread(previous)
+        weights = [np.tile(np.repeat(x[None], DEPTHS * 3 // len(x), 0).ravel(), texts) for x in START.T]
         centre = 1 / (1 + np.exp(-(np.arange(steps) - steps / 2 + 0.5) / 2))
-        tried, true = np.full(texts * steps, prior, np.float32), np.tile((prior * centre).astype(np.float32), texts)
-        out = np.zeros(texts)
-        at = begin.copy()
-        live = np.flatnonzero(at < end)
-        while len(live):
-            size = np.minimum(end[live] - at[live], block)
-            owner = np.repeat(live, size)
-            spot = np.repeat(at[live] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            x, y = inputs[spot], bit[spot]
-            own = owner * GATES + gate[spot]
-            mixed = np.einsum("ij,ij->i", x, weights[own])
-            p = 1 / (1 + np.exp(-np.clip(mixed, -12, 12)))
-            cell = owner * steps + np.clip(mixed * 2 + steps / 2, 0, steps - 1).astype(np.int32)
-            final = np.float32(0.5) * (p + true[cell] / tried[cell])
-            out += np.bincount(owner, np.log2(np.where(y == 1, final, 1 - final)), texts)
-            miss = (y - p) * rate
-            for k in range(inputs.shape[1]):
-                weights[:, k] += np.bincount(own, miss * x[:, k], len(weights)).astype(np.float32) if len(own) * 4 > len(weights) else 0
-            if len(own) * 4 <= len(weights):  # few texts left: touch only their weights
-                np.add.at(weights, own, miss[:, None] * x)
-            if len(own) * 4 > len(tried):
-                tried += np.bincount(cell, minlength=len(tried)).astype(np.float32)
-                true += np.bincount(cell, y, len(true)).astype(np.float32)
-            else:
-                np.add.at(tried, cell, 1)
-                np.add.at(true, cell, y)
-            at[live] += size
-            live = live[at[live] < end[live]]
-        return out
-
-
-def _groups(values: list[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
-    group, size = [], 0
-    for value in values:
-        group.append(value)
-        size += len(value or "")
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-def word_counts(df: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
-    """(word binary, n long) over all of df's texts; each task adds up before its shuffle."""
+        seen_as = np.tile(np.column_stack([prior * (1 - centre), prior * centre]).ravel().astype(np.float32), texts)  # zeros and ones in each cell
+        b = 0
+        for begin in range(0, most, 1 << block):
+            live = np.flatnonzero(sizes > begin)
+            size = np.minimum(sizes[live] - begin, 1 << block)
+            a, b = b, b + int(size.sum())
+            t, d = token[a:b].astype(np.int64), depth[a:b]
+            at = (first.take(t) + d).astype(np.int64)
+            node, y = code.nodes.take(at), code.bits.take(at)
+            odd = node * np.uint32(0x85EBCA6B)
+            seen = self.by_word.take(slot(of_word.take(t), odd).astype(np.int64)).astype(np.int64)
+            x = (code.base.take(node.astype(np.int64)), ODDS.take(self.by_class.take(slot(of_class.take(t), odd).astype(np.int64)).astype(np.int64)), ODDS.take(seen))
+            own = np.repeat(live * GATES, size)
+            own += np.minimum(d, DEPTHS - 1) * 3
+            own += SEEN.take(seen)
+            mixed = x[0] * weights[0].take(own)
+            mixed += x[1] * weights[1].take(own)
+            mixed += x[2] * weights[2].take(own)
+            np.clip(mixed, -12, 12, out=mixed)
+            p = np.exp(-mixed)
+            p += 1
+            np.reciprocal(p, out=p)
+            cell = np.clip((mixed * 2 + steps / 2).astype(np.int64), 0, steps - 1)
+            cell += np.repeat(live * steps, size)
+            refined = seen_as[1::2] / (seen_as[::2] + seen_as[1::2])
+            final = refined.take(cell)
+            final += p
+            final *= np.float32(0.5)
+            final = np.abs(1 - y - final, out=final)  # of the bit that is there
+            out[live] += np.add.reduceat(np.log(final, out=final), np.cumsum(size) - size, dtype=np.float64)
+            miss = y - p
+            miss *= np.float32(rate)
+            for w, v in zip(weights, x):
+                np.add.at(w, own, miss * v)
+            cell *= 2
+            cell += y
+            np.add.at(seen_as, cell, np.float32(1))
+        return out / np.log(2)
+
+
+def _groups(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Texts in runs of about ``most`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def word_counts(df: DataFrame, text: str = "text", most: int = 16_000_000) -> DataFrame:
+    """(word binary, n long) over all of df's texts; each task adds up about ``most`` bytes of text at a time before its shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(found: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        def rows(held: list[pa.Array]) -> pa.RecordBatch:
+            found = pa.concat_arrays(held).cast(pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
-        found: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for value in batch.column(0):
-                found.update(words(value.as_py()))
-                if len(found) > most:
-                    yield rows(found)
-                    found = Counter()
-        yield rows(found)
+            for group in _groups(batch.column(0), most):
+                held.append(words(group)[0])
+                size += group.nbytes
+                if size >= most:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     return df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(code: Code, group: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(symbols of all tokens, texts' first tokens, words of each text)."""
-    lists = [words(x) for x in group]
-    get = code.symbols.get
-    parts = []
-    for found in lists:
-        parts.append(np.fromiter(map(get, found, repeat(-1)), np.int64, len(found)))
-        parts.append(np.array([code.end]))
-    ids = np.concatenate(parts)
-    sizes = np.array([len(x) + 1 for x in lists])
-    return np.where(ids < 0, code.escape, ids), np.append(0, np.cumsum(sizes)[:-1]), lists
+def _ids(code: Code, group: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """(symbols of all tokens, texts' first tokens, the words under the escapes in order)."""
+    flat, sizes = words(group)
+    flat = flat.cast(pa.binary())
+    found = pc.fill_null(pc.index_in(flat, value_set=code.names), -1).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes + 1) - 1
+    ids = np.full(len(found) + len(sizes), code.end, np.int64)
+    inside = np.ones(len(ids), bool)
+    inside[ends] = False
+    ids[inside] = np.where(found < 0, code.escape, found)
+    return ids, ends - sizes, flat.filter(pa.array(found < 0)).dictionary_encode()
 
 
 def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model, DataFrame]:
@@ -357,24 +406,28 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model,
     spark = df.sparkSession
     counts = written(word_counts(df, text), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    texts = df.count()
+    ends = df.count()
     rows = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(top).toLocalIterator()]
-    code = Code.build(rows, texts, sums[0] + texts, sums[1] + (texts > 0), sums[2])
+    code = Code.build(rows, ends, sums[0] + ends, sums[1] + (ends > 0), sums[2])
     shared = spark.sparkContext.broadcast(code)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables, size = shared.value, [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
         for batch in batches:
-            for group in _groups(batch.column(0).to_pylist()):
+            for group in _groups(batch.column(0), 2_000_000):
                 ids, starts, _ = _ids(own, group)
                 if size + len(ids) >= 1 << 31:  # a task of that many tokens counts in several tables
                     yield from _blocks(tables)
                     tables, size = [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
                 size += len(ids)
                 classes, previous = own.contexts(ids, starts)
-                _, _, by_class, by_word, bit = own.slots(ids, classes, previous)
-                for table, slot in zip(tables, (by_class, by_word)):
-                    np.add(table, np.bincount(2 * slot + bit, minlength=2 * SLOTS), out=table, casting="unsafe")
+                for a in range(0, len(ids), 16_384):  # arrays that a processor's cache holds
+                    cut = slice(a, a + 16_384)
+                    token, depth = own.bits_of(ids[cut])
+                    at = (own.first(ids[cut]).take(token) + depth).astype(np.int64)
+                    node, bit = own.nodes.take(at) * np.uint32(0x85EBCA6B), own.bits.take(at)
+                    for table, context in zip(tables, (classes, previous)):
+                        np.add.at(table, slot(spread(context[cut]).take(token), node).astype(np.int64) * 2 + bit, np.int32(1))
         yield from _blocks(tables)
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,9 +441,10 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model,
                         table += np.bincount(2 * slot + bit, minlength=2 * LETTER_SLOTS)
         yield from _blocks(tables)
 
-    schema = "t int, b int, n binary"
-    seen = _summed(df.select(F.col(text).cast("string").alias("text")).mapInArrow(contexts, schema), [2 * SLOTS] * 2)
-    spelled = _summed(counts.select("word").mapInArrow(letters, schema), [2 * LETTER_SLOTS] * 3)
+    schema = "t int, b int, n binary, at binary, rest binary"
+    texts, names = df.select(F.col(text).cast("string").alias("text")), counts.select("word")
+    seen = _summed(texts.mapInArrow(contexts, schema), [2 * SLOTS] * 2, texts.rdd.getNumPartitions())
+    spelled = _summed(names.mapInArrow(letters, schema), [2 * LETTER_SLOTS] * 3, names.rdd.getNumPartitions())
     return Model.build(code, seen, spelled), counts
 
 
@@ -409,40 +463,45 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         own = shared.value
         code = own.code
         logs = np.log10(code.counts + 1.0)
+        singles, lists = (pa.int64(), pa.int64(), pa.float64(), pa.float64()), (pa.binary(), pa.int32(), pa.int32(), pa.float64())
+        names = ("n_tokens", "n_known", "base", "score", "rare", "times", "coded", "letters")
+        kind = pa.struct(list(zip(names, (*singles, *map(pa.list_, lists)))))
         spelling: dict[bytes, float] = {}
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for group in _groups(batch.to_pylist()):
-                ids, starts, lists = _ids(code, group)
-                number: dict[bytes, int] = {}
-                same = ids.copy()
+            out = [pa.array([], kind)]
+            for group in _groups(batch, 1_000_000):
+                ids, starts, rare = _ids(code, group)
+                texts = len(starts)
+                owner = np.repeat(np.arange(texts), np.diff(np.append(starts, len(ids))))
+                fresh, number = rare.dictionary.to_pylist(), rare.indices.to_numpy().astype(np.int64)
                 rare_at = np.flatnonzero(ids == code.escape)
-                owner = np.repeat(np.arange(len(lists)), np.diff(np.append(starts, len(ids))))
-                rare_of = owner[rare_at]
-                own_rare = [lists[o][i] for o, i in zip(rare_of.tolist(), (rare_at - starts[rare_of]).tolist())]
-                same[rare_at] = [number.setdefault(w, len(number) + len(code.counts)) for w in own_rare]
-                found, spelt = own.score(ids, same, starts)
+                same = ids.copy()
+                same[rare_at] = number + len(code.counts)
+                found, coded = own.score(ids, same, starts)
                 if len(spelling) > SPELLINGS:
                     spelling = {}
-                new = [w for w in number if w not in spelling]
+                new = [w for w in fresh if w not in spelling]
                 if new:
                     spelling.update(zip(new, own.spelled(new).tolist()))
+                letters = np.fromiter(map(spelling.__getitem__, fresh), np.float64, len(fresh))
+                # A rare word of a text once, with how often it is there and how often coded: a guess that was right needs neither count nor letters.
+                pair = owner[rare_at] * len(fresh) + number
+                order = np.argsort(pair, kind="stable")
+                pair, first = np.unique(pair[order], return_index=True)
+                times = np.diff(np.append(first, len(order)))
+                often = np.add.reduceat(coded[rare_at][order].astype(np.int64), first) if len(first) else times
+                place = pa.array(np.searchsorted(pair, np.arange(texts + 1) * len(fresh)), pa.int32())
+                which = pair % max(1, len(fresh))
                 known = ids != code.escape
-                out[0] += [len(x) + 1 for x in lists]
-                out[1] += np.bincount(owner, known & (code.counts[ids] > 0), len(lists)).astype(int).tolist()
-                out[2] += np.bincount(owner, np.where(known, logs[ids], 0.0), len(lists)).tolist()
-                out[3] += (found * np.log10(2)).tolist()
-                ends = np.searchsorted(rare_of, np.arange(len(lists) + 1)).tolist()
-                own_coded = spelt[rare_at].tolist()  # a word that a guess got right needs neither count nor letters
-                for a, b in zip(ends[:-1], ends[1:]):
-                    rare = Counter(own_rare[a:b])
-                    coded = Counter(w for w, c in zip(own_rare[a:b], own_coded[a:b]) if c)
-                    out[4].append(list(rare))
-                    out[5].append(list(rare.values()))
-                    out[6].append([coded[w] for w in rare])
-                    out[7].append([spelling[w] for w in rare])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["n_tokens", "n_known", "base", "score", "rare", "times", "coded", "letters"])
+                several = (rare.dictionary.take(pa.array(which)), *map(pa.array, (times, often, letters[which])))
+                single = (
+                    np.bincount(owner, minlength=texts).astype(np.int64),
+                    np.bincount(owner, known & (code.counts[ids] > 0), texts).astype(np.int64),
+                    np.bincount(owner, np.where(known, logs[ids], 0.0), texts),
+                    found * np.log10(2),
+                )
+                out.append(pa.StructArray.from_arrays([*map(pa.array, single), *(pa.ListArray.from_arrays(place, x.cast(k)) for x, k in zip(several, lists))], names))
+            yield pa.concat_arrays(out)
 
     rows = df.select(F.col(id_col), *keep, F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), run(F.col(text).cast("string")).alias("m"))
     names = [c for c in rows.columns if c not in ("n_bytes", "m")]
