@@ -45,22 +45,35 @@ def relevance_score(text: Column, product: Column, kind: Column) -> Column:
     return F.when(F.coalesce(product, F.lit("")) == "", 0.5).when(named, F.least(0.8 + share * 0.2, F.lit(1.0))).otherwise(share * 0.6)
 
 
-def grammar_score(text: Column) -> Column:
-    """Share of checks passed: a capital at each sentence, a mark at the end, and one failed check for each word used over five times."""
-    starts = F.filter(F.transform(T.sentences(text), T.strip), lambda s: s != "")
-    small = F.size(F.filter(starts, lambda s: ~F.rlike(s, F.lit(r"^\p{Lu}"))))
-    ends = F.rlike(T.strip(text), F.lit("[.!?]$")).cast("int")
-    ordered = F.array_sort(T.words(F.lower(text)))
-    n = F.size(ordered)
+def features(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with what the grammar and diversity scores and the counts look at, each computed once: _words and _sorted (lower case), _parts and _found."""
+    low = df.withColumn("_low", F.lower(text)).withColumns({"_words": T.words(F.col("_low")), "_found": F.regexp_extract_all(F.col("_low"), F.lit(T.WORD), F.lit(0)), "_parts": T.sentences(F.col(text))})
+    return low.withColumn("_sorted", F.sort_array("_words")).drop("_low")
+
+
+FEATURES = ("_words", "_sorted", "_parts", "_found")
+
+
+def grammar_score(text: Column, parts: Column | None = None, ordered: Column | None = None) -> Column:
+    """Share of checks passed: a capital at each sentence, a mark at the end, and one failed check for each word used over five times.
+
+    ``parts`` and ``ordered`` are the text's ``features``, if they are there already.
+    """
+    parts = T.sentences(text) if parts is None else parts
+    ordered = F.sort_array(T.words(F.lower(text))) if ordered is None else ordered
+    starts = F.size(F.filter(parts, lambda s: F.rlike(s, F.lit(T.NOT_BLANK))))
+    large = F.size(F.filter(parts, lambda s: F.rlike(s, F.lit(rf"^{T.BLANK}*\p{{Lu}}"))))
+    ends = F.rlike(text, F.lit(rf"[.!?]{T.BLANK}*\z")).cast("int")
     # In sorted words, one seen over five times equals the word five places on.
-    often = F.size(F.array_distinct(F.when(n > MOST_REPEATS, F.filter(F.zip_with(F.slice(ordered, 1, F.greatest(n - MOST_REPEATS, F.lit(0))), F.slice(ordered, MOST_REPEATS + 1, F.greatest(n - MOST_REPEATS, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda w: w.isNotNull())).otherwise(F.array().cast("array<string>"))))
-    checks = F.size(starts) + 1 + often
-    issues = small + (1 - ends) + often
-    return F.greatest(1.0 - issues / checks, F.lit(0.0))
+    rest = F.greatest(F.size(ordered) - MOST_REPEATS, F.lit(0))
+    again = F.filter(F.zip_with(F.slice(ordered, 1, rest), F.slice(ordered, MOST_REPEATS + 1, rest), lambda a, b: F.when(a == b, a)), lambda w: w.isNotNull())
+    often = F.size(F.array_distinct(again))
+    return F.greatest(1.0 - (starts - large + (1 - ends) + often) / (starts + 1 + often), F.lit(0.0))
 
 
-def diversity_score(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(T.WORD), F.lit(0))
+def diversity_score(text: Column, found: Column | None = None) -> Column:
+    """Different words to all, up to 0.7; ``found`` is the text's feature, if it is there already."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(T.WORD), F.lit(0)) if found is None else found
     return F.when(F.size(found) <= 1, 0.0).otherwise(F.least(F.size(F.array_distinct(found)) / F.size(found) / 0.7, F.lit(1.0)))
 
 
@@ -85,15 +98,16 @@ def score_samples(samples: DataFrame, coherence: DataFrame | None = None) -> Dat
     else:
         rows = rows.withColumn("response", F.lit(None).cast("string"))
     text = F.col("text")
-    rows = rows.select("*", *T.text_counts(text))
+    rows = features(rows)
+    rows = rows.withColumns({"word_count": F.size("_words"), "char_count": F.length("text"), "sentence_count": F.size("_parts")})
     rows = rows.withColumns(
         {
             "length_score": length_score(F.col("word_count")),
             "coherence_score": parse_score(F.col("response"), 0.7),
             "relevance_score": relevance_score(text, F.col("product"), F.col("template_type")),
-            "grammar_score": grammar_score(text),
-            "diversity_score": diversity_score(text),
+            "grammar_score": grammar_score(text, F.col("_parts"), F.col("_sorted")),
+            "diversity_score": diversity_score(text, F.col("_found")),
             "uniqueness_score": F.lit(1.0),
         }
-    ).drop("response")
+    ).drop("response", *FEATURES)
     return rows.withColumn("overall_score", overall_score({n: F.col(f"{n}_score") for n in WEIGHTS}))

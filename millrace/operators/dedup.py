@@ -1,19 +1,25 @@
 """Exact and near duplicates, and the rule that the first of them wins.
 
 Near duplicates are texts whose normal forms' word sets have a Jaccard similarity of at least
-``threshold``; the search is exact. Rows with one word set form a class, and only classes are
-compared: copies never make pairs.
+``threshold``; the search finds all of them. Words are compared by 64-bit hashes. Rows with one word set form a
+class, and only classes are compared: copies never make pairs. ``seq`` is a key of each table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import written
 
 SLACK = 1e-9
+#: Edges that one task may settle by itself: some tens of MB.
+SMALL = 200_000
 
 
 def exact_duplicates(df: DataFrame, scope: list[str], seq: str = "seq") -> DataFrame:
@@ -24,12 +30,13 @@ def exact_duplicates(df: DataFrame, scope: list[str], seq: str = "seq") -> DataF
 
 
 def set_pairs(left: DataFrame, threshold: float, right: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity) of sets (cid, scope, words) in one scope that are at least ``threshold`` alike; a < b within one table.
+    """(a, b, similarity) of sets (cid, scope, words: distinct numbers) in one scope that are at least ``threshold`` alike; a < b within one table.
 
     Prefix filter: with words in order from rare to frequent, two such sets share a word among the
     first n - ceil(threshold * n) + 1 of each. Frequent words hardly ever get into a prefix.
     """
     own = right is None
+    left, right = written(left, "sets"), None if own else written(right, "sets")
     both = left if own else left.select("cid", "scope", "words").unionByName(right.select("cid", "scope", "words"))
     frequency = both.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
 
@@ -54,51 +61,66 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.85, scope: list[str
 
 
 def _classes(df: DataFrame, scope: list[str], seq: str) -> DataFrame:
-    rows = df.select(F.col(seq).alias("cid"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), T.word_set(F.col("text")).alias("words"))
-    return rows.groupBy("scope", "words").agg(F.min("cid").alias("cid")).select("cid", "scope", "words")
+    rows = df.select(F.col(seq).alias("cid"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), T.hashed_set(F.col("text")).alias("words"))
+    return rows.groupBy("scope", F.xxhash64("words").alias("set"), F.size("words").alias("n")).agg(F.min("cid").alias("cid"), F.first("words").alias("words")).select("cid", "scope", "words")
 
 
 def word_set_members(df: DataFrame, scope: list[str] = [], seq: str = "seq") -> DataFrame:
     """(seq, class): the first row with the same word set, for every row."""
-    rows = df.select(F.col(seq).alias("seq"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), T.word_set(F.col("text")).alias("words"))
-    return rows.join(rows.groupBy("scope", "words").agg(F.min("seq").alias("class")), ["scope", "words"]).select("seq", "class")
+    rows = df.select(F.col(seq).alias("seq"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), F.md5(F.concat_ws(" ", T.word_set(F.col("text")))).alias("set"))
+    rows = written(rows, "members")
+    return rows.join(rows.groupBy("scope", "set").agg(F.min("seq").alias("class")), ["scope", "set"]).select("seq", "class")
+
+
+def _lost(edges: DataFrame) -> DataFrame:
+    """The nodes a that are dropped, from all edges (a, b, ea, eb), by walking them in the order of ea in one task; for few edges only."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        a, b, ea = (table[c].to_numpy() for c in ("a", "b", "ea"))
+        lost: set[int] = set()
+        for i in np.lexsort((a, ea)):
+            if int(b[i]) not in lost:
+                lost.add(int(a[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(lost), pa.int64())], ["a"])
+
+    return edges.select("a", "b", "ea").coalesce(1).mapInArrow(walk, "a long")
 
 
-def first_wins(rows: DataFrame, threshold: float, most_rounds: int = 100) -> DataFrame:
-    """``rows`` (seq, scope, text, eligible) with ``reason``: why each is a duplicate of an earlier kept row, else null.
+def first_wins(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (seq, scope, text or its hash and words, eligible) with ``reason``: why each is a duplicate of an earlier kept row, else null.
 
     Rows are walked in the order of seq: a row is kept if it is eligible and neither equal nor near to a row
     kept before it in its scope. That is the first maximal independent set over classes, in
-    rounds: a class is kept once no earlier neighbour is left that may be, and dropped once one is kept.
+    rounds: a class is kept once no earlier neighbour is left that may be, and dropped once one is kept. Once SMALL
+    edges or fewer are undecided, one task walks them; there is no limit of rounds.
     """
-    slim = written(rows.select("seq", "scope", "eligible", T.text_hash(F.col("text")).alias("hash"), T.word_set(F.col("text")).alias("words")), "rows")
-    slim = slim.withColumn("set", F.md5(F.concat_ws(" ", "words")))
+    if "hash" not in rows.columns:
+        rows = rows.withColumns({"hash": T.text_hash(F.col("text")), "words": T.hashed_set(F.col("text"))})
+    slim = written(rows.select("seq", "scope", "eligible", "hash", "words", F.xxhash64("words").alias("set")), "rows")
     classes = slim.groupBy("scope", "set").agg(F.first("words").alias("words"), F.min("seq").alias("cid"), F.min(F.when(F.col("eligible"), F.struct("seq", "hash"))).alias("first"))
     classes = written(classes.select("cid", "scope", "set", "words", F.col("first.seq").alias("e"), F.col("first.hash").alias("e_hash")), "classes")
-    pairs = set_pairs(classes.where("size(words) > 0"), threshold).select("a", "b")
+    pairs = set_pairs(classes.where("size(words) > 0").select("cid", "scope", "words"), threshold).select("a", "b")
     pairs = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
     # (node, earlier neighbour) among classes with an eligible row
     starts = classes.select(F.col("cid").alias("c"), "e")
-    edges = pairs.join(starts.select(F.col("c").alias("a"), F.col("e").alias("ea")), "a").join(starts.select(F.col("c").alias("b"), F.col("e").alias("eb")), "b").where("ea > eb").select("a", "b")
-    edges = written(edges, "edges")
-    dropped = None
-    undecided = edges
-    for _ in range(most_rounds):
+    undecided = pairs.join(starts.select(F.col("c").alias("a"), F.col("e").alias("ea")), "a").join(starts.select(F.col("c").alias("b"), F.col("e").alias("eb")), "b").where("ea > eb").select("a", "b", "ea")
+    undecided = written(undecided, "edges")
+    dropped = undecided.select("a").limit(0)
+    while (left := undecided.count()) > SMALL:
         # Nodes without undecided earlier neighbours are settled: kept unless dropped.
         open_nodes = undecided.select("a").distinct()
         kept_now = undecided.select(F.col("b").alias("n")).distinct().join(open_nodes, F.col("n") == F.col("a"), "left_anti")
         lost = written(undecided.join(kept_now, undecided["b"] == kept_now["n"], "left_semi").select("a").distinct(), "lost")
-        if lost.isEmpty():
-            break
-        dropped = lost if dropped is None else dropped.unionByName(lost)
+        dropped = dropped.unionByName(lost)
         gone = lost.select(F.col("a").alias("x"))
-        rest = undecided.join(gone, undecided["a"] == gone["x"], "left_anti").join(gone, undecided["b"] == gone["x"], "left_anti")
-        undecided = written(rest, "undecided")
-    else:
-        raise RuntimeError(f"not settled after {most_rounds} rounds")
-    kept = classes.where("e is not null")
-    if dropped is not None:
-        kept = kept.join(dropped.withColumnRenamed("a", "x"), F.col("cid") == F.col("x"), "left_anti")
+        undecided = written(undecided.join(gone, undecided["a"] == gone["x"], "left_anti").join(gone, undecided["b"] == gone["x"], "left_anti"), "undecided")
+    if left:
+        dropped = dropped.unionByName(written(_lost(undecided), "lost"))
+    kept = classes.where("e is not null").join(dropped.withColumnRenamed("a", "x"), F.col("cid") == F.col("x"), "left_anti")
     kept = kept.select(F.col("cid").alias("k"), F.col("e").alias("ke"), F.col("e_hash").alias("kh"))
     # The first kept row of the class itself or of a neighbour.
     near = pairs.join(kept, pairs["b"] == kept["k"]).groupBy("a").agg(F.min("ke").alias("near"))
@@ -118,14 +140,12 @@ def first_wins_dedup(df: DataFrame, threshold: float = 0.85, scope: list[str] =
 
 def dedup_against(new: DataFrame, accepted: DataFrame, threshold: float = 0.85, seq: str = "seq") -> DataFrame:
     """new with ``reason``: equal or near to a text of ``accepted``, else null."""
-    fresh = new.select(F.col(seq).alias("cid"), F.lit("").alias("scope"), T.word_set(F.col("text")).alias("words"), T.text_hash(F.col("text")).alias("hash"))
-    old = accepted.select(T.word_set(F.col("text")).alias("words"), T.text_hash(F.col("text")).alias("hash"))
-    sets = lambda df: df.where("size(words) > 0").groupBy("words").agg(F.lit("").alias("scope"), F.min("cid").alias("cid")).select("cid", "scope", "words")
-    held = sets(old.withColumn("cid", F.xxhash64("words")))
-    near = set_pairs(sets(fresh), threshold, held).select("a").distinct()
-    close = near.join(sets(fresh), near["a"] == F.col("cid")).select("words").distinct().withColumn("_near", F.lit(True))
+    fresh = written(new.select(F.col(seq).alias("cid"), T.hashed_set(F.col("text")).alias("words"), T.text_hash(F.col("text")).alias("hash")).withColumn("set", F.xxhash64("words")), "fresh")
+    old = written(accepted.select(T.hashed_set(F.col("text")).alias("words"), T.text_hash(F.col("text")).alias("hash")).withColumn("set", F.xxhash64("words")), "accepted")
+    sets = lambda df: df.where("size(words) > 0").groupBy("set").agg(F.first("words").alias("words")).select(F.col("set").alias("cid"), F.lit("").alias("scope"), "words")
+    near = set_pairs(sets(fresh), threshold, sets(old)).select(F.col("a").alias("set")).distinct().withColumn("_near", F.lit(True))
     equal = old.select("hash").distinct().withColumn("_equal", F.lit(True))
-    found = fresh.join(equal, "hash", "left").join(close, "words", "left").select(F.col("cid").alias("_seq"), F.when(F.col("_equal"), "exact_duplicate").when(F.col("_near"), "semantic_similarity").alias("reason"))
+    found = fresh.select("cid", "hash", "set").join(equal, "hash", "left").join(near, "set", "left").select(F.col("cid").alias("_seq"), F.when(F.col("_equal"), "exact_duplicate").when(F.col("_near"), "semantic_similarity").alias("reason"))
     return new.join(found, F.col(seq) == F.col("_seq")).drop("_seq")
 
 

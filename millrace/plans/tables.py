@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.samples import spread
 
 KINDS = ("support", "review", "feature", "chatbot")
 #: Few frequent words of the invented prose that stand in for aspects, with alternatives.
@@ -28,8 +29,8 @@ def _kind(n):
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.coalesce(F.try_element_at(T.words(F.col("text")), F.lit(1)), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
+    first = F.regexp_extract("text", T.NOT_BLANK + "+", 0)
+    rows = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("job_id"), F.when(F.col("doc_id") % 3 == 0, first).otherwise(F.col("source")).alias("product"),
         _kind(F.col("doc_id")).alias("template_type"), F.lit("v1").alias("prompt_version"), "text", F.floor(T.word_count(F.col("text")) * F.lit(1.3)).cast("int").alias("tokens_estimated"), F.lit(0.7).alias("temperature"),
     )

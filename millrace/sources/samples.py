@@ -43,3 +43,9 @@ def assemble_parts(samples: DataFrame, keys: list[str], order: str = "seq", rows
     dealt = samples.join(named, same).withColumn("_part", F.pmod(F.xxhash64(order, "id", "text"), F.col("_parts")))
     made = dealt.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(item)).alias("samples"), F.first("total_samples").alias("total_samples"), F.first("total_tokens_estimated").alias("total_tokens_estimated"))
     return made.drop("_part")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores where its files give fewer: a file of one row group is a single task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -45,6 +45,15 @@ def test_first_wins_is_not_transitive(spark):
     assert D.first_wins_dedup(rows.limit(0), 0.85).count() == 0
 
 
+def test_a_long_chain_settles(spark, monkeypatch):
+    """Each text is near to the three before it only: every fourth stays, by one task's walk and by rounds."""
+    chain = lambda n: spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(n)], "seq long, text string")
+    kept = lambda n: sorted(r.seq for r in D.first_wins_dedup(chain(n)).where("reason is null").collect())
+    assert kept(300) == list(range(0, 300, 4))
+    monkeypatch.setattr(D, "SMALL", 3)
+    assert kept(20) == list(range(0, 20, 4))
+
+
 def test_quality_filter_of_the_issue_samples(spark):
     good = "The widget works very well for me and I recommend it because its quality is great, honestly, every day now."
     rows = spark.createDataFrame([(1, "Too short.", "widget", "review", 5), (2, good, "widget", "review", 100)], "seq long, text string, product string, template_type string, tokens_estimated int").withColumn("id", F.col("seq").cast("string"))
