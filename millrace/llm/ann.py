@@ -30,50 +30,65 @@ def strings(vectors: np.ndarray, plane: np.ndarray) -> np.ndarray:
     return np.where(vectors @ plane > 0, powers, np.uint64(0)).sum(axis=1, dtype=np.uint64)
 
 
-def forest_search(trees: int, candidates: int, seed: int):
-    """A search (see ``vectors.blocked_top_k``) that scores at least ``candidates`` tree entries a query, or all rows."""
-
-    def search(rows: np.ndarray, queries: np.ndarray):
+def longest(sorted_keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """How many leading bits each asked string shares with the sorted string nearest to it: the depth of its descent."""
+    at = np.searchsorted(sorted_keys, asked)
+    apart = np.minimum(*(sorted_keys[np.clip(at - i, 0, len(sorted_keys) - 1)] ^ asked for i in (0, 1)))
+    bits = np.zeros(len(asked), np.int64)
+    for half in (32, 16, 8, 4, 2, 1):  # leading zeros
+        clear = apart >> np.uint64(BITS - half) == 0
+        bits[clear] += half
+        apart = np.where(clear, apart << np.uint64(half), apart)
+    return np.where(apart == 0, BITS, bits)
+
+
+def forest_index(trees: int, reach: float, seed: int):
+    """An index (see ``vectors.blocked_top_k``) that scores at least ``reach`` of all tree entries for a query."""
+
+    def index(rows: np.ndarray):
         length = np.sqrt((rows * rows).sum(axis=1))
-        longest = length.max()
-        lifted = np.column_stack([rows / longest, np.sqrt(np.maximum(0, 1 - (length / longest) ** 2))])
-        asked = np.column_stack([queries / np.sqrt((queries * queries).sum(axis=1))[:, None], np.zeros(len(queries))])
-        planes = projections(lifted.shape[1], trees, seed)
-        orders, keys, wanted = [], [], []
+        largest = length.max()
+        lifted = np.column_stack([rows / largest, np.sqrt(np.maximum(0, 1 - (length / largest) ** 2))])
+        planes, orders, keys = projections(lifted.shape[1], trees, seed), [], []
         for plane in planes:
             key = strings(lifted, plane)
-            order = np.argsort(key, kind="stable")
-            orders.append(order)
-            keys.append(key[order])
-            wanted.append(strings(asked, plane))
-        low = np.zeros((trees, len(queries)), np.int64)
-        high = np.full((trees, len(queries)), len(rows), np.int64)
-        active = np.arange(len(queries))
-        for depth in range(BITS, 0, -1):  # from the longest prefix up, all trees together
-            rest = np.uint64((1 << (BITS - depth)) - 1)
-            for t in range(trees):
-                q = wanted[t][active]
-                low[t, active] = np.searchsorted(keys[t], q & ~rest, side="left")
-                high[t, active] = np.searchsorted(keys[t], q | rest, side="right")
-            active = active[(high - low)[:, active].sum(axis=0) < candidates]
-            if not len(active):
-                break
-        low[:, active], high[:, active] = 0, len(rows)  # the root: every row
-
-        def nearest(j: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+            orders.append(np.argsort(key, kind="stable"))
+            keys.append(key[orders[-1]])
+        least = reach * trees * len(rows)
+
+        def search(queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+            asked = np.column_stack([queries / np.sqrt((queries * queries).sum(axis=1))[:, None], np.zeros(len(queries))])
+            wanted = [strings(asked, plane) for plane in planes]
+            deep = np.max([longest(key, w) for key, w in zip(keys, wanted)], axis=0)
+            low, high = np.zeros((trees, len(queries)), np.int64), np.zeros((trees, len(queries)), np.int64)
+            open_ = np.ones(len(queries), bool)
+            for depth in range(int(deep.max()), 0, -1):  # from the longest match up, all trees together
+                active = np.flatnonzero(open_ & (deep >= depth))
+                rest = np.uint64((1 << (BITS - depth)) - 1)
+                for t in range(trees):
+                    q = wanted[t][active]
+                    low[t, active] = np.searchsorted(keys[t], q & ~rest, side="left")
+                    high[t, active] = np.searchsorted(keys[t], q | rest, side="right")
+                open_[active] = (high - low)[:, active].sum(axis=0) < max(least, k)
+                if not open_.any():
+                    break
+            low[:, open_], high[:, open_] = 0, len(rows)  # the root: every row
+            return [nearest(q, low[:, j], high[:, j], k) for j, q in enumerate(queries)]
+
+        def nearest(query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
             seen = np.zeros(len(rows), bool)
-            for t in range(trees):
-                seen[orders[t][low[t, j] : high[t, j]]] = True
+            for order, a, b in zip(orders, low, high):
+                seen[order[a:b]] = True
             found = np.flatnonzero(seen)
-            rough = rows[found] @ queries[j]
+            rough = rows[found] @ query
             if len(found) > k:  # the final scores differ from these by rounding only
                 floor = np.partition(rough, len(rough) - k)[len(rough) - k]
                 found = found[rough >= floor - 1e-9 * max(1.0, abs(floor), np.abs(rough).max())]
-            return found, exact_scores(rows[found], queries[j])
+            return found, exact_scores(rows[found], query)
 
-        return nearest
+        return search
 
-    return search
+    return index
 
 
 def nearest_neighbours(
@@ -83,16 +98,16 @@ def nearest_neighbours(
     vector: str = "embedding",
     k: int = 20,
     trees: int = 16,
-    candidates: int = 20_000,
-    shard_rows: int = 16_384,
-    block_rows: int = 2_048,
+    reach: float = 0.08,
+    shard_rows: int = 65_536,
+    block_rows: int = 262_144,
     seed: int = 11,
 ) -> DataFrame:
     """The k rows of largest inner product found for each query row: query_id, rank, vec_id, score.
 
-    ``candidates`` counts tree entries over all trees of a shard, a row once for each tree that
-    reaches it. Null, empty and zero vectors, those with null or non-finite components and rows
+    ``reach`` is the share of all tree entries of a shard that a query's prefixes must hold, where a row counts once for
+    each tree that reaches it. Null, empty and zero vectors, those with null or non-finite components and rows
     without an id take no part; an empty table gives no rows. Ties go to the smaller id. Recall
-    grows with ``candidates`` up to every row of a shard.
+    grows with ``reach`` up to every row of a shard.
     """
-    return blocked_top_k(usable(df, vector, zero=False), id_col, vector, is_query, k, forest_search(trees, candidates, seed), "double", shard_rows, block_rows)
+    return blocked_top_k(usable(df, vector, zero=False), id_col, vector, is_query, k, forest_index(trees, reach, seed), "double", shard_rows, block_rows)

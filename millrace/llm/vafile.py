@@ -1,8 +1,9 @@
 """Exact top-k search by a vector-approximation file.
 
-Each component is cut into cells at quantiles of its shard; a scan of the cells alone bounds
-every row's inner product from above. Exact vectors are then read in the order of that bound
-until no bound left can reach the k-th score, so the result is that of a full scan.
+Each component is cut into cells at quantiles of its shard, and a row keeps only the numbers of its cells, half a
+byte each. For a query, a table holds the most that each cell of each component can add; a scan of the
+cells sums these up and so bounds every row's inner product from above. Exact vectors are then read in the order
+of that bound until no bound left can reach the k-th score, so the result is that of a full scan.
 """
 
 from __future__ import annotations
@@ -14,38 +15,66 @@ from pyspark.sql import functions as F
 from .vectors import blocked_top_k, exact_scores, usable
 
 
-def va_search(bits: int, step: int):
-    """An exact search (see ``vectors.blocked_top_k``) with 2**bits cells a component, reading ``step`` vectors at a time."""
-
-    def search(rows: np.ndarray, queries: np.ndarray):
-        marks = np.quantile(rows, np.linspace(0, 1, (1 << bits) + 1)[1:-1], axis=0)
-        low, high = np.empty_like(rows), np.empty_like(rows)
-        for d in range(rows.shape[1]):
-            cell = np.searchsorted(marks[:, d], rows[:, d], side="right")
-            least, most = np.full(1 << bits, np.inf), np.full(1 << bits, -np.inf)
-            np.minimum.at(least, cell, rows[:, d])
-            np.maximum.at(most, cell, rows[:, d])
-            low[:, d], high[:, d] = least[cell], most[cell]
-
-        def nearest(j: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-            q = queries[j]
-            bound = high @ np.maximum(q, 0) + low @ np.minimum(q, 0)  # whole numbers: exact
-            order = np.argsort(-bound, kind="stable")
-            found, scores = np.empty(0, np.int64), np.empty(0)
-            for at in range(0, len(order), step):
-                if len(scores) >= k and bound[order[at]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
-                    break
-                more = order[at : at + step]
+CELLS = 16
+
+
+class Cells:
+    """The approximation of ``rows``: ``pairs`` has the cells of two components in a byte, ``edges`` the least and largest value in each cell."""
+
+    def __init__(self, rows: np.ndarray):
+        n, dim = rows.shape
+        marks = np.quantile(rows, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0)
+        cells = np.zeros((dim + dim % 2, n), np.uint8)
+        self.edges = np.zeros((dim + dim % 2, CELLS, 2))
+        for d in range(dim):
+            cells[d] = np.searchsorted(marks[:, d], rows[:, d], side="right")
+            least, most = np.full(CELLS, np.inf), np.full(CELLS, -np.inf)
+            np.minimum.at(least, cells[d], rows[:, d])
+            np.maximum.at(most, cells[d], rows[:, d])
+            used = least <= most
+            self.edges[d, used, 0], self.edges[d, used, 1] = least[used], most[used]
+        self.pairs = cells[::2] * CELLS + cells[1::2]
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For each row and query, what their inner product can be at most; exact for whole numbers."""
+        asked = np.zeros((len(self.edges), len(queries)))
+        asked[: queries.shape[1]] = queries.T
+        adds = np.maximum(self.edges[:, :, :1] * asked[:, None], self.edges[:, :, 1:] * asked[:, None])
+        out = np.zeros((self.pairs.shape[1], len(queries)))
+        for i, pair in enumerate(self.pairs):
+            out += np.take((adds[2 * i][:, None] + adds[2 * i + 1][None]).reshape(CELLS * CELLS, -1), pair, axis=0)
+        return out
+
+
+def va_index(step: int):
+    """An index (see ``vectors.blocked_top_k``) that reads ``step`` exact vectors at a time in the order of their bounds."""
+
+    def index(rows: np.ndarray):
+        cells = Cells(rows)
+
+        def nearest(query: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+            found, scores, floor = np.empty(0, np.int64), np.empty(0), -np.inf
+            left = np.arange(len(rows))
+            while len(left):
+                if len(left) > step:  # the largest bounds of those left
+                    left = left[np.argpartition(-bound[left], step)]
+                more, left = left[:step], left[step:]
                 found = np.concatenate([found, more])
-                scores = np.concatenate([scores, exact_scores(rows[more], q)])
-                if len(scores) > k:
-                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                scores = np.concatenate([scores, exact_scores(rows[more], query)])
+                if len(scores) >= k:
+                    floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    keep = scores >= floor
                     found, scores = found[keep], scores[keep]
+                left = left[bound[left] >= floor]
             return found, scores
 
-        return nearest
+        def search(queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+            bounds = np.ascontiguousarray(cells.bounds(queries).T)
+            return [nearest(q, b, k) for q, b in zip(queries, bounds)]
+
+        return search
 
-    return search
+    return index
 
 
 def exact_top_k(
@@ -55,10 +84,9 @@ def exact_top_k(
     vector: str = "embedding",
     k: int = 20,
     scale: float = 64.0,
-    bits: int = 4,
     step: int = 256,
-    shard_rows: int = 16_384,
-    block_rows: int = 2_048,
+    shard_rows: int = 65_536,
+    block_rows: int = 262_144,
 ) -> DataFrame:
     """The k rows of largest integer inner product for each query row: query_id, rank, vec_id, score.
 
@@ -67,4 +95,4 @@ def exact_top_k(
     rows. Ties go to the smaller id. Scores are exact while they stay below 2**53.
     """
     whole = usable(df, vector, zero=True).withColumn(vector, F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(F.lit(scale) * x).cast("double")))
-    return blocked_top_k(whole, id_col, vector, is_query, k, va_search(bits, step), "long", shard_rows, block_rows)
+    return blocked_top_k(whole, id_col, vector, is_query, k, va_index(step), "long", shard_rows, block_rows)
