@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, bpe, components, counts, langid, lm, mixing, simhash, suffixes, toxicity, vafile
+from millrace.llm import vectors as vectors_
 from millrace.llm.entries import PIECES_32K, WORD_BPE
 
 SMALL = "/root/testdata/sf0.001/documents.parquet"
@@ -47,9 +49,39 @@ def test_exact_top_k(spark, shard_rows, block_rows):
     assert vafile.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_cells_bound_the_scores_and_few_vectors_are_read(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, queries, read = np.floor(64 * rng.standard_normal((5_000, 15))), np.floor(64 * rng.standard_normal((7, 15))), []
+    cells = vafile.Cells(rows)
+    assert cells.pairs.dtype == np.uint8 and cells.pairs.shape == (8, 5_000) and (cells.bounds(queries) >= rows @ queries.T).all()
+    monkeypatch.setattr(vafile, "exact_scores", lambda r, q: read.append(len(r)) or vectors_.exact_scores(r, q))
+    for q, (found, scores) in zip(queries, vafile.va_index(50)(rows)(queries, 21)):
+        exact = rows @ q
+        assert sorted(found.tolist()) == np.flatnonzero(exact >= np.sort(exact)[-21]).tolist() and (scores == exact[found]).all()
+    assert sum(read) < 0.1 * len(rows) * len(queries)
+
+
+def test_forest_recall_at_default_settings(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((9_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0).toPandas()
+    x = x.astype(np.float64)
+    hits = sum(len(set(got[got.query_id == q].vec_id) & set(best(x @ x[q], np.arange(len(x)), q, 20))) for q in range(0, 9_000, 100))
+    assert hits >= 0.9 * 90 * 20 and len(got) == 90 * 20
+
+
+def test_descent_finds_the_longest_prefix():
+    rng = np.random.default_rng(4)
+    keys, asked = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64)), np.append(rng.integers(0, 1 << 63, 100).astype(np.uint64), np.uint64(5))
+    keys[3] = asked[-1]
+    keys.sort()
+    assert ann.longest(keys, asked).tolist() == [max(64 - (int(k) ^ int(a)).bit_length() for k in keys) for a in asked]
+
+
 def test_forest_recall_and_ties(spark):
     df, x = vectors(spark)
-    got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, candidates=600, shard_rows=200).toPandas().sort_values("rank")
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, reach=0.3, shard_rows=200).toPandas().sort_values("rank")
     hits = sum(len(set(got[got.query_id == q].vec_id) & set(best(x @ x[q], np.arange(400), q, 20))) for q in range(0, 400, 20))
     assert hits >= 0.9 * 400
     assert got[got.query_id == 100].vec_id.tolist() == list(range(101, 121))
@@ -66,6 +98,25 @@ def test_toxicity(spark):
     assert len(at) == 0 and bias == 0.0
 
 
+def test_ftrl_is_the_plain_recursion():
+    rng, bits, alpha, beta, l1, l2 = np.random.default_rng(3), 10, 1.0, 1.0, 0.5, 1.0
+    rows = [(np.unique(toxicity.features(" ".join(f"w{x}" for x in rng.integers(0, 40, 12)), bits)), int(rng.integers(0, 2))) for _ in range(60)]
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+    weight = lambda i: -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2) if abs(z[i]) > l1 else 0.0
+    for _ in range(3):
+        for at, label in rows:
+            w = {int(i): weight(int(i)) for i in at}
+            b = -bz * alpha / (beta + math.sqrt(bn))
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - label
+            for i, x in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * x
+                n[i] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * b
+            bn += g * g
+    got, bias = toxicity.ftrl(rows, bits, 3, alpha, beta, l1, l2)
+    assert np.allclose(got, [weight(i) for i in range(1 << bits)]) and math.isclose(bias, -bz * alpha / (beta + math.sqrt(bn))) and (got == 0).any()
+
+
 def brute_spans(texts, n):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
@@ -79,7 +130,7 @@ def brute_spans(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [2_000, 1])
+@pytest.mark.parametrize("hot", [2_000, 12, 1])
 def test_repeated_passages(spark, hot):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join("".join(rng.choice(list("abé"), 3)) for _ in range(n))
@@ -109,6 +160,35 @@ def test_language(spark):
     assert langid.identify(df.drop("lang"), langid.train(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_without_blanks(spark):
+    """Scripts that write no blanks: words of hundreds of letters teach their n-grams."""
+    rng = np.random.default_rng(6)
+    run = lambda low, n: "".join(chr(low + int(x) ** 2 // 40) for x in rng.integers(0, 45, n))
+    rows = [(i, run(0x4E00 if i % 2 else 0x4E10, 300) + "。", "aa" if i % 2 else "bb") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.train(df.where("doc_id < 100"))).where("doc_id >= 100").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 98
+
+
+def test_language_is_its_sum_over_words(spark):
+    import regex
+
+    df = spark.read.parquet(SMALL).where("lang is not null")
+    model = langid.train(df.where("doc_id % 3 <> 1"), max_words=500, max_grams=300)
+    tables = {n: dict(zip(names.split("\n"), logs.astype(float))) for n, (names, logs) in model.tables.items()}
+    odd = spark.createDataFrame([(90_001, "ΑΣ don't  x1y2 漢字漢字", "en"), (90_002, "\x0b ñandú-Über\u00a0été", "es")], "doc_id long, text string, lang string")
+    for r in langid.identify(df.where("doc_id % 3 = 1").select("doc_id", "text", "lang").unionByName(odd), model).collect():
+        total = np.zeros(len(model.langs))
+        for w in regex.findall(r"\p{L}+", r.text.lower()):
+            for n in (0, 5, 4, 3, 2, 1):
+                found = [tables[n][g] for g in ([w] if n == 0 else langid._grams(w, n)) if g in tables[n]]
+                if found:
+                    total += np.mean(found, axis=0)
+                    break
+        share = np.exp(total - total.max())
+        assert r.lang_pred == model.langs[int(total.argmax())] and math.isclose(r.score, share.max() / share.sum(), rel_tol=1e-4)
+
+
 def test_bpe_is_the_library(spark, docs):
     from tokenizers import Tokenizer
 
@@ -176,6 +256,33 @@ def test_similar_documents_by_their_whole_overlap(spark):
     assert 30 < len(near) < 90 and not linked - near and len(near - linked) <= 1
 
 
+@pytest.mark.parametrize("hot", [1_000, 15])
+def test_similar_documents_under_hot_keys(spark, hot):
+    """Texts that share a long passage, and so most keys, and a group of many near copies: the same links, whatever the size of a key."""
+    rng, texts = np.random.default_rng(9), {}
+    common = [f"c{k}" for k in range(60)]
+    for group in range(60):
+        own = common + [f"g{group}w{x}" for x in rng.integers(0, 10**6, 104)]
+        texts[2 * group] = own
+        changed = 8 + group % 14
+        texts[2 * group + 1] = own[:-changed] + [f"n{group}x{k}" for k in range(changed)]
+    for copy in range(60):  # one word changed: overlaps of about 0.88 to 0.94
+        own = list(texts[0])
+        own[int(rng.integers(60, 164))] = f"copy{copy}"
+        texts[1_000 + copy] = own
+    sets = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in texts.items()}
+    root = {i: i for i in sets}
+    alike = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in alike:
+        a, b = root[i], root[j]
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, hot_rows=hot).collect()}
+    together = lambda of: {i for i, r in of.items() if r != i}
+    assert not together(got) - together(root) and len(together(root) - together(got)) <= 0.02 * len(root)
+    assert len({got[i] for i in texts if i >= 1_000}) == 1 and len(alike) > 1_000
+
+
 def test_unigram_counts_and_ties(spark):
     from tokenizers import Tokenizer, models
 
@@ -214,6 +321,41 @@ def test_lm_mixes_every_bit(spark):
     assert score[7] > max(x for i, x in score.items() if i != 7)
 
 
+def test_lm_mixing_is_the_plain_walk(spark, docs):
+    """Bit by bit in plain Python: weights and the map are those of the block of 256 bits before."""
+    rows = [r.text for r in docs.select("text").where("length(text) between 10 and 3000").limit(40).collect()]
+    model, _ = lm.train(spark.createDataFrame([(x,) for x in rows[:30]], "text string"), top=300)
+    code, (ids, starts, rare) = model.code, lm._ids(model.code, pa.array(rows[25:]))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+    classes, previous = code.contexts(ids, starts)
+    got = model._mixed(ids, classes, previous, owner, len(starts))
+    sigmoid = lambda x: 1 / (1 + math.exp(-min(12, max(-12, x))))
+    for text in range(len(starts)):
+        bits = [(min(d, lm.DEPTHS - 1), int(code.nodes[code.begin[i] + d]), int(code.bits[code.begin[i] + d]), int(c), int(p)) for i, c, p in zip(ids[owner == text], classes[owner == text], previous[owner == text]) for d in range(code.size[i])]
+        weights = {(d, s): list(map(float, lm.START[s])) for d in range(lm.DEPTHS) for s in range(3)}
+        cells = [[40 * (1 - sigmoid((k - 11.5) / 2)), 40 * sigmoid((k - 11.5) / 2)] for k in range(24)]
+        total = 0.0
+        for at in range(0, len(bits), 256):
+            made = []
+            for d, node, bit, c, p in bits[at : at + 256]:
+                slots = []
+                for context in (c, p):
+                    key = (context * 0x9E3779B1 + node * 0x85EBCA6B) & 0xFFFFFFFF
+                    slots.append((((key ^ key >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF) >> (32 - lm.SLOT_BITS))
+                byte = int(model.by_word[slots[1]])
+                x = [float(code.base[node]), (int(model.by_class[slots[0]]) % 128 - 64) * lm.STEP if model.by_class[slots[0]] else 0.0, (byte % 128 - 64) * lm.STEP if byte else 0.0]
+                gate = d, 0 if byte == 0 else 1 if byte < 128 else 2
+                mixed = min(12, max(-12, sum(a * b for a, b in zip(x, weights[gate]))))
+                cell, one = min(23, max(0, int(mixed * 2 + 12))), sigmoid(mixed)
+                final = 0.5 * (one + cells[cell][1] / sum(cells[cell]))
+                total += math.log2(final if bit else 1 - final)
+                made.append((gate, x, bit - one, cell, bit))
+            for gate, x, miss, cell, bit in made:
+                weights[gate] = [w + 0.004 * miss * v for w, v in zip(weights[gate], x)]
+                cells[cell][bit] += 1
+        assert math.isclose(total, got[text], rel_tol=2e-3, abs_tol=0.5)
+
+
 def test_lm_code_is_whole():
     rng = np.random.default_rng(1)
     use = rng.integers(1, 10**6, 3000)
