@@ -138,10 +138,17 @@ def first_wins_dedup(df: DataFrame, threshold: float = 0.85, scope: list[str] =
     return df.join(first_wins(rows, threshold).withColumnRenamed("seq", "_seq"), F.col(seq) == F.col("_seq")).drop("_seq")
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """df's own _hash and _set columns, or those of its text, as hash, words and set."""
+    have = "_hash" in df.columns and "_set" in df.columns
+    both = (F.col("_set"), F.col("_hash")) if have else (T.hashed_set(F.col("text")), T.text_hash(F.col("text")))
+    return df.withColumns({"words": both[0], "hash": both[1]}).withColumn("set", F.xxhash64("words"))
+
+
 def dedup_against(new: DataFrame, accepted: DataFrame, threshold: float = 0.85, seq: str = "seq") -> DataFrame:
-    """new with ``reason``: equal or near to a text of ``accepted``, else null."""
-    fresh = written(new.select(F.col(seq).alias("cid"), T.hashed_set(F.col("text")).alias("words"), T.text_hash(F.col("text")).alias("hash")).withColumn("set", F.xxhash64("words")), "fresh")
-    old = written(accepted.select(T.hashed_set(F.col("text")).alias("words"), T.text_hash(F.col("text")).alias("hash")).withColumn("set", F.xxhash64("words")), "accepted")
+    """new with ``reason``: equal or near to a text of ``accepted``, else null. Columns _hash and _set spare the texts."""
+    fresh = written(_hashed(new).select(F.col(seq).alias("cid"), "words", "hash", "set"), "fresh")
+    old = written(_hashed(accepted).select("words", "hash", "set"), "accepted")
     sets = lambda df: df.where("size(words) > 0").groupBy("set").agg(F.first("words").alias("words")).select(F.col("set").alias("cid"), F.lit("").alias("scope"), "words")
     near = set_pairs(sets(fresh), threshold, sets(old)).select(F.col("a").alias("set")).distinct().withColumn("_near", F.lit(True))
     equal = old.select("hash").distinct().withColumn("_equal", F.lit(True))

@@ -34,7 +34,7 @@ def length_filter(df: DataFrame, low: int = 10, high: int = 500) -> DataFrame:
 def quality_filter(df: DataFrame, config: FilterConfig = FilterConfig(), coherence: DataFrame | None = None, scope: list[str] = []) -> DataFrame:
     """Every row with its scores, ``status`` and ``reason``: length first, then duplicates of kept rows, then the overall score."""
     scored = score_samples(df, coherence)
-    if config.enable_deduplication:
+    if config.enable_deduplication and not {"_hash", "_set"} <= set(scored.columns):
         scored = scored.withColumns({"_hash": T.text_hash(F.col("text")), "_set": T.hashed_set(F.col("text"))})
     scored = written(scored, "scored")
     fits = F.col("word_count").between(config.min_word_count, config.max_word_count)
@@ -42,7 +42,7 @@ def quality_filter(df: DataFrame, config: FilterConfig = FilterConfig(), coheren
     if config.enable_deduplication:
         rows = scored.where(fits).select("seq", F.struct(*scope, F.lit(0)).cast("string").alias("scope"), F.col("_hash").alias("hash"), F.col("_set").alias("words"), good.alias("eligible"))
         reasons = first_wins(rows, config.similarity_threshold)
-        scored = scored.drop("_hash", "_set").join(reasons, "seq", "left")
+        scored = scored.select(*[c for c in scored.columns if c in df.columns or c not in ("_hash", "_set")]).join(reasons, "seq", "left")
     else:
         scored = scored.withColumn("reason", F.lit(None).cast("string"))
     status = F.when(~fits, "failed_length").when(F.col("reason").isNotNull(), "failed_duplicate").when(~good, "failed_quality").otherwise("passed")

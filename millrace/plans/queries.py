@@ -529,43 +529,64 @@ def j4_expire_results(spark, d):
 # Streams
 
 
-def events_stream(spark, d):
-    """The events table as a stream of its files."""
-    e = t.table(spark, d, "events")
-    # As a pattern, the path may be a folder or, as a plain path may not, one file.
-    rows = spark.readStream.schema(e.schema).parquet(f"{d}/events.parque[t]")
-    return rows.select("event_id", F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("tokens"))
+#: Streams get their table in so many parts, one after another, each by a run of its own from the checkpoint of the one before.
+PARTS = 3
+#: The third of its time span that an event belongs to, 0 to 2; every 50th event of the first third comes with the last: too late.
+PART_SQL = "least(2, floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))::DOUBLE * 3 / ((SELECT max(epoch_us(ts)) FROM events) - (SELECT min(epoch_us(ts)) FROM events))))"
 
 
-def drained(spark, df, mode):
-    """The stream run over what is there; each micro-batch overwrites its own folder."""
+def events_parts(spark, d):
+    """The request log with ``part``, its third of the time span."""
+    rows = t.request_log(spark, d).select("event_id", "key", "ts", "tokens")
+    us = F.unix_micros("ts")
+    span = rows.agg(F.min(us).alias("low"), F.max(us).alias("high"))
+    return rows.join(F.broadcast(span)).withColumn("part", F.least(F.lit(2), F.floor((us - F.col("low")).cast("double") * PARTS / (F.col("high") - F.col("low"))))).drop("low", "high")
+
+
+def in_parts(spark, rows, run):
+    """``run(stream of rows, number)`` once more for each part, when the part's rows have been added to the stream's folder."""
+    folder, columns = scratch_path(spark, "source"), [c for c in rows.columns if c != "part"]
+    for k in range(PARTS):
+        rows.where(F.col("part") == k).select(*columns).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.select(*columns).schema).parquet(folder), k)
+
+
+def drained(spark, rows, transform, mode):
+    """(columns of the stream's result, batch) of all micro-batches; each overwrites its own folder."""
     out = scratch_path(spark, "stream")
-    spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=none")
+    schema = []
 
-    def put(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={'all' if mode == 'complete' else number}")
+    def run(stream, k):
+        made = transform(stream)
+        schema[:] = [made.schema]
+        put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        made.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
 
-    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/batch=*")
+    in_parts(spark, rows, run)
+    return spark.read.schema(schema[0].add("batch", "long")).option("basePath", out).parquet(f"{out}/batch=*")
 
 
-@query(f"WITH {t.LOG_SQL} SELECT epoch_us(time_bucket(INTERVAL 60 SECOND, ts)) AS start_us, key, count(*) AS requests, round(sum(tokens), 6) AS tokens FROM log GROUP BY 1, 2")
+@query(f"""WITH p AS (SELECT *, {PART_SQL} AS part FROM events), log AS (SELECT ts, event_type AS key, value::DOUBLE AS tokens FROM p WHERE NOT (part = 0 AND event_id % 50 = 0))
+  SELECT epoch_us(time_bucket(INTERVAL 60 SECOND, ts)) AS start_us, key, count(*) AS requests, round(sum(tokens), 6) AS tokens FROM log GROUP BY 1, 2""")
 def t1_stream_usage(spark, d):
-    rows = drained(spark, X.stream_usage(events_stream(spark, d)), "complete")
-    return rows.select(F.unix_micros("start").alias("start_us"), "key", "requests", r6("tokens"))
+    """What comes too late is dropped; of each window, the last update counts."""
+    rows = events_parts(spark, d).withColumn("part", F.when((F.col("part") == 0) & (F.col("event_id") % 50 == 0), 2).otherwise(F.col("part")))
+    made = drained(spark, rows, X.stream_usage, "update").groupBy("start", "key").agg(F.max_by(F.struct("requests", "tokens"), "batch").alias("x"))
+    return made.select(F.unix_micros("start").alias("start_us"), "key", "x.requests", F.round("x.tokens", 6).alias("tokens"))
 
 
-@query(f"WITH RECURSIVE {ORDERED_SQL}, {BUCKET_SQL} SELECT event_id, ok2 AS admitted, round(k, 6) AS level FROM b")
+@query(f"WITH RECURSIVE {ORDERED_SQL}, {BUCKET_SQL} SELECT event_id, ok1 AND ok2 AS admitted, round(r, 6) AS request_level, round(k, 6) AS token_level FROM b")
 def t2_stream_token_bucket(spark, d):
-    return drained(spark, X.stream_token_bucket(events_stream(spark, d), 60.0, 0.01), "append").select("event_id", "admitted", r6("level"))
+    made = drained(spark, events_parts(spark, d), lambda log: X.stream_token_bucket(log, 5.0, 0.002, 60.0, 0.01), "append")
+    return made.select("event_id", "admitted", r6("request_level"), r6("token_level"))
 
 
 @query(f"""WITH RECURSIVE {t.SCORED_SQL.replace("CASE WHEN toxic = 1 THEN 0.7 WHEN quality = 1 THEN 0.9 WHEN quality = 0 THEN 0.3 ELSE 0.7 END::DOUBLE", "0.7::DOUBLE")}, src AS (SELECT seq, text, overall_score >= 0.6::DOUBLE AS eligible {FIT}), {t.first_wins_sql('src')}
   SELECT s.seq FROM scored s JOIN reasons r ON r.seq = s.seq WHERE r.reason IS NULL AND overall_score >= 0.6::DOUBLE""")
 def t3_stream_quality_filter(spark, d):
-    schema = t.table(spark, d, "documents").schema
-    first = F.coalesce(F.try_element_at(T.words(F.col("text")), F.lit(1)), F.lit(""))
-    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]").select(F.col("doc_id").alias("seq"), "text", F.when(F.col("doc_id") % 3 == 0, first).otherwise(F.col("source")).alias("product"), t._kind(F.col("doc_id")).alias("template_type"))
+    """Parts in the order of seq: each is held against what the parts before it left accepted."""
+    rows = t.samples(spark, d).select("seq", "text", "product", "template_type")
+    ends = rows.approxQuantile("seq", [k / PARTS for k in range(1, PARTS)], 0.01)
     out = scratch_path(spark, "accepted")
-    X.stream_quality_filter(source, out, f"{out}-state").awaitTermination()
+    in_parts(spark, rows.withColumn("part", sum((F.col("seq") > F.lit(x)).cast("int") for x in ends) if ends else F.lit(0)), lambda stream, k: X.stream_quality_filter(stream, out, f"{out}-state").awaitTermination())
     return spark.read.parquet(out).select("seq")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as T
 from ..operators.dedup import dedup_against
 from ..operators.quality import FilterConfig, quality_filter
 from ..operators.usage import MICROS
@@ -23,41 +25,51 @@ def stream_usage(log: DataFrame, window: str = "60 seconds", slide: str | None =
     return rows.groupBy(span, "key").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "key", "requests", "tokens")
 
 
-def stream_token_bucket(log: DataFrame, capacity: float, refill: float) -> DataFrame:
-    """(key, event_id, admitted, level) of one bucket of tokens for each key; its level and last refill are the key's state.
+def stream_token_bucket(log: DataFrame, request_capacity: float, request_refill: float, token_capacity: float, token_refill: float) -> DataFrame:
+    """(key, event_id, admitted, request_level, token_level): each key has a bucket of requests and one of tokens, as in ``operators.usage.token_bucket``.
 
-    Rows of one micro-batch are walked in the order of (ts, event_id).
+    The levels and the time of the last request are the key's state. Rows of one micro-batch are walked in the
+    order of (ts, event_id); a row older than the last one refills nothing.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        last, level = state.get if state.exists else (-1, capacity)
-        out = []
-        for us, event, cost in zip(rows["us"], rows["event_id"], rows["tokens"]):
-            level = min(capacity, level + (0 if last < 0 else max(0, us - last) / MICROS * refill))
-            admitted = level >= cost
-            level -= cost if admitted else 0
-            last = int(us)
-            out.append((key[0], int(event), bool(admitted), float(level)))
-        state.update((int(last), float(level)))
-        yield pd.DataFrame(out, columns=["key", "event_id", "admitted", "level"])
+        last, requests, tokens = state.get if state.exists else (-1, request_capacity, token_capacity)
+        # The columns walked are numbers; a key's micro-batch is held as these, never as whole rows.
+        parts = [[batch[c].to_numpy() for c in ("us", "event_id", "tokens")] for batch in batches]
+        us, events, costs = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((events, us))
+        for at in range(0, len(order), 10_000):
+            out = []
+            for i in order[at : at + 10_000]:
+                passed = 0 if last < 0 else max(0, us[i] - last) / MICROS
+                requests, tokens = min(request_capacity, requests + passed * request_refill), min(token_capacity, tokens + passed * token_refill)
+                first, second = requests >= 1, tokens >= costs[i]
+                requests, tokens = requests - first, tokens - costs[i] * second
+                last = max(last, int(us[i]))
+                out.append((key[0], int(events[i]), bool(first and second), float(requests), float(tokens)))
+            yield pd.DataFrame(out, columns=["key", "event_id", "admitted", "request_level", "token_level"])
+        state.update((int(last), float(requests), float(tokens)))
 
     rows = log.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("tokens").cast("double").alias("tokens"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, admitted boolean, level double", "last long, level double", "append", GroupStateTimeout.NoTimeout)
+    made, kept = "key string, event_id long, admitted boolean, request_level double, token_level double", "last long, requests double, tokens double"
+    return rows.groupBy("key").applyInPandasWithState(run, made, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_quality_filter(source: DataFrame, accepted: str, checkpoint: str, config: FilterConfig = FilterConfig()):
     """A started query that filters each micro-batch and against all texts accepted before, and adds what passes under ``accepted``.
 
-    Each batch writes the folder batch_id=n anew and reads only those of smaller n, so a batch that runs again gives the same table.
+    What equals or is near to an accepted text goes first, so that it can't count as kept within its batch: batches in the order of
+    seq accept what one batch of all would. The accepted table keeps each text's hash and set of hashed words, and later batches read
+    only those. Each batch writes the folder batch_id=n anew and reads only those of smaller n, so a batch that runs again gives the same table.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        passed = quality_filter(batch, config).where("status = 'passed'").select(*batch.columns)
+        rows = batch.select("*", T.text_hash(F.col("text")).alias("_hash"), T.hashed_set(F.col("text")).alias("_set"))
         if number > 0:
-            old = spark.read.option("basePath", accepted).schema(batch.schema.add("batch_id", "long")).parquet(accepted).where(F.col("batch_id") < number)
-            passed = dedup_against(passed, old, config.similarity_threshold).where("reason is null").drop("reason")
+            old = spark.read.option("basePath", accepted).schema(rows.schema.add("batch_id", "long")).parquet(accepted).where(F.col("batch_id") < number)
+            rows = dedup_against(rows, old.select("_hash", "_set"), config.similarity_threshold).where("reason is null").drop("reason")
+        passed = quality_filter(rows, config).where("status = 'passed'").select(*batch.columns, "_hash", "_set")
         passed.write.mode("overwrite").parquet(f"{accepted}/batch_id={number}")
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

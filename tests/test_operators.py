@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import requests as R
@@ -101,3 +102,50 @@ def test_trailing_usage_of_a_hot_key(spark):
     rows = spark.createDataFrame([(i, "k", at + dt.timedelta(seconds=20 * i), 1.0) for i in range(50)], "event_id long, key string, ts timestamp, tokens double")
     got = {r.event_id: r.requests_in_window for r in U.trailing_usage(rows, 60).collect()}
     assert got == {i: min(i + 1, 3) for i in range(50)}
+
+
+def test_sliding_windows_of_usage(spark):
+    from millrace.streaming import streams
+
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, "k", at + dt.timedelta(seconds=20 * i), 1.0) for i in range(6)], "event_id long, key string, ts timestamp, tokens double")
+    got = {int((r.start - at).total_seconds()): r.requests for r in streams.stream_usage(rows, "60 seconds", "30 seconds").collect()}
+    assert got == {-30: 2, 0: 3, 30: 3, 60: 3, 90: 1}
+
+
+def test_jitter_spreads_a_tenth_either_way(spark):
+    waits = lambda j: [one(spark, R.backoff_delay(F.lit(n), jitter=F.lit(j))) for n in (0, 1, 3, 9)]
+    assert np.allclose(waits(0.0), [0, 0.9, 3.6, 54]) and np.allclose(waits(0.5), [0, 1, 4, 60]) and np.allclose(waits(1.0), [0, 1.1, 4.4, 66])
+
+
+def test_generate_takes_a_function(spark):
+    prompts = spark.createDataFrame([(1, "a b", 0.5, 3), (2, "c", 0.5, 3)], "request_id long, prompt string, temperature double, max_tokens int")
+
+    def shout(batches):
+        for batch in batches:
+            yield batch.assign(text=batch.prompt.str.upper())[["request_id", "text"]]
+
+    assert {r.request_id: r.text for r in P.generate(prompts, shout, "request_id long, text string").collect()} == {1: "A B", 2: "C"}
+    assert all(len(r.text.split()) <= 3 for r in P.generate(prompts).collect())
+
+
+def test_proper_nouns_are_aspects(spark):
+    text = "We met Anna Smith in Paris. The price of the Acme Phone was fine"
+    found = one(spark, A.extract_aspects(F.lit(text)))
+    assert {"anna smith", "acme phone", "price"} <= set(found) and "met" not in found
+    assert "anna smith" not in one(spark, A.extract_aspects(F.lit(text), proper=False))
+
+
+def test_filter_holds_batches_against_accepted_texts(spark, tmp_path):
+    """Three micro-batches: an equal, a near and a new text in each later one; a text near to an accepted one does not hide others of its batch."""
+    from millrace.streaming import streams
+
+    config = Q.FilterConfig(min_overall_score=0.0)
+    text = lambda *own: " ".join([f"w{i}" for i in range(30)] + list(own))
+    parts = [[(1, text("a", "b"))], [(2, text("A", "b.")), (3, text("a", "c")), (4, " ".join(f"v{i}" for i in range(20)))], [(5, " ".join(f"v{i}" for i in range(1, 21))), (6, " ".join(f"v{i}" for i in range(4, 24)))]]
+    source, out = str(tmp_path / "source"), str(tmp_path / "accepted")
+    for part in parts:
+        rows = spark.createDataFrame(part, "seq long, text string").withColumns({"product": F.lit("p"), "template_type": F.lit("review")})
+        rows.coalesce(1).write.mode("append").parquet(source)
+        streams.stream_quality_filter(spark.readStream.schema(rows.schema).parquet(source), out, str(tmp_path / "state"), config).awaitTermination()
+    assert sorted((r.seq, r.batch_id) for r in spark.read.parquet(out).collect()) == [(1, 0), (4, 1), (6, 2)]
