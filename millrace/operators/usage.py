@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .fold import fold
 
 MICROS = 1_000_000
@@ -109,14 +116,64 @@ def usage_metrics(attempts: DataFrame, by: list[str], seconds: int = 60) -> Data
     )
 
 
-def ema_response_time(log: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """log with ``ema``: the first latency, then a moving mean; it starts again where the mean is exactly 0."""
+def _moving(x: np.ndarray, keep: float, before: float, size: int = 128) -> np.ndarray:
+    """y[i] = (1 - keep) * x[i] + keep * y[i - 1], from y[-1] = before."""
+    if not len(x):
+        return np.empty(0)
+    powers = keep ** np.arange(size + 1)
+    within = np.tril(powers[np.abs(np.subtract.outer(np.arange(size), np.arange(size)))]) * (1 - keep)
+    rows = np.append(x, np.zeros(-len(x) % size)).reshape(-1, size) @ within.T
+    for i in range(len(rows)):
+        rows[i] += powers[1:] * before
+        before = rows[i, -1]
+    return rows.ravel()[: len(x)]
 
-    def step(state: float, row: tuple) -> tuple:
-        now = row[0] if state == 0 else alpha * row[0] + (1 - alpha) * state
-        return now, (float(now),)
 
-    return fold(log, ["key"], ["ts", "event_id"], lambda: 0.0, step, ["latency"], "ema double")
+def ema_response_time(log: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """log with ``ema``: the first latency other than 0 (0 before it), then a moving mean. Latencies are not null or negative; 0 < alpha < 0.5, or a mean could be 0 again.
+
+    The log is cut by ranges of (key, ts, event_id), so that a hot key has many stretches. A stretch is walked twice in its task:
+    as if it were the key's first, and, since a mean is linear in the one before it, as factor and offset of that one. Then only
+    the stretches' ends are chained, a row for each, and what a stretch begins with is joined back.
+    """
+    if not 0 < alpha < 0.5:
+        raise ValueError("alpha must lie between 0 and 0.5")
+    keep = 1 - alpha
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields] + ["_part int, _n long, _a double, _linear double, _fresh double, _seen boolean"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, linear, fresh, seen = None, 0, 0.0, 0.0, False
+        for batch in batches:
+            keys, x = batch.column("key"), batch.column("latency").to_numpy(zero_copy_only=False).astype(np.float64)
+            codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            out, place, begun = np.zeros((3, len(x))), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+            ends = [*(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(x)] if len(x) else []
+            for a, b in zip([0, *ends], ends):
+                if n == 0 or keys[a].as_py() != current:
+                    current, n, linear, fresh, seen = keys[a].as_py(), 0, 0.0, 0.0, False
+                own = x[a:b]
+                m = 0 if seen else int(np.argmax(own != 0)) if own.any() else b - a
+                out[0, a:b], out[1, a:b] = keep ** (n + 1.0 + np.arange(b - a)), _moving(own, keep, linear)
+                if m < b - a:
+                    out[2, a + m : b] = _moving(own, keep, fresh) if seen else np.append(own[m], _moving(own[m + 1 :], keep, own[m]))
+                    begun[a + m : b] = seen = True
+                place[a:b] = n + np.arange(b - a)
+                n, linear, fresh = n + b - a, float(out[1, b - 1]), float(out[2, b - 1])
+            made = [pa.array(np.full(len(x), TaskContext.get().partitionId()), pa.int32()), *map(pa.array, (place, *out, begun))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_part", "_n", "_a", "_linear", "_fresh", "_seen"])
+
+    def step(state: float | None, row: tuple) -> tuple:
+        a, along, first, begun = row
+        return (a * state + along if state is not None else first if begun else None), (state,)
+
+    rows = written(log.repartitionByRange("key", "ts", "event_id").sortWithinPartitions("key", "ts", "event_id").mapInArrow(walk, schema), "walked")
+    ends = rows.groupBy("key", "_part").agg(F.max_by(F.struct("_a", "_linear", "_fresh", "_seen"), "_n").alias("x")).select("key", "_part", "x.*")
+    several = ends.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"))
+    ends = ends.join(several, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    chained = fold(ends, ["key"], ["_part"], lambda: None, step, ["_a", "_linear", "_fresh", "_seen"], "_before double").select(F.col("key").alias("_key"), F.col("_part").alias("_at"), "_before")
+    joined = rows.join(chained, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
+    mean = F.when(F.col("_before").isNull() | F.isnan("_before"), F.col("_fresh")).otherwise(F.col("_a") * F.col("_before") + F.col("_linear"))
+    return joined.withColumn("ema", mean).select(*log.columns, "ema")
 
 
 def pack_batches(log: DataFrame, max_size: int = 10, max_tokens: float = 4000) -> DataFrame:

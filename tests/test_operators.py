@@ -149,3 +149,24 @@ def test_filter_holds_batches_against_accepted_texts(spark, tmp_path):
         rows.coalesce(1).write.mode("append").parquet(source)
         streams.stream_quality_filter(spark.readStream.schema(rows.schema).parquet(source), out, str(tmp_path / "state"), config).awaitTermination()
     assert sorted((r.seq, r.batch_id) for r in spark.read.parquet(out).collect()) == [(1, 0), (4, 1), (6, 2)]
+
+
+def test_moving_mean_of_a_hot_key_over_many_stretches(spark):
+    """Leading zeros, a run of zeros long enough to underflow, and one key over several partitions, against a plain walk."""
+    at, rng = dt.datetime(2024, 1, 1), np.random.default_rng(1)
+    x = np.round(rng.random(20_000) * 9, 3)
+    x[:30] = 0
+    x[4_000:13_000] = 0
+    rows = [(i, "hot", at + dt.timedelta(seconds=i), float(v)) for i, v in enumerate(x)] + [(30_000 + i, None if i % 2 else "k", at, float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, key string, ts timestamp, latency double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    got = {r.event_id: r.ema for r in U.ema_response_time(df).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    state = {}
+    for i, key, _, v in sorted(rows, key=lambda r: (str(r[1]), r[2], r[0])):
+        y = state.get(key, 0.0)
+        state[key] = v if y == 0 else 0.1 * v + (1 - 0.1) * y
+        assert abs(got[i] - state[key]) < 1e-9, i
