@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import unused, whole_texts
 
 NEVER = np.int64(1) << 60
 #: Separators for str.split() that are not white space in Unicode; texts that hold one are split by the pattern.
@@ -196,6 +196,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     pass. A null or empty text has no ids and decodes to the empty text. The strings of special tokens inside a
     text count as those tokens, as in the library. A column of either name is replaced; all others stay as they are.
     """
+    df = whole_texts(df)
     both = decoded is not None
     kinds = [("i", pa.list_(pa.int32()))] + [("d", pa.string())] * both
 
@@ -220,6 +221,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the column ``text``: the tokens of ``ids`` joined by blanks, special ones kept; null ids give the empty text."""
+    df = whole_texts(df)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

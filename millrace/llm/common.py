@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,22 +14,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or, only where that is unset, a new local one."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or, only where that is unset and Spark runs in this process, a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends there, and no executor's loss can undo it."""
+    """df as a Parquet table in the shared folder, read back: lineage ends there, and no executor's loss can undo it. It goes when Spark ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(hadoop).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_texts(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches of rows hold ``size`` bytes at most: batches of 10,000 whole texts fill an executor's memory several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not given or not 0 < int(given[1]) <= size:
+        conf.set(name, f"{size}b")
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores where its files give fewer: a file of one row group is a single task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of the column's text modulo modulus; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -17,6 +17,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_texts
+
 #: What the library takes off the lowest score for an unknown letter.
 UNKNOWN_PENALTY = 10.0
 BLANK = "▁"
@@ -90,6 +92,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_to
 
     Words are split at white space. ``path`` is a SentencePiece vocabulary that every executor can open.
     """
+    df = whole_texts(df)
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

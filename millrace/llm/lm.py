@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_texts, written
 
 #: Depths that have weights of their own; all below share the last one's.
 DEPTHS = 24
@@ -403,6 +403,7 @@ def _ids(code: Code, group: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Dictio
 
 def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model, DataFrame]:
     """(model, table of (word, n)) from all of df's texts; the table is exact and stays distributed, the model has a fixed size."""
+    df = whole_texts(df)
     spark = df.sparkSession
     counts = written(word_counts(df, text), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
@@ -455,6 +456,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
     ``base_score`` that of add-one counts, and ``n_known`` counts tokens with a training count. A repeated row is
     scored each time; an empty table gives no rows.
     """
+    df = whole_texts(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = "n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, coded array<int>, letters array<double>"
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_texts
+
 #: ASCII other than letters and digits separates words; bytes of other scripts belong to them.
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -72,6 +74,7 @@ def train(
     features, not their texts, go to one task, as FTRL is sequential; both that and the weights are bounded by
     ``max_docs`` and ``bits``. Without labelled rows, or with labels of one kind, the bias says what there is.
     """
+    df = whole_texts(df)
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_docs)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(picked), "_id")
 
@@ -100,6 +103,7 @@ def train(
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = 20, text: str = "text", name: str = "score") -> DataFrame:
     """df with the column ``name``: the probability, 0 to 1, that each whole text is toxic; null, empty and wordless texts get the bias alone."""
+    df = whole_texts(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
