@@ -11,7 +11,7 @@ from .common import written
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours that are larger (large) or not larger (small) than itself are linked to its smallest one instead."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")), "least")  # a plain table, so that the join can split a hub
     joined = both.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
@@ -20,7 +20,7 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (a, b) of longs: component is the smallest node reachable.
 
     Every round is written to the shared folder; rounds go on until the edges no longer change.
@@ -29,13 +29,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
-    for _ in range(most_rounds if before[0] else 0):
+    while before[0]:
         now = written(_starred(_starred(now, True), False), "stars")
         after = mark(now)
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import wide
+from .common import whole_texts, wide
 from .components import components
 
 
@@ -55,6 +55,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 4, seed: int =
     A-Z are lower-cased; words are runs other than blank and tab to carriage return. A text of
     fewer words is one shingle.
     """
+    df = whole_texts(df)
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -194,11 +195,26 @@ def _cuts(bits: list[int], parts: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(bits, parts)]
 
 
+def in_blocks(placed: DataFrame, most: int) -> DataFrame:
+    """placed (key, node, ...) with each key of more than ``most`` rows cut into blocks of about that many, and a key for every two of its blocks.
+
+    Any two rows of a key still meet, and no key holds more than about 2 * ``most`` rows.
+    """
+    from .common import written
+
+    counts = written(placed.groupBy("key").count().where(F.col("count") > most), "hot")
+    if counts.isEmpty():
+        return placed
+    many = placed.join(counts, "key").withColumn("_n", F.ceil(F.col("count") / most)).withColumn("_i", F.pmod(F.xxhash64("node", F.lit(17)), F.col("_n")))
+    many = many.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("key", F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j")))
+    return placed.join(counts, "key", "left_anti").unionByName(many.select(placed.columns))
+
+
 def fingerprint_links(nodes: DataFrame, distance: int = 4, parts: int = 6, batch_rows: int = 100_000, hot_rows: int = 50_000) -> DataFrame:
     """Links (a, b) that join all nodes (fp long, node long; fp distinct) whose fp differ in at most ``distance`` bits, directly or in steps.
 
     Keys with more than ``hot_rows`` nodes are cut again: what is left of their bits goes into
-    distance + 1 parts, of which two linked fingerprints share at least one.
+    distance + 1 parts, of which two linked fingerprints share at least one. What is still larger is joined block by block.
     """
     spark = nodes.sparkSession
     whole = [(int(x[0]), int(x[-1]) + 1) for x in _cuts(list(range(64)), parts)]
@@ -221,7 +237,7 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, parts: int = 6, batch
         finer = F.when(F.col("choice") == i, F.array(*[x for k, x in again if k == i])).otherwise(finer)
     cold = keyed.join(hot, "key", "left_anti")
     split = keyed.join(hot, "key", "left_semi").select("fp", "node", F.explode(finer).alias("key"))
-    return placed(cold).unionByName(placed(split))
+    return placed(cold).unionByName(placed(in_blocks(split, hot_rows)))
 
 
 def near_duplicates(
@@ -279,6 +295,38 @@ def _distinct(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes.copy().view(">u8").ravel().astype(np.uint64))
 
 
+def _finer(hot: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(key, node) for the rows (key, node, count) of keys with more than ``most`` nodes: smaller keys, where they make less work, under which every similar pair still meets.
+
+    With the shingles of each set in order from the key's rarest to its most frequent, two sets that overlap by
+    ``similarity`` share one of the first n - ceil(similarity * n) + 1 of each. So each of those that another
+    node has, too, makes a key. Texts that only share a frequent passage no longer meet; where the nodes are so alike that this makes more rows, the key stays.
+    """
+    from .common import written
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                size = np.array([len(x) for x in found])
+                spread = [np.repeat(part.column(i).to_numpy(), size) for i in (0, 1)] + [np.repeat(size, size), np.concatenate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spread], ["key", "node", "size", "shingle"])
+
+    each = hot.select("key", "node").join(sets, "node").select("key", "node", "shingles").mapInArrow(shingles, "key long, node long, size long, shingle long")
+    each = written(each, "shingles")
+    shared = written(each.groupBy("key", "shingle").agg(F.count("*").alias("f")).where("f > 1"), "shared")  # a plain table, so that the join can split a hot shingle
+    own = each.join(shared, ["key", "shingle"]).groupBy("key", "node", "size").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("w"))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1 - (F.col("size") - F.size("w"))  # the set's own shingles come before
+    keys = own.where(first > 0).select("key", "node", F.explode(F.slice("w", F.lit(1), first.cast("int"))).alias("x")).select("key", "node", F.xxhash64("key", F.col("x.shingle")).alias("sub"))
+    keys = written(keys, "prefixes")
+    work = lambda n: n * F.ceil(n / most)
+    finer = keys.groupBy("key", "sub").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum(work(F.col("n"))).alias("finer"))
+    coarse = hot.select("key", "count").distinct().join(finer, "key", "left").where(F.col("finer") >= work(F.col("count"))).select("key")
+    coarse = written(coarse, "coarse")
+    return hot.select("key", "node").join(coarse, "key", "left_semi").unionByName(keys.join(coarse, "key", "left_anti").select(F.col("sub").alias("key"), "node"))
+
+
 def similar_documents(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -290,7 +338,7 @@ def similar_documents(
     seeds: int = 4,
     seed: int = 42,
     batch_rows: int = 20_000,
-    batch_bytes: int = 64 << 20,
+    batch_bytes: int = 16 << 20,
     hot_rows: int = 1_000,
 ) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), component_id (the smallest id reachable) and ``first`` of every row, for texts whose word shingles overlap by ``similarity`` (Jaccard) or more.
@@ -303,11 +351,12 @@ def similar_documents(
     overlap each (99.8 % for one of four at 0.8), and the trie self-join of the fingerprints runs under each with a budget of
     ``distance`` bits. Pairs within it whose sketches' bins, an estimate of the overlap with a standard error of about
     0.025, come to ``similarity`` - ``slack`` or more are compared shingle by shingle, and linked if the overlap of
-    their whole sets is ``similarity`` or more. Under a key with more than
-    ``hot_rows`` rows, such as a passage that very many texts share, rows must share a second smallest hash.
+    their whole sets is ``similarity`` or more. A key with more than ``hot_rows`` rows, such as a passage that very
+    many texts share, is cut without losing a pair (see ``_finer`` and ``in_blocks``).
     Texts with equal sets of shingles are one node. Null, empty and blank texts are equal. A repeated id links no
     texts by itself. Rows without an id are linked like others; a group of only such rows has a null component_id. An empty table gives no rows.
     """
+    df = whole_texts(df)
     from .common import written
 
     spark = df.sparkSession
@@ -333,23 +382,24 @@ def similar_documents(
     marked = written(rows, "sketches")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
     nodes = written(marked.groupBy("node").agg(least_row, F.min("fp").alias("fp"), F.first("least").alias("least"), F.first("bins").alias("bins")), "nodes")
-    keyed = nodes.select("node", "least", F.posexplode("least").alias("k", "v")).select("node", "least", "k", F.xxhash64("k", "v").alias("key"))
+    keyed = nodes.select("node", F.posexplode("least").alias("k", "v")).select("node", F.xxhash64("k", "v").alias("key"))
     counts = written(keyed.groupBy("key").count().where("count > 1"), "keys")
-    cold = keyed.join(counts.where(F.col("count") <= hot_rows).select("key"), "key", "left_semi").select("node", "key")
-    hot = keyed.join(counts.where(F.col("count") > hot_rows).select("key"), "key", "left_semi")
-    hot = hot.select("node", "key", "k", F.posexplode("least").alias("k2", "v2")).where("k2 > k").select("node", F.xxhash64("key", "k2", "v2").alias("key"))
-    placed = written(cold.unionByName(hot), "placed")
+    met = written(keyed.join(counts, "key"), "met")
 
-    @F.arrow_udf("binary")
-    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.array([_distinct(shingle_hashes(x.as_py(), words, seed)).tobytes() for x in batch], pa.binary())
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_distinct(shingle_hashes(x.as_py(), words, seed)).tobytes() for x in part.column(1)], pa.binary())], ["node", "shingles"])
 
     # Whole sets only of the nodes that meet others, from the text of one row each.
-    wanted = nodes.join(placed.select("node").distinct(), "node").select("node", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
+    wanted = nodes.join(met.select("node").distinct(), "node").select("node", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
     given = df.select(F.col(id_col).cast("long").alias("_own"), F.xxhash64(whole).alias("_own_hash"), whole.alias("_whole"))
     found = given.join(wanted, F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_own_hash") == F.col("_hash"))).groupBy("node").agg(F.min("_whole").alias("_whole"))
-    sets = written(found.select("node", distinct("_whole").alias("shingles")), "sets")
+    sets = written(found.select("node", "_whole").mapInArrow(distinct, "node long, shingles binary"), "sets")
+    hot, placed = met.where(F.col("count") > hot_rows), met.where(F.col("count") <= hot_rows).select("key", "node")
+    if not hot.isEmpty():
+        placed = placed.unionByName(in_blocks(written(_finer(hot, sets, similarity, hot_rows), "finer"), hot_rows))
     placed = placed.join(nodes.select("node", "fp", "bins").join(sets, "node"), "node").select("key", "fp", "node", "bins", "shingles")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,6 +410,7 @@ def similar_documents(
             order = np.lexsort((value, key))
             key, value, node, bins = key[order], value[order], node[order], bins[order]
             shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].take(pa.array(order))]
+            sizes = np.array([len(x) for x in shingles])
 
             def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 fine = np.zeros(len(a), bool)
@@ -367,6 +418,7 @@ def similar_documents(
                     x, y = bins[a[at : at + 20_000]], bins[b[at : at + 20_000]]
                     full = (x != EMPTY) | (y != EMPTY)
                     fine[at : at + 20_000] = ((x == y) & full).sum(axis=1) >= (similarity - slack) * full.sum(axis=1)
+                fine &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
                 for i in np.flatnonzero(fine).tolist():
                     shared, all_ = overlap(shingles[a[i]], shingles[b[i]])
                     fine[i] = shared / all_ >= similarity
