@@ -14,16 +14,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import unused, whole_texts, written
 
-LETTERS = regex.compile(r"\p{L}+")
 NONE = "und"
 
 
+def runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, pa.Array, np.ndarray]:
+    """(runs of texts without blanks, how many each text has, words of each different run in a row, how many each of them has).
+
+    A word is a run of letters of any length, in lower case; a null text has no run.
+    """
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    whole = lists.flatten().dictionary_encode()
+    parts = pc.split_pattern_regex(whole.dictionary, r"[^\p{L}]+")
+    words = parts.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    sizes = np.bincount(owner, full.to_numpy(zero_copy_only=False), len(parts)).astype(np.int64)
+    return whole, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), words.filter(full), sizes
+
+
+def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``sizes`` rows each of ``values`` in order."""
+    out = np.zeros((len(sizes), values.shape[1]))
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies by language: for each length of n-grams, and for whole words under 0, the strings, one a line, and their rows.
@@ -56,16 +79,17 @@ def train(
     text: str = "text",
     id_col: str = "doc_id",
     max_docs: int = 4_000,
-    max_words: int = 40_000,
-    max_grams: int = 20_000,
+    max_words: int = 800_000,
+    max_grams: int = 400_000,
     longest: int = 5,
 ) -> LanguageModel:
     """Fit on df's rows with a language and a text: about ``max_docs`` of each language, picked by a hash of their id.
 
-    Kept for each language: the ``max_words`` most frequent words and, for each length up to
-    ``longest``, the ``max_grams`` most frequent n-grams (ties by code point); the model's size is
-    bounded by these times the number of languages. No usable rows give a model of no language.
+    Kept for each language: its most frequent words, an equal share of ``max_words``, and, for each length up to
+    ``longest``, its most frequent n-grams, an equal share of ``max_grams`` (ties by code point). So the model's size is
+    bounded whatever the rows; samples of this size keep all. No usable rows give a model of no language.
     """
+    df = whole_texts(df)
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -75,10 +99,12 @@ def train(
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
-            for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((own, w) for w in LETTERS.findall(value.lower()) if len(w) <= 40)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
+            for own in batch.column(0).unique():
+                whole, _, found, sizes = runs(batch.column(1).filter(pc.equal(batch.column(0), own)))
+                times = np.repeat(np.bincount(whole.indices.to_numpy(), minlength=len(sizes)), sizes)
+                found = pa.table({"gram": found, "n": times}).group_by("gram").aggregate([("n", "sum")]).combine_chunks()
+                for part in found.select(["gram", "n_sum"]).to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * part.num_rows, pa.string()), *part.columns], ["lang", "gram", "n"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,80 +119,89 @@ def train(
     by_gram = written(by_word.mapInArrow(grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langgrams")
     langs = sorted(sizes)
 
-    def top(table: DataFrame, most: int, *where: Column) -> dict[str, Counter]:
-        best = {}
-        for own in langs:
-            kept = table.where(F.col("lang") == own)
-            for x in where:
-                kept = kept.where(x)
-            best[own] = Counter({r["gram"]: r["n"] for r in kept.orderBy(F.desc("n"), "gram").limit(most).select("gram", "n").toLocalIterator()})
+    def top(table: DataFrame, most: int) -> dict[int, dict[str, Counter]]:
+        order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
+        best: dict[int, dict[str, Counter]] = {}
+        for r in table.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("lang", "size", "gram", "n").toLocalIterator():
+            best.setdefault(r["size"], {own: Counter() for own in langs})[r["lang"]][r["gram"]] = r["n"]
         return best
 
-    tables = {0: _table(top(by_word, max_words), langs)} | {n: _table(top(by_gram, max_grams, F.col("size") == n), langs) for n in range(1, longest + 1)}
+    kept = top(by_word.withColumn("size", F.lit(0)), max_words // len(langs)) | top(by_gram, max_grams // len(langs))
+    tables = {n: _table(kept.get(n, {own: Counter() for own in langs}), langs) for n in range(longest + 1)}
     return LanguageModel(langs, tables)
 
 
-class Scorer:
-    """Sums of log frequencies for runs of non-blank characters, with a bounded cache."""
+def gram_hashes(letters: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit number for each run of ``n`` code points."""
+    out = np.zeros(max(0, len(letters) - n + 1), np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + letters[i : len(letters) - n + 1 + i]
+    return out ^ out >> np.uint64(31)
+
 
-    def __init__(self, model: LanguageModel, cache: int = 200_000):
-        self.model, self.limit = model, cache
-        self.tables = {n: ({g: i for i, g in enumerate(names.split("\n"))} if names else {}, logs) for n, (names, logs) in model.tables.items()}
-        self.reset()
+def code_points(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
-    def reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.model.langs) + 1))
 
-    def word(self, word: str) -> np.ndarray:
+class Scorer:
+    """Texts' sums of log frequencies, all different words of a group of texts at a time."""
+
+    def __init__(self, model: LanguageModel):
+        self.langs, self.tables = model.langs, {}
+        for n, (names, logs) in model.tables.items():
+            names = names.split("\n") if names else []
+            if n:
+                keys = gram_hashes(code_points(names), n)[::n] if names else np.empty(0, np.uint64)
+                order = np.argsort(keys)
+                self.tables[n] = keys[order], logs[order]
+            else:
+                self.tables[0] = pa.array(names, pa.string()), logs
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        """The log frequencies of each word: its own if known, else the mean of those of its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
         known, logs = self.tables[0]
-        at = known.get(word)
-        if at is not None:
-            return logs[at]
+        at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+        out[at >= 0] = logs[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n in range(max(self.tables), 0, -1):
-            known, logs = self.tables[n]
-            hits = [known[g] for g in _grams(word, n) if g in known]
-            if hits:  # as much weight as a word, however long it is
-                return logs[hits].mean(axis=0)
-        return np.zeros(len(self.model.langs), np.float32)
-
-    def learn(self, runs: set[str]) -> None:
-        new = runs.difference(self.place)
-        if len(self.place) + len(new) > self.limit:
-            self.reset()
-            new = runs
-        at = len(self.place)
-        while len(self.rows) < at + len(new):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for i, run in enumerate(new, at):
-            self.place[run] = i
-            found = LETTERS.findall(run.lower()) if self.tables else []
-            self.rows[i] = 0.0
-            for w in found:
-                self.rows[i, :-1] += self.word(w)
-            self.rows[i, -1] = len(found)
-
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        langs, out, at = self.model.langs, [], 0
-        while at < len(texts):
-            group, chars = [], 0
-            while at < len(texts) and (not group or chars < 1_000_000):
-                value = texts[at] or ""
-                group.append(value.split())
-                chars += len(value)
-                at += 1
-            self.learn(set().union(*group))
-            for runs in group:
-                places = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
-                total = np.add.reduce(self.rows[places], axis=0)
-                if not langs or not total[-1]:
-                    out.append((NONE, 0.0))
-                    continue
-                like = np.exp(total[:-1] - total[:-1].max())
-                best = int(like.argmax())  # ties: the first language by code point
-                out.append((langs[best], float(like[best] / like.sum())))
+            keys, logs = self.tables[n]
+            if not len(left) or not len(keys):
+                continue
+            names = words.take(pa.array(left)).to_pylist()
+            names = [f"<{w}>" for w in names] if n > 1 else names
+            size = np.array([len(w) for w in names])
+            hashes = gram_hashes(code_points(names), n)
+            owner = np.repeat(np.arange(len(names)), size)[: len(hashes)]
+            inside = np.arange(len(hashes)) - (np.cumsum(size) - size)[owner] <= size[owner] - n
+            hashes, owner = hashes[inside], owner[inside]
+            found = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[found] == hashes
+            hits = np.bincount(owner[hit], minlength=len(names))
+            some = hits > 0  # as much weight as a word, however long it is
+            out[left[some]] = (summed(logs[found[hit]], hits)[some] / hits[some, None]).astype(np.float32)
+            left = left[~some]
         return out
 
+    def score(self, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[list[str], np.ndarray]]:
+        """(languages, scores) of runs of texts of about ``most`` bytes."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            whole, many, words, sizes = runs(texts.slice(at, to - at))
+            words = words.dictionary_encode()
+            each = self.words(words.dictionary)[words.indices.to_numpy()] if self.langs else np.zeros((len(words), 0))
+            by_run = np.column_stack([summed(each, sizes), sizes])
+            total = summed(by_run[whole.indices.to_numpy()], many)
+            like = total[:, :-1] - total[:, :-1].max(axis=1, initial=-np.inf, keepdims=True)
+            like = np.exp(like)
+            told = (total[:, -1] > 0) & bool(self.langs)
+            best = like.argmax(axis=1) if self.langs else np.zeros(to - at, np.int64)  # ties: the first language by code point
+            share = like[np.arange(to - at), best] / like.sum(axis=1) if self.langs else told
+            yield [self.langs[i] if t else NONE for i, t in zip(best.tolist(), told.tolist())], np.where(told, share, 0.0)
+            at = to
+
 
 _scorers: dict[int, Scorer] = {}
 
@@ -177,6 +212,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str
     ``pred`` is a language of the model, or ``und`` (with score 0) if the text is null or has no
     letter, or the model has no language. ``score`` is the likeliest language's share, 0 to 1.
     """
+    df = whole_texts(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
     number = shared.id if hasattr(shared, "id") else id(shared)
 
@@ -186,8 +222,9 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", pred: str
             _scorers.clear()
             _scorers[number] = Scorer(shared.value)
         for batch in batches:
-            found = _scorers[number].score(batch.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["p", "s"])
+            found = list(_scorers[number].score(batch))
+            langs, shares = [x for part, _ in found for x in part], np.concatenate([np.empty(0), *(part for _, part in found)])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(shares, pa.float64())], ["p", "s"])
 
     name = unused(df, "told")
     found = df.withColumn(name, run(F.col(text).cast("string"))).withColumns({pred: F.col(name)["p"], score: F.col(name)["s"]})

@@ -174,7 +174,7 @@ def test_language_is_its_sum_over_words(spark):
     import regex
 
     df = spark.read.parquet(SMALL).where("lang is not null")
-    model = langid.train(df.where("doc_id % 3 <> 1"), max_words=500, max_grams=300)
+    model = langid.train(df.where("doc_id % 3 <> 1"), max_words=2_000, max_grams=1_200)
     tables = {n: dict(zip(names.split("\n"), logs.astype(float))) for n, (names, logs) in model.tables.items()}
     odd = spark.createDataFrame([(90_001, "ΑΣ don't  x1y2 漢字漢字", "en"), (90_002, "\x0b ñandú-Über\u00a0été", "es")], "doc_id long, text string, lang string")
     for r in langid.identify(df.where("doc_id % 3 = 1").select("doc_id", "text", "lang").unionByName(odd), model).collect():
