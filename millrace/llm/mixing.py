@@ -165,17 +165,17 @@ def mix(
     ceil(``most``) times. Rows are units by their own hash, so repeated ids and rows are chosen apart; null ids count
     as rows like any other. The same rows give the same mix.
     """
-    sized = df.select(F.col(id_col), F.col(source).alias("source"), words_in(text).alias("size"))
+    sized = df.select(F.col(id_col), F.col(source).alias("source"), words_in(text).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("_text"))
     sized = written(sized, "sizes")
-    # Equal rows get different numbers; which of them is which makes no difference.
-    twins = Window.partitionBy(id_col, "source", "size").orderBy(F.lit(0))
+    # Equal rows get different numbers; which of them is which makes no difference. Rows that only lack an id are told apart by their texts.
+    twins = Window.partitionBy(id_col, "source", "size", "_text").orderBy(F.lit(0))
     numbered = sized.withColumn("_twin", F.row_number().over(twins))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     by_source = written(by_source.withColumn("source_key", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))), "targets")
     few = F.broadcast(by_source) if by_source.count() <= 10_000 else by_source
     units = numbered.join(few.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    units = units.withColumn("_r", ratio).withColumn("_whole", F.floor(F.col("_r") + EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("_r") - F.col("_whole"))).withColumn("key", F.xxhash64(F.lit(seed), F.col(id_col), "source", "size", "_twin"))
+    units = units.withColumn("_r", ratio).withColumn("_whole", F.floor(F.col("_r") + EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("_r") - F.col("_whole"))).withColumn("key", F.xxhash64(F.lit(seed), F.col(id_col), "source", "size", "_text", "_twin"))
     fractional = units.where(F.col("p") > EPS).select("source_key", "key", "size", "p")
     chosen = _solve(fractional, seed, block_rows)
     return (
