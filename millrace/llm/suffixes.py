@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import wide, written
+from .common import whole_texts, wide, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -86,7 +86,14 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
     rise = np.append(np.sign(np.diff(t.astype(np.int16))), -1)
     change = np.where(rise != 0, np.arange(n), n)
     small = rise[np.minimum.accumulate(change[::-1])[::-1]] > 0
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    direct = np.flatnonzero(small)
+    two = t[direct].astype(np.int32) * 256 + t[np.minimum(direct + 1, n - 1)]
+    order = np.argsort(two, kind="stable")
+    cuts = np.flatnonzero(np.diff(two[order])) + 1
+    for part in np.split(order, cuts):  # those of the same two letters at a time: only their keys are held
+        if len(part) > 1:
+            direct[part] = sorted(direct[part].tolist(), key=lambda i: data[i : i + depth])
+    direct = direct[order]
     edges = np.searchsorted(t[direct], np.arange(257))
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     buckets[t[-1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
@@ -194,9 +201,11 @@ def repeated_spans(
     or another; overlaps count. A null text is empty and has no spans, as have texts shorter than
     ``length``. Each row is a document of its own, even if its id or the whole row is repeated, so a repeated row's long text is one span.
     An anchor with more than ``hot_segments`` different segments is cut up by the
-    offset of its runs and the bytes that all runs of such an offset share. Bits of a filter of fixed size
+    offset of its runs and the bytes that all runs of such an offset share; where more than ``hot_segments`` pieces
+    share those bytes, too, their runs are counted one by one by their digests. Bits of a filter of fixed size
     decide which texts are shuffled; where it fills up, more are.
     """
+    df = whole_texts(df)
     if not 1 < gram <= length:
         raise ValueError("gram must be 2 to length bytes")
     spark = df.sparkSession
@@ -206,7 +215,7 @@ def repeated_spans(
     long = rows.where(F.octet_length("_text") >= length)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             keys, parts, digests = batch.column(0).to_numpy(), [], []
             owners = []
             for key, value in zip(keys, batch.column(1)):
@@ -224,32 +233,43 @@ def repeated_spans(
     twice = written(occ.groupBy("fp").count().where("count > 1").select("fp"), "twice")  # a plain table, so that the join can split a hot anchor
     occ = written(occ.join(twice, "fp", "left_semi"), "repeated")
     segments = written(occ.groupBy("fp", "s0", "s1").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "more", "anchor")).alias("at")), "segments")
-    kinds = segments.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = written(segments.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     mixed = segments.join(kinds, "fp").select("fp", "s0", "s1", "kinds", "at.*")
     wanted = written(mixed.groupBy("key").agg(F.collect_list(F.struct("fp", "s0", "s1", "kinds", "first", "more", "anchor")).alias("cuts")), "wanted")
     step = max(1, (length - gram) // 10)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             out: list[tuple] = []
             for value, cuts in zip(batch.column(0), batch.column(1)):
                 raw = value.as_py().encode("utf-8", "replace")
                 for x in cuts.as_py():
                     first, last, place = x["first"], x["first"] + x["more"], x["first"] + x["anchor"]
                     if x["kinds"] <= hot_segments:
-                        out.append((x["fp"], x["fp"], x["s0"], x["s1"], 0, raw[first : last + length]))
+                        out.append((x["fp"], x["fp"], x["s0"], x["s1"], 0, False, raw[first : last + length]))
                         continue
                     for r in range(length // step + 1):  # runs that start r * step or up to a step more before the anchor
                         a, b = max(first, place - (r + 1) * step + 1), min(last, place - r * step)
                         if a <= b:
                             core = raw[place - r * step : place - (r + 1) * step + 1 + length]
                             name = xxhash.xxh3_64_intdigest(core, (x["fp"] ^ r) & 0xFFFFFFFFFFFFFFFF)
-                            out.append((name - (1 << 64) if name >> 63 else name, x["fp"], x["s0"], x["s1"], a - first, raw[a : b + length]))
+                            out.append((name - (1 << 64) if name >> 63 else name, x["fp"], x["s0"], x["s1"], a - first, True, raw[a : b + length]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["g", "fp", "s0", "s1", "skip", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["g", "fp", "s0", "s1", "skip", "hot", "part"])
 
     kept = long.where(_maybe(long, F.col("key"), wanted.select("key"), filter_bits)).select("key", "_text")
-    pieces = kept.join(wanted, "key").select("_text", "cuts").mapInArrow(cut, "g long, fp long, s0 long, s1 long, skip int, part binary")
+    pieces = kept.join(wanted, "key").select("_text", "cuts").mapInArrow(cut, "g long, fp long, s0 long, s1 long, skip int, hot boolean, part binary")
+    pieces = written(pieces, "pieces")
+    large = written(pieces.where("hot").groupBy("g").count().where(F.col("count") > hot_segments).select("g"), "large")
+
+    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
+            parts = batch.column(4).to_pylist()
+            runs = np.array([len(x) - length + 1 for x in parts])
+            places = [i for n in runs.tolist() for i in range(n)]
+            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x[i : i + length]) for x, n in zip(parts, runs.tolist()) for i in range(n)]), np.int64).reshape(-1, 2)
+            owner = [np.repeat(batch.column(i).to_numpy(), runs) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digests[:, 0], digests[:, 1], *owner[:3], owner[3].astype(np.int64) + np.array(places, np.int64))], ["r0", "r1", "fp", "s0", "s1", "a"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -279,8 +299,15 @@ def repeated_spans(
         if held:
             yield found(held)
 
-    grouped = pieces.repartition(wide(spark), "g").sortWithinPartitions("g")
+    some = not large.isEmpty()
+    grouped = (pieces.join(large, "g", "left_anti") if some else pieces).select("g", "fp", "s0", "s1", "skip", "part").repartition(wide(spark), "g").sortWithinPartitions("g")
     matched = grouped.mapInArrow(sort, "fp long, s0 long, s1 long, runs array<struct<a: bigint, b: bigint>>")
+    if some:
+        single = pieces.join(large, "g", "left_semi").select("fp", "s0", "s1", "skip", "part").mapInArrow(singly, "r0 long, r1 long, fp long, s0 long, s1 long, a long")
+        single, place = written(single, "single"), F.struct("s0", "s1", "a")
+        again = written(single.groupBy("r0", "r1").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("r0", "r1"), "again")
+        hits = single.join(again, ["r0", "r1"], "left_semi").select("fp", "s0", "s1", F.array(F.struct("a", F.col("a").alias("b"))).alias("runs"))
+        matched = matched.unionByName(hits)
     whole = segments.where("n > 1").select("fp", "s0", "s1", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.more").cast("long").alias("b"))).alias("runs"))
     result = written(whole.unionByName(matched).groupBy("fp", "s0", "s1").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     # Runs in the order of their start; each run that begins past the end of all before it opens a span.
