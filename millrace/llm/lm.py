@@ -264,7 +264,8 @@ class Model:
                     trust = self.letter_trust[order][slots[order]]
                     mixed += rest * trust * self.letter_odds[order][slots[order]]
                     rest *= 1 - trust
-                bits -= np.logaddexp(0, np.where(bit == 1, -mixed, mixed)).astype(np.float32)
+                mixed *= 1 - 2 * bit.astype(np.float32)
+                bits -= np.maximum(mixed, 0) + np.log(1 + np.exp(-np.abs(mixed)))
             out[at : at + 20_000] = np.bincount(owner, bits, len(group[at : at + 20_000])) / np.log(2)
         return out
 
@@ -309,20 +310,17 @@ class Model:
         token, depth = code.bits_of(ids)
         sizes = np.bincount(owner, code.size[ids], texts).astype(np.int64)
         most = int(sizes.max(initial=0))
-        if most >> block:
-            turn = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes) >> block
-            order = np.argsort(turn.astype(np.int16) if most >> block < 1 << 15 else turn, kind="stable")
-            token, depth = token[order], depth[order]
+        begins = np.cumsum(sizes) - sizes
         first, of_class, of_word = code.first(ids), spread(classes), spread(previous)
         weights = [np.tile(np.repeat(x[None], DEPTHS * 3 // len(x), 0).ravel(), texts) for x in START.T]
         centre = 1 / (1 + np.exp(-(np.arange(steps) - steps / 2 + 0.5) / 2))
         seen_as = np.tile(np.column_stack([prior * (1 - centre), prior * centre]).ravel().astype(np.float32), texts)  # zeros and ones in each cell
-        b = 0
         for begin in range(0, most, 1 << block):
             live = np.flatnonzero(sizes > begin)
             size = np.minimum(sizes[live] - begin, 1 << block)
-            a, b = b, b + int(size.sum())
-            t, d = token[a:b].astype(np.int64), depth[a:b]
+            spot = np.repeat(begins[live] + begin - (np.cumsum(size) - size), size)
+            spot += np.arange(len(spot))
+            t, d = token.take(spot).astype(np.int64), depth.take(spot)
             at = (first.take(t) + d).astype(np.int64)
             node, y = code.nodes.take(at), code.bits.take(at)
             odd = node * np.uint32(0x85EBCA6B)
