@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +28,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder; what is written there goes when Spark ends."""
+    path = f"{scratch_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and no executor's loss can undo it. It goes when Spark ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(hadoop).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def whole_texts(df: DataFrame, size: int = 8 << 20) -> DataFrame:
@@ -44,6 +52,16 @@ def whole_texts(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     return df
 
 
+def in_groups(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Texts in runs of about ``most`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores where its files give fewer: a file of one row group is a single task otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism

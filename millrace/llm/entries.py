@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, langid, lm, mixing, simhash, suffixes, toxicity, vafile
-from .common import remainder, spread
+from . import ann, bpe, counts, langid, lm, mixing, simhash, suffixes, tokenfiles, toxicity, vafile
+from .common import remainder, scratch_path, spread
 
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +74,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenfiles.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, end=2)
+    folder = scratch_path(spark, "tokens")
+    tokenfiles.write_tokens(docs, folder)
+    return tokenfiles.with_crc32(tokenfiles.read_tokens(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing)
+    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing, op13_token_files)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_texts, written
+from .common import in_groups, whole_texts, written
 
 #: Depths that have weights of their own; all below share the last one's.
 DEPTHS = 24
@@ -354,16 +354,6 @@ class Model:
         return out / np.log(2)
 
 
-def _groups(texts: pa.Array, most: int) -> Iterator[pa.Array]:
-    """Texts in runs of about ``most`` bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield texts.slice(at, to - at)
-        at = to
-
-
 def word_counts(df: DataFrame, text: str = "text", most: int = 16_000_000) -> DataFrame:
     """(word binary, n long) over all of df's texts; each task adds up about ``most`` bytes of text at a time before its shuffle."""
 
@@ -374,7 +364,7 @@ def word_counts(df: DataFrame, text: str = "text", most: int = 16_000_000) -> Da
 
         held, size = [], 0
         for batch in batches:
-            for group in _groups(batch.column(0), most):
+            for group in in_groups(batch.column(0), most):
                 held.append(words(group)[0])
                 size += group.nbytes
                 if size >= most:
@@ -413,7 +403,7 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model,
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables, size = shared.value, [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
         for batch in batches:
-            for group in _groups(batch.column(0), 2_000_000):
+            for group in in_groups(batch.column(0), 2_000_000):
                 ids, starts, _ = _ids(own, group)
                 if size + len(ids) >= 1 << 31:  # a task of that many tokens counts in several tables
                     yield from _blocks(tables)
@@ -469,7 +459,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         spelling: dict[bytes, float] = {}
         for batch in batches:
             out = [pa.array([], kind)]
-            for group in _groups(batch, 1_000_000):
+            for group in in_groups(batch, 1_000_000):
                 ids, starts, rare = _ids(code, group)
                 texts = len(starts)
                 owner = np.repeat(np.arange(texts), np.diff(np.append(starts, len(ids))))
