@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, langid, lm, mixing, simhash, suffixes, tokenfiles, toxicity, vafile
+from . import ann, bpe, counts, langid, lm, mixing, negatives, simhash, suffixes, tokenfiles, toxicity, vafile
 from .common import remainder, scratch_path, spread
 
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,6 +74,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenfiles.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, end=2)
     folder = scratch_path(spark, "tokens")
@@ -84,7 +89,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing, op13_token_files)
+    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing, op12_hard_negatives, op13_token_files)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -105,8 +110,29 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+#: All anchors against all rows, and all positives' windows against all rows of their anchors.
+OP12_SQL = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM ok a JOIN ok c ON a.vec_id <> c.vec_id AND a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op4_vafile": OP4_SQL}
+    own = {"op4_vafile": OP4_SQL, "op12_hard_negatives": OP12_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
