@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, langid, lm, mixing, negatives, simhash, suffixes, tokenfiles, toxicity, vafile
-from .common import remainder, scratch_path, spread
+from . import ann, bpe, codes, counts, langid, lm, mixing, negatives, simhash, suffixes, tokenfiles, toxicity, vafile
+from .common import remainder, scratch_path, spread, written
 
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.compress(_table(spark, sf_dir, "embeddings"))
+    # The sums of errors and their rows come from one written table, not from two runs of the last assignment.
+    summed = codes.with_label_error(written(coded, "coded"))
+    return summed.select("vec_id", codes.hex_codes().alias("code"), "error", "label_error", F.lit(codes.digest(book)).alias("codebooks_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -89,7 +96,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing, op12_hard_negatives, op13_token_files)
+    own = (op1_ann, op2_toxicity, op3_suffix_dedup, op4_vafile, op5_langid, op6_bpe, op7_simhash, op8_token_counts, op9_lm_scoring, op10_mixing, op11_vector_codes, op12_hard_negatives, op13_token_files)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -131,8 +138,36 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op11_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Every round assigns all parts to all entries; components are rows (vec_id, part, place, x), codebooks rows (part, entry, place, c)."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT vec_id, p, e, dist FROM (SELECT x.vec_id, x.p, b.e, sum((x.x - b.c) * (x.x - b.c))::BIGINT AS dist FROM comps x JOIN b{r} b ON b.p = x.p AND b.d = x.d GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY dist, e) = 1
+)"""
+    moved = """b{n} AS MATERIALIZED (
+  SELECT b.p, b.e, b.d, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+    SELECT a.p, a.e, x.d, floor(sum(x.x)::DOUBLE / count(*))::BIGINT AS c FROM a{r} a JOIN comps x ON x.vec_id = a.vec_id AND x.p = a.p GROUP BY ALL
+  ) m ON m.p = b.p AND m.e = b.e AND m.d = b.d
+)"""
+    steps = [f(**{"r": r, "n": r + 1}) for r in range(rounds) for f in (nearest.format, moved.format)] + [nearest.format(r=rounds)]
+    return f"""
+WITH ok AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, len(embedding) // {parts} AS width FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comps AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // width AS p, (i - 1) % width AS d, v[i] AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM ok)
+), b0 AS MATERIALIZED (
+  SELECT p, e, d, x AS c FROM comps JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM ok ORDER BY vec_id LIMIT {entries}) USING (vec_id)
+), {", ".join(steps)}, done AS MATERIALIZED (
+  SELECT vec_id, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, d)) FROM b{rounds}) AS codebooks_sha256
+FROM done JOIN ok USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op4_vafile": OP4_SQL, "op12_hard_negatives": OP12_SQL}
+    own = {"op4_vafile": OP4_SQL, "op11_vector_codes": op11_sql(), "op12_hard_negatives": OP12_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
