@@ -227,7 +227,7 @@ class Words:
     thirds of the different runs miss it; then it is filled anew.
     """
 
-    def __init__(self, path: str, cache: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, cache: int = 250_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.own, self.limit, self.longest, self.known = Tokenizer.from_file(path), cache, longest, {}
@@ -292,12 +292,14 @@ class Words:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         begins = np.cumsum(lengths) - lengths
         # Which piece each part is: its run, its text's beginning or, after each text, ``last``.
-        part = np.empty(len(flat), np.int64)
+        part = np.empty(len(flat), np.int32)
         part[inner], part[first] = coded.indices.to_numpy(), len(coded.dictionary) + np.arange(len(texts))
         part = np.insert(part, first + sizes, len(pieces) - 1)
-        size = lengths[part]
+        size = lengths.take(part)
         ends = np.cumsum(size)
-        ids = np.frombuffer(b"".join(pieces), "<i4")[np.repeat(begins[part] - (ends - size), size) + np.arange(size.sum())]
+        at = np.repeat((begins.take(part) - (ends - size)).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(pieces), "<i4").take(at)
         return ends[np.cumsum(sizes + 1) - 1] if len(texts) else ends, ids
 
 
@@ -320,7 +322,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end:
         own = tokenizer(path)
         for batch in batches:
             slices = [pa.array([], pa.list_(pa.int32()))]
-            for group in in_groups(batch, 8 << 20):
+            for group in in_groups(batch, 2 << 20):
                 ends, found = own.encode(group, last)
                 slices.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found)))
             yield pa.concat_arrays(slices)
