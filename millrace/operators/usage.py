@@ -83,25 +83,6 @@ def near_limit(usage_pct: Column, threshold: float = NEAR_LIMIT) -> Column:
     return usage_pct >= threshold
 
 
-def token_bucket(log: DataFrame, request_capacity: float, request_refill: float, token_capacity: float, token_refill: float) -> DataFrame:
-    """log with admitted, request_level and token_level: each key has a bucket of requests and one of tokens.
-
-    A request passes if both hold its cost; each bucket is charged on its own, even if the other refuses.
-    """
-
-    def step(state: tuple, row: tuple) -> tuple:
-        last, requests, tokens = state
-        us, cost = row
-        passed = 0 if last is None else (us - last) / MICROS
-        requests, tokens = min(request_capacity, requests + passed * request_refill), min(token_capacity, tokens + passed * token_refill)
-        first, second = requests >= 1, tokens >= cost
-        requests, tokens = requests - first, tokens - cost * second
-        return (us, requests, tokens), (bool(first and second), float(requests), float(tokens))
-
-    timed = log.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return fold(timed, ["key"], ["_us", "event_id"], lambda: (None, request_capacity, token_capacity), step, ["_us", "tokens"], "admitted boolean, request_level double, token_level double").drop("_us")
-
-
 def usage_metrics(attempts: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
     """Totals, success share in percent and peak use of a window, for each ``by``."""
     used = trailing_usage(attempts, seconds)
@@ -174,15 +155,3 @@ def ema_response_time(log: DataFrame, alpha: float = 0.1) -> DataFrame:
     joined = rows.join(chained, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
     mean = F.when(F.col("_before").isNull() | F.isnan("_before"), F.col("_fresh")).otherwise(F.col("_a") * F.col("_before") + F.col("_linear"))
     return joined.withColumn("ema", mean).select(*log.columns, "ema")
-
-
-def pack_batches(log: DataFrame, max_size: int = 10, max_tokens: float = 4000) -> DataFrame:
-    """log with batch_id from 0 within each key: a batch takes requests until it has ``max_size`` or ``max_tokens``; the last may go over."""
-
-    def step(state: tuple, row: tuple) -> tuple:
-        batch, size, tokens = state
-        if size >= max_size or tokens >= max_tokens:
-            batch, size, tokens = batch + 1, 0, 0.0
-        return (batch, size + 1, tokens + row[0]), (batch,)
-
-    return fold(log, ["key"], ["ts", "event_id"], lambda: (0, 0, 0.0), step, ["tokens"], "batch_id long")

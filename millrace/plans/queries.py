@@ -11,8 +11,10 @@ from ..functions import requests as R
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import augment as A
+from ..operators import buckets as B
 from ..operators import dedup as D
 from ..operators import jobs as J
+from ..operators import packing as K
 from ..operators import prompts as P
 from ..operators import quality as Q
 from ..operators import usage as U
@@ -477,7 +479,7 @@ BUCKET_SQL = """b(key, rn, event_id, us, r, k, ok1, ok2) AS (SELECT key, rn, eve
 
 @query(f"WITH RECURSIVE {ORDERED_SQL}, {BUCKET_SQL} SELECT event_id, ok1 AND ok2 AS admitted, round(r, 6) AS request_level, round(k, 6) AS token_level FROM b")
 def u6_token_bucket(spark, d):
-    return U.token_bucket(t.request_log(spark, d), 5.0, 0.002, 60.0, 0.01).select("event_id", "admitted", r6("request_level"), r6("token_level"))
+    return B.token_bucket(t.request_log(spark, d), 5.0, 0.002, 60.0, 0.01).select("event_id", "admitted", r6("request_level"), r6("token_level"))
 
 
 @query(f"WITH {t.LOG_SQL} SELECT key, count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (rate_limited) AS rate_limited, count(*) FILTER (rate_limited AND attempt < 6) AS retried, round(count(*) FILTER (ok) * 100.0 / count(*), 6)::DOUBLE AS success_pct, max(requests_in_window) AS peak_requests, round(max(tokens_in_window), 6) AS peak_tokens FROM (SELECT *, {TRAIL_SQL} FROM log {FRAME_SQL}) GROUP BY key")
@@ -497,7 +499,7 @@ def u9_backoff_delay(spark, d):
 
 @query(f"WITH RECURSIVE {ORDERED_SQL}, p(key, rn, event_id, batch_id, n, s) AS (SELECT key, rn, event_id, 0::BIGINT, 1, tokens FROM o WHERE rn = 1 UNION ALL SELECT o.key, o.rn, o.event_id, CASE WHEN p.n >= 10 OR p.s >= 100 THEN p.batch_id + 1 ELSE p.batch_id END, CASE WHEN p.n >= 10 OR p.s >= 100 THEN 1 ELSE p.n + 1 END, CASE WHEN p.n >= 10 OR p.s >= 100 THEN o.tokens ELSE p.s + o.tokens END FROM p JOIN o ON o.key = p.key AND o.rn = p.rn + 1) SELECT event_id, batch_id FROM p")
 def u10_pack_batches(spark, d):
-    return U.pack_batches(t.request_log(spark, d), 10, 100).select("event_id", "batch_id")
+    return K.pack_batches(t.request_log(spark, d), 10, 100).select("event_id", "batch_id")
 
 
 # Job log

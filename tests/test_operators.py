@@ -10,6 +10,7 @@ from millrace.functions import scoring as S
 from millrace.functions import text as T
 from millrace.operators import augment as A
 from millrace.operators import dedup as D
+from millrace.operators import packing as K
 from millrace.operators import prompts as P
 from millrace.operators import quality as Q
 from millrace.operators import usage as U
@@ -87,7 +88,7 @@ def test_fold_carries_state_over_batches(spark):
     at = dt.datetime(2024, 1, 1)
     rows = spark.createDataFrame([(i, "k", at + dt.timedelta(seconds=i), float(i % 5)) for i in range(2500)], "event_id long, key string, ts timestamp, tokens double")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    got = {r.event_id: r.batch_id for r in U.pack_batches(rows, 7, 12).collect()}
+    got = {r.event_id: r.batch_id for r in K.pack_batches(rows, 7, 12).collect()}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     batch, n, s = 0, 0, 0.0
     for i in range(2500):
