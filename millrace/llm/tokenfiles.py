@@ -227,7 +227,7 @@ class Words:
     thirds of the different runs miss it; then it is filled anew.
     """
 
-    def __init__(self, path: str, cache: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, cache: int = 150_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.own, self.limit, self.longest, self.known = Tokenizer.from_file(path), cache, longest, {}
@@ -314,7 +314,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end:
     ``path`` is a byte-level tokenizer file that every executor can open. A null or empty text has no ids of its own; repeated
     rows and an empty table stay as they are. A column named like ``ids`` is replaced.
     """
-    df = whole_texts(df)
+    df = whole_texts(df, 2 << 20)
     last = [] if end is None else [end]
 
     @F.arrow_udf("array<int>")
