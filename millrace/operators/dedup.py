@@ -2,7 +2,13 @@
 
 Near duplicates are texts whose normal forms' word sets have a Jaccard similarity of at least
 ``threshold``; the search finds all of them. Words are compared by 64-bit hashes. Rows with one word set form a
-class, and only classes are compared: copies never make pairs. ``seq`` is a key of each table.
+class, and only classes are compared: copies never make pairs.
+
+With words in an order that is the same for all sets, two such sets share a word among the first n - ceil(threshold * n) + 1 of each. So
+a set is listed under those words only, its prefix, and as the rarest words come first, lists are short. A pair is looked at
+further if the sizes allow it and the words that are left after the shared one suffice. The first-wins rule needs less than all pairs: only
+rows that were kept can make others go, so lists are gone through from their first rows on, a few more in every round, and what
+is near to a kept row leaves all lists. ``m`` near copies of a text cost some ``m`` rows, not the square of it.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,6 +26,11 @@ from ..sources.scratch import written
 SLACK = 1e-9
 #: Edges that one task may settle by itself: some tens of MB.
 SMALL = 200_000
+#: With no more pairs than this in all lists, or no more for each row of the lists, they are gone through at once.
+MOST_PAIRS = 2_000_000
+PAIRS_A_ROW = 8
+#: How many rows of each list the first round looks at, and how many times as many each further round.
+FIRST, GROWTH = 16, 8
 
 
 def exact_duplicates(df: DataFrame, scope: list[str], seq: str = "seq") -> DataFrame:
@@ -29,131 +40,257 @@ def exact_duplicates(df: DataFrame, scope: list[str], seq: str = "seq") -> DataF
     return hashed.join(first, [*scope, "text_hash"]).withColumn("is_duplicate", F.col(seq) > F.col("_first")).drop("_first")
 
 
-def set_pairs(left: DataFrame, threshold: float, right: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity) of sets (cid, scope, words: distinct numbers) in one scope that are at least ``threshold`` alike; a < b within one table.
+def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None) -> DataFrame:
+    """(cid, scope, n, at, word): the words of each set's prefix with their places in the order of words.
+
+    ``sets`` has cid, scope and words (distinct numbers). Words come by rising ``frequency`` (word, f), which is that among ``sets`` if none is given; words
+    that it lacks come first.
+    """
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - SLACK) + 1
+    words = sets.select("cid", "scope", F.size("words").alias("n"), F.explode("words").alias("word"))
+    if frequency is None:
+        ranked = words.join(words.groupBy("word").agg(F.count("*").alias("f")), "word")
+    else:
+        ranked = words.join(frequency, "word", "left").withColumn("f", F.coalesce("f", F.lit(0).cast("long")))
+    ordered = ranked.groupBy("cid", "scope", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("w"))
+    return ordered.select("cid", "scope", "n", F.posexplode(F.slice("w", F.lit(1), keep.cast("int"))).alias("at", "x")).select("cid", "scope", "n", "at", F.col("x.word").alias("word"))
+
+
+def may_be_near(threshold: float, a: str = "a", b: str = "b") -> Column:
+    """Whether lists' rows (columns n and at with ``a`` and ``b`` after them) under one word may be near: by their sizes, and by what is left of both from that word on.
 
-    Prefix filter: with words in order from rare to frequent, two such sets share a word among the
-    first n - ceil(threshold * n) + 1 of each. Frequent words hardly ever get into a prefix.
+    The first word that two sets share passes if they are near; later ones need not.
     """
-    own = right is None
-    left, right = written(left, "sets"), None if own else written(right, "sets")
-    both = left if own else left.select("cid", "scope", "words").unionByName(right.select("cid", "scope", "words"))
-    frequency = both.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        ranked = df.select("cid", "scope", F.size("words").alias("n"), F.explode("words").alias("word")).join(frequency, "word")
-        ordered = ranked.groupBy("cid", "scope", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("w"))
-        keep = F.col("n") - F.ceil(F.col("n") * threshold - SLACK) + 1
-        return ordered.select("cid", "scope", "n", F.explode(F.slice("w", F.lit(1), keep.cast("int"))).alias("x")).select("cid", "scope", "n", F.col("x.word").alias("word"))
-
-    a = prefixes(left).select(F.col("cid").alias("a"), "scope", F.col("n").alias("na"), "word")
-    b = (prefixes(left) if own else prefixes(right)).select(F.col("cid").alias("b"), F.col("scope").alias("scope_b"), F.col("n").alias("nb"), F.col("word").alias("word_b"))
-    near = (F.col("word") == F.col("word_b")) & F.col("scope").eqNullSafe(F.col("scope_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - SLACK)
-    found = a.join(b, near & (F.col("a") < F.col("b")) if own else near).select("a", "b").distinct()
-    named = found.join(left.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join((left if own else right).select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
+    na, nb, left = F.col(f"n{a}"), F.col(f"n{b}"), F.least(F.col(f"n{a}") - F.col(f"at{a}"), F.col(f"n{b}") - F.col(f"at{b}"))
+    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - SLACK) & (left * (1 + threshold) >= (na + nb) * threshold - SLACK)
+
+
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (a, b, ...) with their similarity, those that reach the threshold; sets are (cid, words)."""
+    named = pairs.join(left.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(right.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    return named.withColumn("similarity", shared / (F.size("wa") + F.size("wb") - shared)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return named.withColumn("similarity", shared / (F.size("wa") + F.size("wb") - shared)).where(F.col("similarity") >= threshold).drop("wa", "wb")
+
+
+def _listed(index: DataFrame, name: str) -> DataFrame:
+    """The lists' rows with ``name`` after their columns, but for scope and word."""
+    return index.select(F.col("cid").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"), "scope", "word", *[c for c in index.columns if c not in ("cid", "n", "at", "scope", "word")])
 
 
-def near_duplicate_pairs(df: DataFrame, threshold: float = 0.85, scope: list[str] = [], seq: str = "seq") -> DataFrame:
-    """(a, b, similarity) for classes of equal word sets, each named by its first row; copies are in the membership, not here."""
-    return set_pairs(_classes(df, scope, seq).where("size(words) > 0"), threshold)
+def set_pairs(left: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of all sets (cid, scope, words) in one scope that are at least ``threshold`` alike; a < b."""
+    left = written(left, "sets")
+    index = prefixes(left, threshold)
+    found = _listed(index, "a").join(_listed(index, "b"), ["scope", "word"]).where((F.col("a") < F.col("b")) & may_be_near(threshold)).select("a", "b").distinct()
+    return verified(found, left, left, threshold).select("a", "b", "similarity")
+
+
+def near_duplicate_pairs(df: DataFrame, threshold: float = 0.85, scope: list[str] = [], seq: str = "seq", pairs: bool = True) -> DataFrame:
+    """(a, b, similarity) for classes of equal word sets, each named by its first row; copies are in the membership, not here.
+
+    With ``pairs`` false, each class but those that the first-wins rule keeps once: a is the first kept class that it is near to. These are
+    no more rows than there are classes, however many near copies there are. ``seq`` names rows and is not null; of a repeated one it is not told which row is meant.
+    """
+    classes = _classes(df, scope, seq).where("size(words) > 0")
+    if pairs:
+        return set_pairs(classes, threshold)
+    classes = written(classes.select("cid", "scope", "words", _order(F.col("cid"), F.lit(0)).alias("e")), "classes")
+    kept, _, index = leaders(classes, threshold)
+    led = _near_kept(index.where(F.col("e").isNotNull()).join(kept.select("cid"), "cid", "left_anti"), index.join(kept.select("cid"), "cid", "left_semi"), classes, threshold)
+    return led.groupBy(F.col("a").alias("b")).agg(F.min(F.struct("eb", "b", "similarity")).alias("x")).select(F.col("x.b").alias("a"), "b", F.col("x.similarity").alias("similarity"))
 
 
 def _classes(df: DataFrame, scope: list[str], seq: str) -> DataFrame:
-    rows = df.select(F.col(seq).alias("cid"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), T.hashed_set(F.col("text")).alias("words"))
-    return rows.groupBy("scope", F.xxhash64("words").alias("set"), F.size("words").alias("n")).agg(F.min("cid").alias("cid"), F.first("words").alias("words")).select("cid", "scope", "words")
+    rows = df.select(F.col(seq).alias("cid"), _scope(scope).alias("scope"), T.hashed_set(F.col("text")).alias("words"))
+    return rows.groupBy("scope", *_set_key(), F.size("words").alias("n")).agg(F.min("cid").alias("cid"), F.first("words").alias("words")).select("cid", "scope", "words")
+
+
+def _scope(scope: list[str]) -> Column:
+    """The scope's columns as one text; a null in them is a value of its own."""
+    return F.coalesce(F.struct(*scope, F.lit(0)).cast("string"), F.lit(""))
+
+
+def _set_key() -> list[Column]:
+    """Two hashes of a set of words: one of 64 bits would meet itself among some 10**9 sets."""
+    return [F.xxhash64("words").alias("set"), F.xxhash64(F.lit(1), "words").alias("set2")]
+
+
+def _order(seq: Column, row: Column) -> Column:
+    """Rows' place in the walk: by seq, nulls last, then by the row's own number."""
+    return F.struct(seq.isNull().alias("last"), seq.cast("long").alias("seq"), row.cast("long").alias("row"))
 
 
 def word_set_members(df: DataFrame, scope: list[str] = [], seq: str = "seq") -> DataFrame:
     """(seq, class): the first row with the same word set, for every row."""
-    rows = df.select(F.col(seq).alias("seq"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), F.md5(F.concat_ws(" ", T.word_set(F.col("text")))).alias("set"))
+    rows = df.select(F.col(seq).alias("seq"), _scope(scope).alias("scope"), F.md5(F.concat_ws(" ", T.word_set(F.col("text")))).alias("set"))
     rows = written(rows, "members")
     return rows.join(rows.groupBy("scope", "set").agg(F.min("seq").alias("class")), ["scope", "set"]).select("seq", "class")
 
 
-def _lost(edges: DataFrame) -> DataFrame:
-    """The nodes a that are dropped, from all edges (a, b, ea, eb), by walking them in the order of ea in one task; for few edges only."""
+def _walked(edges: DataFrame) -> DataFrame:
+    """(cid, lost) of the nodes a that are lost or, else, not sure, from all edges (a, b, ea, sure_a, sure_b) in the order of ea, in one task; for few edges only."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
         if not found:
             return
         table = pa.Table.from_batches(found)
-        a, b, ea = (table[c].to_numpy() for c in ("a", "b", "ea"))
+        a, b, last, seq, row, sure_a, sure_b = (table[c].to_numpy() for c in ("a", "b", "last", "seq", "row", "sure_a", "sure_b"))
+        order = np.lexsort((row, seq, last))
         lost: set[int] = set()
-        for i in np.lexsort((a, ea)):
-            if int(b[i]) not in lost:
-                lost.add(int(a[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(list(lost), pa.int64())], ["a"])
-
-    return edges.select("a", "b", "ea").coalesce(1).mapInArrow(walk, "a long")
+        open_: set[int] = set()
+        ends = [*(np.flatnonzero(np.diff(a[order])) + 1).tolist(), len(order)]
+        for begin, end in zip([0, *ends], ends):
+            mine = order[begin:end]
+            own, unsure = int(a[mine[0]]), not sure_a[mine[0]]
+            for i in mine:
+                other = int(b[i])
+                if other in open_ or (not sure_b[i] and other not in lost):
+                    unsure = True
+                elif other not in lost:
+                    lost.add(own)
+                    break
+            if own not in lost and unsure:
+                open_.add(own)
+        yield pa.RecordBatch.from_arrays([pa.array([*lost, *open_], pa.int64()), pa.array([True] * len(lost) + [False] * len(open_))], ["cid", "lost"])
+
+    return edges.select("a", "b", "ea.last", F.coalesce("ea.seq", F.lit(0)).alias("seq"), "ea.row", "sure_a", "sure_b").coalesce(1).mapInArrow(walk, "cid long, lost boolean")
+
+
+def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, lost, index) of a written table of classes (cid, scope, words, e): what the first-wins rule keeps of the classes with a place ``e`` in the walk.
+
+    ``kept`` has cid and e, ``lost`` has cid and ``near``, the place of a kept class that it is near to, and ``index`` the prefixes of all classes with
+    their e. A class without words is near to none and kept.
+
+    In each round a class is held against those that come first in its lists, kept ones and undecided ones, up to a limit that grows from round
+    to round. Where no earlier one lies beyond the limit, it is sure: it is kept if all that it is near to are lost. Any class that is near to a kept one is lost.
+    """
+    sets = classes.where("size(words) > 0")
+    index = written(prefixes(sets, threshold).join(classes.select("cid", "e"), "cid"), "index")
+    bare = classes.where("size(words) = 0 and e is not null").select("cid", "e")
+    lists = index.where("e is not null")
+    undecided, kept, lost = sets.where("e is not null").select("cid", "e"), None, None
+    limit: int | None = FIRST
+    while True:
+        if kept is not None:
+            lists = index.join(undecided.select("cid").unionByName(kept.select("cid")), "cid", "left_semi")
+        asks = lists if kept is None else index.join(undecided.select("cid"), "cid", "left_semi")
+        size = lists.groupBy("scope", "word").agg(F.count("*").alias("f")).agg(F.coalesce(F.sum(F.col("f") * (F.col("f") - 1.0) / 2), F.lit(0.0)), F.coalesce(F.sum("f"), F.lit(0))).first()
+        if size[0] <= max(MOST_PAIRS, PAIRS_A_ROW * size[1]):
+            limit = None
+        heads = _listed(lists, "b").withColumnRenamed("e", "eb")
+        if limit is not None:
+            place = Window.partitionBy("scope", "word").orderBy("eb")
+            heads = heads.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit).drop("place")
+            heads = written(heads, "heads")
+        near = _listed(asks, "a").withColumnRenamed("e", "ea")
+        pairs = near.join(heads, ["scope", "word"]).where((F.col("eb") < F.col("ea")) & may_be_near(threshold)).groupBy("a", "b").agg(F.first("ea").alias("ea"), F.first("eb").alias("eb"))
+        edges = verified(pairs, sets, sets, threshold).drop("similarity")
+        unsure = None
+        if limit is not None:
+            # Lists that go on beyond the limit: rows after their last head have not met all earlier ones.
+            long_ = heads.groupBy("scope", "word").agg(F.count("*").alias("heads"), F.max("eb").alias("end")).where(F.col("heads") == limit)
+            unsure = written(near.join(long_, ["scope", "word"]).where(F.col("ea") > F.col("end")).select(F.col("a").alias("cid")).distinct(), "unsure")
+        edges = written(edges, "edges")
+        gone = None
+        if kept is not None:  # near to one that an earlier round kept
+            gone = written(edges.join(kept.select(F.col("cid").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("cid")).agg(F.min("eb").alias("near")), "gone")
+            edges = edges.join(kept.select(F.col("cid").alias("b")), "b", "left_anti")
+            for side in ("a", "b"):
+                edges = edges.join(gone.select(F.col("cid").alias(side)), side, "left_anti")
+        for side in ("a", "b"):
+            if unsure is None:
+                edges = edges.withColumn(f"sure_{side}", F.lit(True))
+            else:
+                edges = edges.join(unsure.select(F.col("cid").alias(side), F.lit(True).alias("_u")), side, "left").withColumn(f"sure_{side}", F.col("_u").isNull()).drop("_u")
+        if kept is not None or unsure is not None:
+            edges = written(edges, "edges")
+        fresh, open_ = _settled(edges)
+        found = fresh if gone is None else gone.unionByName(fresh)
+        rest = undecided.join(found.select("cid"), "cid", "left_anti")
+        if unsure is None:
+            kept = rest if kept is None else kept.unionByName(rest)
+            lost = found if lost is None else lost.unionByName(found)
+            return kept.unionByName(bare), lost, index
+        left = unsure.unionByName(open_).distinct()
+        rest = written(rest.join(left.withColumn("open", F.lit(True)), "cid", "left").select("cid", "e", F.coalesce("open", F.lit(False)).alias("open")), "rest")
+        new = rest.where("not open").select("cid", "e")
+        kept = new if kept is None else kept.unionByName(new)
+        lost = found if lost is None else lost.unionByName(found)
+        undecided, limit = rest.where("open").select("cid", "e"), limit * GROWTH
+
+
+def _settled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((cid, near) of the nodes that are lost, cid of those that stay open) from written edges (a, b, ea, eb, sure_a, sure_b) to earlier nodes."""
+    first = edges
+    lost = edges.select(F.col("a").alias("cid")).limit(0)
+    open_ = lost
+    while (left := edges.count()) > SMALL:
+        blocked = edges.select(F.col("a").alias("b")).distinct()
+        sure = written(edges.where("sure_b").select("b").distinct().join(blocked, "b", "left_anti"), "sure")
+        now = written(edges.join(sure, "b", "left_semi").select("a").distinct(), "lost")
+        if now.isEmpty():
+            break
+        lost = lost.unionByName(now.withColumnRenamed("a", "cid"))
+        for side in ("a", "b"):
+            edges = edges.join(now.withColumnRenamed("a", side), side, "left_anti")
+        edges = written(edges, "edges")
+    if left > SMALL:
+        open_ = edges.select(F.col("a").alias("cid")).distinct()
+    elif left:
+        walked = written(_walked(edges), "walked")
+        lost, open_ = lost.unionByName(walked.where("lost").select("cid")), walked.where("not lost").select("cid")
+    # Which kept node each lost one is near to: one that is sure, not lost and not open.
+    near = first.where("sure_b")
+    for gone in (lost, open_):
+        near = near.join(gone.select(F.col("cid").alias("b")), "b", "left_anti")
+    near = near.groupBy(F.col("a").alias("cid")).agg(F.min("eb").alias("near"))
+    return written(lost.join(near, "cid").select("cid", "near"), "lost"), open_
+
+
+def _near_kept(asks: DataFrame, kept: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, eb, similarity) of rows of lists that are near to a kept class."""
+    pairs = _listed(asks.drop("e"), "a").join(_listed(kept, "b").withColumnRenamed("e", "eb"), ["scope", "word"]).where((F.col("a") != F.col("b")) & may_be_near(threshold))
+    return verified(pairs.groupBy("a", "b").agg(F.first("eb").alias("eb")), sets, sets, threshold)
 
 
 def first_wins(rows: DataFrame, threshold: float) -> DataFrame:
-    """``rows`` (seq, scope, text or its hash and words, eligible) with ``reason``: why each is a duplicate of an earlier kept row, else null.
+    """``rows`` (seq, scope, text or its hash and words, eligible, and ``row``, a number of each row's own, seq if missing) with ``reason``: (row, seq, reason), why each is a duplicate of an earlier kept row, else null.
 
-    Rows are walked in the order of seq: a row is kept if it is eligible and neither equal nor near to a row
-    kept before it in its scope. That is the first maximal independent set over classes, in
-    rounds: a class is kept once no earlier neighbour is left that may be, and dropped once one is kept. Once SMALL
-    edges or fewer are undecided, one task walks them; there is no limit of rounds.
+    Rows are walked in the order of seq, nulls last, those of one seq by ``row``: a row is kept if it is eligible and neither equal nor near to a row
+    kept before it in its scope.
     """
+    if "row" not in rows.columns:
+        rows = rows.withColumn("row", F.col("seq"))
     if "hash" not in rows.columns:
         rows = rows.withColumns({"hash": T.text_hash(F.col("text")), "words": T.hashed_set(F.col("text"))})
-    slim = written(rows.select("seq", "scope", "eligible", "hash", "words", F.xxhash64("words").alias("set")), "rows")
-    classes = slim.groupBy("scope", "set").agg(F.first("words").alias("words"), F.min("seq").alias("cid"), F.min(F.when(F.col("eligible"), F.struct("seq", "hash"))).alias("first"))
-    classes = written(classes.select("cid", "scope", "set", "words", F.col("first.seq").alias("e"), F.col("first.hash").alias("e_hash")), "classes")
-    pairs = set_pairs(classes.where("size(words) > 0").select("cid", "scope", "words"), threshold).select("a", "b")
-    pairs = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    # (node, earlier neighbour) among classes with an eligible row
-    starts = classes.select(F.col("cid").alias("c"), "e")
-    undecided = pairs.join(starts.select(F.col("c").alias("a"), F.col("e").alias("ea")), "a").join(starts.select(F.col("c").alias("b"), F.col("e").alias("eb")), "b").where("ea > eb").select("a", "b", "ea")
-    undecided = written(undecided, "edges")
-    dropped = undecided.select("a").limit(0)
-    while (left := undecided.count()) > SMALL:
-        # Nodes without undecided earlier neighbours are settled: kept unless dropped.
-        open_nodes = undecided.select("a").distinct()
-        kept_now = undecided.select(F.col("b").alias("n")).distinct().join(open_nodes, F.col("n") == F.col("a"), "left_anti")
-        lost = written(undecided.join(kept_now, undecided["b"] == kept_now["n"], "left_semi").select("a").distinct(), "lost")
-        dropped = dropped.unionByName(lost)
-        gone = lost.select(F.col("a").alias("x"))
-        undecided = written(undecided.join(gone, undecided["a"] == gone["x"], "left_anti").join(gone, undecided["b"] == gone["x"], "left_anti"), "undecided")
-    if left:
-        dropped = dropped.unionByName(written(_lost(undecided), "lost"))
-    kept = classes.where("e is not null").join(dropped.withColumnRenamed("a", "x"), F.col("cid") == F.col("x"), "left_anti")
-    kept = kept.select(F.col("cid").alias("k"), F.col("e").alias("ke"), F.col("e_hash").alias("kh"))
-    # The first kept row of the class itself or of a neighbour.
-    near = pairs.join(kept, pairs["b"] == kept["k"]).groupBy("a").agg(F.min("ke").alias("near"))
-    own = kept.select(F.col("k").alias("cid"), "ke", "kh")
-    marked = classes.select("cid", "scope", "set").join(own, "cid", "left").join(near.withColumnRenamed("a", "cid"), "cid", "left").drop("cid")
-    # Two plain conditions, so that a null scope joins as well.
-    out = slim.select("seq", "scope", "set", "hash").join(marked.withColumnRenamed("scope", "_scope"), ["set"]).where(F.col("scope").eqNullSafe(F.col("_scope")))
-    reason = F.when((F.col("ke") < F.col("seq")) & (F.col("kh") == F.col("hash")), "exact_duplicate").when((F.least("ke", "near") < F.col("seq")), "semantic_similarity")
-    return out.select("seq", reason.alias("reason"))
+    rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<bigint>")))
+    slim = written(rows.select("row", _order(F.col("seq"), F.col("row")).alias("o"), "scope", "eligible", "hash", "words", *_set_key()), "rows")
+    classes = slim.groupBy("scope", "set", "set2").agg(F.first("words").alias("words"), F.min_by("row", "o").alias("cid"), F.min("o").alias("o"), F.min(F.when(F.col("eligible"), F.struct("o", "hash"))).alias("first"))
+    classes = written(classes.select("cid", "scope", "set", "set2", "words", "o", F.col("first.o").alias("e"), F.col("first.hash").alias("e_hash")), "classes")
+    kept, lost, index = leaders(classes, threshold)
+    # Classes with rows before their first eligible one, or without one, are held against all that was kept.
+    early = classes.where("size(words) > 0 and (e is null or o < e)").select("cid").join(kept.select("cid"), "cid", "left_anti")
+    more = _near_kept(index.join(early, "cid", "left_semi"), index.join(kept.select("cid"), "cid", "left_semi"), classes, threshold)
+    near = lost.unionByName(more.select(F.col("a").alias("cid"), F.col("eb").alias("near"))).groupBy("cid").agg(F.min("near").alias("near"))
+    own = classes.join(kept.select("cid", F.col("e").alias("ke")), "cid", "left").select("cid", "scope", "set", "set2", "ke", F.when(F.col("ke").isNotNull(), F.col("e_hash")).alias("kh"))
+    marked = own.join(near, "cid", "left").drop("cid")
+    out = slim.select("row", "o", "scope", "set", "set2", "hash").join(marked, ["scope", "set", "set2"])
+    reason = F.when((F.col("ke") < F.col("o")) & F.col("kh").eqNullSafe(F.col("hash")), "exact_duplicate").when((F.col("ke") < F.col("o")) | (F.col("near") < F.col("o")), "semantic_similarity")
+    return out.select("row", F.col("o.seq").alias("seq"), reason.alias("reason"))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, written, with a number of each row's own in ``name``, in the order of its partitions."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def first_wins_dedup(df: DataFrame, threshold: float = 0.85, scope: list[str] = [], seq: str = "seq") -> DataFrame:
-    """df with ``reason`` (null: kept); every row may be kept."""
-    rows = df.select(F.col(seq).alias("seq"), F.struct(*scope, F.lit(0)).cast("string").alias("scope"), "text", F.lit(True).alias("eligible"))
-    return df.join(first_wins(rows, threshold).withColumnRenamed("seq", "_seq"), F.col(seq) == F.col("_seq")).drop("_seq")
-
-
-def _hashed(df: DataFrame) -> DataFrame:
-    """df's own _hash and _set columns, or those of its text, as hash, words and set."""
-    have = "_hash" in df.columns and "_set" in df.columns
-    both = (F.col("_set"), F.col("_hash")) if have else (T.hashed_set(F.col("text")), T.text_hash(F.col("text")))
-    return df.withColumns({"words": both[0], "hash": both[1]}).withColumn("set", F.xxhash64("words"))
-
-
-def dedup_against(new: DataFrame, accepted: DataFrame, threshold: float = 0.85, seq: str = "seq") -> DataFrame:
-    """new with ``reason``: equal or near to a text of ``accepted``, else null. Columns _hash and _set spare the texts."""
-    fresh = written(_hashed(new).select(F.col(seq).alias("cid"), "words", "hash", "set"), "fresh")
-    old = written(_hashed(accepted).select("words", "hash", "set"), "accepted")
-    sets = lambda df: df.where("size(words) > 0").groupBy("set").agg(F.first("words").alias("words")).select(F.col("set").alias("cid"), F.lit("").alias("scope"), "words")
-    near = set_pairs(sets(fresh), threshold, sets(old)).select(F.col("a").alias("set")).distinct().withColumn("_near", F.lit(True))
-    equal = old.select("hash").distinct().withColumn("_equal", F.lit(True))
-    found = fresh.select("cid", "hash", "set").join(equal, "hash", "left").join(near, "set", "left").select(F.col("cid").alias("_seq"), F.when(F.col("_equal"), "exact_duplicate").when(F.col("_near"), "semantic_similarity").alias("reason"))
-    return new.join(found, F.col(seq) == F.col("_seq")).drop("_seq")
+    """df with ``reason`` (null: kept); every row may be kept. Rows of null seq come last, those of one seq in any order; a null text is like an empty one, and equal only to a null or empty one."""
+    df = numbered(df, "_row")
+    rows = df.select(F.col("_row").alias("row"), F.col(seq).alias("seq"), _scope(scope).alias("scope"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("eligible"))
+    return df.join(first_wins(rows, threshold).select(F.col("row").alias("_row"), "reason"), "_row").drop("_row")
 
 
 def dedup_stats(df: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import score_samples
-from ..sources.scratch import written
-from .dedup import first_wins
+from .dedup import _scope, first_wins, numbered
 
 STATUSES = ("passed", "failed_length", "failed_quality", "failed_duplicate")
 
@@ -36,17 +35,17 @@ def quality_filter(df: DataFrame, config: FilterConfig = FilterConfig(), coheren
     scored = score_samples(df, coherence)
     if config.enable_deduplication and not {"_hash", "_set"} <= set(scored.columns):
         scored = scored.withColumns({"_hash": T.text_hash(F.col("text")), "_set": T.hashed_set(F.col("text"))})
-    scored = written(scored, "scored")
+    scored = numbered(scored, "_row")
     fits = F.col("word_count").between(config.min_word_count, config.max_word_count)
     good = F.col("overall_score") >= config.min_overall_score
     if config.enable_deduplication:
-        rows = scored.where(fits).select("seq", F.struct(*scope, F.lit(0)).cast("string").alias("scope"), F.col("_hash").alias("hash"), F.col("_set").alias("words"), good.alias("eligible"))
-        reasons = first_wins(rows, config.similarity_threshold)
-        scored = scored.select(*[c for c in scored.columns if c in df.columns or c not in ("_hash", "_set")]).join(reasons, "seq", "left")
+        rows = scored.where(fits).select(F.col("_row").alias("row"), "seq", _scope(scope).alias("scope"), F.col("_hash").alias("hash"), F.col("_set").alias("words"), good.alias("eligible"))
+        reasons = first_wins(rows, config.similarity_threshold).select(F.col("row").alias("_row"), "reason")
+        scored = scored.select(*[c for c in scored.columns if c in df.columns or c not in ("_hash", "_set")]).join(reasons, "_row", "left")
     else:
         scored = scored.withColumn("reason", F.lit(None).cast("string"))
     status = F.when(~fits, "failed_length").when(F.col("reason").isNotNull(), "failed_duplicate").when(~good, "failed_quality").otherwise("passed")
-    return scored.withColumn("status", status)
+    return scored.withColumn("status", status).drop("_row")
 
 
 def filter_stats(labelled: DataFrame, by: list[str] = []) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import requests as R
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import accepted as C
 from ..operators import augment as A
 from ..operators import buckets as B
 from ..operators import dedup as D
@@ -274,7 +275,7 @@ def d3_first_wins_dedup(spark, d):
 def d4_dedup_against(spark, d):
     """Odd documents against even ones: the accepted table and the new one are both whole halves of documents."""
     rows = t.samples(spark, d)
-    return D.dedup_against(rows.where("seq % 2 = 1"), rows.where("seq % 2 = 0")).select("seq", "reason")
+    return C.dedup_against(rows.where("seq % 2 = 1"), rows.where("seq % 2 = 0")).select("seq", "reason")
 
 
 @query(f"SELECT count(DISTINCT md5({t.norm('text')})) AS total_seen, count(DISTINCT {t.norm('text')}) AS unique_normalized FROM documents")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
-from ..operators.dedup import dedup_against
+from ..operators.accepted import AcceptedIndex, dedup_against
 from ..operators.quality import FilterConfig, quality_filter
 from ..operators.usage import MICROS
 
@@ -55,21 +55,23 @@ def stream_token_bucket(log: DataFrame, request_capacity: float, request_refill:
     return rows.groupBy("key").applyInPandasWithState(run, made, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_quality_filter(source: DataFrame, accepted: str, checkpoint: str, config: FilterConfig = FilterConfig()):
+def stream_quality_filter(source: DataFrame, accepted: str, checkpoint: str, config: FilterConfig = FilterConfig(), buckets: int = 16):
     """A started query that filters each micro-batch and against all texts accepted before, and adds what passes under ``accepted``.
 
     What equals or is near to an accepted text goes first, so that it can't count as kept within its batch: batches in the order of
-    seq accept what one batch of all would. The accepted table keeps each text's hash and set of hashed words, and later batches read
-    only those. Each batch writes the folder batch_id=n anew and reads only those of smaller n, so a batch that runs again gives the same table.
+    seq accept what one batch of all would. Accepted texts are kept in an index under ``accepted``-index (see ``operators.accepted``), of which a batch
+    reads the partitions of its own words. Each batch writes the folder batch_id=n and its segment of the index anew and reads
+    only segments of smaller n, so a batch that runs again gives the same table.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        index = AcceptedIndex(spark, f"{accepted}-index", config.similarity_threshold, buckets)
         rows = batch.select("*", T.text_hash(F.col("text")).alias("_hash"), T.hashed_set(F.col("text")).alias("_set"))
         if number > 0:
-            old = spark.read.option("basePath", accepted).schema(rows.schema.add("batch_id", "long")).parquet(accepted).where(F.col("batch_id") < number)
-            rows = dedup_against(rows, old.select("_hash", "_set"), config.similarity_threshold).where("reason is null").drop("reason")
+            rows = dedup_against(rows, index, number=number).where("reason is null").drop("reason")
         passed = quality_filter(rows, config).where("status = 'passed'").select(*batch.columns, "_hash", "_set")
         passed.write.mode("overwrite").parquet(f"{accepted}/batch_id={number}")
+        index.append(spark.read.schema(passed.schema).parquet(f"{accepted}/batch_id={number}"), number)
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
