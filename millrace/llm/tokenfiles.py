@@ -38,7 +38,7 @@ MAGIC = b"MRTOKEN1"
 #: Magic, documents, ids, bytes of the payload, crc32 of the payload.
 HEAD = struct.Struct("<8sQQQI")
 #: A block is closed once it has so many ids.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: Different ids that one set of files may have: the size of a vocabulary, which does not grow with the corpus.
 MOST_IDS = 1 << 22
 CODES = np.arange(256)[:, None] >> (2 * np.arange(4)) & 3
@@ -124,12 +124,17 @@ class Writer(DataSourceArrowWriter):
 
             for batch in iterator:
                 names, lists = batch.column(0), batch.column(1)
-                known, sizes = names.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-                held.append((names.fill_null(0).to_numpy(), known, sizes, lists.flatten().to_numpy()))
-                waiting += int(sizes.sum())
-                if waiting >= BLOCK_IDS:
-                    close()
-                    waiting = 0
+                known, offsets = names.is_valid().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                names, sizes, ids = names.fill_null(0).to_numpy(), np.diff(offsets), lists.values.to_numpy()
+                a = 0
+                while a < len(names):  # a batch may be far larger than a block
+                    b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_IDS, side="right")) - 1)
+                    held.append((names[a:b], known[a:b], sizes[a:b], ids[offsets[a] : offsets[b]]))
+                    waiting += int(offsets[b] - offsets[a])
+                    if waiting >= BLOCK_IDS:
+                        close()
+                        waiting = 0
+                    a = b
             if held:
                 close()
         return Part(task.partitionId(), name, *total)
@@ -165,7 +170,7 @@ class Piece(InputPartition):
 class Reader(DataSourceReader):
     """A task reads one file, block by block."""
 
-    def __init__(self, path: str, most: int = 1 << 21):
+    def __init__(self, path: str, most: int = 1 << 19):
         self.path, self.most = path, most
         store, folder = _at(path)
         with store.open_input_stream(f"{folder}/manifest.json") as file:
@@ -336,10 +341,12 @@ def frequencies(df: DataFrame, ids: str = "ids") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(batch.column(0).flatten().to_numpy())
-            if len(own) > len(total):
-                total = np.append(total, np.zeros(len(own) - len(total), np.int64))
-            total[: len(own)] += own
+            ids = batch.column(0).flatten().to_numpy()
+            for at in range(0, len(ids), 1 << 20):
+                own = np.bincount(ids[at : at + (1 << 20)])
+                if len(own) > len(total):
+                    total = np.append(total, np.zeros(len(own) - len(total), np.int64))
+                total[: len(own)] += own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
