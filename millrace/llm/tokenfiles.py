@@ -48,14 +48,30 @@ BEGINS = np.cumsum(CODES + 1, axis=1) - CODES - 1
 TOTALS = (CODES + 1).sum(axis=1)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers below 2**32 as control bytes and then data bytes; the last four are filled up with zeros."""
-    full = np.zeros(-(-len(values) // 4) * 4, "<u4")
-    full[: len(values)] = values
+def pack_lists(sizes: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, where each list's control bytes end, where its data bytes end) of lists of numbers below 2**32.
+
+    The last four numbers of a list are filled up with zeros, so that each list has control bytes of its own.
+    """
+    groups = -(-sizes // 4)
+    full = np.zeros(4 * int(groups.sum()), "<u4")
+    full[_places(sizes, groups)] = values
     code = (full > 0xFF).astype(np.uint8) + (full > 0xFFFF) + (full > 0xFFFFFF)
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
     data = full.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.tobytes() + data.tobytes()
+    ends = np.cumsum(groups)
+    return control.tobytes(), data.tobytes(), ends, np.append(0, np.cumsum(TOTALS[control]))[ends]
+
+
+def _places(sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Where lists' numbers lie among the numbers of all their groups of four."""
+    begins = 4 * (np.cumsum(groups) - groups) - (np.cumsum(sizes) - sizes)
+    return np.repeat(begins, sizes) + np.arange(int(sizes.sum()))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """One list's control bytes and then its data bytes."""
+    return b"".join(pack_lists(np.array([len(values)]), values)[:2])
 
 
 def unpack(raw: memoryview | bytes, n: int) -> tuple[np.ndarray, int]:
@@ -70,10 +86,10 @@ def unpack(raw: memoryview | bytes, n: int) -> tuple[np.ndarray, int]:
     return found[:n], used
 
 
-def block(names: np.ndarray, known: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
-    """One block: documents' ids, which of them are not null, their sizes, and the ranks of all their tokens."""
-    body = names.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + pack(sizes) + pack(ranks)
-    return HEAD.pack(MAGIC, len(names), len(ranks), len(body), zlib.crc32(body)) + body
+def block(names: np.ndarray, known: np.ndarray, sizes: np.ndarray, control: bytes, data: bytes) -> bytes:
+    """One block: documents' ids, which of them are not null, their sizes, and the control and data bytes of all their ranks."""
+    body = names.astype("<i8").tobytes() + known.astype(np.uint8).tobytes() + pack(sizes) + control + data
+    return HEAD.pack(MAGIC, len(names), int(sizes.sum()), len(body), zlib.crc32(body)) + body
 
 
 def blocks_of(file) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -85,7 +101,12 @@ def blocks_of(file) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             raise ValueError("a block of token ids is damaged")
         names, known = np.frombuffer(body, "<i8", docs), np.frombuffer(body, np.uint8, docs, 8 * docs)
         sizes, used = unpack(body[9 * docs :], docs)
-        yield names, known.astype(bool), sizes.astype(np.int64), unpack(body[9 * docs + used :], ids)[0]
+        sizes = sizes.astype(np.int64)
+        groups = -(-sizes // 4)
+        ranks = unpack(body[9 * docs + used :], 4 * int(groups.sum()))[0][_places(sizes, groups)]
+        if len(ranks) != ids:
+            raise ValueError("a block of token ids is damaged")
+        yield names, known.astype(bool), sizes, ranks
 
 
 @dataclass
@@ -102,35 +123,33 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Writer(DataSourceArrowWriter):
-    """Rows (doc_id, ids) in their final order; ``rank_of`` gives each id's rank."""
+    """Rows (doc_id, size, control, data) in their final order; ``table`` has the ids by rank."""
 
     def __init__(self, path: str, table: str):
         self.path, self.table = path, table
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         store, folder = _at(self.path)
-        by_rank = _ranks(self.table)
-        rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-        rank_of[by_rank] = np.arange(len(by_rank))
         task = TaskContext.get()
         name, held, waiting, total = f"part-{task.partitionId():06d}-{task.taskAttemptId()}", [], 0, [0, 0]
         with store.open_output_stream(f"{folder}/{name}") as file:
 
             def close() -> None:
-                names, known, sizes, ids = map(np.concatenate, zip(*held))
-                file.write(block(names, known, sizes, rank_of[ids]))
-                total[0], total[1] = total[0] + len(names), total[1] + len(ids)
+                names, known, sizes = (np.concatenate(x) for x in list(zip(*held))[:3])
+                file.write(block(names, known, sizes, *(b"".join(x) for x in list(zip(*held))[3:])))
+                total[0], total[1] = total[0] + len(names), total[1] + int(sizes.sum())
                 held.clear()
 
             for batch in iterator:
-                names, lists = batch.column(0), batch.column(1)
-                known, offsets = names.is_valid().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                names, sizes, ids = names.fill_null(0).to_numpy(), np.diff(offsets), lists.values.to_numpy()
+                ends = np.append(0, np.cumsum(batch.column(1).to_numpy().astype(np.int64)))
                 a = 0
-                while a < len(names):  # a batch may be far larger than a block
-                    b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_IDS, side="right")) - 1)
-                    held.append((names[a:b], known[a:b], sizes[a:b], ids[offsets[a] : offsets[b]]))
-                    waiting += int(offsets[b] - offsets[a])
+                while a < batch.num_rows:  # a batch may be far larger than a block
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + BLOCK_IDS, side="right")) - 1)
+                    cut = batch.slice(a, b - a)
+                    names = cut.column(0)
+                    bytes_ = [b"".join(x.as_buffer() for x in cut.column(i)) for i in (2, 3)]
+                    held.append((names.fill_null(0).to_numpy(), names.is_valid().to_numpy(zero_copy_only=False), np.diff(ends[a : b + 1]), *bytes_))
+                    waiting += int(ends[b] - ends[a])
                     if waiting >= BLOCK_IDS:
                         close()
                         waiting = 0
@@ -376,8 +395,26 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "i
     with store.open_output_stream(inside) as file:
         file.write(np.array([r[0] for r in ranked], "<u4").tobytes())
     spark.dataSource.register(TokenFiles)
-    ordered = rows.repartitionByRange("doc_id", "_n", "_digest", "_row").sortWithinPartitions("doc_id", "_n", "_digest", "_row")
-    ordered.select("doc_id", "ids").write.format("tokenfiles").option("ranks", table).mode("append").save(path)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rank = _ranks(table)
+        rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+        rank_of[by_rank] = np.arange(len(by_rank))
+        for batch in batches:
+            lists = batch.column(4)
+            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_IDS, side="right")) - 1)
+                *packed, ends, tails = pack_lists(np.diff(offsets[a : b + 1]).astype(np.int64), rank_of[ids[offsets[a] : offsets[b]]])
+                made = [pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.append(0, e).astype(np.int32)), pa.py_buffer(x)]) for x, e in zip(packed, (ends, tails))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), *made], ["doc_id", "_n", "_digest", "_row", "control", "data"])
+                a = b
+
+    # Packed before they are sorted: a shuffle of some bytes and a half for each id.
+    packed = rows.select("doc_id", "_n", "_digest", "_row", "ids").mapInArrow(coded, "doc_id long, _n int, _digest long, _row long, control binary, data binary")
+    ordered = packed.repartitionByRange("doc_id", "_n", "_digest", "_row").sortWithinPartitions("doc_id", "_n", "_digest", "_row")
+    ordered.select("doc_id", F.col("_n").cast("long").alias("size"), "control", "data").write.format("tokenfiles").option("ranks", table).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
