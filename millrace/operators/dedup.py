@@ -169,15 +169,15 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
     sets = classes.where("size(words) > 0")
     index = written(prefixes(sets, threshold).join(classes.select("cid", "e"), "cid"), "index")
     bare = classes.where("size(words) = 0 and e is not null").select("cid", "e")
-    lists = index.where("e is not null")
     undecided, kept, lost = sets.where("e is not null").select("cid", "e"), None, None
+    asks = lists = index.where("e is not null")
     limit: int | None = FIRST
     while True:
         if kept is not None:
-            lists = index.join(undecided.select("cid").unionByName(kept.select("cid")), "cid", "left_semi")
-        asks = lists if kept is None else index.join(undecided.select("cid"), "cid", "left_semi")
-        size = lists.groupBy("scope", "word").agg(F.count("*").alias("f")).agg(F.coalesce(F.sum(F.col("f") * (F.col("f") - 1.0) / 2), F.lit(0.0)), F.coalesce(F.sum("f"), F.lit(0))).first()
-        if size[0] <= max(MOST_PAIRS, PAIRS_A_ROW * size[1]):
+            asks, lists = (index.join(x.select("cid"), "cid", "left_semi") for x in (undecided, undecided.unionByName(kept)))
+        asked = asks.groupBy("scope", "word").agg(F.count("*").alias("f")).join(lists.groupBy("scope", "word").agg(F.count("*").alias("all")), ["scope", "word"])
+        pairs, rows, longest = asked.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.col("f") * (F.col("all") - F.col("f") / 2)), F.sum("f"), F.max("all"))]).first()
+        if longest <= limit or pairs <= max(MOST_PAIRS, PAIRS_A_ROW * rows):
             limit = None
         heads = _listed(lists, "b").withColumnRenamed("e", "eb")
         if limit is not None:
@@ -219,6 +219,8 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
         kept = new if kept is None else kept.unionByName(new)
         lost = found if lost is None else lost.unionByName(found)
         undecided, limit = rest.where("open").select("cid", "e"), limit * GROWTH
+        if undecided.isEmpty():
+            return kept.unionByName(bare), lost, index
 
 
 def _settled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
