@@ -5,12 +5,13 @@ Variants, alternatives and similarity answers come as tables; nothing calls a mo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import requests as R
 from ..functions import text as T
 from ..functions.scoring import parse_score
+from .stretches import positions
 
 #: Terms that count as aspects wherever they occur.
 ASPECTS = [
@@ -108,12 +109,18 @@ def cada_variants(samples: DataFrame, variants: DataFrame, alternatives: DataFra
 
 
 def select_for_augmentation(samples: DataFrame, ratio: float, job: list[str], seq: str = "seq") -> DataFrame:
-    """The first min(n, max(1, int(n * ratio))) samples of each job; none for ratio 0."""
+    """The first min(n, max(1, int(n * ratio))) samples of each job; none for ratio 0.
+
+    Samples are counted by ranges of (job, seq), so a job of any size lies in many tasks: those of its ranges before the boundary are taken whole, and only
+    in the range that holds it a sample's place decides.
+    """
     if ratio <= 0:
         return samples.limit(0)
-    sizes = samples.groupBy(*job).agg(F.count("*").alias("_n"))
-    rows = samples.withColumn("_r", F.row_number().over(Window.partitionBy(*job).orderBy(seq))).join(sizes, job)
-    return rows.where(F.col("_r") <= F.least(F.col("_n"), F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)))).drop("_r", "_n")
+    rows, ends = positions(samples, job, [seq])
+    sizes = ends.groupBy("_key").agg(F.sum("_rows").alias("_size"))
+    take = F.least(F.col("_size"), F.greatest(F.lit(1), F.floor(F.col("_size") * ratio))) - F.col("_rows_before")
+    taken = ends.join(sizes, "_key").select("_key", "_part", take.alias("_take")).where("_take > 0")
+    return rows.join(taken, ["_key", "_part"]).where(F.col("_n") < F.col("_take")).select(*samples.columns)
 
 
 def build_augmented_samples(accepted: DataFrame, samples: DataFrame) -> DataFrame:

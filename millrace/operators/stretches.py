@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def ranged(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """log in ranges of (keys, order), each sorted."""
@@ -70,3 +74,34 @@ def same(pairs: dict[str, str]) -> Column:
     for a, b in pairs.items():
         out = out & F.col(a).eqNullSafe(F.col(b))
     return out
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], sums: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(df with _part, _n and, for each long column in ``sums``, its sum over the rows before: all within the stretch; the stretches).
+
+    Null keys are keys. A stretch has keys and _part, its rows and sums, as _rows and _all_..., and those of the key's earlier stretches, as _rows_before and
+    _before_...; there are as many as keys and tasks together. Rows of equal ``order`` come in any order, but in the same one whenever the result is read.
+    """
+    names = df.columns
+    named = df.withColumn("_key", F.struct(*keys, F.lit(0)).cast("string"))
+    schema = described(named, ", ".join(["_part int", "_n long", *[f"_sum_{s} long" for s in sums]]))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, total = TaskContext.get().partitionId(), 0, [0] * len(sums)
+        for rows, new in runs(batches, "_key"):
+            if new:
+                n, total = 0, [0] * len(sums)
+            made = [np.full(rows.num_rows, part, np.int32), n + np.arange(rows.num_rows)]
+            n += rows.num_rows
+            for i, s in enumerate(sums):
+                own = rows.column(s).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                made.append(total[i] + np.cumsum(own) - own)
+                total[i] += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, made)], [*rows.schema.names, "_part", "_n", *[f"_sum_{s}" for s in sums]])
+
+    walked = written(ranged(named, keys, order).mapInArrow(walk, schema), "positions")
+    ends = walked.groupBy("_key", "_part").agg(F.count("*").alias("_rows"), *[F.coalesce(F.sum(s), F.lit(0)).alias(f"_all_{s}") for s in sums])
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ends = ends.select("*", zero("_rows").alias("_rows_before"), *[zero(f"_all_{s}").alias(f"_before_{s}") for s in sums])
+    return walked.select(*names, "_key", "_part", "_n", *[f"_sum_{s}" for s in sums]), written(ends, "ends")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE = "seq long, id string, job_id string, product string, template_type string, prompt_version string, generated_at timestamp, text string, tokens_estimated int, temperature double"
@@ -32,17 +32,25 @@ def assemble_results(samples: DataFrame, keys: list[str], order: str = "seq") ->
 
 
 def assemble_parts(samples: DataFrame, keys: list[str], order: str = "seq", rows: int = 1_000, size: int = 8 << 20) -> DataFrame:
-    """``assemble_results`` in several rows for a job of more than ``rows`` samples or ``size`` bytes of text: dealt by a hash, about that much in each, with the totals of the whole job."""
-    bytes_ = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    totals = samples.groupBy(*keys).agg(F.count("*").alias("total_samples"), F.sum("tokens_estimated").alias("total_tokens_estimated"), F.ceil(F.greatest(F.count("*") / rows, bytes_ / size, F.lit(1))).alias("_parts"))
-    named = totals.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], "total_samples", "total_tokens_estimated", "_parts")
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    """``assemble_results`` in numbered rows (``part``, from 0) of at most ``rows`` samples and ``size`` bytes of text, a larger text alone in one, with the totals of the whole job.
+
+    Parts in the order of their numbers give the job's samples in theirs. A sample's part follows from the rows and bytes before it in its job, which are counted
+    by ranges of (job, order): no task holds a job.
+    """
+    from ..operators.stretches import positions
+
+    measured = samples.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("_big", (F.col("_bytes") > size // 2).cast("long"))
+    placed, ends = positions(measured, keys, [order], ("_bytes", "_big"))
+    before = lambda c: F.col(f"_before_{c}") + F.col(f"_sum_{c}")
+    # Half the size for what is before a sample, so that the last one fits; a big text has a place of its own.
+    place = F.floor((F.col("_rows_before") + F.col("_n")) / rows) + F.floor(before("_bytes") / (size // 2)) + 2 * before("_big") + F.col("_big")
+    dealt = placed.join(ends.select("_key", "_part", "_rows_before", "_before__bytes", "_before__big"), ["_key", "_part"]).withColumn("_place", place)
     item = F.struct(F.col(order), *[c for c in ("id", "text", "tokens_estimated") if c in samples.columns])
-    dealt = samples.join(named, same).withColumn("_part", F.pmod(F.xxhash64(order, "id", "text"), F.col("_parts")))
-    made = dealt.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(item)).alias("samples"), F.first("total_samples").alias("total_samples"), F.first("total_tokens_estimated").alias("total_tokens_estimated"))
-    return made.drop("_part")
+    made = dealt.groupBy("_key", "_place").agg(*[F.first(c).alias(c) for c in keys], F.array_sort(F.collect_list(item)).alias("samples"), F.count("*").alias("_n"), F.sum("tokens_estimated").alias("_t"))
+    heads = dealt.groupBy("_key", "_place").agg(F.count("*").alias("_n"), F.sum("tokens_estimated").alias("_t"))
+    numbers = heads.select("_key", "_place", (F.row_number().over(Window.partitionBy("_key").orderBy("_place")) - 1).cast("int").alias("part"))
+    totals = heads.groupBy("_key").agg(F.sum("_n").alias("total_samples"), F.sum("_t").alias("total_tokens_estimated"))
+    return made.join(numbers, ["_key", "_place"]).join(totals, "_key").select(*keys, "part", "samples", "total_samples", "total_tokens_estimated")
 
 
 def spread(df: DataFrame) -> DataFrame:
