@@ -20,15 +20,62 @@ ASPECTS = [
     "warranty", "guarantee", "refund", "return", "exchange", "experience", "satisfaction", "convenience", "ease", "simplicity", "comfort", "safety", "security", "privacy", "trust", "confidence",
 ]
 PROPER = r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:[\t-\r\x1c-\x20]+[A-Z][a-z]+)*(?![\p{L}\p{N}_])"
-GENERIC = r"(?i)(?<![\p{L}\p{N}_])(?:app|software|device|product|service|system|platform)(?![\p{L}\p{N}_])"
+GENERIC = r"(?iu)(?<![\p{L}\p{N}_])(?:app|software|device|product|service|system|platform)(?![\p{L}\p{N}_])"
+#: What [A-Za-z] matches where case is ignored: two more letters of each case.
+LETTER = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}]"
+#: A mark that is no word, letter or blank; in a text it stands for any other such character.
+MARK, OTHER = "\ue000", "\ue001"
 VALID = 0.8
 
 
-def extract_aspects(text: Column, lexicon: list[str] = ASPECTS, proper: bool = True) -> Column:
-    """Sorted distinct aspects: lexicon terms anywhere in the text, runs of capitalised words, and words such as product or system."""
-    low = F.lower(text)
-    parts = [F.filter(F.array(*map(F.lit, lexicon)), lambda a: F.contains(low, a)), F.transform(F.regexp_extract_all(text, F.lit(GENERIC), F.lit(0)), F.lower)]
-    if proper:
+def _trie(terms: list[str]) -> str:
+    """A pattern that matches the longest of ``terms`` at a place, letter by letter."""
+    heads: dict[str, list[str]] = {}
+    for term in terms:
+        heads.setdefault(term[0], []).append(term[1:])
+    parts = []
+    for letter, rests in heads.items():
+        own = letter if letter.isalnum() else f"\\{letter}"
+        more = [r for r in rests if r]
+        parts.append(own + ((f"{_trie(more)}?" if "" in rests else _trie(more)) if more else ""))
+    return f"(?:{'|'.join(parts)})"
+
+
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """Those of ``terms`` that occur anywhere in the text, in one pass over it; they may overlap."""
+    terms = sorted({x for x in terms if x})
+    if not terms:
+        return F.array().cast("array<string>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie(terms)}))"), F.lit(1)))
+    # Only the longest term at a place is found: the terms that it begins with are there as well.
+    inner = {x: [y for y in terms if x.startswith(y)] for x in terms}
+    if any(len(v) > 1 for v in inner.values()):
+        pairs = [F.lit(k) if i == 0 else F.array(*map(F.lit, v)) for k, v in inner.items() for i in (0, 1)]
+        found = F.flatten(F.transform(found, lambda x: F.element_at(F.create_map(*pairs), x)))
+    return found
+
+
+def letter_runs(text: Column) -> Column:
+    """Runs of words of two letters or more with only white space between them, as the pattern for capitalised words finds them where case is ignored.
+
+    Each such word is marked, and marks with white space between them go; no pattern repeats a group, so no text is too long.
+    """
+    bare = F.translate(text, MARK, OTHER)
+    marked = F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}_])({LETTER}{{2,}})(?![\p{{L}}\p{{N}}_])", f"{MARK}$1{MARK}")
+    joined = F.regexp_replace(marked, rf"{MARK}({T.BLANK}+){MARK}", "$1")
+    return F.regexp_extract_all(joined, F.lit(f"{MARK}([^{MARK}]*){MARK}"), F.lit(1))
+
+
+def extract_aspects(text: Column, lexicon: list[str] = ASPECTS, proper: bool | str = True) -> Column:
+    """Sorted distinct aspects: lexicon terms anywhere in the text, runs of capitalised words (with ``proper``), and words such as product or system.
+
+    With ``proper="compat"`` a run may have any case, so that every run of words of two letters or more counts: what follows if case is ignored
+    in the pattern for capitalised words.
+    """
+    parts = [terms_in(F.lower(text), lexicon), F.transform(F.regexp_extract_all(text, F.lit(GENERIC), F.lit(0)), F.lower)]
+    if proper == "compat":
+        parts.append(F.transform(letter_runs(text), F.lower))
+    elif proper:
         parts.append(F.transform(F.regexp_extract_all(text, F.lit(PROPER), F.lit(0)), F.lower))
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
@@ -68,19 +115,45 @@ def _unquoted(text: Column) -> Column:
     return F.regexp_replace(T.strip(text), '^"+|"+$', "")
 
 
-def cda_variants(samples: DataFrame, variants: DataFrame, similarity: DataFrame, lexicon: list[str] = ASPECTS, min_similarity: float = 0.8, proper: bool = True) -> DataFrame:
+def cda_variants(samples: DataFrame, variants: DataFrame, similarity: DataFrame, lexicon: list[str] = ASPECTS, min_similarity: float = 0.8, proper: bool | str = True) -> DataFrame:
     """Accepted paraphrases (sample_id, variant_index, variant, score, changes, preserved)."""
     rows = samples.join(variants.where("strategy = 'CDA'").select("sample_id", "strategy", "variant_index", _unquoted(F.col("text")).alias("variant")), "sample_id").withColumn("aspects", extract_aspects(F.col("text"), lexicon, proper))
     good = accept_variants(validate_variants(rows, similarity), min_similarity)
     return good.select("sample_id", "strategy", "variant_index", "variant", "score", identify_changes(F.col("text"), F.col("variant"), F.col("aspects")).alias("changes"), F.col("aspects").alias("preserved"))
 
 
-def ada_variants(samples: DataFrame, alternatives: DataFrame, similarity: DataFrame, n: int = 3, lexicon: list[str] = ASPECTS, min_similarity: float = 0.8, proper: bool = True) -> DataFrame:
-    """Accepted texts with one aspect replaced, the i-th variant taking the i-th aspect in turn."""
+def choices(alternatives: DataFrame) -> DataFrame:
+    """(aspect, product, choices): the cleaned alternatives of each aspect, and of each of its products if the table has them (null: any product), in the order of ``rank`` if there is one, then of the alphabet."""
+    clean = F.lower(_unquoted(F.col("alternative")))
+    rows = alternatives.select(
+        "aspect",
+        (F.col("product") if "product" in alternatives.columns else F.lit(None)).cast("string").alias("product"),
+        (F.col("rank") if "rank" in alternatives.columns else F.lit(0)).cast("long").alias("rank"),
+        clean.alias("alternative"),
+    ).where("alternative <> '' AND alternative <> lower(aspect)")
+    rows = rows.groupBy("aspect", "product", "alternative").agg(F.min("rank").alias("rank"))
+    return rows.groupBy("aspect", "product").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "alternative"))), lambda x: x["alternative"]).alias("choices"))
+
+
+def with_alternative(rows: DataFrame, alternatives: DataFrame, turn: Column) -> DataFrame:
+    """rows (aspect, maybe product) with ``alternative``: of the aspect's choices for the product, or else for any product, the one whose turn it is; they come round again.
+
+    Rows without a choice are left out. ``turn`` counts from 0.
+    """
+    table = choices(alternatives)
+    any_ = table.where("product is null").select("aspect", F.col("choices").alias("_any"))
+    rows = rows.withColumn("_turn", turn).join(any_, "aspect", "left")
+    if "product" in rows.columns:
+        own = table.where("product is not null").select("aspect", "product", F.col("choices").alias("_own"))
+        rows = rows.join(own, ["aspect", "product"], "left").withColumn("_any", F.coalesce("_own", "_any")).drop("_own")
+    return rows.where("_any is not null").withColumn("alternative", F.element_at("_any", (F.col("_turn") % F.size("_any") + 1).cast("int"))).drop("_any", "_turn")
+
+
+def ada_variants(samples: DataFrame, alternatives: DataFrame, similarity: DataFrame, n: int = 3, lexicon: list[str] = ASPECTS, min_similarity: float = 0.8, proper: bool | str = True) -> DataFrame:
+    """Accepted texts with one aspect replaced, the i-th variant taking the i-th aspect in turn, and the r-th alternative the r-th time that an aspect comes round."""
     rows = samples.withColumn("all_aspects", extract_aspects(F.col("text"), lexicon, proper)).where("size(all_aspects) > 0").withColumn("variant_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rows = rows.withColumn("aspect", F.element_at("all_aspects", (F.col("variant_index") % F.size("all_aspects") + 1).cast("int")))
-    other = alternatives.groupBy("aspect").agg(F.min(F.lower(_unquoted(F.col("alternative")))).alias("alternative"))
-    rows = rows.join(other, "aspect").where("alternative <> '' AND alternative <> aspect").withColumn("strategy", F.lit("ADA"))
+    rows = with_alternative(rows, alternatives, F.floor(F.col("variant_index") / F.size("all_aspects"))).withColumn("strategy", F.lit("ADA"))
     rows = rows.withColumn("variant", replace_aspect(F.col("text"), F.col("aspect"), F.col("alternative"))).withColumn("aspects", F.array_remove("all_aspects", F.col("aspect")))
     good = accept_variants(validate_variants(rows, similarity), min_similarity)
     change = F.concat(F.lit("replaced '"), F.col("aspect"), F.lit("' with '"), F.col("alternative"), F.lit("'"))
@@ -93,7 +166,7 @@ def cada_plan(n: Column) -> list[Column]:
     return [cda.alias("cda"), (n - cda).alias("ada"), F.when(n > 3, F.least(F.lit(2), F.floor(n / 3))).otherwise(0).alias("combined")]
 
 
-def cada_variants(samples: DataFrame, variants: DataFrame, alternatives: DataFrame, similarity: DataFrame, n: int = 4, lexicon: list[str] = ASPECTS, proper: bool = True) -> DataFrame:
+def cada_variants(samples: DataFrame, variants: DataFrame, alternatives: DataFrame, similarity: DataFrame, n: int = 4, lexicon: list[str] = ASPECTS, proper: bool | str = True) -> DataFrame:
     """Paraphrases, replacements and replacements in paraphrases, as ``cada_plan`` divides n."""
     n_cda, n_ada = max(1, n // 2), n - max(1, n // 2)
     n_both = min(2, n // 3) if n > 3 else 0
@@ -101,8 +174,10 @@ def cada_variants(samples: DataFrame, variants: DataFrame, alternatives: DataFra
     cda = cda_variants(samples, variants, similarity, lexicon, proper=proper).where(F.col("variant_index") < n_cda)
     ada = ada_variants(samples, alternatives, similarity, max(1, n_ada), lexicon, proper=proper).where(F.col("variant_index") < n_ada)
     out = marked(cda, "CDA").unionByName(marked(ada, "ADA"))
-    other = alternatives.groupBy("aspect").agg(F.min(F.lower(_unquoted(F.col("alternative")))).alias("alternative"))
-    both = cda.where(F.col("variant_index") < n_both).withColumn("aspect", F.try_element_at(extract_aspects(F.col("variant"), lexicon, proper), F.lit(1))).join(other, "aspect")
+    both = cda.where(F.col("variant_index") < n_both).withColumn("aspect", F.try_element_at(extract_aspects(F.col("variant"), lexicon, proper), F.lit(1)))
+    if "product" in samples.columns:
+        both = both.join(samples.select("sample_id", "product"), "sample_id")
+    both = with_alternative(both, alternatives, F.lit(0))
     both = both.withColumn("combined", replace_aspect(F.col("variant"), F.col("aspect"), F.col("alternative"))).where("combined <> variant")
     both = both.select("sample_id", "strategy", "variant_index", F.col("combined").alias("variant"), "score", F.array(F.lit("Combined context and aspect changes")).alias("changes"), "preserved", F.lit("COMBINED").alias("kind"))
     return out.unionByName(both)
@@ -135,7 +210,7 @@ def build_augmented_samples(accepted: DataFrame, samples: DataFrame) -> DataFram
     )
 
 
-def augment_dataset(samples: DataFrame, variants: DataFrame, alternatives: DataFrame, similarity: DataFrame, strategies: list[str], ratio: float, job: list[str], n: int = 2, lexicon: list[str] = ASPECTS, proper: bool = True) -> DataFrame:
+def augment_dataset(samples: DataFrame, variants: DataFrame, alternatives: DataFrame, similarity: DataFrame, strategies: list[str], ratio: float, job: list[str], n: int = 2, lexicon: list[str] = ASPECTS, proper: bool | str = True) -> DataFrame:
     """The samples and what the strategies make of the first ``ratio`` of each job; unknown strategies are skipped."""
     chosen = select_for_augmentation(samples, ratio, job)
     made = {
@@ -151,7 +226,7 @@ def augment_dataset(samples: DataFrame, variants: DataFrame, alternatives: DataF
     return out
 
 
-def augmentation_summary(samples: DataFrame, accepted: DataFrame, strategies: list[str], requested: int, lexicon: list[str] = ASPECTS, proper: bool = True) -> DataFrame:
+def augmentation_summary(samples: DataFrame, accepted: DataFrame, strategies: list[str], requested: int, lexicon: list[str] = ASPECTS, proper: bool | str = True) -> DataFrame:
     """For each sample and strategy: texts and scores by variant, the aspects that every variant preserved, what changed, and the mean score.
 
     A sample without variants has an empty row of score 0 that preserves all its aspects.

@@ -39,7 +39,8 @@ def validate_requests(df: DataFrame, pricing: DataFrame, max_samples: int = 50,
         F.array(
             F.when(~F.length("product").between(2, 200) | F.col("product").isNull(), "product"),
             F.when(~F.length("version").between(1, 20) | F.col("version").isNull(), "version"),
-            F.when(~F.col("temperature").between(0.0, 2.0), "temperature"),
+            F.when(~F.col("temperature").between(0.0, 2.0) | F.col("temperature").isNull(), "temperature"),
+            F.when(F.col("count").isNull(), "count"),
             F.when((F.col("count") < 1) | (F.col("count") > max_samples), F.concat(F.lit("count over the limit of "), F.lit(str(max_samples)))),
         )
     )

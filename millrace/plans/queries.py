@@ -19,7 +19,7 @@ from ..operators import packing as K
 from ..operators import prompts as P
 from ..operators import quality as Q
 from ..operators import usage as U
-from ..sources.samples import assemble_parts, assemble_results, flatten_results, read_samples, write_samples
+from ..sources.samples import assemble_parts, assemble_results, checked_samples, flatten_results, read_samples, write_samples
 from ..sources.scratch import scratch_path
 from ..streaming import streams as X
 from . import tables as t
@@ -70,6 +70,18 @@ def s1_read_write(spark, d):
     return read_samples(spark, path, "json").select("seq", "product", "prompt_version", "text", "tokens_estimated")
 
 
+@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'not readable' WHEN doc_id % 10 = 0 THEN 'tokens_estimated below 0' WHEN doc_id % 11 = 0 THEN 'missing text' ELSE '' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+def s1_checked_samples(spark, d):
+    """Every document as a JSON line, some cut off, some with a negative number of tokens, some without a text."""
+    rows = t.samples(spark, d).select("seq", "id", "product", "prompt_version", F.when(F.col("seq") % 11 != 0, F.col("text")).alias("text"), F.when(F.col("seq") % 10 == 0, -1).otherwise(F.col("tokens_estimated")).alias("tokens_estimated"))
+    line = F.to_json(F.struct(*rows.columns))
+    path = scratch_path(spark, "lines")
+    rows.select(F.when(F.col("seq") % 7 == 0, F.substring(line, 1, 10)).otherwise(line).alias("value")).write.text(path)
+    good, bad = checked_samples(spark, path, "json", needed=("id", "text", "tokens_estimated"))
+    kinds = good.select(F.lit("").alias("reason")).unionByName(bad.select(F.element_at("reasons", -1).alias("reason")))
+    return kinds.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query(samples_sql("job_id, id AS sample_id, text, tokens_estimated"))
 def s2_flatten_results(spark, d):
     jobs = assemble_parts(t.samples(spark, d), ["job_id"]).select("job_id", F.to_json(F.struct("samples", "total_samples")).alias("result"))
@@ -315,9 +327,13 @@ def f4_batch_summary(spark, d):
 ASPECTS_SQL = f"list_sort(list_distinct(list_concat(list_filter({t.LEXICON}, lambda a: contains(lower(text), a)), list_filter(regexp_extract_all(lower(text), '{T.WORD}'), lambda x: x IN ('app','software','device','product','service','system','platform')))))"
 
 
-@query(f"SELECT doc_id AS seq, array_to_string({ASPECTS_SQL}, ',') AS aspects FROM documents")
+#: The whole list as text, and some words of the invented prose of which one begins with another.
+ALL_TERMS = "['quality', 'price', 'cost', 'value', 'design', 'appearance', 'performance', 'speed', 'reliability', 'durability', 'features', 'functionality', 'usability', 'interface', 'battery', 'display', 'size', 'weight', 'color', 'style', 'brand', 'packaging', 'service', 'support', 'help', 'assistance', 'response', 'delivery', 'shipping', 'installation', 'setup', 'training', 'documentation', 'warranty', 'guarantee', 'refund', 'return', 'exchange', 'experience', 'satisfaction', 'convenience', 'ease', 'simplicity', 'comfort', 'safety', 'security', 'privacy', 'trust', 'confidence', 'the', 'then', 'on', 'and']"
+
+
+@query(f"SELECT doc_id AS seq, array_to_string({ASPECTS_SQL.replace(str(t.LEXICON), ALL_TERMS)}, ',') AS aspects FROM documents")
 def a1_extract_aspects(spark, d):
-    return t.samples(spark, d).select("seq", F.array_join(A.extract_aspects(F.col("text"), t.LEXICON, proper=False), ",").alias("aspects"))
+    return t.samples(spark, d).select("seq", F.array_join(A.extract_aspects(F.col("text"), [*A.ASPECTS, "the", "then", "on", "and"], proper=False), ",").alias("aspects"))
 
 
 ORIGINALS_SQL = f"{t.SAMPLES_SQL}, o AS MATERIALIZED (SELECT *, id AS sample_id, {ASPECTS_SQL} AS aspects, {t.w('text')} AS ws FROM samples)"
@@ -364,9 +380,11 @@ def a6_replace_aspect(spark, d):
     return t.samples(spark, d).select("seq", A.replace_aspect(F.col("text"), F.lit("the"), F.lit("$1 x")).alias("text"))
 
 
-ALT_SQL = "alts AS (SELECT * FROM (VALUES ('the', 'these'), ('and', 'plus'), ('thon', 'thing'), ('que', 'qui'), ('der', 'der')) v(aspect, alternative))"
-ADA_SQL = f"""{CDA_SQL}, {ALT_SQL}, turn AS (SELECT o.*, i::INT AS variant_index, aspects[(i % len(aspects) + 1)::INT] AS aspect FROM o, range(0, 3) r(i) WHERE len(aspects) > 0),
-repl AS MATERIALIZED (SELECT turn.*, alternative, {replaced_sql('text', 'turn.aspect', 'alternative')} AS variant, list_filter(aspects, lambda x: x <> turn.aspect) AS others FROM turn JOIN alts ON alts.aspect = turn.aspect AND alternative <> turn.aspect),
+ALT_SQL = "alts AS (SELECT * FROM (VALUES ('the', NULL, ['these', 'those']), ('the', 'src8', ['this']), ('and', NULL, ['plus']), ('and', 'src9', ['also', 'plus']), ('thon', NULL, ['thing']), ('que', NULL, ['qui']), ('der', 'src8', ['dem'])) v(aspect, product, choices))"
+ADA_SQL = f"""{CDA_SQL}, {ALT_SQL}, turn AS (SELECT o.*, i::INT AS variant_index, aspects[(i % len(aspects) + 1)::INT] AS aspect, i // len(aspects) AS round FROM o, range(0, 3) r(i) WHERE len(aspects) > 0),
+offered AS (SELECT turn.*, coalesce(own.choices, every.choices) AS choices FROM turn LEFT JOIN alts own ON own.aspect = turn.aspect AND own.product = turn.product LEFT JOIN alts every ON every.aspect = turn.aspect AND every.product IS NULL),
+chosen_ AS (SELECT *, choices[(round % len(choices) + 1)::INT] AS alternative FROM offered WHERE choices IS NOT NULL),
+repl AS MATERIALIZED (SELECT *, {replaced_sql('text', 'aspect', 'alternative')} AS variant, list_filter(aspects, lambda x: x <> aspect) AS others FROM chosen_),
 ada AS MATERIALIZED (SELECT *, (CASE WHEN len(others) = 0 THEN 1 ELSE len(list_filter(others, lambda a: contains(lower(variant), a)))::DOUBLE / len(others) END + CASE WHEN seq % 5 = 0 THEN 0.5 WHEN seq % 2 = 0 THEN 0.95 ELSE 0.7 END::DOUBLE) / 2 AS score FROM repl WHERE variant <> text)"""
 
 
@@ -394,7 +412,8 @@ def a9_cada_plan(spark, d):
     return t.requests(spark, d).select("request_id", *cols).select("request_id", *[F.col(c).cast("long") for c in ("cda", "ada", "combined")])
 
 
-@query(f"""WITH {ADA_SQL}, both_ AS (SELECT c.sample_id, c.variant_index, c.variant, c.score, a.aspect, a.alternative FROM (SELECT *, {ASPECTS_SQL.replace('text', 'variant')} AS va FROM cda WHERE variant_index < 1) c JOIN alts a ON a.aspect = c.va[1])
+@query(f"""WITH {ADA_SQL}, both_ AS (SELECT c.sample_id, c.variant_index, c.variant, c.score, c.va[1] AS aspect, coalesce(own.choices, every.choices)[1] AS alternative FROM (SELECT *, {ASPECTS_SQL.replace('text', 'variant')} AS va FROM cda WHERE variant_index < 1) c
+  LEFT JOIN alts own ON own.aspect = c.va[1] AND own.product = c.product LEFT JOIN alts every ON every.aspect = c.va[1] AND every.product IS NULL WHERE coalesce(own.choices, every.choices) IS NOT NULL)
   SELECT sample_id, 'CDA' AS kind, variant_index, variant, round(score, 6) AS score FROM cda WHERE variant_index < 2 UNION ALL SELECT sample_id, 'ADA', variant_index, variant, round(score, 6) FROM ada WHERE score >= 0.8::DOUBLE AND variant_index < 2
   UNION ALL SELECT sample_id, 'COMBINED', variant_index, {replaced_sql('variant', 'aspect', 'alternative')}, round(score, 6) FROM both_ WHERE {replaced_sql('variant', 'aspect', 'alternative')} <> variant""")
 def a10_cada_variants(spark, d):
@@ -505,8 +524,8 @@ def u10_pack_batches(spark, d):
 
 # Job log
 
-JOBS_SQL = "j AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'STARTED' WHEN 'click' THEN 'PROGRESS' WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' END AS state, 'w' || event_id % 7 AS worker, CASE WHEN event_id % 2 = 0 THEN props END AS error FROM events), last AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1)"
-LATEST_SQL = f"{JOBS_SQL}, s AS (SELECT l.job_id, l.state, CASE l.state WHEN 'PENDING' THEN 'pending' WHEN 'STARTED' THEN 'running' WHEN 'PROGRESS' THEN 'running' WHEN 'SUCCESS' THEN 'completed' WHEN 'FAILURE' THEN 'error' ELSE 'unknown' END AS status, l.ts, l.error FROM last l)"
+JOBS_SQL = "j AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'STARTED' WHEN 'click' THEN 'PROGRESS' WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILURE' END AS state, 'w' || event_id % 7 AS worker, CASE WHEN event_id % 2 = 0 THEN props END AS error, CASE WHEN event_type IN ('purchase', 'error') AND event_id % 3 <> 0 THEN ts - INTERVAL 1 SECOND END AS completed_at FROM events), last AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1)"
+LATEST_SQL = f"{JOBS_SQL}, s AS (SELECT l.job_id, l.state, CASE l.state WHEN 'PENDING' THEN 'pending' WHEN 'STARTED' THEN 'running' WHEN 'PROGRESS' THEN 'running' WHEN 'SUCCESS' THEN 'completed' WHEN 'FAILURE' THEN 'error' ELSE 'unknown' END AS status, coalesce(l.completed_at, l.ts) AS ts, l.error FROM last l)"
 
 
 @query(f"WITH {LATEST_SQL} SELECT job_id, state, status, epoch_us(ts) AS updated_us, CASE WHEN status = 'error' THEN coalesce(error, 'Task failed with unknown error') END AS error FROM s")

@@ -11,7 +11,10 @@ from ..sources.samples import spread
 KINDS = ("support", "review", "feature", "chatbot")
 #: Few frequent words of the invented prose that stand in for aspects, with alternatives.
 LEXICON = ["the", "and", "thon", "que", "der"]
-ALTERNATIVES = [("the", "these"), ("and", "plus"), ("thon", '"Thing"'), ("que", "qui"), ("der", "der")]
+ALTERNATIVES = [
+    ("the", None, "those"), ("the", None, "these "), ("the", "src8", "This"), ("and", None, "plus"), ("and", "src9", "also"), ("and", "src9", "plus"), ("and", "src9", "and"),
+    ("thon", None, '"Thing"'), ("que", None, "qui"), ("der", None, "der"), ("der", "src8", "dem"),
+]
 PRICES = [("gpt-4", 0.03, 0.06), ("gpt-3.5-turbo", 0.0015, 0.002), ("small", 0.5, 1.5)]
 EXAMPLES = [
     ("support", 1, [("product", "{product}"), ("tone", "polite")], "Could you help me with {product}?", "Polite"),
@@ -79,9 +82,10 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = F.when(F.col("event_type").isin("purchase", "error") & (F.col("event_id") % 3 != 0), F.col("ts").cast("timestamp") - F.expr("interval 1 second"))
     states = F.create_map(*[F.lit(x) for kv in (("signup", "PENDING"), ("view", "STARTED"), ("click", "PROGRESS"), ("purchase", "SUCCESS"), ("error", "FAILURE")) for x in kv])
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.try_element_at(states, F.col("event_type")).alias("state"), F.concat(F.lit("w"), (F.col("event_id") % 7).cast("string")).alias("worker"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("error"))
+    return e.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.try_element_at(states, F.col("event_type")).alias("state"), F.concat(F.lit("w"), (F.col("event_id") % 7).cast("string")).alias("worker"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("error"), done.alias("completed_at"))
 
 
 def limit_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +116,7 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alternatives(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALTERNATIVES, "aspect string, alternative string")
+    return spark.createDataFrame(ALTERNATIVES, "aspect string, product string, alternative string")
 
 
 def originals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,32 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.schema(SAMPLE).format(fmt).load(path)
 
 
+#: Fields that a sample can't be without.
+NEEDED = ("id", "product", "prompt_version", "generated_at", "text", "tokens_estimated", "temperature")
+
+
+def checked_samples(spark: SparkSession, path: str, fmt: str = "json", needed: tuple[str, ...] = NEEDED) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejected rows with ``raw`` and ``reasons``) from JSON lines or Parquet.
+
+    A row is rejected if it can't be read, lacks a ``needed`` field or has fewer than no tokens. ``raw`` is the line as it stands, or a
+    Parquet row as JSON. Both tables come from one scan each and are no copy of the file.
+    """
+    if fmt == "json":
+        lines = spark.read.text(path)
+        parsed = lines.withColumn("_s", F.from_json("value", f"{SAMPLE}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+        fields = [f.split()[0] for f in SAMPLE.split(", ")]
+        # Columns that the folders' names hold are in no line.
+        found = [F.coalesce(F.col(f"_s.{f}"), F.col(f).cast("string")).alias(f) if f in lines.columns else F.col(f"_s.{f}").alias(f) for f in fields]
+        rows = parsed.where("trim(value) <> ''").select(*found, F.col("value").alias("raw"), F.col("_s._bad").isNotNull().alias("_bad"))
+    else:
+        rows = read_samples(spark, path, fmt)
+        rows = rows.select("*", F.to_json(F.struct(*rows.columns)).alias("raw"), F.lit(False).alias("_bad"))
+    lacks = [F.when(~F.col("_bad") & F.col(c).isNull(), f"missing {c}") for c in needed]
+    reasons = F.array_compact(F.array(F.when(F.col("_bad"), "not readable"), *lacks, F.when(F.col("tokens_estimated") < 0, "tokens_estimated below 0")))
+    rows = rows.withColumn("reasons", reasons)
+    return rows.where("size(reasons) = 0").drop("raw", "_bad", "reasons"), rows.where("size(reasons) > 0").select("raw", "reasons")
+
+
 def write_samples(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
     """The table by prompt version: versions are few, products are not."""
     df.write.partitionBy("prompt_version").mode(mode).format(fmt).save(path)
