@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import unused, whole_texts
 
 NEVER = np.int64(1) << 60
+#: Pieces of more bytes than this are merged one by one, in plain lists: an array operation for each of their merges would cost more.
+LONG = 512
 #: Separators for str.split() that are not white space in Unicode; texts that hold one are split by the pattern.
 ODD = regex.compile(r"[\x1c-\x1f]")
 BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -70,8 +72,11 @@ class Bpe:
         """Token ids of each piece (the UTF-8 of one pre-token), as 32-bit numbers."""
         out = [b""] * len(pieces)
         sizes = np.array([len(p) for p in pieces])
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            out[i] = self._alone(pieces[i])
+        sizes[sizes > LONG] = 0
         for width in np.unique(1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(int)):
-            rows = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 2 else 0)))
+            rows = np.flatnonzero((sizes > 0) & (sizes <= width) & (sizes > (width // 2 if width > 2 else 0)))
             step = max(1, (1 << 17) // int(width))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -123,6 +128,49 @@ class Bpe:
         ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.order.tolist()))
+
+    def _alone(self, piece: bytes) -> bytes:
+        """The ids of one long piece, with a tree of its own."""
+        n, rank_of, merged, never = len(piece), self.rank_of, self.merged.tolist(), int(NEVER)
+        size = 1 << (n - 1).bit_length()
+        ids = self.inner[np.frombuffer(piece, np.uint8)].tolist()
+        ids[-1] = int(self.last[piece[-1]])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def key(at: int) -> int:
+            right = after[at]
+            rank = rank_of.get(ids[at] << 20 | ids[right]) if right < n else None
+            return never if rank is None else rank * size + at
+
+        tree = [never] * size + [key(i) for i in range(n)] + [never] * (size - n)
+        for i in range(size - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def put(at: int, value: int) -> None:
+            i = at + size
+            tree[i] = value
+            while i > 1:
+                i >>= 1
+                least = min(tree[2 * i], tree[2 * i + 1])
+                if tree[i] == least:
+                    return
+                tree[i] = least
+
+        while tree[1] < never:
+            rank, at = divmod(tree[1], size)
+            right = after[at]
+            ids[at], ids[right], after[at] = merged[rank], -1, after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            put(right, never)
+            put(at, key(at))
+            if before[at] >= 0:
+                put(before[at], key(before[at]))
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
+
     def split(self, word: str) -> list[bytes]:
         """The pre-tokens of one run of non-blank characters."""
         if word.isascii():

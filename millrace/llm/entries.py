@@ -90,7 +90,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenfiles.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, end=2)
     folder = scratch_path(spark, "tokens")
     tokenfiles.write_tokens(docs, folder)
-    return tokenfiles.with_crc32(tokenfiles.read_tokens(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfiles.read_tokens(spark, folder, binary=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:

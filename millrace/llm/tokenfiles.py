@@ -32,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from .bpe import byte_symbols
-from .common import in_groups, scratch_path, unused, whole_texts, written
+from .common import in_groups, scratch_path, whole_texts, written
 
 MAGIC = b"MRTOKEN1"
 #: Magic, documents, ids, bytes of the payload, crc32 of the payload.
@@ -189,8 +189,8 @@ class Piece(InputPartition):
 class Reader(DataSourceReader):
     """A task reads one file, block by block."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
-        self.path, self.most = path, most
+    def __init__(self, path: str, binary: bool, most: int = 1 << 19):
+        self.path, self.binary, self.most = path, binary, most
         store, folder = _at(path)
         with store.open_input_stream(f"{folder}/manifest.json") as file:
             found = json.loads(file.read())
@@ -212,7 +212,11 @@ class Reader(DataSourceReader):
                 a = 0
                 while a < len(names):  # some MB at a time, whole documents
                     b = max(a + 1, int(np.searchsorted(ends, ends[a] + self.most, side="right")) - 1)
-                    lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[b]]))
+                    own, cut = (ends[a : b + 1] - ends[a]).astype(np.int32), ids[ends[a] : ends[b]]
+                    if self.binary:
+                        lists = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(4 * own), pa.py_buffer(cut.astype("<u4"))])
+                    else:
+                        lists = pa.ListArray.from_arrays(pa.array(own), pa.array(cut))
                     columns = [pa.array(names[a:b], pa.int64(), mask=~known[a:b]), pa.array(start + ends[a:b]), pa.array(sizes[a:b]), lists]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
                     a = b
@@ -227,10 +231,14 @@ class TokenFiles(DataSource):
         return "tokenfiles"
 
     def schema(self) -> str:
-        return "doc_id long, start long, n_tokens long, ids array<int>"
+        return f"doc_id long, start long, n_tokens long, ids {'binary' if self.binary else 'array<int>'}"
+
+    @property
+    def binary(self) -> bool:
+        return self.options.get("binary") == "true"
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(self.options["path"], self.binary)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(self.options["path"], self.options["ranks"])
@@ -251,7 +259,7 @@ class Words:
     thirds of the different runs miss it; then it is filled anew.
     """
 
-    def __init__(self, path: str, cache: int = 150_000, longest: int = 64):
+    def __init__(self, path: str, cache: int = 120_000, longest: int = 32):
         from tokenizers import Tokenizer
 
         self.own, self.limit, self.longest, self.known = Tokenizer.from_file(path), cache, longest, {}
@@ -417,21 +425,8 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "i
     ordered.select("doc_id", F.col("_n").cast("long").alias("size"), "control", "data").write.format("tokenfiles").option("ranks", table).mode("append").save(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (how many ids there are before the document), n_tokens and ids of every document that ``write_tokens`` left under ``path``."""
+def read_tokens(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """doc_id, start (how many ids there are before the document), n_tokens and ids of every document that ``write_tokens`` left under ``path``; the ids of a document are an array or, with ``binary``, little-endian 32-bit numbers in a row."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("tokenfiles").load(path)
-
-
-def with_crc32(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
-    """df with the unsigned crc32 of each array's ids as little-endian 32-bit numbers; a null array counts as an empty one."""
-    place = unused(df, "_ids")
-
-    @F.arrow_udf("long")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            ends = batch.offsets.to_numpy().astype(np.int64)
-            flat = memoryview(batch.values.to_numpy().astype("<u4")).cast("B")
-            yield pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
+    return spark.read.format("tokenfiles").option("binary", str(binary).lower()).load(path)
 
-    return df.withColumn(place, F.coalesce(ids, F.array().cast("array<int>"))).withColumn(name, run(F.col(place))).drop(place)

@@ -405,3 +405,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL.rpartition("/")[0]).collect()
     assert out and all(len(r.ids) == r.n_tokens for r in out)
     assert hashlib.sha256(str(sorted((r.doc_id, r.n_tokens) for r in out)).encode()).hexdigest() == hashlib.sha256(str(sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SMALL.rpartition("/")[0]).collect())).encode()).hexdigest()
+
+
+def test_bpe_of_a_long_run():
+    """A megabyte without a blank: the tree of a long piece is one of plain lists, and its ids are the library's."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    from millrace.llm import bpe, entries
+
+    library, own = Tokenizer.from_file(entries.WORD_BPE), bpe.Bpe(entries.WORD_BPE)
+    r = np.random.default_rng(3)
+    for n in (513, 600, 5000, 200_000):
+        text = "".join(r.choice(list("etaoinshrdlu"), n)) if n != 600 else "é" * n
+        assert np.frombuffer(own.encode([text])[0], np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    own.encode(["abcdefghij" * 50_000])
+    assert time.process_time() - began < 40
