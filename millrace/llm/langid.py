@@ -26,13 +26,13 @@ NONE = "und"
 def runs(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, pa.Array, np.ndarray]:
     """(runs of texts without blanks, how many each text has, words of each different run in a row, how many each of them has).
 
-    A word is a run of letters of any length, in lower case; a null text has no run.
+    A word is a run of letters and the marks on them of any length, in lower case, with one letter at least; a null text has no run.
     """
     lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     whole = lists.flatten().dictionary_encode()
-    parts = pc.split_pattern_regex(whole.dictionary, r"[^\p{L}]+")
+    parts = pc.split_pattern_regex(whole.dictionary, r"[^\p{L}\p{M}]+")
     words = parts.flatten()
-    full = pc.greater(pc.binary_length(words), 0)
+    full = pc.match_substring_regex(words, r"\p{L}")
     owner = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
     sizes = np.bincount(owner, full.to_numpy(zero_copy_only=False), len(parts)).astype(np.int64)
     return whole, pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), words.filter(full), sizes
@@ -79,24 +79,22 @@ def train(
     text: str = "text",
     id_col: str = "doc_id",
     max_docs: int = 4_000,
-    max_words: int = 800_000,
-    max_grams: int = 400_000,
+    max_words: int | None = None,
+    max_grams: int | None = None,
     longest: int = 5,
+    most_bytes: int = 256 << 20,
 ) -> LanguageModel:
-    """Fit on df's rows with a language and a text: about ``max_docs`` of each language, picked by a hash of their id.
+    """Fit on df's rows with a language and a text: about ``max_docs`` of each language, picked by a hash of their id and text.
 
-    Kept for each language: its most frequent words, an equal share of ``max_words``, and, for each length up to
-    ``longest``, its most frequent n-grams, an equal share of ``max_grams`` (ties by code point). So the model's size is
-    bounded whatever the rows; samples of this size keep all. No usable rows give a model of no language.
+    All words and n-grams up to ``longest`` of these rows are kept, however many languages there are. What bounds the model, which is broadcast, is the number of rows alone: where its
+    table of strings by languages would have more than ``most_bytes``, half as many rows of each language are taken, and so on. With ``max_words`` or ``max_grams`` only that many strings
+    of each length are kept, the most frequent ones, an equal share of each language (ties by code point). No usable rows give a model of no language.
     """
     df = whole_texts(df)
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([], {})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])
-    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in batch.column(0).unique():
@@ -115,18 +113,28 @@ def train(
                         found[own, size, g] += n
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(list(found.values()), pa.int64())], ["lang", "size", "gram", "n"])
 
-    by_word = written(rows.select("lang", "text").mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langwords")
-    by_gram = written(by_word.mapInArrow(grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langgrams")
+    while True:
+        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])
+        # By the text as well: rows without an id, or copies under one, are then not all in or all out.
+        picked = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        by_word = written(picked.select("lang", "text").mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langwords")
+        by_gram = written(by_word.mapInArrow(grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langgrams")
+        strings = by_word.select("gram").distinct().count() + by_gram.select("size", "gram").distinct().count()
+        if strings * (4 * len(sizes) + 16) <= most_bytes or max_docs <= 1:
+            break
+        max_docs = max_docs // 2
     langs = sorted(sizes)
 
-    def top(table: DataFrame, most: int) -> dict[int, dict[str, Counter]]:
-        order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
+    def top(table: DataFrame, most: int | None) -> dict[int, dict[str, Counter]]:
         best: dict[int, dict[str, Counter]] = {}
-        for r in table.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("lang", "size", "gram", "n").toLocalIterator():
+        if most is not None:
+            order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
+            table = table.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most // len(langs))
+        for r in table.select("lang", "size", "gram", "n").toLocalIterator():
             best.setdefault(r["size"], {own: Counter() for own in langs})[r["lang"]][r["gram"]] = r["n"]
         return best
 
-    kept = top(by_word.withColumn("size", F.lit(0)), max_words // len(langs)) | top(by_gram, max_grams // len(langs))
+    kept = top(by_word.withColumn("size", F.lit(0)), max_words) | top(by_gram, max_grams)
     tables = {n: _table(kept.get(n, {own: Counter() for own in langs}), langs) for n in range(longest + 1)}
     return LanguageModel(langs, tables)
 

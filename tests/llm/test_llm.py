@@ -423,3 +423,43 @@ def test_bpe_of_a_long_run():
     began = time.process_time()
     own.encode(["abcdefghij" * 50_000])
     assert time.process_time() - began < 40
+
+
+def test_languages_share_no_cap(spark):
+    """Forty languages of a few words each keep all of them; the bound on bytes takes fewer rows, not fewer languages; marks are part of words."""
+    from millrace.llm import langid
+
+    rows = [(i, f"l{i % 40}", " ".join(f"{chr(97 + i % 40 % 26)}{chr(97 + i % 40 // 26)}{chr(97 + j)}" for j in range(20))) for i in range(400)]
+    df = spark.createDataFrame(rows + [(None, "hi", "हिन्दी भाषा"), (None, None, "x")], "doc_id long, lang string, text string")
+    model = langid.train(df)
+    names = model.tables[0][0].split("\n")
+    assert len(names) == 40 * 20 + 2 and {"हिन्दी", "भाषा"} <= set(names) and len(model.langs) == 41
+    told = langid.identify(df, model).where("lang is not null").collect()
+    assert all(r.lang_pred == r.lang for r in told)
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame([("१२ ़",), (None,)], "text string"), model).collect()} == {"und"}
+    small = langid.train(df, max_docs=8, most_bytes=100_000)
+    assert len(small.langs) == 41 and small.tables[0][1].nbytes < 100_000
+
+
+def test_language_training_counts(spark):
+    """The tables' counts are those of the rows, word by word and n-gram by n-gram."""
+    import math
+    from collections import Counter
+
+    from millrace.llm import langid
+
+    rows = [(1, "a", "Ab ab, bc"), (2, "a", "bc1cd"), (3, "b", "ab zz"), (4, "b", None), (5, None, "qq")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), longest=2)
+    words = {"a": Counter({"ab": 2, "bc": 2, "cd": 1}), "b": Counter({"ab": 1, "zz": 1})}
+    pairs = {l: Counter({g: n for g, n in sum((Counter({f"<{w}>"[i : i + 2]: 0 for i in range(len(w) + 1)}) for w in c), Counter()).items()}) for l, c in words.items()}
+    for l, c in words.items():
+        for w, n in c.items():
+            for i in range(len(w) + 1):
+                pairs[l][f"<{w}>"[i : i + 2]] += n
+    for size, expected in ((0, words), (2, pairs)):
+        names, logs = model.tables[size]
+        names = names.split("\n")
+        assert set(names) == set().union(*expected.values())
+        for j, l in enumerate(model.langs):
+            total = sum(expected[l].values()) + 0.5 * (len(names) + 1)
+            assert np.allclose(logs[:, j], [math.log((expected[l][w] + 0.5) / total) for w in names], atol=1e-5)
