@@ -172,5 +172,5 @@ def test_op10(spark):
 def test_all_are_registered():
     import corpus_pipeline
 
-    assert sorted(entries.queries()) == sorted([*(f"op{n}_{x}" for n, x in enumerate("ann toxicity suffix_dedup vafile langid bpe simhash token_counts lm_scoring mixing".split(), 1)), "pipeline"])
+    assert sorted(entries.queries()) == sorted([*(f"op{n}_{x}" for n, x in enumerate("ann toxicity suffix_dedup vafile langid bpe simhash token_counts lm_scoring mixing vector_codes hard_negatives token_files".split(), 1)), "pipeline"])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "mixture", "tokens"]

@@ -463,3 +463,29 @@ def test_language_training_counts(spark):
         for j, l in enumerate(model.langs):
             total = sum(expected[l].values()) + 0.5 * (len(names) + 1)
             assert np.allclose(logs[:, j], [math.log((expected[l][w] + 0.5) / total) for w in names], atol=1e-5)
+
+
+def test_lm_starts_with_learnt_weights(spark):
+    """New texts gain by what the texts kept apart have taught, short ones most of all; base counts cover those texts too."""
+    import dataclasses
+
+    from millrace.llm import lm
+    from millrace.llm.common import remainder
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held, rest = docs.where(remainder("doc_id", 7) == 2), docs.where(remainder("doc_id", 7) != 2)
+    model, counts = lm.train(rest)
+    assert counts.agg(F.sum("n")).first()[0] + rest.count() == model.code.total
+    plain = lm.Model(model.code, model.by_class, model.by_word, model.letter_odds, model.letter_trust)
+    texts = [r.text or "" for r in held.collect()]
+    short = [" ".join(w[i : i + 15]) for t in texts for w in [t.split()] for i in range(0, len(w), 15)]
+
+    def bits(own, part, **more):
+        ids, starts, _ = lm._ids(own.code, pa.array(part))
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        return own._mixed(ids, *own.code.contexts(ids, starts), owner, len(starts), **more).sum() / len(ids)
+
+    whole, cut = bits(model, texts), bits(model, short)
+    assert whole > -9.6 and whole > bits(plain, texts) + 0.15
+    assert cut > bits(plain, short) + 0.4 and whole - cut < 0.75
+    assert dataclasses.replace(plain, weights=model.weights, chart=model.chart).chart.shape == (2 * lm.CELLS,)
