@@ -13,7 +13,7 @@ SENTIMENTS = {
     4: "Positive - Satisfied or pleased",
     5: "Very Positive - Extremely satisfied, delighted, or enthusiastic",
 }
-#: US dollars for a thousand prompt and completion tokens where a model has no price of its own.
+#: Fixed value: the model whose price counts for models that the price table lacks.
 DEFAULT_MODEL = "gpt-4"
 
 

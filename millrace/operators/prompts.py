@@ -88,6 +88,7 @@ def render_prompt() -> Column:
     mood = F.when(level != 0, F.concat(F.lit("Sentiment Level: "), R.sentiment_description(level), F.lit("\n"))).otherwise("")
     voice = F.when(tone != "", F.concat(F.lit("Tone: "), tone, F.lit("\n"))).otherwise("")
     length = lambda other: F.when(limit != "", F.concat(F.lit("- Be "), limit)).otherwise(other)
+    # The texts of the support and review templates.
     support = F.concat(
         F.lit("You are a customer writing a support request about a problem with "), p, F.lit(".\n\n"), mood, F.lit("\n"), voice, F.lit("\nYour request should be:\n- "),
         F.when(tone != "", F.concat(_capital(tone), F.lit(" in tone"))).otherwise("Professional and clear in tone"),

@@ -101,14 +101,45 @@ def r1_sanitize_product(spark, d):
     return t.requests(spark, d).select("request_id", R.sanitize_product(F.concat("product", F.lit("#é<3> [x]"))).alias("product"))
 
 
-PROMPT_SQL = f"""{t.REQUESTS_SQL}, moods AS (SELECT *, CASE WHEN level = 0 THEN '' ELSE 'Sentiment Level: ' || CASE level WHEN 1 THEN '{R.SENTIMENTS[1]}' WHEN 2 THEN '{R.SENTIMENTS[2]}' WHEN 3 THEN '{R.SENTIMENTS[3]}' WHEN 4 THEN '{R.SENTIMENTS[4]}' ELSE '{R.SENTIMENTS[5]}' END || chr(10) END AS mood,
+# Fixed values, typed out once more, so that the SQL doesn't expect what the library happens to hold.
+LEVEL_SQL = """CASE level WHEN 1 THEN 'Very Negative - Highly dissatisfied, angry, or frustrated' WHEN 2 THEN 'Negative - Dissatisfied or disappointed' WHEN 3 THEN 'Neutral - Balanced or indifferent'
+  WHEN 4 THEN 'Positive - Satisfied or pleased' WHEN 5 THEN 'Very Positive - Extremely satisfied, delighted, or enthusiastic' ELSE 'Neutral' END"""
+FEATURE_TEXT = """You are a user of {{p}} writing a feature request or improvement suggestion.
+
+Your request should:
+- Clearly describe the desired feature or improvement
+- Explain the problem it would solve
+- Provide context about your use case
+- Be constructive and specific
+- Include potential benefits for other users
+- Be between 60-180 words
+
+Write your feature request:"""
+CHATBOT_TEXT = """You are a customer service representative responding to a customer inquiry about {{p}}.
+
+Customer''s issue: The customer is experiencing problems and needs assistance.
+
+Your response should be:
+- Professional and empathetic
+- Provide helpful troubleshooting steps
+- Offer clear next steps or solutions
+- Maintain a positive, solution-focused tone
+- Be concise but thorough (50-150 words)
+
+Write your customer service response:"""
+CANNED_SQL = """['I''m experiencing issues with the product and need immediate assistance. The problem started yesterday and is affecting my productivity.',
+  'Your the product service is not working as expected. I''ve tried multiple troubleshooting steps but the issue persists.',
+  'I''m frustrated with the recent changes to the product. The new interface is confusing and has broken my workflow.',
+  'There seems to be a bug in the product that''s preventing me from completing my tasks. Please investigate this urgently.',
+  'The the product feature I rely on daily has stopped working. This is impacting my business operations significantly.']"""
+PROMPT_SQL = f"""{t.REQUESTS_SQL}, moods AS (SELECT *, CASE WHEN level = 0 THEN '' ELSE 'Sentiment Level: ' || {LEVEL_SQL} || chr(10) END AS mood,
   CASE WHEN tone = '' THEN '' ELSE 'Tone: ' || tone || chr(10) END AS voice FROM requests), prompts AS MATERIALIZED (SELECT *, CASE template
   WHEN 'support' THEN 'You are a customer writing a support request about a problem with ' || product || '.' || chr(10) || chr(10) || mood || chr(10) || voice || chr(10) || 'Your request should be:' || chr(10) || '- ' || CASE WHEN tone = '' THEN 'Professional and clear in tone' ELSE 'Polite in tone' END
     || '- Specific about the issue you''re experiencing  ' || chr(10) || '- Include realistic details about the impact' || chr(10) || '- Request clear next steps for resolution' || chr(10) || CASE WHEN lim = '' THEN '- Be between 50-150 words' ELSE '- Be ' || lim END || chr(10) || extra || chr(10) || 'Write your support request:'
   WHEN 'review' THEN 'You are a customer writing a review for ' || product || '.' || chr(10) || chr(10) || mood || chr(10) || voice || chr(10) || 'Your review should be:' || chr(10) || '- Authentic and helpful to other customers' || chr(10) || '- Based on realistic usage experience' || chr(10)
     || CASE WHEN level IN (1, 2) THEN '- Focus on issues and problems while being constructive' WHEN level >= 4 THEN '- Highlight positive aspects while maintaining credibility' ELSE '- Include both positive and negative aspects' END || chr(10) || '- Be specific about features and performance' || chr(10) || '- '
     || CASE WHEN tone = '' THEN 'Written in a natural, conversational tone' ELSE 'Written in a ' || tone || ' tone' END || CASE WHEN lim = '' THEN '- Between 75-200 words' ELSE '- Be ' || lim END || chr(10) || extra || chr(10) || 'Write your product review:'
-  WHEN 'feature' THEN replace('{P.FEATURE.replace("'", "''")}', '{{p}}', product) ELSE replace('{P.CHATBOT.replace("'", "''")}', '{{p}}', product) END AS prompt FROM moods),
+  WHEN 'feature' THEN replace('{FEATURE_TEXT}', '{{{{p}}}}', product) ELSE replace('{CHATBOT_TEXT}', '{{{{p}}}}', product) END AS prompt FROM moods),
 prices AS (SELECT * FROM (VALUES ('gpt-4', 0.03::DOUBLE, 0.06::DOUBLE), ('gpt-3.5-turbo', 0.0015::DOUBLE, 0.002::DOUBLE), ('small', 0.5::DOUBLE, 1.5::DOUBLE)) v(model, p, c)),
 costs AS MATERIALIZED (SELECT r.*, greatest(1, len(prompt) // 4)::INT AS prompt_tokens, greatest(1, len(prompt) // 4)::DOUBLE / 1000 * coalesce(x.p, 0.03::DOUBLE) + 200::DOUBLE / 1000 * coalesce(x.c, 0.06::DOUBLE) AS cost FROM prompts r LEFT JOIN prices x ON x.model = r.model)"""
 
@@ -156,7 +187,7 @@ def r9_expand_requests(spark, d):
     return P.expand_requests(t.requests(spark, d)).select("request_id", "sample_index")
 
 
-@query(f"WITH {t.REQUESTS_SQL} SELECT request_id, CASE level WHEN 1 THEN '{R.SENTIMENTS[1]}' WHEN 2 THEN '{R.SENTIMENTS[2]}' WHEN 3 THEN '{R.SENTIMENTS[3]}' WHEN 4 THEN '{R.SENTIMENTS[4]}' WHEN 5 THEN '{R.SENTIMENTS[5]}' ELSE 'Neutral' END AS sentiment, lim AS length FROM requests")
+@query(f"WITH {t.REQUESTS_SQL} SELECT request_id, {LEVEL_SQL} AS sentiment, lim AS length FROM requests")
 def r10_descriptions(spark, d):
     return t.requests(spark, d).select("request_id", R.sentiment_description(F.col("sentiment_intensity")).alias("sentiment"), R.length_constraint(F.col("min_length"), F.col("max_length")).alias("length"))
 
@@ -183,7 +214,7 @@ def r13_assemble_samples(spark, d):
     return made.select("request_id", "sample_index", "tokens_estimated", F.lit(False).alias("missing")).unionByName(missing.select("request_id", "sample_index", F.lit(0).alias("tokens_estimated"), F.lit(True).alias("missing")))
 
 
-@query(f"""WITH u AS (SELECT conv_id, turn, ['{"', '".join(c.replace("{p}", "the product").replace("'", "''") for c in P.CANNED)}'][(('0x' || left(md5(text || '0.7'), 8))::BIGINT % 5 + 1)::INT] AS full_text FROM conversations WHERE role = 'user')
+@query(f"""WITH u AS (SELECT conv_id, turn, {CANNED_SQL}[(('0x' || left(md5(text || '0.7'), 8))::BIGINT % 5 + 1)::INT] AS full_text FROM conversations WHERE role = 'user')
   SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN array_to_string(string_split(full_text, ' ')[1:8], ' ') ELSE full_text END AS response FROM u""")
 def r14_canned_response(spark, d):
     rows = t.table(spark, d, "conversations").where("role = 'user'")
