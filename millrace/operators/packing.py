@@ -25,9 +25,12 @@ from .stretches import described, end_row, extended, ranged, runs, same, several
 
 
 class Links:
-    """The links of a run of requests. ``open_tokens`` has what a batch that is still open at the end would hold."""
+    """The links of a run of requests. ``open_tokens`` has what a batch that is still open at the end would hold.
 
-    def __init__(self, tokens: np.ndarray, max_size: int, max_tokens: float):
+    With ``times`` (NaN where there is none) a batch is also closed once the next request comes ``max_wait`` or more after its first.
+    """
+
+    def __init__(self, tokens: np.ndarray, max_size: int, max_tokens: float, times: np.ndarray | None = None, max_wait: float = np.inf):
         n = len(tokens)
         self.n, self.open_tokens = n, np.zeros(n)
         following, live = np.full(n, n), np.arange(n)
@@ -35,6 +38,8 @@ class Links:
             live = live[live + size <= n]
             self.open_tokens[live] += tokens[live + size - 1]  # in the order of the rows, as a plain sum
             full = (self.open_tokens[live] >= max_tokens) | (size >= max_size)
+            if times is not None and max_wait < np.inf:
+                full |= (times[np.minimum(live + size, n - 1)] - times[live] >= max_wait) & (live + size < n)
             following[live[full]] = live[full] + size
             live = live[~full]
             if not len(live):
@@ -72,72 +77,85 @@ class Links:
 
 
 class Path:
-    """Batches followed from row ``wait`` of a stretch on: ``number`` is the open batch's (from 0), ``size`` and ``tokens`` what it holds."""
+    """Batches followed from row ``wait`` of a stretch on: ``number`` is the open batch's (from 0), ``size`` and ``tokens`` what it holds, ``since`` when it began."""
 
     def __init__(self, wait: int):
-        self.wait, self.number, self.size, self.tokens = wait, -1, 0, 0.0
+        self.wait, self.number, self.size, self.tokens, self.since = wait, -1, 0, 0.0, np.nan
         self.meet = self.shift = None
 
-    def first(self, tokens: np.ndarray, max_size: int, max_tokens: float) -> int:
+    def first(self, tokens: np.ndarray, max_size: int, max_tokens: float, times: np.ndarray, max_wait: float) -> int:
         """Where in these further rows the next batch begins, their number if in none; the open batch takes the rows before."""
         if self.number < 0:
             at = min(self.wait, len(tokens))
             self.wait -= at
             return at
         at = 0
-        while at < len(tokens) and self.size < max_size and self.tokens < max_tokens:
+        while at < len(tokens) and self.size < max_size and self.tokens < max_tokens and not times[at] - self.since >= max_wait:
             self.tokens += float(tokens[at])
             self.size, at = self.size + 1, at + 1
         return at
 
+    def leave(self, number: int, links: Links, last: int, times: np.ndarray) -> None:
+        """The batch that begins at row ``last`` is the last one and stays open."""
+        self.number, self.size, self.tokens, self.since = number, links.n - last, float(links.open_tokens[last]), float(times[last])
+
 
-def pack_batches(log: DataFrame, max_size: int = 10, max_tokens: float = 4000, key: str = "key", order: tuple[str, ...] = ("ts", "event_id"), tokens: str = "tokens") -> DataFrame:
+def pack_batches(log: DataFrame, max_size: int = 10, max_tokens: float = 4000, max_wait: float | None = None, key: str = "key", order: tuple[str, ...] = ("ts", "event_id"), tokens: str = "tokens") -> DataFrame:
     """log with batch_id from 0 within each key: a batch takes requests until it has ``max_size`` or ``max_tokens``; the last may go over.
 
+    With ``max_wait`` (seconds), a batch is also released before a request that comes that long or longer after its first one.
     Tokens that are null or NaN count as 0. Null keys are one key. Rows of equal ``order`` are taken in any order; an empty log stays empty.
     """
     if max_size < 1 or not max_tokens > 0:
         raise ValueError("an empty batch has room for a request: max_size is 1 or more, max_tokens positive")
     names = log.columns
-    schema = described(log, "_part int, _n long, _batch long, _head array<double>, _paths array<struct<meet: long, shift: long, number: long, size: long, tokens: double>>")
+    schema = described(log, "_part int, _n long, _batch long, _head array<double>, _paths array<struct<meet: long, shift: long, number: long, size: long, tokens: double, since: double>>, _times array<double>")
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    wait = np.inf if max_wait is None else max_wait * 1e6
+
+    def columns(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, times in microseconds or NaN) of rows."""
+        cost = np.nan_to_num(rows.column(tokens).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        if wait == np.inf:
+            return cost, np.full(len(cost), np.nan)
+        return cost, rows.column(order[0]).cast(pa.timestamp("us", rows.column(order[0]).type.tz)).cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.float64)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        before, paths, n, head = None, [], 0, []
+        before, paths, n, head, seen = None, [], 0, [], []
 
         def closed() -> pa.RecordBatch:
             own = paths[0]
-            made = [(p.meet, p.shift, *((own.number + p.shift, own.size, own.tokens) if p.meet is not None else (p.number, p.size, p.tokens))) for p in paths[: min(len(paths), n)]]
-            made = [dict(zip(("meet", "shift", "number", "size", "tokens"), m)) for m in made]
-            return end_row(before, key, arrow, {"_part": part, "_head": head, "_paths": made})
+            made = [(p.meet, p.shift, *((own.number + p.shift, own.size, own.tokens, own.since) if p.meet is not None else (p.number, p.size, p.tokens, p.since))) for p in paths[: min(len(paths), n)]]
+            made = [dict(zip(("meet", "shift", "number", "size", "tokens", "since"), m)) for m in made]
+            return end_row(before, key, arrow, {"_part": part, "_head": head, "_times": seen, "_paths": made})
 
         for rows, new in runs(batches, key):
             if new:
                 if before is not None:
                     yield closed()
-                paths, n, head = [Path(i) for i in range(max_size)], 0, []
+                paths, n, head, seen = [Path(i) for i in range(max_size)], 0, [], []
                 paths[0].meet, paths[0].shift = 0, 0
             before = rows
-            cost = np.nan_to_num(rows.column(tokens).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf)
+            cost, times = columns(rows)
+            seen += times[: max_size - len(head)].tolist()
             head += cost[: max_size - len(head)].tolist()
-            links, own = Links(cost, max_size, max_tokens), paths[0]
-            at = own.first(cost, max_size, max_tokens)
+            links, own = Links(cost, max_size, max_tokens, times, wait), paths[0]
+            at = own.first(cost, max_size, max_tokens, times, wait)
             begins = links.begins(at) if at < len(cost) else np.zeros(len(cost), bool)
             fresh = own.number + np.cumsum(begins)
             met, hops = links.meeting(begins)
             for p in paths[1:]:
                 if p.meet is None:
-                    i = p.first(cost, max_size, max_tokens)
+                    i = p.first(cost, max_size, max_tokens, times, wait)
                     if i < len(cost):
-                        m = met[i]
-                        p.number += 1 + int(hops[i])
+                        m = int(met[i])
+                        p.leave(p.number + 1 + int(hops[i]), links, m, times)
                         if begins[m]:
-                            p.meet, p.shift = n + int(m), p.number - int(fresh[m])
-                        p.size, p.tokens = len(cost) - int(m), float(links.open_tokens[m])
+                            p.meet, p.shift = n + m, p.number - int(fresh[m])
             if at < len(cost):
-                m = links.last[at]
-                own.number, own.size, own.tokens = int(fresh[-1]), len(cost) - int(m), float(links.open_tokens[m])
+                own.leave(int(fresh[-1]), links, int(links.last[at]), times)
             yield extended(rows, arrow, [pa.array(np.full(len(cost), part, np.int32)), pa.array(n + np.arange(len(cost))), pa.array(fresh)])
             n += len(cost)
         if before is not None:
@@ -145,17 +163,18 @@ def pack_batches(log: DataFrame, max_size: int = 10, max_tokens: float = 4000, k
 
     def chained(state: tuple, row: tuple) -> tuple:
         """The open batch before a stretch, where its own first one begins, and what that makes of its rows."""
-        number, size, held = state
-        first, paths = row
+        number, size, held, since = state
+        first, times, paths = row
         entry, at = state, 0
-        while number >= 0 and at < len(first) and size < max_size and held < max_tokens:
+        # A time that is missing comes back as null or NaN.
+        times = [np.nan if x is None else x for x in times]
+        while number >= 0 and at < len(first) and size < max_size and held < max_tokens and not times[at] - since >= wait:
             size, held, at = size + 1, held + float(first[at]), at + 1
-        if at >= len(first) and len(first) < max_size and number >= 0 and size < max_size and held < max_tokens:
-            return (number, size, held), (*entry, None, None)  # the open batch takes the whole stretch
-        if at >= len(paths):  # as many rows as the stretch has: its last closes the batch
-            return (number, size, held), (*entry, None, None)
+        if at >= len(paths):  # the open batch takes the whole stretch
+            return (number, size, held, since), (*entry, None, None)
         p = paths[at]
-        return (number + 1 + p["number"], p["size"], p["tokens"]), (*entry, p["meet"], None if p["shift"] is None else number + 1 + p["shift"])
+        begun = p["since"]
+        return (number + 1 + p["number"], p["size"], p["tokens"], np.nan if begun is None else begun), (*entry, p["meet"], None if p["shift"] is None else number + 1 + p["shift"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of stretches' beginnings, in order, from what is known to come before them."""
@@ -170,21 +189,21 @@ def pack_batches(log: DataFrame, max_size: int = 10, max_tokens: float = 4000, k
                 if here != spot:
                     spot, path = here, Path(0)
                     path.number, path.size, path.tokens = (rows.column(c)[0].as_py() for c in ("_number", "_size", "_tokens"))
-                cost = np.nan_to_num(rows.column(tokens).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), nan=0.0, posinf=np.inf, neginf=-np.inf)
-                links = Links(cost, max_size, max_tokens)
-                at = path.first(cost, max_size, max_tokens)
+                    path.since = np.nan if rows.column("_since")[0].as_py() is None else rows.column("_since")[0].as_py()
+                cost, times = columns(rows)
+                links = Links(cost, max_size, max_tokens, times, wait)
+                at = path.first(cost, max_size, max_tokens, times, wait)
                 begins = links.begins(at) if at < len(cost) else np.zeros(len(cost), bool)
                 made = path.number + np.cumsum(begins)
                 if at < len(cost):
-                    m = links.last[at]
-                    path.number, path.size, path.tokens = int(made[-1]), len(cost) - int(m), float(links.open_tokens[m])
+                    path.leave(int(made[-1]), links, int(links.last[at]), times)
                 yield pa.RecordBatch.from_arrays([*rows.select(names).columns, pa.array(made)], [*names, "batch_id"])
 
     walked = written(ranged(log, [key], list(order)).mapInArrow(walk, schema), "packed")
-    rows, ends = walked.where("_paths is null"), several(walked.where("_paths is not null").select(key, "_part", "_head", "_paths"), key)
-    known = fold(ends, [key], ["_part"], lambda: (-1, 0, 0.0), chained, ["_head", "_paths"], "_number long, _size long, _tokens double, _meet long, _shift long")
+    rows, ends = walked.where("_paths is null"), several(walked.where("_paths is not null").select(key, "_part", "_head", "_times", "_paths"), key)
+    known = fold(ends, [key], ["_part"], lambda: (-1, 0, 0.0, np.nan), chained, ["_head", "_times", "_paths"], "_number long, _size long, _tokens double, _since double, _meet long, _shift long")
     # Two stretches at most for each task: one that began before it and one that ends after it.
-    known = F.broadcast(known.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), "_number", "_size", "_tokens", "_meet", "_shift"))
+    known = F.broadcast(known.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), "_number", "_size", "_tokens", "_since", "_meet", "_shift"))
     joined = rows.join(known, same({key: "_key", "_part": "_at"}), "left")
     settled = joined.where("_at is null or _n >= _meet").withColumn("batch_id", F.col("_batch") + F.coalesce("_shift", F.lit(0)))
     left = joined.where("_at is not null and (_meet is null or _n < _meet)").repartition("_key", "_at").sortWithinPartitions("_key", "_at", "_n")

@@ -41,13 +41,14 @@ def by_key(rows):
     return {k: sorted(v, key=lambda r: (r[1] is not None, r[1] or 0, r[0])) for k, v in out.items()}
 
 
-def packed(rows, most, limit):
+def packed(rows, most, limit, wait=None):
     out = {}
     for own in by_key(rows).values():
-        batch, size, held = 0, 0, 0.0
-        for i, _, t in own:
-            if size >= most or held >= limit:
+        batch, size, held, since = 0, 0, 0.0, None
+        for i, s, t in own:
+            if size >= most or held >= limit or (wait is not None and size and None not in (s, since) and s - since >= wait):
                 batch, size, held = batch + 1, 0, 0.0
+            since = s if not size else since
             size, held, out[i] = size + 1, held + t, batch
     return out
 
@@ -83,6 +84,12 @@ def test_packing(many, seed, most, limit):
     assert {r.event_id: r.batch_id for r in got.collect()} == packed(rows, most, limit)
 
 
+@pytest.mark.parametrize("seed,most,limit,wait", [(0, 10, 40.0, 5), (2, 400, 1e9, 30), (6, 10, 12.0, 0.5)])
+def test_packing_releases_what_has_waited(many, seed, most, limit, wait):
+    rows = made_rows(seed, gap=4)
+    assert {r.event_id: r.batch_id for r in K.pack_batches(log(many, rows), most, limit, wait).collect()} == packed(rows, most, limit, wait)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from([0.0, 1.0, 2.0, 7.0]), min_size=1, max_size=40), st.integers(1, 9), st.sampled_from([0.5, 3.0, 8.0, 1e9]))
 def test_links(tokens, most, limit):
