@@ -108,18 +108,19 @@ def neighbours(entries: np.ndarray, radius: np.ndarray, moved: np.ndarray) -> Ro
     return Round(entries, looked_at, near, apart)
 
 
-def _drop(spark: SparkSession, name: str, path: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str, str]:
-    """df (with ``pack``) as a bucketed table in the shared folder: (table, its name, its path)."""
+def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """df (with ``pack``) as a bucketed table in the shared folder: (table, its path). Its name is gone from the catalog at once; the files stay."""
     spark = df.sparkSession
     name, path = f"millrace_{uuid.uuid4().hex}", scratch_path(spark, "packs")
     df.write.format("parquet").bucketBy(buckets, "pack").option("path", path).saveAsTable(name)
-    return spark.table(name), name, path
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table, path
 
 
 def compress(
@@ -168,8 +169,8 @@ def compress(
                 number += 1
 
     made = rows.mapInArrow(packed, "pack long, ids array<long>, labels array<long>, kind string, x binary")
-    packs, *where = _bucketed(made.repartition(buckets, "pack"), buckets)
-    places, codes = [where], None
+    packs, _ = _bucketed(made.repartition(buckets, "pack"), buckets)
+    codes = place = None
     count, total = np.zeros((parts, k), np.int64), np.zeros((parts, k, width), np.int64)
     radius, moved = np.full((parts, k), np.inf), np.ones((parts, k), bool)
     schema = "pack long, codes binary, count binary, total binary, radius binary"
@@ -215,10 +216,10 @@ def compress(
         now = neighbours(book, radius, moved)
         shared = spark.sparkContext.broadcast(now)
         state = packs.select("pack", "kind", "x") if codes is None else packs.select("pack", "kind", "x").join(codes.select("pack", "codes"), "pack")
-        codes, *where = _bucketed(state.mapInArrow(assigned, schema), buckets)
-        places.append(where)
-        if len(places) > 2:
-            _drop(spark, *places.pop(1))
+        old = place
+        codes, place = _bucketed(state.mapInArrow(assigned, schema), buckets)
+        if old:
+            _delete(spark, old)
         changes = codes.select("count", "total", "radius").mapInArrow(folded, "count binary, total binary, radius binary")
         if buckets > 64:  # one more step, so that the driver gets few rows however many buckets there are
             changes = changes.repartition(64).mapInArrow(folded, "count binary, total binary, radius binary")
