@@ -175,7 +175,9 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
     while True:
         if kept is not None:
             asks, lists = (index.join(x.select("cid"), "cid", "left_semi") for x in (undecided, undecided.unionByName(kept)))
-        asked = asks.groupBy("scope", "word").agg(F.count("*").alias("f")).join(lists.groupBy("scope", "word").agg(F.count("*").alias("all")), ["scope", "word"])
+        asked = asks.groupBy("scope", "word").agg(F.count("*").alias("f"), F.count("*").alias("all"))
+        if kept is not None:
+            asked = asked.drop("all").join(lists.groupBy("scope", "word").agg(F.count("*").alias("all")), ["scope", "word"])
         pairs, rows, longest = asked.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.col("f") * (F.col("all") - F.col("f") / 2)), F.sum("f"), F.max("all"))]).first()
         if longest <= limit or pairs <= max(MOST_PAIRS, PAIRS_A_ROW * rows):
             limit = None
@@ -273,9 +275,12 @@ def first_wins(rows: DataFrame, threshold: float) -> DataFrame:
     classes = written(classes.select("cid", "scope", "set", "set2", "words", "o", F.col("first.o").alias("e"), F.col("first.hash").alias("e_hash")), "classes")
     kept, lost, index = leaders(classes, threshold)
     # Classes with rows before their first eligible one, or without one, are held against all that was kept.
-    early = classes.where("size(words) > 0 and (e is null or o < e)").select("cid").join(kept.select("cid"), "cid", "left_anti")
-    more = _near_kept(index.join(early, "cid", "left_semi"), index.join(kept.select("cid"), "cid", "left_semi"), classes, threshold)
-    near = lost.unionByName(more.select(F.col("a").alias("cid"), F.col("eb").alias("near"))).groupBy("cid").agg(F.min("near").alias("near"))
+    early = written(classes.where("size(words) > 0 and (e is null or o < e)").select("cid").join(kept.select("cid"), "cid", "left_anti"), "early")
+    near = lost
+    if not early.isEmpty():
+        more = _near_kept(index.join(early, "cid", "left_semi"), index.join(kept.select("cid"), "cid", "left_semi"), classes, threshold)
+        near = near.unionByName(more.select(F.col("a").alias("cid"), F.col("eb").alias("near")))
+    near = near.groupBy("cid").agg(F.min("near").alias("near"))
     own = classes.join(kept.select("cid", F.col("e").alias("ke")), "cid", "left").select("cid", "scope", "set", "set2", "ke", F.when(F.col("ke").isNotNull(), F.col("e_hash")).alias("kh"))
     marked = own.join(near, "cid", "left").drop("cid")
     out = slim.select("row", "o", "scope", "set", "set2", "hash").join(marked, ["scope", "set", "set2"])
