@@ -50,8 +50,9 @@ CENTRES = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS / 2 + 0.5) / 2))
 PRIOR = 40.0
 #: How many rare words' spelling a task remembers.
 SPELLINGS = 300_000
-#: Weights change after every 2**BLOCK_BITS bits of a text, by RATE for each bit.
+#: Weights change after every 2**BLOCK_BITS bits of a text, by RATE for each bit; beyond its first SETTLED bits, after four times as many.
 BLOCK_BITS = 6
+SETTLED = 4_096
 RATE = 0.02
 
 
@@ -315,7 +316,7 @@ class Model:
         return out, spelt
 
     def _mixed(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, owner: np.ndarray, texts: int, block: int = BLOCK_BITS, rate: float = RATE, learnt: dict | None = None) -> np.ndarray:
-        """log2 probabilities of each text's bits, all texts side by side, 2**block bits of each at a time with weights updated after them.
+        """log2 probabilities of each text's bits, all texts side by side, 2**block bits of each at a time (four times as many beyond SETTLED) with weights updated after them.
 
         With ``learnt``, what the texts' weights and maps were at their ends is added up there.
         """
@@ -328,9 +329,11 @@ class Model:
         weights = [np.tile(x.astype(np.float32), texts) for x in self.weights]
         seen_as = np.tile(self.chart.astype(np.float32), texts)  # zeros and ones in each cell
         used = np.zeros(texts * GATES, np.int64) if learnt is not None else None
-        for begin in range(0, most, 1 << block):
+        end = 0
+        while end < most:
+            begin, end = end, end + (1 << block if end < SETTLED else 4 << block)
             live = np.flatnonzero(sizes > begin)
-            size = np.minimum(sizes[live] - begin, 1 << block)
+            size = np.minimum(sizes[live], end) - begin
             spot = np.repeat(begins[live] + begin - (np.cumsum(size) - size), size)
             spot += np.arange(len(spot))
             t, d = token.take(spot).astype(np.int64), depth.take(spot)
