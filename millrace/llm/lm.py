@@ -5,8 +5,8 @@ an escape have Huffman codes; a word outside them is the escape and then its let
 If an earlier word of the same text was followed by something, a first bit says whether that comes again.
 Every bit of a code is mixed: predictors by the node of the code's tree alone, hashed by the node and the
 last frequent word, and hashed by the node and the previous word give their log odds, which weights
-chosen by depth and confidence combine; weights are updated online within the text, from what they came to in texts that were kept
-apart for that, and an adaptive map refines the result. A word outside the ``top`` is likely by its exact count, and, for what the training texts leave
+chosen by depth and confidence combine; weights are updated online within the text, and an adaptive map
+refines the result. A word outside the ``top`` is likely by its exact count, and, for what the training texts leave
 to new words, by its letters, which use the counts of the corpus' distinct words.
 
 Counts come from all training texts: word counts by a distributed sum, the hashed tables
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -248,9 +248,6 @@ class Model:
     by_word: np.ndarray
     letter_odds: list[np.ndarray]
     letter_trust: list[np.ndarray]
-    #: What every text's weights (one array for each predictor) and map (zeros and ones in each cell) begin with.
-    weights: list[np.ndarray] = field(default_factory=lambda: [np.tile(x, DEPTHS) for x in START.T])
-    chart: np.ndarray = field(default_factory=lambda: np.column_stack([PRIOR * (1 - CENTRES), PRIOR * CENTRES]).ravel())
 
     @classmethod
     def build(cls, code: Code, tables: list[np.ndarray], letters: list[np.ndarray]) -> Model:
@@ -315,20 +312,16 @@ class Model:
         out += self._mixed(ids, classes, previous, owner, texts)
         return out, spelt
 
-    def _mixed(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, owner: np.ndarray, texts: int, block: int = BLOCK_BITS, rate: float = RATE, learnt: dict | None = None) -> np.ndarray:
-        """log2 probabilities of each text's bits, all texts side by side, 2**block bits of each at a time (four times as many beyond SETTLED) with weights updated after them.
-
-        With ``learnt``, what the texts' weights and maps were at their ends is added up there.
-        """
+    def _mixed(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, owner: np.ndarray, texts: int, block: int = BLOCK_BITS, rate: float = RATE) -> np.ndarray:
+        """log2 probabilities of each text's bits, all texts side by side, 2**block bits of each at a time (four times as many beyond SETTLED) with weights updated after them."""
         code, steps, out = self.code, CELLS, np.zeros(texts)
         token, depth = code.bits_of(ids)
         sizes = np.bincount(owner, code.size[ids], texts).astype(np.int64)
         most = int(sizes.max(initial=0))
         begins = np.cumsum(sizes) - sizes
         first, of_class, of_word = code.first(ids), spread(classes), spread(previous)
-        weights = [np.tile(x.astype(np.float32), texts) for x in self.weights]
-        seen_as = np.tile(self.chart.astype(np.float32), texts)  # zeros and ones in each cell
-        used = np.zeros(texts * GATES, np.int64) if learnt is not None else None
+        weights = [np.tile(x, texts * DEPTHS) for x in START.T]
+        seen_as = np.tile(np.column_stack([PRIOR * (1 - CENTRES), PRIOR * CENTRES]).ravel().astype(np.float32), texts)  # zeros and ones in each cell
         end = 0
         while end < most:
             begin, end = end, end + (1 << block if end < SETTLED else 4 << block)
@@ -360,8 +353,6 @@ class Model:
             final *= np.float32(0.5)
             final = np.abs(1 - y - final, out=final)  # of the bit that is there
             out[live] += np.add.reduceat(np.log(final, out=final), np.cumsum(size) - size, dtype=np.float64)
-            if used is not None:
-                used += np.bincount(own, minlength=len(used))
             miss = y - p
             miss *= np.float32(rate)
             for w, v in zip(weights, x):
@@ -369,20 +360,8 @@ class Model:
             cell *= 2
             cell += y
             np.add.at(seen_as, cell, np.float32(1))
-        if learnt is not None:
-            learnt["weights"] = learnt.get("weights", 0) + np.array([(w.astype(np.float64) * used).reshape(texts, GATES).sum(axis=0) for w in weights])
-            learnt["used"] = learnt.get("used", 0) + used.reshape(texts, GATES).sum(axis=0)
-            learnt["chart"] = learnt.get("chart", 0) + (seen_as.reshape(texts, -1).astype(np.float64) - self.chart).sum(axis=0)
         return out / np.log(2)
 
-    def begun(self, learnt: dict, rate: float = 1.0) -> Model:
-        """This model with the weights that texts ended with, on average by bits, and a map of their bits, as much as PRIOR bits in each cell."""
-        used = np.maximum(learnt["used"], 1)
-        mean = np.where(learnt["used"] > 0, learnt["weights"] / used, self.weights)
-        zeros, ones = learnt["chart"][::2] + PRIOR * (1 - CENTRES), learnt["chart"][1::2] + PRIOR * CENTRES
-        share = ones / (zeros + ones)
-        return replace(self, weights=list(mean), chart=np.column_stack([PRIOR * (1 - share), PRIOR * share]).ravel())
-
 
 def word_counts(df: DataFrame, text: str = "text", most: int = 16_000_000) -> DataFrame:
     """(word binary, n long) over all of df's texts; each task adds up about ``most`` bytes of text at a time before its shuffle."""
@@ -419,39 +398,8 @@ def _ids(code: Code, group: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Dictio
     return ids, ends - sizes, flat.filter(pa.array(found < 0)).dictionary_encode()
 
 
-def _fit_texts(df: DataFrame, fit_texts: int, fit_bytes: int) -> list[int]:
-    """Hashes of up to ``fit_texts`` texts of at most ``fit_bytes`` bytes that df (text) holds no more than three times: those of smallest hash."""
-    n = df.count()
-    hashes = df.where(F.octet_length("text").between(1, fit_bytes)).select(F.xxhash64("text").alias("h"))
-    few = hashes.where(F.pmod("h", F.lit(max(1, n // (8 * fit_texts)))) == 0).groupBy("h").agg(F.count("*").alias("n")).where("n <= 3")
-    return [r["h"] for r in few.orderBy("h").limit(min(fit_texts, n // 8)).collect()]
-
-
-def fitted(model: Model, texts: DataFrame, passes: int = 3) -> Model:
-    """The model with weights and map to begin with that are learnt from the bounded table ``texts`` in one task: each pass begins with what the one before ended with."""
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = model, [g for batch in batches for g in in_groups(batch.column(0), 1_000_000)]
-        for _ in range(passes if held else 0):
-            learnt: dict = {}
-            for group in held:
-                ids, starts, _ = _ids(own.code, group)
-                owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-                own._mixed(ids, *own.code.contexts(ids, starts), owner, len(starts), learnt=learnt)
-            own = own.begun(learnt)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(own.weights).tolist()]), pa.array([own.chart.tolist()])], ["weights", "chart"])
-
-    found = texts.select("text").coalesce(1).mapInArrow(learn, "weights array<double>, chart array<double>").first()
-    return model if found is None else replace(model, weights=list(np.array(found["weights"]).reshape(len(model.weights), -1)), chart=np.array(found["chart"]))
-
-
-def train(df: DataFrame, text: str = "text", top: int = 100_000, fit_texts: int = 400, fit_bytes: int = 65_536) -> tuple[Model, DataFrame]:
-    """(model, table of (word, n)) from all of df's texts; the table is exact and stays distributed, the model has a fixed size.
-
-    Up to ``fit_texts`` texts, an eighth of all at most, of up to ``fit_bytes`` bytes each teach how to weigh the predictors: every text then
-    begins with what they ended with. Their words count as all others', but their contexts are not in the tables, else predictors would seem better than they are for
-    new texts.
-    """
+def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model, DataFrame]:
+    """(model, table of (word, n)) from all of df's texts; the table is exact and stays distributed, the model has a fixed size."""
     df = whole_texts(df)
     spark = df.sparkSession
     counts = written(word_counts(df, text), "words")
@@ -492,14 +440,10 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000, fit_texts: int
         yield from _blocks(tables)
 
     schema = "t int, b int, n binary, at binary, rest binary"
-    every, names = df.select(F.col(text).cast("string").alias("text")), counts.select("word")
-    apart = _fit_texts(every, fit_texts, fit_bytes)
-    fits = F.coalesce(F.xxhash64("text").isin(apart), F.lit(False)) if apart else F.lit(False)
-    texts = every.where(~fits)
+    texts, names = df.select(F.col(text).cast("string").alias("text")), counts.select("word")
     seen = _summed(texts.mapInArrow(contexts, schema), [2 * SLOTS] * 2, texts.rdd.getNumPartitions())
     spelled = _summed(names.mapInArrow(letters, schema), [2 * LETTER_SLOTS] * 3, names.rdd.getNumPartitions())
-    model = Model.build(code, seen, spelled)
-    return (fitted(model, every.where(fits)) if apart else model), counts
+    return Model.build(code, seen, spelled), counts
 
 
 def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:

@@ -322,7 +322,7 @@ def test_lm_mixes_every_bit(spark):
 
 
 def test_lm_mixing_is_the_plain_walk(spark, docs):
-    """Bit by bit in plain Python: weights and the map are those of the block of 256 bits before."""
+    """Bit by bit in plain Python: weights and the map are those of the block before, of 64 bits or, far into a text, of 256."""
     rows = [r.text for r in docs.select("text").where("length(text) between 10 and 3000").limit(40).collect()]
     model, _ = lm.train(spark.createDataFrame([(x,) for x in rows[:30]], "text string"), top=300)
     code, (ids, starts, rare) = model.code, lm._ids(model.code, pa.array(rows[25:]))
@@ -335,9 +335,11 @@ def test_lm_mixing_is_the_plain_walk(spark, docs):
         weights = {(d, s): list(map(float, lm.START[s])) for d in range(lm.DEPTHS) for s in range(3)}
         cells = [[40 * (1 - sigmoid((k - 11.5) / 2)), 40 * sigmoid((k - 11.5) / 2)] for k in range(24)]
         total = 0.0
-        for at in range(0, len(bits), 256):
+        to = 0
+        while to < len(bits):
+            at, to = to, to + (64 if to < 4096 else 256)
             made = []
-            for d, node, bit, c, p in bits[at : at + 256]:
+            for d, node, bit, c, p in bits[at:to]:
                 slots = []
                 for context in (c, p):
                     key = (context * 0x9E3779B1 + node * 0x85EBCA6B) & 0xFFFFFFFF
@@ -351,9 +353,9 @@ def test_lm_mixing_is_the_plain_walk(spark, docs):
                 total += math.log2(final if bit else 1 - final)
                 made.append((gate, x, bit - one, cell, bit))
             for gate, x, miss, cell, bit in made:
-                weights[gate] = [w + 0.004 * miss * v for w, v in zip(weights[gate], x)]
+                weights[gate] = [w + 0.02 * miss * v for w, v in zip(weights[gate], x)]
                 cells[cell][bit] += 1
-        assert math.isclose(total, got[text], rel_tol=2e-3, abs_tol=0.5)
+        assert math.isclose(total, got[text], rel_tol=1e-3, abs_tol=0.02)
 
 
 def test_lm_code_is_whole():
@@ -465,27 +467,19 @@ def test_language_training_counts(spark):
             assert np.allclose(logs[:, j], [math.log((expected[l][w] + 0.5) / total) for w in names], atol=1e-5)
 
 
-def test_lm_starts_with_learnt_weights(spark):
-    """New texts gain by what the texts kept apart have taught, short ones most of all; base counts cover those texts too."""
-    import dataclasses
-
-    from millrace.llm import lm
+def test_lm_learns_within_a_text(spark):
+    """Held-out texts gain by weights that change often; so do the same words in texts of fifteen."""
     from millrace.llm.common import remainder
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    held, rest = docs.where(remainder("doc_id", 7) == 2), docs.where(remainder("doc_id", 7) != 2)
-    model, counts = lm.train(rest)
-    assert counts.agg(F.sum("n")).first()[0] + rest.count() == model.code.total
-    plain = lm.Model(model.code, model.by_class, model.by_word, model.letter_odds, model.letter_trust)
-    texts = [r.text or "" for r in held.collect()]
+    model, _ = lm.train(docs.where(remainder("doc_id", 7) != 2))
+    texts = [r.text or "" for r in docs.where(remainder("doc_id", 7) == 2).collect()]
     short = [" ".join(w[i : i + 15]) for t in texts for w in [t.split()] for i in range(0, len(w), 15)]
 
-    def bits(own, part, **more):
-        ids, starts, _ = lm._ids(own.code, pa.array(part))
+    def bits(part, **more):
+        ids, starts, _ = lm._ids(model.code, pa.array(part))
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-        return own._mixed(ids, *own.code.contexts(ids, starts), owner, len(starts), **more).sum() / len(ids)
+        return model._mixed(ids, *model.code.contexts(ids, starts), owner, len(starts), **more).sum() / len(ids)
 
-    whole, cut = bits(model, texts), bits(model, short)
-    assert whole > -9.6 and whole > bits(plain, texts) + 0.15
-    assert cut > bits(plain, short) + 0.4 and whole - cut < 0.75
-    assert dataclasses.replace(plain, weights=model.weights, chart=model.chart).chart.shape == (2 * lm.CELLS,)
+    assert bits(texts) > -9.6 and bits(texts) > bits(texts, block=8, rate=0.004) + 0.2
+    assert bits(short) > -10.75
