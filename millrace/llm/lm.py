@@ -519,7 +519,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         )
     )
     total, distinct = model.code.total, model.code.distinct
-    norm = float(np.log10(max(total + 1, 1)) + np.log10(distinct + 1))
+    norm = float(np.log10(total + distinct + 1))
     return (
         rows.drop("rare", "times", "coded", "letters")
         .join(counted, "_row", "left")

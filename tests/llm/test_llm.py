@@ -297,6 +297,19 @@ def test_unigram_counts_and_ties(spark):
     assert {r.doc_id: r.n_tokens for r in counts.token_counts(df, PIECES_32K).collect()} == {1: 0, 2: 0, 3: 2}
 
 
+def test_lm_base_denominator_is_a_sum(spark):
+    """(c + 1) / (N + 1 * (V + 1)), ends among tokens: three rows of odd texts, of which the last is not learnt from."""
+    df = spark.createDataFrame([(1, "A a\x0bB\x1cc"), (2, None), (3, "a new\u00a0one")], "doc_id long, text string")
+    model, words = lm.train(df.where("doc_id < 3"))
+    got = {r.doc_id: r for r in lm.score(df, model, words).collect()}
+    # Training tokens: a, a, b\x1cc, end, end.
+    n, v = 5, 3
+    logs = lambda *counts: sum(math.log10((c + 1) / (n + 1 * (v + 1))) for c in counts)
+    for i, seen in {1: (2, 2, 1, 2), 2: (2,), 3: (2, 0, 2)}.items():
+        assert math.isclose(got[i].base_score, logs(*seen), rel_tol=1e-12)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(seen), sum(c > 0 for c in seen), n)
+
+
 def test_lm_base_and_held_out(spark, docs):
     df = docs.select("doc_id", "text").where("doc_id <> 10004")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
