@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -248,91 +248,152 @@ class TokenFiles(DataSource):
 LOOSE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 #: Marks that are a piece of their own between letters and a blank or the end.
 MARKS = ".,;:!?)"
+#: The bytes of a-z, A-Z and U+00C0 to U+023F, which are letters but for two; and the number of each byte's mark.
+LETTER = np.array([chr(b).isascii() and chr(b).isalpha() or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC8 for b in range(256)])
+SIGNS = (0xC397, 0xC3B7)
+MARK_OF = np.array([MARKS.find(chr(b)) for b in range(256)])
+
+
+def _joined(values: pa.Array, most: int = 256) -> list[str]:
+    """Texts of up to ``most`` values each, every value with a blank before it."""
+    ends = np.append(np.arange(0, len(values), most), len(values)).astype(np.int32)
+    return [f" {x}" for x in pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), values), " ").to_pylist()]
+
+
+def _slices(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin there and have those sizes, one after the other."""
+    at = np.repeat((begins - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat.take(at)
 
 
 class Words:
-    """A byte-level tokenizer of the tokenizers library with a bounded cache of runs between blanks.
+    """A byte-level tokenizer of the tokenizers library with a bounded cache of words.
 
-    Such a tokenizer never joins what lies before a single blank and the blank with a letter after it, so a text is cut there and every
-    different run of a group of texts is looked up once. Runs of letters, with or without a mark after them, go to the library's model; all
-    others, and texts that spell out a special token, go through the whole library. Once the cache is full it stays as it is until two
-    thirds of the different runs miss it; then it is filled anew.
+    Such a tokenizer never joins what lies before a single blank and the blank with what follows it, so a text is cut there and every
+    different run of a group of texts is encoded once: many runs make one text for the library, and ids that begin with a blank show where
+    each run begins. Runs of Latin letters, with or without a mark after them, need no look for pieces and go straight to the library's model; all
+    others, and texts that spell out a special token, go through the whole library. The first ``cache`` different words stay known until two
+    thirds of a group's are not among them.
     """
 
-    def __init__(self, path: str, cache: int = 120_000, longest: int = 32):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cache: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.own, self.limit, self.longest, self.known = Tokenizer.from_file(path), cache, longest, {}
-        self.model = self.own.model
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.own, self.limit = Tokenizer.from_file(path), cache
+        self.plain = Tokenizer(self.own.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
-        self.signs = dict(zip(map(chr, range(256)), byte_symbols()))
-        self.marks = dict(zip(MARKS, self.library(list(MARKS))))
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def letters(self, run: str) -> bytes:
-        """The ids of a blank and a run of letters."""
-        text = run if run.isascii() else "".join(map(self.signs.__getitem__, run.encode().decode("latin-1")))
-        return array("i", [t.id for t in self.model.tokenize(self.signs[" "] + text)]).tobytes()
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of a blank and each run."""
-        found, rest, known = {}, [], self.known
-        for run in new:
-            if run.isalpha():
-                found[run] = self.letters(run)
-            elif run[-1:] in self.marks and run[:-1].isalpha():
-                stem = run[:-1]
-                found[run] = (known.get(stem) or found.get(stem) or self.letters(stem)) + self.marks[run[-1]]
-            else:
-                rest.append(run)
-        found.update(zip(rest, self.library([" " + r for r in rest])))
-        return found
-
-    def looked_up(self, runs: list[str]) -> list[bytes]:
-        """The ids of a blank and each of these different runs."""
-        known = self.known
-        fresh = self.learn([r for r in runs if r not in known])
-        known.update(fresh)
-        out = list(map(known.__getitem__, runs))
-        full = len(known) > self.limit
-        if full and 3 * len(fresh) > 2 * len(runs):
-            self.known = {}
-        else:
-            for r in fresh:
-                if full or len(r) > self.longest:
-                    del known[r]
+        signs = byte_symbols()
+        self.symbols = str.maketrans({chr(b): signs[b] for b in range(256)} | {" ": f" {signs[32]}"})
+        vocab = self.own.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(signs[32])]] = True
+        self.marks = self.library(list(MARKS))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def library(self, texts: list[str], own=None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each text has)."""
+        out, sizes = [np.zeros(0, np.int32)], []
+        for at in range(0, len(texts), 32):
+            for e in (own or self.own).encode_batch_fast(texts[at : at + 32], add_special_tokens=False):
+                out.append(np.array(e.ids, np.int32))
+                sizes.append(len(out[-1]))
+        return np.concatenate(out), np.array(sizes, np.int64)
+
+    def after_blanks(self, runs: pa.Array, own=None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each has) of a blank and each run."""
+        if any(" " in s for s in self.special):  # runs that are joined may spell it out
+            return self.library([f" {x}" for x in runs.to_pylist()])
+        texts = _joined(runs)
+        if own:  # takes bytes by their symbols; those of ASCII letters are the letters
+            texts = [x.replace(" ", self.symbols[32]) if x.isascii() else x.encode().decode("latin-1").translate(self.symbols) for x in texts]
+        ids = self.library(texts, own)[0]
+        begins = np.flatnonzero(self.opens[ids])
+        assert len(begins) == len(runs)
+        return ids, np.diff(np.append(begins, len(ids)))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each has) of a blank and each of these different words of Latin letters."""
+        names, flat, sizes = self.known
+        at = pc.index_in(words, value_set=names)
+        new = words.filter(at.is_null())
+        more, their = self.after_blanks(new, self.plain)
+        every = np.append(sizes, their)
+        place = at.to_numpy(zero_copy_only=False).copy() if at.null_count else at.to_numpy()
+        place = np.where(at.is_null(), len(sizes) - 1 + np.cumsum(at.is_null()), np.nan_to_num(place)).astype(np.int64)
+        out = _slices(np.append(flat, more), (np.cumsum(every) - every).take(place), every.take(place)), every.take(place)
+        room = self.limit - len(names)
+        if room > 0:
+            self.known = pa.concat_arrays([names, new.slice(0, room)]), np.append(flat, more[: their[:room].sum()]), np.append(sizes, their[:room])
+        elif 3 * len(new) > 2 * len(words):
+            self.forget()
         return out
 
+    def runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each has) of a blank and each of these different runs."""
+        if not len(runs):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1]
+        data = np.frombuffer(runs.buffers()[2], np.uint8)[: offsets[-1]]
+        mark = MARK_OF[data[offsets[1:] - 1]]
+        other = ~LETTER[data]
+        other[:-1] |= np.isin(data[:-1] * np.uint16(256) + data[1:], SIGNS)
+        other = np.append(0, np.cumsum(other, dtype=np.int32))
+        simple = (other[offsets[1:] - (mark >= 0)] == other[offsets[:-1]]) & (np.diff(offsets) > (mark >= 0))
+        stems = pc.ascii_rtrim(runs.filter(pa.array(simple)), characters=MARKS).dictionary_encode()
+        parts = (self.words(stems.dictionary), self.after_blanks(runs.filter(pa.array(~simple))), self.marks, (np.zeros(0, np.int32), np.zeros(1, np.int64)))
+        flat, sizes = (np.concatenate(x) for x in zip(*parts))
+        first = np.cumsum([len(x[1]) for x in parts])
+        # Each run is a word or anything else, and then a mark or nothing.
+        pair = np.empty((len(runs), 2), np.int64)
+        pair[simple, 0], pair[~simple, 0] = stems.indices.to_numpy(), first[0] + np.arange(len(runs) - int(simple.sum()))
+        pair[:, 1] = np.where(simple & (mark >= 0), first[1] + mark, first[2])
+        pair = pair.ravel()
+        return _slices(flat, (np.cumsum(sizes) - sizes).take(pair), sizes.take(pair)), sizes.take(pair).reshape(-1, 2).sum(axis=1)
+
     def encode(self, texts: pa.Array, last: list[int] = []) -> tuple[np.ndarray, np.ndarray]:
         """(ends of the texts' ids, all ids): each text's ids and then ``last``; a null counts as an empty text."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         odd = pc.match_substring_regex(texts, LOOSE)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         odd = odd.to_numpy(zero_copy_only=False)
         # Odd texts are a single part, encoded whole; the others' parts lose the blank before them.
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        sizes, flat = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
-        first = np.cumsum(sizes) - sizes
+        counts, flat = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
+        first = np.cumsum(counts) - counts
         inner = np.ones(len(flat), bool)
         inner[first] = False
         coded = flat.filter(pa.array(inner)).dictionary_encode()
         whole = pc.if_else(pa.array(odd), texts, flat.take(pa.array(first))).to_pylist()
-        pieces = [*self.looked_up(coded.dictionary.to_pylist()), *self.library(whole), np.array(last, "<i4").tobytes()]
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        begins = np.cumsum(lengths) - lengths
+        ids, sizes = (np.concatenate(x) for x in zip(self.runs(coded.dictionary), self.library(whole), (np.array(last, np.int32), np.array([len(last)]))))
         # Which piece each part is: its run, its text's beginning or, after each text, ``last``.
         part = np.empty(len(flat), np.int32)
         part[inner], part[first] = coded.indices.to_numpy(), len(coded.dictionary) + np.arange(len(texts))
-        part = np.insert(part, first + sizes, len(pieces) - 1)
-        size = lengths.take(part)
+        part = np.insert(part, first + counts, len(sizes) - 1)
+        size = sizes.take(part)
+        found = _slices(ids, (np.cumsum(sizes) - sizes).take(part), size)
         ends = np.cumsum(size)
-        at = np.repeat((begins.take(part) - (ends - size)).astype(np.int32), size)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = np.frombuffer(b"".join(pieces), "<i4").take(at)
-        return ends[np.cumsum(sizes + 1) - 1] if len(texts) else ends, ids
+        return ends[np.cumsum(counts + 1) - 1] if len(texts) else ends, found
+
+
+def _binary(offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """Lists of ids, which begin and end at ``offsets``, as their bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(ids.astype("<i4", copy=False))])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids) of lists of ids or of their bytes."""
+    if pa.types.is_list(column.type):
+        return column.offsets.to_numpy(), column.values.to_numpy()
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4 if len(column) else np.zeros(1, np.int32)
+    return offsets, np.frombuffer(column.buffers()[2] or b"", "<i4", int(offsets[-1]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -340,35 +401,37 @@ def tokenizer(path: str) -> Words:
     return Words(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end: int | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end: int | None = None, binary: bool = False) -> DataFrame:
     """df with the array column ``ids``: each whole text's ids without special tokens added, and then ``end`` if one is given.
 
+    With ``binary`` the ids of a text are little-endian 32-bit numbers in a row.
     ``path`` is a byte-level tokenizer file that every executor can open. A null or empty text has no ids of its own; repeated
     rows and an empty table stay as they are. A column named like ``ids`` is replaced.
     """
-    df = whole_texts(df, 2 << 20)
+    df = whole_texts(df)
     last = [] if end is None else [end]
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("binary" if binary else "array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokenizer(path)
         for batch in batches:
-            slices = [pa.array([], pa.list_(pa.int32()))]
-            for group in in_groups(batch, 2 << 20):
+            slices = [pa.array([], pa.binary() if binary else pa.list_(pa.int32()))]
+            for group in in_groups(batch, 8 << 20):
                 ends, found = own.encode(group, last)
-                slices.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found)))
+                slices.append(_binary(np.append(0, ends), found) if binary else pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found)))
             yield pa.concat_arrays(slices)
 
     return df.withColumn(ids, run(F.col(text).cast("string")))
 
 
 def frequencies(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """(id, n) of all ids in the arrays of df; each task adds its own up before the shuffle."""
+    """(id, n) of all ids in the arrays of df, or in their bytes; each task adds its own up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = batch.column(0).flatten().to_numpy()
+            offsets, ids = _lists(batch.column(0))
+            ids = ids[offsets[0] : offsets[-1]]
             for at in range(0, len(ids), 1 << 20):
                 own = np.bincount(ids[at : at + (1 << 20)])
                 if len(own) > len(total):
@@ -377,20 +440,23 @@ def frequencies(df: DataFrame, ids: str = "ids") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    return df.select(F.coalesce(ids, F.array().cast("array<int>")).alias("ids")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return df.select(F.col(ids).alias("ids")).where("ids is not null").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids") -> None:
-    """Write the arrays ``ids`` (not negative) of df to the new folder ``path`` in ascending order of ``id_col``.
+    """Write the arrays ``ids`` (not negative; or binary, little-endian 32-bit numbers in a row) of df to the new folder ``path`` in ascending order of ``id_col``.
 
     Null ids of documents come first. Rows that share one are ordered by the size and a digest of their ids, so the files' contents are the
     same in every run. A null array counts as an empty one; an empty table gives a folder without files. Other columns
     are left out. More than ``MOST_IDS`` different ids raise an error.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(ids, F.array().cast("array<int>")).cast("array<int>").alias("ids"))
+    raw = df.schema[ids].dataType.typeName() == "binary"
+    given = F.coalesce(ids, F.lit(b"")) if raw else F.coalesce(ids, F.array().cast("array<int>")).cast("array<int>")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), given.alias("ids"))
+    size = F.floor(F.octet_length("ids") / 4).cast("int") if raw else F.size("ids")
     # The number of a row keeps apart equal rows, of which there may be many, when ranges are cut.
-    rows = written(rows.select("*", F.size("ids").alias("_n"), F.xxhash64("ids").alias("_digest"), F.monotonically_increasing_id().alias("_row")), "ids")
+    rows = written(rows.select("*", size.alias("_n"), F.xxhash64("ids").alias("_digest"), F.monotonically_increasing_id().alias("_row")), "ids", compression="zstd" if raw else None)
     counts = frequencies(rows)
     ranked = counts.orderBy(F.desc("n"), "id").limit(MOST_IDS + 1).select("id").collect()
     if len(ranked) > MOST_IDS:
@@ -409,8 +475,7 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "i
         rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
         rank_of[by_rank] = np.arange(len(by_rank))
         for batch in batches:
-            lists = batch.column(4)
-            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            offsets, ids = _lists(batch.column(4))
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_IDS, side="right")) - 1)

@@ -44,6 +44,22 @@ def test_encoder(library):
     assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]
 
 
+def test_runs_are_encoded_together(library):
+    """Few calls for many words that occur once, and the library's own ids whatever stands beside a blank."""
+    rng = np.random.default_rng(3)
+    signs = list("abcXYZ") + ["é", "ß", "ȿ", "ɀ", "×", "÷", "Ġ", "ñ", "1", "'", "'s", ".", ",", "\n", "\t", "\u00a0", "\u0301", "中", "😀", "<|endoftext|>", "***"]
+    texts = [" ".join("".join(rng.choice(signs, rng.integers(1, 7))) for _ in range(rng.integers(0, 60))) for _ in range(400)]
+    texts += ["  a", "a ", "é. ×. é× ÷", "a\n b\n\n c", *(f"w{i} v{i} {'éxy'[i % 3]}{'abc' * (i % 5)}" for i in range(2_000))]
+    own, calls = T.Words(entries.BYTE_BPE, cache=300), []
+    plain = own.library
+    own.library = lambda batch, *a: calls.append(len(batch)) or plain(batch, *a)
+    for _ in range(2):
+        ends, ids = own.encode(pa.array(texts, pa.string()), [2])
+        assert [ids[a:b].tolist() for a, b in zip(np.append(0, ends), ends)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    # The texts' beginnings, and some of many runs each.
+    assert sum(calls) < 2 * (len(texts) + 60)
+
+
 def test_query(spark, library):
     docs = sorted(pq.read_table(f"{HOME}/documents.parquet", columns=["doc_id", "text"]).to_pylist(), key=lambda r: r["doc_id"])
     expected, start = [], 0
@@ -79,3 +95,16 @@ def test_a_lost_attempt_leaves_nothing(spark, tmp_path):
     T.write_tokens(df, str(tmp_path / "t"))
     (tmp_path / "t" / "part-000000-999").write_bytes(b"rest of a lost attempt")
     assert T.read_tokens(spark, str(tmp_path / "t")).agg(F.sum("n_tokens")).first()[0] == 1000
+
+
+def test_binary_ids(spark, tmp_path):
+    rows = [(5, [7, 7, 300]), (None, [1]), (3, []), (3, None), (3, [9] * 2000), (5, [7, 7, 300]), (2**40, [70_000, 7])]
+    rows = [(i, None if x is None else bytearray(np.array(x, "<i4").tobytes())) for i, x in rows]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3)
+    for name, own in (("some", df), ("none", df.limit(0))):
+        T.write_tokens(own, str(tmp_path / name))
+        found = T.read_tokens(spark, str(tmp_path / name), binary=True).collect()
+        assert sorted((r.doc_id or 0, bytes(r.ids)) for r in found) == sorted((r.doc_id or 0, bytes(r.ids or b"")) for r in own.collect())
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    lists = T.encode(texts, entries.BYTE_BPE, end=2).collect()
+    assert [bytes(r.ids) for r in T.encode(texts, entries.BYTE_BPE, end=2, binary=True).collect()] == [np.array(r.ids, "<i4").tobytes() for r in lists]
