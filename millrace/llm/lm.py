@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, whole_texts, written
+from .common import in_groups, runs, whole_texts, written
 
 #: Depths that have weights of their own; all below share the last one's.
 DEPTHS = 24
@@ -50,6 +51,8 @@ CENTRES = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS / 2 + 0.5) / 2))
 PRIOR = 40.0
 #: How many rare words' spelling a task remembers.
 SPELLINGS = 300_000
+#: How many texts are scored side by side.
+SIDE = 512
 #: Weights change after every 2**BLOCK_BITS bits of a text, by RATE for each bit; beyond its first SETTLED bits, after four times as many.
 BLOCK_BITS = 6
 SETTLED = 4_096
@@ -148,16 +151,24 @@ class Code:
         seen = np.maximum.accumulate(np.where((frequent > 0) | start, np.arange(len(ids)), 0))
         return frequent[seen], previous
 
-    def bits_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, depth) of all bits of all tokens in order."""
-        size = self.size[ids].astype(np.int32)
-        token = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        begin = np.cumsum(size, dtype=np.int32) - size
-        return token, np.arange(len(token), dtype=np.int32) - np.repeat(begin, size)
-
-    def first(self, ids: np.ndarray) -> np.ndarray:
-        """Where each token's bits begin among all codes' bits."""
-        return self.begin[ids]
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many bits each token has, where all bits of all tokens stand among all codes' bits)."""
+        size = self.size.take(ids)
+        stops = np.cumsum(size)
+        at = np.repeat(self.begin.take(ids) - (stops - size), size)
+        at += np.arange(len(at))
+        return size, at
+
+    @cached_property
+    def packed(self) -> np.ndarray:
+        """For all codes' bits one number: the node, then in eight bits six times the depth (DEPTHS - 1 at most) and the bit itself."""
+        depth = np.arange(len(self.nodes), dtype=np.int32)
+        depth -= np.repeat(self.begin, self.size)
+        np.minimum(depth, DEPTHS - 1, out=depth)
+        out = self.nodes.astype(np.uint32 if len(self.counts) < 1 << 24 else np.uint64)
+        out <<= 8
+        out |= depth.astype(np.uint8) * np.uint8(6) + self.bits
+        return out
 
 
 def spread(context: np.ndarray) -> np.ndarray:
@@ -265,16 +276,19 @@ class Model:
         out = np.zeros(len(group))
         for at in range(0, len(group), 20_000):
             owner, data, before = _letters(group[at : at + 20_000])
-            bits = np.zeros(len(data), np.float32)
+            kinds = pa.array(before << 8 | data).dictionary_encode()  # a letter after the same three costs the same
+            which, kinds = kinds.indices.to_numpy(), kinds.dictionary.to_numpy()
+            data, before = kinds & 255, kinds >> 8
+            bits = np.zeros(len(kinds), np.float32)
             for bit, slots in _letter_slots(data, before):
-                mixed, rest = np.zeros(len(data), np.float32), np.ones(len(data), np.float32)
+                mixed, rest = np.zeros(len(kinds), np.float32), np.ones(len(kinds), np.float32)
                 for order in (2, 1, 0):
                     trust = self.letter_trust[order][slots[order]]
                     mixed += rest * trust * self.letter_odds[order][slots[order]]
                     rest *= 1 - trust
                 mixed *= 1 - 2 * bit.astype(np.float32)
                 bits -= np.maximum(mixed, 0) + np.log(1 + np.exp(-np.abs(mixed)))
-            out[at : at + 20_000] = np.bincount(owner, bits, len(group[at : at + 20_000])) / np.log(2)
+            out[at : at + 20_000] = np.bincount(owner, bits.take(which), len(group[at : at + 20_000])) / np.log(2)
         return out
 
     def score(self, ids: np.ndarray, same: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,14 +326,43 @@ class Model:
         out += self._mixed(ids, classes, previous, owner, texts)
         return out, spelt
 
+    def _features(self, packed: np.ndarray, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+        """For all ``total`` bits of all tokens in order: (twice its gate, by depth and confidence, and the bit itself, log odds by node, steps of log odds by class, steps by word)."""
+        code = self.code
+        marks, by_class, by_word = (np.empty(total, np.uint8) for _ in range(3))
+        base = np.empty(total, np.float32)
+        end = 0
+        for a in range(0, len(ids), 8_192):  # arrays that a processor's cache holds
+            cut = slice(a, a + 8_192)
+            size, at = code.places(ids[cut])
+            to = slice(end, end := end + len(at))
+            found = packed.take(at)
+            node = (found >> 8).astype(np.uint32)
+            base[to] = code.base.take(node.astype(np.int64))
+            odd = node * np.uint32(0x85EBCA6B)
+            by_class[to] = self.by_class.take(slot(np.repeat(spread(classes[cut]), size), odd).astype(np.int64))
+            word = self.by_word.take(slot(np.repeat(spread(previous[cut]), size), odd).astype(np.int64))
+            by_word[to] = word
+            seen = word >> 7  # as SEEN has it
+            seen += word > 0
+            marks[to] = found.astype(np.uint8) + 2 * seen
+        return marks, base, by_class, by_word
+
     def _mixed(self, ids: np.ndarray, classes: np.ndarray, previous: np.ndarray, owner: np.ndarray, texts: int, block: int = BLOCK_BITS, rate: float = RATE) -> np.ndarray:
-        """log2 probabilities of each text's bits, all texts side by side, 2**block bits of each at a time (four times as many beyond SETTLED) with weights updated after them."""
-        code, steps, out = self.code, CELLS, np.zeros(texts)
-        token, depth = code.bits_of(ids)
-        sizes = np.bincount(owner, code.size[ids], texts).astype(np.int64)
-        most = int(sizes.max(initial=0))
+        """log2 probabilities of each text's bits, SIDE texts side by side, 2**block bits of each at a time (four times as many beyond SETTLED) with weights updated after them."""
+        out, packed = np.zeros(texts), self.code.packed
+        cuts = np.searchsorted(owner, np.append(np.arange(0, texts, SIDE), texts))
+        for at, a, b in zip(range(0, texts, SIDE), cuts, cuts[1:]):
+            sizes = np.bincount(owner[a:b] - at, self.code.size[ids[a:b]], min(SIDE, texts - at)).astype(np.int64)
+            out[at : at + SIDE] = self._walked(sizes, self._features(packed, ids[a:b], classes[a:b], previous[a:b], int(sizes.sum())), block, rate)
+        return out / np.log(2)
+
+    def _walked(self, sizes: np.ndarray, features: tuple[np.ndarray, ...], block: int, rate: float) -> np.ndarray:
+        """Natural log probabilities of texts of so many bits."""
+        marks, base, by_class, by_word = features
+        texts, steps = len(sizes), CELLS
+        out, most = np.zeros(texts), int(sizes.max(initial=0))
         begins = np.cumsum(sizes) - sizes
-        first, of_class, of_word = code.first(ids), spread(classes), spread(previous)
         weights = [np.tile(x, texts * DEPTHS) for x in START.T]
         seen_as = np.tile(np.column_stack([PRIOR * (1 - CENTRES), PRIOR * CENTRES]).ravel().astype(np.float32), texts)  # zeros and ones in each cell
         end = 0
@@ -327,17 +370,14 @@ class Model:
             begin, end = end, end + (1 << block if end < SETTLED else 4 << block)
             live = np.flatnonzero(sizes > begin)
             size = np.minimum(sizes[live], end) - begin
-            spot = np.repeat(begins[live] + begin - (np.cumsum(size) - size), size)
+            starts = np.cumsum(size) - size
+            spot = np.repeat(begins[live] + begin - starts, size)
             spot += np.arange(len(spot))
-            t, d = token.take(spot).astype(np.int64), depth.take(spot)
-            at = (first.take(t) + d).astype(np.int64)
-            node, y = code.nodes.take(at), code.bits.take(at)
-            odd = node * np.uint32(0x85EBCA6B)
-            seen = self.by_word.take(slot(of_word.take(t), odd).astype(np.int64)).astype(np.int64)
-            x = (code.base.take(node.astype(np.int64)), ODDS.take(self.by_class.take(slot(of_class.take(t), odd).astype(np.int64)).astype(np.int64)), ODDS.take(seen))
+            mark = marks.take(spot)
+            y = mark & 1
+            x = (base.take(spot), ODDS.take(by_class.take(spot).astype(np.int64)), ODDS.take(by_word.take(spot).astype(np.int64)))
             own = np.repeat(live * GATES, size)
-            own += np.minimum(d, DEPTHS - 1) * 3
-            own += SEEN.take(seen)
+            own += mark >> 1
             mixed = x[0] * weights[0].take(own)
             mixed += x[1] * weights[1].take(own)
             mixed += x[2] * weights[2].take(own)
@@ -345,22 +385,25 @@ class Model:
             p = np.exp(-mixed)
             p += 1
             np.reciprocal(p, out=p)
-            cell = np.clip((mixed * 2 + steps / 2).astype(np.int64), 0, steps - 1)
+            mixed *= 2
+            mixed += steps / 2
+            cell = np.clip(mixed, 0, steps - 1, out=mixed).astype(np.int64)
             cell += np.repeat(live * steps, size)
             refined = seen_as[1::2] / (seen_as[::2] + seen_as[1::2])
             final = refined.take(cell)
             final += p
             final *= np.float32(0.5)
-            final = np.abs(1 - y - final, out=final)  # of the bit that is there
-            out[live] += np.add.reduceat(np.log(final, out=final), np.cumsum(size) - size, dtype=np.float64)
-            miss = y - p
+            one = y.astype(np.float32)
+            final = np.abs(1 - one - final, out=final)  # of the bit that is there
+            out[live] += np.add.reduceat(np.log(final, out=final), starts, dtype=np.float64)
+            miss = np.subtract(one, p, out=p)
             miss *= np.float32(rate)
             for w, v in zip(weights, x):
                 np.add.at(w, own, miss * v)
             cell *= 2
             cell += y
             np.add.at(seen_as, cell, np.float32(1))
-        return out / np.log(2)
+        return out
 
 
 def word_counts(df: DataFrame, text: str = "text", most: int = 16_000_000) -> DataFrame:
@@ -410,22 +453,26 @@ def train(df: DataFrame, text: str = "text", top: int = 100_000) -> tuple[Model,
     shared = spark.sparkContext.broadcast(code)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tables, size = shared.value, [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
+        own, tables, tokens = shared.value, [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
+        packed = own.packed
         for batch in batches:
             for group in in_groups(batch.column(0), 2_000_000):
                 ids, starts, _ = _ids(own, group)
-                if size + len(ids) >= 1 << 31:  # a task of that many tokens counts in several tables
+                if tokens + len(ids) >= 1 << 31:  # a task of that many tokens counts in several tables
                     yield from _blocks(tables)
-                    tables, size = [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
-                size += len(ids)
+                    tables, tokens = [np.zeros(2 * SLOTS, np.int32) for _ in range(2)], 0
+                tokens += len(ids)
                 classes, previous = own.contexts(ids, starts)
                 for a in range(0, len(ids), 16_384):  # arrays that a processor's cache holds
                     cut = slice(a, a + 16_384)
-                    token, depth = own.bits_of(ids[cut])
-                    at = (own.first(ids[cut]).take(token) + depth).astype(np.int64)
-                    node, bit = own.nodes.take(at) * np.uint32(0x85EBCA6B), own.bits.take(at)
+                    size, at = own.places(ids[cut])
+                    found = packed.take(at)
+                    node, bit = (found >> 8).astype(np.uint32) * np.uint32(0x85EBCA6B), found & 1
                     for table, context in zip(tables, (classes, previous)):
-                        np.add.at(table, slot(spread(context[cut]).take(token), node).astype(np.int64) * 2 + bit, np.int32(1))
+                        at = slot(np.repeat(spread(context[cut]), size), node).astype(np.int64)
+                        at *= 2
+                        at += bit
+                        np.add.at(table, at, np.int32(1))
         yield from _blocks(tables)
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +515,11 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         spelling: dict[bytes, float] = {}
         for batch in batches:
             out = [pa.array([], kind)]
-            for group in in_groups(batch, 1_000_000):
+            # Texts of like size go through their blocks together; rows leave in the order they came in.
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+            order = np.argsort(sizes, kind="stable")
+            for cut in runs(sizes[order], 1_000_000):
+                group = batch.take(pa.array(order[cut]))
                 ids, starts, rare = _ids(code, group)
                 texts = len(starts)
                 owner = np.repeat(np.arange(texts), np.diff(np.append(starts, len(ids))))
@@ -485,10 +536,10 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                 letters = np.fromiter(map(spelling.__getitem__, fresh), np.float64, len(fresh))
                 # A rare word of a text once, with how often it is there and how often coded: a guess that was right needs neither count nor letters.
                 pair = owner[rare_at] * len(fresh) + number
-                order = np.argsort(pair, kind="stable")
-                pair, first = np.unique(pair[order], return_index=True)
-                times = np.diff(np.append(first, len(order)))
-                often = np.add.reduceat(coded[rare_at][order].astype(np.int64), first) if len(first) else times
+                by_pair = np.argsort(pair, kind="stable")
+                pair, first = np.unique(pair[by_pair], return_index=True)
+                times = np.diff(np.append(first, len(by_pair)))
+                often = np.add.reduceat(coded[rare_at][by_pair].astype(np.int64), first) if len(first) else times
                 place = pa.array(np.searchsorted(pair, np.arange(texts + 1) * len(fresh)), pa.int32())
                 which = pair % max(1, len(fresh))
                 known = ids != code.escape
@@ -500,7 +551,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                     found * np.log10(2),
                 )
                 out.append(pa.StructArray.from_arrays([*map(pa.array, single), *(pa.ListArray.from_arrays(place, x.cast(k)) for x, k in zip(several, lists))], names))
-            yield pa.concat_arrays(out)
+            yield pa.concat_arrays(out).take(pa.array(np.argsort(order)))
 
     rows = df.select(F.col(id_col), *keep, F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), run(F.col(text).cast("string")).alias("m"))
     names = [c for c in rows.columns if c not in ("n_bytes", "m")]

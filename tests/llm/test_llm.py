@@ -496,3 +496,32 @@ def test_lm_learns_within_a_text(spark):
 
     assert bits(texts) > -9.6 and bits(texts) > bits(texts, block=8, rate=0.004) + 0.2
     assert bits(short) > -10.75
+
+
+def test_lm_spells_equal_letters_once(monkeypatch):
+    """A thousand words of three kinds of letters after three: each kind is looked up once, and every word costs what it costs alone."""
+    code = lm.Code.build([(b"a", 3)], 1, 5, 2, 1)
+    rng = np.random.default_rng(1)
+    model = lm.Model.build(code, [np.zeros(2 * lm.SLOTS, np.int64)] * 2, [rng.integers(0, 9, 2 * lm.LETTER_SLOTS) for _ in range(3)])
+    alone = [float(model.spelled([w])[0]) for w in (b"zz", b"q")]
+    letters, looked = lm._letter_slots, []
+    monkeypatch.setattr(lm, "_letter_slots", lambda data, before: looked.append(len(data)) or letters(data, before))
+    assert model.spelled([b"zz", b"q"] * 500).tolist() == alone * 500
+    assert looked == [5]  # z, z after z, the close after zz, q, the close after q
+
+
+def test_lm_texts_side_by_side(spark, docs, monkeypatch):
+    """A text's score depends neither on the texts beside it nor on their order; rows keep theirs."""
+    rows = [r.text for r in docs.select("text").where("text is not null").limit(40).collect()]
+    model, words = lm.train(spark.createDataFrame([(x,) for x in rows[:30]], "text string"), top=300)
+    df = spark.createDataFrame(list(enumerate([*rows, None, "", *rows[::-1]])), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm.score(df, model, words).collect()}
+    for i, text in enumerate(rows):
+        assert math.isclose(got[i], got[len(got) - 1 - i], rel_tol=1e-12)
+    assert math.isclose(got[len(rows)], got[len(rows) + 1]) and len({round(x, 6) for x in got.values()}) > 20
+    ids, starts, _ = lm._ids(model.code, pa.array(rows))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+    mixed = lambda: model._mixed(ids, *model.code.contexts(ids, starts), owner, len(starts)).tolist()
+    whole = mixed()
+    monkeypatch.setattr(lm, "SIDE", 3)
+    assert mixed() == whole
