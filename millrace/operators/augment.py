@@ -115,9 +115,14 @@ def _unquoted(text: Column) -> Column:
     return F.regexp_replace(T.strip(text), '^"+|"+$', "")
 
 
+def unwrapped(text: Column) -> Column:
+    """Without white space at both ends and then without the pair of quotes around it all; a quote at one end alone is the text's own."""
+    return F.regexp_replace(T.strip(text), r'(?s)\A"(.*)"\z', "$1")
+
+
 def cda_variants(samples: DataFrame, variants: DataFrame, similarity: DataFrame, lexicon: list[str] = ASPECTS, min_similarity: float = 0.8, proper: bool | str = True) -> DataFrame:
     """Accepted paraphrases (sample_id, variant_index, variant, score, changes, preserved)."""
-    rows = samples.join(variants.where("strategy = 'CDA'").select("sample_id", "strategy", "variant_index", _unquoted(F.col("text")).alias("variant")), "sample_id").withColumn("aspects", extract_aspects(F.col("text"), lexicon, proper))
+    rows = samples.join(variants.where("strategy = 'CDA'").select("sample_id", "strategy", "variant_index", unwrapped(F.col("text")).alias("variant")), "sample_id").withColumn("aspects", extract_aspects(F.col("text"), lexicon, proper))
     good = accept_variants(validate_variants(rows, similarity), min_similarity)
     return good.select("sample_id", "strategy", "variant_index", "variant", "score", identify_changes(F.col("text"), F.col("variant"), F.col("aspects")).alias("changes"), F.col("aspects").alias("preserved"))
 

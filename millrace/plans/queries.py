@@ -374,7 +374,7 @@ val AS MATERIALIZED (SELECT *, (preserved + sim) / 2 AS score, list_sort(list_di
 
 
 def paraphrases(spark, d):
-    return t.originals(spark, d).join(t.variants(spark, d).select("sample_id", "strategy", "variant_index", A._unquoted(F.col("text")).alias("variant")), "sample_id").withColumn("aspects", A.extract_aspects(F.col("text"), t.LEXICON, proper=False))
+    return t.originals(spark, d).join(t.variants(spark, d).select("sample_id", "strategy", "variant_index", A.unwrapped(F.col("text")).alias("variant")), "sample_id").withColumn("aspects", A.extract_aspects(F.col("text"), t.LEXICON, proper=False))
 
 
 @query(f"WITH {CDA_SQL} SELECT sample_id, variant_index, round(preserved, 6) AS preservation FROM val")

@@ -14,6 +14,7 @@ from millrace.operators import packing as K
 from millrace.operators import prompts as P
 from millrace.operators import quality as Q
 from millrace.operators import usage as U
+from millrace.plans import queries
 
 
 def one(spark, col):
@@ -171,3 +172,18 @@ def test_moving_mean_of_a_hot_key_over_many_stretches(spark):
         y = state.get(key, 0.0)
         state[key] = v if y == 0 else 0.1 * v + (1 - 0.1) * y
         assert abs(got[i] - state[key]) < 1e-9, i
+
+
+def test_a_quote_at_one_end_stays(spark):
+    """Only a pair around the whole answer goes: the words but the last of a text may end with a quote of their own."""
+    texts = {' "new a" ': "new a", 'token = "4d"': 'token = "4d"', '"new token = "4d"" ': 'new token = "4d"', '"': '"', '""': "", '"a\nb"\n': "a\nb"}
+    assert [one(spark, A.unwrapped(F.lit(x))) for x in texts] == list(texts.values())
+
+
+def test_quotes_of_the_variants(spark, tmp_path):
+    """The queries' variants are the words that their SQL takes, whatever quotes these begin or end with."""
+    texts = ['b the "c" d', '"b" the "c" d', '"', '"the', '"the" x', 'the "x']
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.length("text")})
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.sample_id, r.variant_index): r.variant for r in queries.paraphrases(spark, str(tmp_path)).collect()}
+    assert got == {(str(i), 0): " ".join(x.split()[:-1]) for i, x in enumerate(texts)} | {(str(i), 1): f"new {x}" for i, x in enumerate(texts) if i % 2 == 0}
