@@ -2,9 +2,10 @@
 
 A level rises with time up to its capacity, and a request that finds its cost there takes it. Where a pause is so long that the
 bucket fills up, the level is the capacity whatever came before: a regeneration point. Between such points rows are walked side by side, one
-of each stretch at a time. A block that has no such point maps the level before it to the level after it
-piece by piece: in each piece the level after is the level before plus a constant, or a constant. Only these functions
-are chained, one for each block; then every block is walked from its own level.
+of each stretch at a time. A block that has such a point leaves a level that is known. One without is chained by its gains and costs, two numbers a
+row, in the same steps as a plain walk, as any other order of its sums would round differently and then let other requests pass. Where all
+numbers are on a grid, so that sums are exact, the block maps the level before it to the level after it piece by piece: in each piece the
+level after is the level before plus a constant, or a constant. Then every block is walked from its own level.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..sources.scratch import written
-from .fold import fold
+from .fold import fold, small_batches
 from .stretches import described, end_row, extended, ranged, runs, same, several
 
 MICROS = 1_000_000
 #: Rows of a block, and pieces that its function may have; a block whose function has more is chained by its rows.
 BLOCK = 4_096
 PIECES = 16_384
+#: Whole multiples of 1 / GRID have exact sums up to MOST.
+GRID, MOST = float(1 << 20), float(1 << 32)
 #: Stretches that are walked side by side; fewer are walked one by one.
 ABREAST = 12
 
@@ -69,6 +72,11 @@ def levels(capacity: float, gains: np.ndarray, costs: np.ndarray, level: float)
     return passed, after
 
 
+def on_grid(*numbers: np.ndarray | float) -> bool:
+    """Whether sums and differences of all these, and of a level among them, are exact."""
+    return all(bool(np.all(np.rint(x * GRID) == x * GRID)) for x in numbers) and float(sum(np.sum(np.abs(x)) for x in numbers)) < MOST
+
+
 class Pieces:
     """A level after some rows as a function of the level before them: from ``low`` on, it is ``value`` plus, where ``moves``, the level before."""
 
@@ -104,22 +112,25 @@ class Pieces:
 
 
 def effect(capacity: float, gains: np.ndarray, costs: np.ndarray) -> dict:
-    """What a block makes of the level at its first row (refilled already): pieces, or its rows if those are too many."""
+    """What a block makes of the level at its first row (refilled already): one level, or its rows, and pieces as well if they are exact and not too many."""
     known = np.flatnonzero(gains[1:] >= capacity)
     if len(known):
         a = int(known[-1]) + 1
-        return {"low": [0.0], "moves": [False], "value": [float(levels(capacity, gains[a:], costs[a:], 0.0)[1][-1])]}
+        return {"low": [0.0], "moves": [False], "value": [float(levels(capacity, gains[a:], costs[a:], 0.0)[1][-1])], "gains": None, "costs": None}
+    rows = {"low": None, "gains": gains, "costs": costs}
+    if not on_grid(capacity, gains[1:], costs):
+        return rows
     made = Pieces.same()
     for gain, cost in zip([0.0, *gains[1:].tolist()], costs.tolist()):
         made.row(capacity, gain, cost)
         if len(made.low) > PIECES:
-            return {"gains": gains.tolist(), "costs": costs.tolist()}
-    return {"low": made.low.tolist(), "moves": made.moves.tolist(), "value": made.value.tolist()}
+            return rows
+    return rows | {"low": made.low.tolist(), "moves": made.moves.tolist(), "value": made.value.tolist()}
 
 
 def applied(capacity: float, effect: dict, level: float) -> float:
-    """The level after a block with that effect."""
-    if effect["low"] is None:
+    """The level after a block with that effect, as a plain walk from ``level`` rounds it."""
+    if effect["low"] is None or (effect["gains"] is not None and not on_grid(level)):
         return float(levels(capacity, np.append(0.0, effect["gains"][1:]), np.array(effect["costs"]), level)[1][-1])
     return Pieces(*(np.array(effect[k]) for k in ("low", "moves", "value"))).at(level)
 
@@ -131,24 +142,27 @@ def token_bucket(
 
     A request passes if both hold its cost; each bucket is charged on its own, even if the other refuses. Tokens that are null
     or NaN cost nothing. Null keys are one key; rows without a time come first and refill nothing; an empty log stays empty. Capacities are positive. Levels
-    that pass from block to block may differ from those of a plain walk by rounding.
+    are those of a plain walk to the last bit: where sums are rounded, a key's blocks are chained row by row in one task, two pairs of numbers a row.
     """
     sizes, rates = (float(request_capacity), float(token_capacity)), (request_refill, token_refill)
-    kind = "struct<low: array<double>, moves: array<boolean>, value: array<double>, gains: array<double>, costs: array<double>>"
+    kind = "struct<low: array<double>, moves: array<boolean>, value: array<double>, known: boolean>"
     names = log.columns
     timed = log.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    schema = described(timed, f"_part int, _block long, _n long, admitted boolean, request_level double, token_level double, _first long, _last long, _requests {kind}, _tokens {kind}")
+    schema = described(timed, f"_part int, _block long, _n long, admitted boolean, request_level double, token_level double, _first long, _last long, _requests {kind}, _tokens {kind}, _gaps array<long>, _costs array<double>")
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def columns(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         us = rows.column("_us").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
         return us, amounts(rows.column(tokens))
 
-    def paused(us: np.ndarray, before: float | None) -> np.ndarray:
-        """Seconds since the row before; 0 for the first one, and where a time is missing."""
-        gap = np.diff(us, prepend=np.nan if before is None else before) / MICROS
+    def gaps(us: np.ndarray, before: float | None) -> np.ndarray:
+        """Microseconds since the row before; 0 for the first one, and where a time is missing."""
+        gap = np.diff(us, prepend=np.nan if before is None else before)
         return np.where(np.isnan(gap), 0.0, gap)
 
+    def paused(us: np.ndarray, before: float | None) -> np.ndarray:
+        return gaps(us, before) / MICROS
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks as if each began with full buckets, and their effects."""
         part = TaskContext.get().partitionId()
@@ -164,7 +178,11 @@ def token_bucket(
             yield extended(rows, arrow, [pa.array(x) for x in made])
             ends = [None if np.isnan(x) else int(x) for x in (us[0], us[-1])]
             effects = [effect(c, pause * r, x) for c, r, x in zip(sizes, rates, costs)]
-            yield end_row(rows, key, arrow, {"_part": part, "_block": number, "_first": ends[0], "_last": ends[1], "_requests": effects[0], "_tokens": effects[1]})
+            values = {"_part": part, "_block": number, "_first": ends[0], "_last": ends[1]}
+            values |= {name: {k: e.get(k) for k in ("low", "moves", "value")} | {"known": e["gains"] is None} for name, e in zip(("_requests", "_tokens"), effects)}
+            if any(e["gains"] is not None for e in effects):
+                values |= {"_gaps": gaps(us, None).astype(np.int64), "_costs": cost}
+            yield end_row(rows, key, arrow, values)
 
         for rows, new in runs(batches, key):
             if new and held:
@@ -186,10 +204,15 @@ def token_bucket(
     def chained(state: tuple, row: tuple) -> tuple:
         """The levels at a block's first row, refilled, and those that it leaves."""
         begun, last, requests, left = state
-        first, end, *effects = row
+        first, end, *effects, between, cost = row
         pause = 0.0 if last is None or first is None or first != first else (first - last) / MICROS
         entry = [min(c, x + pause * r) for c, x, r in zip(sizes, (requests, left), rates)]
-        after = [applied(c, e, x) for c, e, x in zip(sizes, effects, entry)]
+        after = []
+        for c, e, x, r, unit in zip(sizes, effects, entry, rates, (True, False)):
+            e = {k: e[k] for k in ("low", "moves", "value", "known")} | {"gains": None, "costs": None}
+            if not e["known"]:
+                e |= {"gains": np.array(between) / MICROS * r, "costs": np.ones(len(cost)) if unit else np.array(cost)}
+            after.append(applied(c, e, x))
         return (True, last if end is None or end != end else end, *after), (*entry, not begun)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +235,14 @@ def token_bucket(
 
     made = ["admitted", "request_level", "token_level"]
     walked = written(ranged(timed, [key], ["_us", order]).mapInArrow(walk, schema), "buckets")
-    rows, ends = walked.where("_requests is null"), walked.where("_requests is not null").select(key, "_part", "_block", "_first", "_last", "_requests", "_tokens")
-    known = fold(several(ends, key), [key], ["_part", "_block"], lambda: (False, None, *sizes), chained, ["_first", "_last", "_requests", "_tokens"], "_r0 double, _t0 double, _begin boolean")
+    rows, ends = walked.where("_requests is null"), walked.where("_requests is not null").select(key, "_part", "_block", "_first", "_last", "_requests", "_tokens", "_gaps", "_costs")
+    known = fold(small_batches(several(ends, key)), [key], ["_part", "_block"], lambda: (False, None, *sizes), chained, ["_first", "_last", "_requests", "_tokens", "_gaps", "_costs"], "_r0 double, _t0 double, _begin boolean")
     known = written(known.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.col("_block").alias("_in"), "_r0", "_t0", "_begin"), "levels")
     # A block that is the first of its stretch begins with full buckets unless the key's rows go on from another task: two stretches at most for each.
     begun = F.broadcast(known.where("_in = 0 and not _begin").select(F.col("_key").alias("_k"), F.col("_at").alias("_a")))
     marked = rows.join(begun, same({key: "_k", "_part": "_a"}) & (F.col("_block") == 0), "left")
     settled = marked.where("_block = 0 and _a is null").select(*log.columns, *made)
-    left = marked.where("_block > 0 or _a is not null").drop("_k", "_a", *made, "_first", "_last", "_requests", "_tokens")
+    left = marked.where("_block > 0 or _a is not null").drop("_k", "_a", *made, "_first", "_last", "_requests", "_tokens", "_gaps", "_costs")
     left = left.join(known.drop("_begin"), same({key: "_key", "_part": "_at", "_block": "_in"})).repartition("_key", "_at", "_in").sortWithinPartitions("_key", "_at", "_in", "_n")
     return settled.unionByName(left.mapInArrow(again, described(log, "admitted boolean, request_level double, token_level double")))
 

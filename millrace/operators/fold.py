@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches hold ``size`` bytes at most: 10,000 rows with arrays are too many for a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not given or not 0 < int(given[1]) <= size:
+        conf.set(name, f"{size}b")
+    return df
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], inputs: list[str], outputs: str) -> DataFrame:
     """df with the columns ``outputs`` (DDL): ``step(state, values of inputs)`` returns (state, values), row by row in ``order`` within each key.
 

@@ -136,3 +136,20 @@ def test_a_hot_key_is_many_tasks(many):
         sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) > 3 and max(sizes) < 1500
     assert K.pack_batches(df.limit(0)).count() == B.token_bucket(df.limit(0), 1, 1, 1, 1).count() == 0
+
+
+@pytest.mark.parametrize("seed,rates,late", [(7, (0.002, 0.01), 0.37), (8, (0.1, 0.3), 1.0)])
+def test_levels_round_as_in_a_plain_walk(many, seed, rates, late):
+    """Rates that are no binary fractions: a hot key in many tasks and blocks, whose levels often equal a cost but for the last bits."""
+    r = np.random.default_rng(seed)
+    seconds = np.round(np.cumsum(r.integers(0, 200 if late < 1 else 9, 3000) * late), 6)
+    rows = [("hot", float(s), float(t)) for s, t in zip(seconds, np.round(r.exponential(50 if late < 1 else 2, 3000), 2 if late < 1 else 1))]
+    got = {x.event_id: tuple(x)[4:] for x in B.token_bucket(log(many, rows), 5, rates[0], 60, rates[1], block=64).collect()}
+    last, requests, left = None, 5.0, 60.0
+    for i, (_, s, t) in sorted(enumerate(rows), key=lambda x: (x[1][1], x[0])):
+        us = round(s * 1e6)
+        pause, last = (us - (us if last is None else last)) / 1e6, us
+        requests, left = min(5.0, requests + pause * rates[0]), min(60.0, left + pause * rates[1])
+        fits = (requests >= 1, left >= t)
+        requests, left = requests - fits[0], left - (t if fits[1] else 0.0)
+        assert got[i] == (all(fits), requests, left)
