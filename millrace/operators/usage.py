@@ -25,13 +25,19 @@ def trailing_usage(log: DataFrame, seconds: int = 60, key: str = "key") -> DataF
     """log with requests_in_window and tokens_in_window: what the key used in the ``seconds`` up to each request.
 
     A key's rows are cut into stretches of ``seconds``, each row being also copied to the next stretch, so a hot
-    key is many windows and not one; every window of that length lies inside one of them.
+    key is many windows and not one. A window is what its own stretch holds up to the request, and what the stretch before holds from a time on: two sums
+    that only grow, one in the order of time and one against it. No window is summed anew, however many rows it has, and nothing is taken off a sum.
     """
     width = seconds * MICROS
     timed = log.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    cut = timed.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", F.floor(F.col("_us") / width) + F.col("_at"))
-    frame = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-width + 1, 0)
-    used = cut.withColumn("requests_in_window", F.count("*").over(frame)).withColumn("tokens_in_window", F.sum("tokens").over(frame))
+    copies = F.when(F.col("_us").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    cut = timed.withColumn("_at", F.explode(copies)).withColumn("_bucket", F.floor(F.col("_us") / width) + F.col("_at")).withColumn("_us", F.col("_us") + F.col("_at") * width)
+    stretch = Window.partitionBy(key, "_bucket")
+    # A row and its copy, ``width`` later, are one stretch's: what is copied to a time after the request is still in its window.
+    own, before = stretch.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0), stretch.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
+    tokens = [F.sum(F.when(F.col("_at") == at, F.col("tokens"))).over(frame) for at, frame in ((0, own), (1, before))]
+    both = F.coalesce(tokens[0] + tokens[1], *tokens)
+    used = cut.withColumns({"requests_in_window": F.count_if(F.col("_at") == 0).over(own) + F.count_if(F.col("_at") == 1).over(before), "tokens_in_window": both})
     return used.where("_at = 0").drop("_us", "_at", "_bucket")
 
 

@@ -187,3 +187,19 @@ def test_quotes_of_the_variants(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.sample_id, r.variant_index): r.variant for r in queries.paraphrases(spark, str(tmp_path)).collect()}
     assert got == {(str(i), 0): " ".join(x.split()[:-1]) for i, x in enumerate(texts)} | {(str(i), 1): f"new {x}" for i, x in enumerate(texts) if i % 2 == 0}
+
+
+def test_trailing_windows(spark):
+    """Against brute force: ties, rows without a time (peers of each other), nulls, and large values that leave no trace behind. No frame slides: a window of many rows is not summed anew."""
+    r = np.random.default_rng(1)
+    start = dt.datetime(2024, 1, 1)
+    seconds = [None if x < 5 else float(x) / 4 for x in r.integers(0, 900, 400)]
+    rows = [(i, "ab"[i % 2], None if s is None else start + dt.timedelta(seconds=s), [None, 1.25, 1e18, 7.0, 0.5][int(r.integers(0, 5))] if i % 7 else None) for i, s in enumerate(seconds)]
+    made = U.trailing_usage(spark.createDataFrame(rows, "event_id long, key string, ts timestamp, tokens double"), 10)
+    for x in made.collect():
+        held = [t for _, k, ts, t in rows if k == x.key and (ts is None if x.ts is None else ts is not None and dt.timedelta(0) <= x.ts - ts < dt.timedelta(seconds=10))]
+        known = [t for t in held if t is not None]
+        assert x.requests_in_window == len(held) and x.tokens_in_window == (sum(sorted(known)) if known else None)
+    assert made.count() == len(rows)
+    frames = made._jdf.queryExecution().analyzed().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding" in frames and frames.count("specifiedwindowframe") == frames.count("unboundedpreceding")
