@@ -13,12 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import scratch_path, written
-from .dedup import _listed, _set_key, may_be_near, prefixes
+from ..sources.scratch import dropped, scratch_path, swept, written
+from .dedup import ORDERED, _listed, _set_key, held, may_be_near, may_reach, prefixes, ranked
 
 FAN = 4
-#: Words whose order by frequency is kept: some 200 kB, which every task of a batch gets. Others count as rarer.
-ORDERED = 20_000
 
 
 class AcceptedIndex:
@@ -43,7 +41,8 @@ class AcceptedIndex:
         return F.pmod(F.xxhash64(F.lit(5), *columns), F.lit(self.buckets)).cast("int")
 
     def _put(self, df: DataFrame, name: str) -> None:
-        df.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{name}")
+        with swept(self.spark):
+            df.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{name}", compression="zstd")
 
     def segments(self, number: int) -> list[tuple[int, int]]:
         """The ranges of batches whose segments hold all batches before ``number``, large ones first."""
@@ -68,7 +67,7 @@ class AcceptedIndex:
         return out
 
     SETS = "set long, set2 long, hash string, words array<bigint>"
-    LISTS = "word long, set long, set2 long, n int, at int"
+    LISTS = "word long, set long, set2 long, n int, at int, p long, q long"
 
     def merge(self, number: int) -> None:
         """Write the larger segments that batch ``number`` reads and that are not there yet, and delete what they are made of."""
@@ -102,12 +101,13 @@ class AcceptedIndex:
             counted.where("f > 1").orderBy(F.desc("f"), "word").limit(ORDERED).write.mode("overwrite").parquet(f"{self.path}/order")
         self._put(rows.withColumn("bucket", self._bucket("set", "set2")), f"sets-{number}-{number + 1}")
         lists = self._prefixes(rows.dropDuplicates(["set", "set2"]).select(F.struct("set", "set2").alias("cid"), "words"))
-        lists = lists.select("word", "cid.set", "cid.set2", "n", "at")
+        lists = lists.select("word", "cid.set", "cid.set2", "n", "at", "p", "q")
         self._put(lists.withColumn("bucket", self._bucket("word")), f"lists-{number}-{number + 1}")
+        dropped(rows)
 
     def _prefixes(self, sets: DataFrame) -> DataFrame:
-        order = self.spark.read.schema("word long, f long").parquet(f"{self.path}/order").limit(ORDERED)
-        return prefixes(sets.where("size(words) > 0").withColumn("scope", F.lit("")), self.threshold, F.broadcast(order))
+        order = ranked(self.spark.read.schema("word long, f long").parquet(f"{self.path}/order").limit(ORDERED))
+        return prefixes(sets.where("size(words) > 0").withColumn("scope", F.lit("")), self.threshold, order)
 
     def _only(self, table: DataFrame, buckets: DataFrame) -> DataFrame:
         """The partitions of ``table`` in ``buckets``: as literals, so that no other file is listed as input."""
@@ -120,17 +120,30 @@ class AcceptedIndex:
         sets, lists = self._read("sets", number, self.SETS), self._read("lists", number, self.LISTS)
         own = fresh.withColumn("bucket", self._bucket("set", "set2"))
         known = self._only(sets, own.select("bucket")).select("set", "set2", F.col("hash").alias("old"))
-        same = fresh.join(known, ["set", "set2"]).groupBy("row").agg(F.max(F.col("old") == F.col("hash")).alias("equal"), F.max(F.size("words") > 0).alias("near"))
+        bare = fresh.select("row", "set", "set2", "hash", (F.size("words") > 0).alias("any"))
+        same = bare.join(known, ["set", "set2"]).groupBy("row").agg(F.max(F.col("old") == F.col("hash")).alias("equal"), F.max("any").alias("near"))
         asks = written(self._prefixes(fresh.groupBy("set", "set2").agg(F.first("words").alias("words")).select(F.struct("set", "set2").alias("cid"), "words")), "prefixes") if self._there(f"{self.path}/order") else None
         if asks is None:
             return fresh.select("row", F.lit(None).cast("string").alias("reason")).limit(0)
         met = self._only(lists, asks.select(self._bucket("word").alias("bucket")))
-        met = _listed(asks.drop("scope").withColumn("scope", F.lit("")), "a").join(_listed(met.select(F.struct("set", "set2").alias("cid"), "n", "at", "word", F.lit("").alias("scope")), "b").drop("scope"), "word")
+        met = _listed(asks.drop("scope").withColumn("scope", F.lit("")), "a").join(_listed(met.select(F.struct("set", "set2").alias("cid"), "n", "at", "p", "q", "word", F.lit("").alias("scope")), "b").drop("scope"), "word")
         met = written(met.where(may_be_near(self.threshold)).select("a", "b").distinct(), "met")
-        old = self._only(sets, met.select(self._bucket("b.set", "b.set2").alias("bucket"))).groupBy("set", "set2").agg(F.first("words").alias("wb"))
-        pairs = met.join(fresh.groupBy("set", "set2").agg(F.first("words").alias("wa")).select(F.struct("set", "set2").alias("a"), "wa"), "a").join(old.select(F.struct("set", "set2").alias("b"), "wb"), "b")
-        shared = F.size(F.array_intersect("wa", "wb"))
-        near = pairs.where(shared / (F.size("wa") + F.size("wb") - shared) >= self.threshold).select("a.set", "a.set2").distinct().withColumn("_near", F.lit(True))
+        old = self._only(sets, met.select(self._bucket("b.set", "b.set2").alias("bucket")))
+        old, own = (x.select(F.struct("set", "set2").alias("cid"), "words") for x in (old, fresh))
+        listed, met = met, may_reach(met, own, old, self.threshold)
+        dropped(asks, listed)
+
+        def alike(pairs: DataFrame) -> DataFrame:
+            pairs = written(pairs, "pairs")
+            words = lambda x, side: held(x, pairs, side).groupBy(F.col("cid").alias(side)).agg(F.first("words").alias(f"w{side}"))
+            both = pairs.join(words(own, "a"), "a").join(words(old, "b"), "b")
+            shared = F.size(F.array_intersect("wa", "wb"))
+            return written(both.where(shared / (F.size("wa") + F.size("wb") - shared) >= self.threshold).select("a").distinct(), "alike")
+
+        # One near text is enough: first the likeliest of each, then all the others of those that it didn't settle.
+        first = alike(met.groupBy("a").agg(F.min_by("b", "apart").alias("b")))
+        near = first.unionByName(alike(met.join(first, "a", "left_anti").select("a", "b")))
+        near = near.select("a.set", "a.set2").withColumn("_near", F.lit(True))
         found = fresh.select("row", "set", "set2").join(near, ["set", "set2"], "left").join(same, "row", "left")
         return found.select("row", F.when(F.col("equal"), "exact_duplicate").when(F.col("_near") | F.col("near"), "semantic_similarity").alias("reason")).where("reason is not null")
 

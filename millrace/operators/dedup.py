@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import written
+from ..sources.scratch import dropped, swept, written
+from .fold import small_batches
 
 SLACK = 1e-9
+#: Words whose order by frequency is known to every task: 4 MB. Others count as rarer.
+ORDERED = 250_000
 #: Edges that one task may settle by itself: some tens of MB.
 SMALL = 200_000
 #: With no more pairs than this in all lists, or no more for each row of the lists, they are gone through at once.
@@ -40,41 +43,130 @@ def exact_duplicates(df: DataFrame, scope: list[str], seq: str = "seq") -> DataF
     return hashed.join(first, [*scope, "text_hash"]).withColumn("is_duplicate", F.col(seq) > F.col("_first")).drop("_first")
 
 
-def prefixes(sets: DataFrame, threshold: float, frequency: DataFrame | None = None) -> DataFrame:
-    """(cid, scope, n, at, word): the words of each set's prefix with their places in the order of words.
+def frequent(words: DataFrame, most: int = ORDERED) -> np.ndarray:
+    """The ``most`` most frequent of the numbers in column ``word``, rarest first; those that occur once are left out."""
+    counted = words.groupBy("word").agg(F.count("*").alias("f")).where("f > 1")
+    with swept(words.sparkSession):
+        return ranked(counted.orderBy(F.desc("f"), "word").limit(most))
 
-    ``sets`` has cid, scope and words (distinct numbers). Words come by rising ``frequency`` (word, f), which is that among ``sets`` if none is given; words
-    that it lacks come first.
+
+def ranked(order: DataFrame) -> np.ndarray:
+    """The numbers of a table (word, f), rarest first."""
+    table = order.select("word", "f").toArrow()
+    word, f = (table[c].to_numpy() for c in ("word", "f"))
+    return word[np.lexsort((word, f))]
+
+
+def parities(words: np.ndarray, of: np.ndarray, sets: int, bits: int) -> np.ndarray:
+    """For each of ``sets`` sets, of which ``words`` are ``of``, in how many of ``bits`` classes of numbers it has an odd number of them: 64 classes a long.
+
+    Two sets' bits differ in no more places than there are words that only one of them has.
+    """
+    odd = np.bincount(of * bits + (words & (bits - 1)), minlength=sets * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+
+
+def apart(a: list[str], b: list[str]) -> Column:
+    """In how many places the columns ``a`` and ``b`` differ."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)), F.lit(0))
+
+
+def within(differ: Column, threshold: float, na: Column, nb: Column) -> Column:
+    """Whether sets of ``na`` and ``nb`` words may reach the threshold if at least ``differ`` words are in only one of them."""
+    return differ * (1 + threshold) <= (na + nb) * (1 - threshold) + SLACK
+
+
+def prefixes(sets: DataFrame, threshold: float, order: np.ndarray | None = None) -> DataFrame:
+    """(cid, scope, n, at, p, q, word, then the other columns of ``sets``): the words of each set's prefix with their places in the order of words, and a sketch of the whole set in 128 bits.
+
+    ``sets`` has cid, scope and words (distinct numbers). Words come in the given ``order``, or in that of their frequency among ``sets``; others
+    are rarer and come first, by their numbers. Sets stay where they are: only the words' counts are shuffled.
     """
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - SLACK) + 1
-    words = sets.select("cid", "scope", F.size("words").alias("n"), F.explode("words").alias("word"))
-    if frequency is None:
-        ranked = words.join(words.groupBy("word").agg(F.count("*").alias("f")), "word")
-    else:
-        ranked = words.join(frequency, "word", "left").withColumn("f", F.coalesce("f", F.lit(0).cast("long")))
-    ordered = ranked.groupBy("cid", "scope", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("w"))
-    return ordered.select("cid", "scope", "n", F.posexplode(F.slice("w", F.lit(1), keep.cast("int"))).alias("at", "x")).select("cid", "scope", "n", "at", F.col("x.word").alias("word"))
+    if order is None:
+        order = frequent(sets.select(F.explode("words").alias("word")))
+    place = np.argsort(order, kind="stable")
+    known = sets.sparkSession.sparkContext.broadcast((order[place], place + 1))
+    more = [c for c in sets.columns if c not in ("cid", "scope", "words")]
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+    schema = ", ".join([f"cid {kinds['cid']}, scope {kinds['scope']}, n int, at int, p long, q long, word long"] + [f"`{c}` {kinds[c]}" for c in more])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, places = known.value
+        for batch in batches:
+            lists = batch.column("words")
+            words = lists.flatten().to_numpy(zero_copy_only=False)
+            n = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(len(n)), n)
+            bits = parities(words, of, len(n), 128)
+            rank = np.zeros(len(words), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+                rank = np.where(names[at] == words, places[at], 0)
+            words = words[np.lexsort((words, rank, of))]
+            at = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            keep = at < np.repeat(n - np.ceil(n * threshold - SLACK) + 1, n)
+            rows = pa.array(of[keep])
+            taken = [batch.column(c).take(rows) for c in ("cid", "scope", *more)]
+            made = [pa.array(x, t) for x, t in ((n[of[keep]], pa.int32()), (at[keep], pa.int32()), *[(bits[of[keep], i], pa.int64()) for i in (0, 1)], (words[keep], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*taken[:2], *made, *taken[2:]], ["cid", "scope", "n", "at", "p", "q", "word", *more])
+
+    return small_batches(sets).select("cid", "scope", "words", *more).mapInArrow(cut, schema)
 
 
 def may_be_near(threshold: float, a: str = "a", b: str = "b") -> Column:
-    """Whether lists' rows (columns n and at with ``a`` and ``b`` after them) under one word may be near: by their sizes, and by what is left of both from that word on.
+    """Whether lists' rows (columns n, at, p and q with ``a`` and ``b`` after them) under one word may be near: by their sizes, by what is left of both from that word on, and by their sketches.
 
     The first word that two sets share passes if they are near; later ones need not.
     """
     na, nb, left = F.col(f"n{a}"), F.col(f"n{b}"), F.least(F.col(f"n{a}") - F.col(f"at{a}"), F.col(f"n{b}") - F.col(f"at{b}"))
-    return (F.least(na, nb) >= F.greatest(na, nb) * threshold - SLACK) & (left * (1 + threshold) >= (na + nb) * threshold - SLACK)
+    sizes = (F.least(na, nb) >= F.greatest(na, nb) * threshold - SLACK) & (left * (1 + threshold) >= (na + nb) * threshold - SLACK)
+    return sizes & within(apart([f"p{a}", f"q{a}"], [f"p{b}", f"q{b}"]), threshold, na, nb)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(cid, n, s0 to s7) of sets (cid, words): of each of 512 classes of numbers, whether the set has an odd number of them."""
+    schema = ", ".join([f"cid {sets.schema['cid'].dataType.simpleString()}, n int", *[f"s{i} long" for i in range(8)]])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            n = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().to_numpy(zero_copy_only=False)
+            bits = parities(words, np.repeat(np.arange(len(n)), n), len(n), 512)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(n, pa.int32()), *[pa.array(bits[:, i]) for i in range(8)]], ["cid", "n", *[f"s{i}" for i in range(8)]])
+
+    return small_batches(sets).select("cid", "words").mapInArrow(drawn, schema)
+
+
+def may_reach(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) of which the sketches differ in no more places than two sets of such similarity can, with their number in ``apart``, written; sets are (cid, words).
+
+    Most lists' pairs are unlike: these meet by 64 bytes of each set, not by its words.
+    """
+    named = lambda sets, side: sketches(sets).select(*[F.col(c).alias(c + side) for c in ("n", *[f"s{i}" for i in range(8)])], F.col("cid").alias(side))
+    differ = apart(*[[f"s{i}{side}" for i in range(8)] for side in ("a", "b")])
+    both = pairs.join(named(left, "a"), "a").join(named(right, "b"), "b")
+    return written(both.where(within(differ, threshold, F.col("na"), F.col("nb"))).select(*pairs.columns, differ.alias("apart")).distinct(), "near")
+
+
+def held(sets: DataFrame, near: DataFrame, side: str) -> DataFrame:
+    """The rows of ``sets`` that written pairs have at ``side``; the others' words are not shuffled where the pairs are few."""
+    ids = near.select(F.col(side).alias("cid")).distinct()
+    return sets.join(F.broadcast(ids), "cid", "left_semi") if near.count() <= SMALL else sets
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``pairs`` (a, b, ...) with their similarity, those that reach the threshold; sets are (cid, words)."""
-    named = pairs.join(left.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(right.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
+    pairs = may_reach(pairs, left, right, threshold).drop("apart")
+    named = pairs.join(held(left, pairs, "a").select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(held(right, pairs, "b").select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     return named.withColumn("similarity", shared / (F.size("wa") + F.size("wb") - shared)).where(F.col("similarity") >= threshold).drop("wa", "wb")
 
 
 def _listed(index: DataFrame, name: str) -> DataFrame:
     """The lists' rows with ``name`` after their columns, but for scope and word."""
-    return index.select(F.col("cid").alias(name), F.col("n").alias(f"n{name}"), F.col("at").alias(f"at{name}"), "scope", "word", *[c for c in index.columns if c not in ("cid", "n", "at", "scope", "word")])
+    own = ("n", "at", "p", "q")
+    return index.select(F.col("cid").alias(name), *[F.col(c).alias(c + name) for c in own], "scope", "word", *[c for c in index.columns if c not in ("cid", "scope", "word", *own)])
 
 
 def set_pairs(left: DataFrame, threshold: float) -> DataFrame:
@@ -167,7 +259,7 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
     to round. Where no earlier one lies beyond the limit, it is sure: it is kept if all that it is near to are lost. Any class that is near to a kept one is lost.
     """
     sets = classes.where("size(words) > 0")
-    index = written(prefixes(sets, threshold).join(classes.select("cid", "e"), "cid"), "index")
+    index = written(prefixes(sets.select("cid", "scope", "words", "e"), threshold), "index")
     bare = classes.where("size(words) = 0 and e is not null").select("cid", "e")
     undecided, kept, lost = sets.where("e is not null").select("cid", "e"), None, None
     asks = lists = index.where("e is not null")
@@ -178,7 +270,8 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
         asked = asks.groupBy("scope", "word").agg(F.count("*").alias("f"), F.count("*").alias("all"))
         if kept is not None:
             asked = asked.drop("all").join(lists.groupBy("scope", "word").agg(F.count("*").alias("all")), ["scope", "word"])
-        pairs, rows, longest = asked.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.col("f") * (F.col("all") - F.col("f") / 2)), F.sum("f"), F.max("all"))]).first()
+        with swept(classes.sparkSession):
+            pairs, rows, longest = asked.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.col("f") * (F.col("all") - F.col("f") / 2)), F.sum("f"), F.max("all"))]).first()
         if longest <= limit or pairs <= max(MOST_PAIRS, PAIRS_A_ROW * rows):
             limit = None
         heads = _listed(lists, "b").withColumnRenamed("e", "eb")
@@ -194,7 +287,7 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
             # Lists that go on beyond the limit: rows after their last head have not met all earlier ones.
             long_ = heads.groupBy("scope", "word").agg(F.count("*").alias("heads"), F.max("eb").alias("end")).where(F.col("heads") == limit)
             unsure = written(near.join(long_, ["scope", "word"]).where(F.col("ea") > F.col("end")).select(F.col("a").alias("cid")).distinct(), "unsure")
-        edges = written(edges, "edges")
+        edges = met = written(edges, "edges")
         gone = None
         if kept is not None:  # near to one that an earlier round kept
             gone = written(edges.join(kept.select(F.col("cid").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("cid")).agg(F.min("eb").alias("near")), "gone")
@@ -208,6 +301,7 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
                 edges = edges.join(unsure.select(F.col("cid").alias(side), F.lit(True).alias("_u")), side, "left").withColumn(f"sure_{side}", F.col("_u").isNull()).drop("_u")
         if kept is not None or unsure is not None:
             edges = written(edges, "edges")
+            dropped(met)
         fresh, open_ = _settled(edges)
         found = fresh if gone is None else gone.unionByName(fresh)
         rest = undecided.join(found.select("cid"), "cid", "left_anti")
@@ -220,6 +314,7 @@ def leaders(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
         new = rest.where("not open").select("cid", "e")
         kept = new if kept is None else kept.unionByName(new)
         lost = found if lost is None else lost.unionByName(found)
+        dropped(heads, unsure, edges)
         undecided, limit = rest.where("open").select("cid", "e"), limit * GROWTH
         if undecided.isEmpty():
             return kept.unionByName(bare), lost, index
@@ -270,9 +365,11 @@ def first_wins(rows: DataFrame, threshold: float) -> DataFrame:
     if "hash" not in rows.columns:
         rows = rows.withColumns({"hash": T.text_hash(F.col("text")), "words": T.hashed_set(F.col("text"))})
     rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<bigint>")))
-    slim = written(rows.select("row", _order(F.col("seq"), F.col("row")).alias("o"), "scope", "eligible", "hash", "words", *_set_key()), "rows")
-    classes = slim.groupBy("scope", "set", "set2").agg(F.first("words").alias("words"), F.min_by("row", "o").alias("cid"), F.min("o").alias("o"), F.min(F.when(F.col("eligible"), F.struct("o", "hash"))).alias("first"))
+    whole = written(rows.select("row", _order(F.col("seq"), F.col("row")).alias("o"), "scope", "eligible", "hash", "words", *_set_key()), "rows")
+    classes = whole.groupBy("scope", "set", "set2").agg(F.first("words").alias("words"), F.min_by("row", "o").alias("cid"), F.min("o").alias("o"), F.min(F.when(F.col("eligible"), F.struct("o", "hash"))).alias("first"))
     classes = written(classes.select("cid", "scope", "set", "set2", "words", "o", F.col("first.o").alias("e"), F.col("first.hash").alias("e_hash")), "classes")
+    slim = written(whole.select("row", "o", "scope", "set", "set2", "hash"), "rows")
+    dropped(whole)
     kept, lost, index = leaders(classes, threshold)
     # Classes with rows before their first eligible one, or without one, are held against all that was kept.
     early = written(classes.where("size(words) > 0 and (e is null or o < e)").select("cid").join(kept.select("cid"), "cid", "left_anti"), "early")

@@ -1,6 +1,8 @@
 """The first-wins rule against a plain walk, near copies without the square of them, and the index of accepted texts."""
 
 import os
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import accepted as C
 from millrace.operators import dedup as D
+from millrace.sources.scratch import dropped, written
 
 
 def near(a, b, t=0.85):
@@ -157,3 +160,39 @@ def test_against_a_table(spark):
     assert {r.seq: r.reason for r in C.dedup_against(new, old).collect()} == expected
     assert C.dedup_against(new, old.limit(0)).where("reason is not null").count() == 0
     assert C.dedup_against(new.limit(0), old).count() == 0
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    """Neither shuffle files nor a mark of success, for which the driver starts a child; what is superseded goes at once."""
+    local = Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    there = lambda: {str(p) for p in local.rglob("shuffle_*.data")}
+    before = there()
+    made = written(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(100):
+        if there() <= before:
+            break
+        time.sleep(0.1)
+    folder = Path(made._scratch.removeprefix("file:"))
+    assert there() <= before and made.count() == 7 and not (folder / "_SUCCESS").exists()
+    dropped(made)
+    assert not folder.exists()
+
+
+def test_unlike_sets_meet_by_their_sketches(spark, monkeypatch):
+    """Every near pair passes, and of the pairs of texts that share their rarest words only, no words are looked at."""
+    r = np.random.default_rng(3)
+    sets = {i: set(map(int, r.integers(-(2**63), 2**63 - 1, 60))) | {1, 2, 3} for i in range(40)}
+    sets |= {40 + i: set(list(sets[i])[:-k]) | {900 + i} for i in range(20) for k in (i % 6 + 1,)}
+    rows = spark.createDataFrame([(i, "", sorted(w)) for i, w in sets.items()], "cid long, scope string, words array<long>")
+    truth = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])}
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    passed = {(x.a, x.b) for x in D.may_reach(pairs, rows, rows, 0.85).collect()}
+    assert truth <= passed and len(passed) < len(truth) + 10
+    assert {(x.a, x.b) for x in D.set_pairs(rows, 0.85).collect()} == truth
+    for few in (D.SMALL, 0):
+        monkeypatch.setattr(D, "SMALL", few)
+        assert {(x.a, x.b) for x in D.verified(pairs, rows, rows, 0.85).collect()} == truth
+    order = D.frequent(rows.select(F.explode("words").alias("word")))
+    assert set(order[-3:].tolist()) == {1, 2, 3}
+    for x in D.prefixes(rows, 0.85).collect():
+        assert x.n == len(sets[x.cid]) and x.at < x.n - int(np.ceil(0.85 * x.n - 1e-9)) + 1 and x.word in sets[x.cid] - {1, 2, 3}
