@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import requests as R
 from ..functions import text as T
 from ..functions.scoring import parse_score
+from ..sources.scratch import written
 from .stretches import positions
 
 #: Terms that count as aspects wherever they occur.
@@ -86,11 +87,27 @@ def aspect_preservation(aspects: Column, variant: Column) -> Column:
     return F.when(F.size(aspects) == 0, 1.0).otherwise(F.size(F.filter(aspects, lambda a: F.contains(low, F.lower(a)))) / F.size(aspects))
 
 
-def validate_variants(variants: DataFrame, similarity: DataFrame, keys: list[str] = ["sample_id", "strategy", "variant_index"]) -> DataFrame:
-    """variants (aspects, variant) with score = mean of preservation and similarity (0.5 without an answer) and is_valid."""
-    rows = variants.join(similarity.select(*keys, "response"), keys, "left")
+def answered(rows: DataFrame, similarity: DataFrame, keys: list[str] = ["sample_id", "strategy", "variant_index"]) -> DataFrame:
+    """rows with ``_answers``, all answers of the row's first key, so that rows dealt by it are not dealt anew by all keys."""
+    lists = similarity.groupBy(keys[0]).agg(F.collect_list(F.struct(*keys[1:], "response")).alias("_answers"))
+    return rows.join(lists, keys[0], "left")
+
+
+def validate_variants(variants: DataFrame, similarity: DataFrame | None, keys: list[str] = ["sample_id", "strategy", "variant_index"]) -> DataFrame:
+    """variants (aspects, variant) with score = mean of preservation and similarity (0.5 without an answer) and is_valid; without ``similarity``, they are ``answered`` already."""
+    rows = variants if similarity is None else answered(variants, similarity, keys)
+    names = {k: f"_own_{k}" for k in keys[1:]}
+    rows = rows.withColumns({v: F.col(k) for k, v in names.items()})
+
+    def own(x: Column) -> Column:
+        same = F.lit(True)
+        for k, v in names.items():
+            same = same & (x[k] == F.col(v))
+        return same
+
+    rows = rows.withColumn("_answer", F.explode_outer(F.filter("_answers", own))).withColumn("response", F.col("_answer.response"))
     score = (aspect_preservation(F.col("aspects"), F.col("variant")) + parse_score(F.col("response"), 0.5)) / 2
-    return rows.withColumn("score", score).withColumn("is_valid", F.col("score") >= VALID).drop("response")
+    return rows.withColumn("score", score).withColumn("is_valid", F.col("score") >= VALID).drop("response", "_answers", "_answer", *names.values())
 
 
 def accept_variants(validated: DataFrame, min_similarity: float = 0.8) -> DataFrame:
@@ -156,11 +173,12 @@ def with_alternative(rows: DataFrame, alternatives: DataFrame, turn: Column) ->
 
 def ada_variants(samples: DataFrame, alternatives: DataFrame, similarity: DataFrame, n: int = 3, lexicon: list[str] = ASPECTS, min_similarity: float = 0.8, proper: bool | str = True) -> DataFrame:
     """Accepted texts with one aspect replaced, the i-th variant taking the i-th aspect in turn, and the r-th alternative the r-th time that an aspect comes round."""
-    rows = samples.withColumn("all_aspects", extract_aspects(F.col("text"), lexicon, proper)).where("size(all_aspects) > 0").withColumn("variant_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # Answers come before a sample has variants: its text is dealt once, and no variant is.
+    rows = answered(samples, similarity).withColumn("all_aspects", extract_aspects(F.col("text"), lexicon, proper)).where("size(all_aspects) > 0").withColumn("variant_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rows = rows.withColumn("aspect", F.element_at("all_aspects", (F.col("variant_index") % F.size("all_aspects") + 1).cast("int")))
     rows = with_alternative(rows, alternatives, F.floor(F.col("variant_index") / F.size("all_aspects"))).withColumn("strategy", F.lit("ADA"))
     rows = rows.withColumn("variant", replace_aspect(F.col("text"), F.col("aspect"), F.col("alternative"))).withColumn("aspects", F.array_remove("all_aspects", F.col("aspect")))
-    good = accept_variants(validate_variants(rows, similarity), min_similarity)
+    good = accept_variants(validate_variants(rows, None), min_similarity)
     change = F.concat(F.lit("replaced '"), F.col("aspect"), F.lit("' with '"), F.col("alternative"), F.lit("'"))
     return good.select("sample_id", "strategy", "variant_index", "variant", "score", F.array(change).alias("changes"), F.col("aspects").alias("preserved"))
 
@@ -176,7 +194,8 @@ def cada_variants(samples: DataFrame, variants: DataFrame, alternatives: DataFra
     n_cda, n_ada = max(1, n // 2), n - max(1, n // 2)
     n_both = min(2, n // 3) if n > 3 else 0
     marked = lambda df, name: df.withColumn("kind", F.lit(name)).withColumn("changes", F.transform("changes", lambda c: F.concat(F.lit(f"{name}: "), c)))
-    cda = cda_variants(samples, variants, similarity, lexicon, proper=proper).where(F.col("variant_index") < n_cda)
+    # Read twice, and its joins' shuffle files are gone before the others' come.
+    cda = written(cda_variants(samples, variants, similarity, lexicon, proper=proper).where(F.col("variant_index") < n_cda), "cda")
     ada = ada_variants(samples, alternatives, similarity, max(1, n_ada), lexicon, proper=proper).where(F.col("variant_index") < n_ada)
     out = marked(cda, "CDA").unionByName(marked(ada, "ADA"))
     both = cda.where(F.col("variant_index") < n_both).withColumn("aspect", F.try_element_at(extract_aspects(F.col("variant"), lexicon, proper), F.lit(1)))
@@ -237,6 +256,7 @@ def augmentation_summary(samples: DataFrame, accepted: DataFrame, strategies: li
     A sample without variants has an empty row of score 0 that preserves all its aspects.
     """
     every = samples.select("sample_id", extract_aspects(F.col("text"), lexicon, proper).alias("aspects"), F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))
+    accepted = written(accepted, "accepted")
     rows = F.array_sort(F.collect_list(F.struct("variant_index", "variant", "score", "preserved", "changes")))
     made = accepted.groupBy("sample_id", "strategy").agg(rows.alias("made"), F.count("*").alias("successful"), F.avg("score").alias("avg_score"))
     each = lambda name: F.transform("made", lambda x: x[name])

@@ -203,3 +203,14 @@ def test_trailing_windows(spark):
     assert made.count() == len(rows)
     frames = made._jdf.queryExecution().analyzed().toString()
     assert "specifiedwindowframe(RangeFrame, unboundedpreceding" in frames and frames.count("specifiedwindowframe") == frames.count("unboundedpreceding")
+
+
+def test_answers_meet_their_variants(spark):
+    """Answers join by sample alone, with what a join by all keys gives: none, several, other strategies, null keys; the variants' plan deals no row by more than its sample."""
+    rows = spark.createDataFrame([("1", "CDA", 0, "x", ["x"]), ("1", "CDA", 1, "y", ["x"]), ("1", None, 0, "x", ["x"]), ("2", "CDA", 0, "x", ["x"]), (None, "CDA", 0, "x", ["x"])], "sample_id string, strategy string, variant_index int, variant string, aspects array<string>")
+    answers = spark.createDataFrame([("1", "CDA", 0, "0.9"), ("1", "CDA", 0, "0.7"), ("1", "ADA", 1, "0.1"), ("1", None, 0, "0.2"), (None, "CDA", 0, "0.3")], "sample_id string, strategy string, variant_index int, response string")
+    made = A.validate_variants(rows, answers)
+    assert made.columns == [*rows.columns, "score", "is_valid"]
+    got = sorted((x.sample_id or "", x.strategy or "", x.variant_index, round(x.score, 6)) for x in made.collect())
+    assert got == [("", "CDA", 0, 0.75), ("1", "", 0, 0.75), ("1", "CDA", 0, 0.85), ("1", "CDA", 0, 0.95), ("1", "CDA", 1, 0.25), ("2", "CDA", 0, 0.75)]
+    assert "strategy" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x.lower())
